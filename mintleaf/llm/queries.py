@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import exact_dedup, sharding
+from mintleaf.llm import bpe, exact_dedup, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,5 +34,16 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc
 FROM d WINDOW g AS (PARTITION BY text_sha256)
 """
 
-QUERIES = {"op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the word-splitting tokenizer of 49k tokens."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = bpe.encode_texts(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return coded.select(
+        "doc_id", F.col("encoded.n_tokens").alias("n_tokens"), F.sha2("encoded.ids", 256).alias("ids_sha256"), F.sha2("encoded.decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {"op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
