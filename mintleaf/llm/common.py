@@ -140,15 +140,21 @@ class ByteHash:
         return out
 
 
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+
 def window_hashes(words: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes (over all of ``words``, text ends not regarded)."""
+    """Hash of each k consecutive word hashes (over all of ``words``, text ends not regarded); base is odd."""
     n = len(words) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * np.uint64(base) + words[i : i + n]
-    return mix(out)
+    up, down = _POWERS.get(base, (words[:0],) * 2)
+    if len(up) < len(words):
+        size = max(1 << 16, 2 * len(words))
+        up, down = _POWERS[base] = ByteHash._powers(base, size), ByteHash._powers(pow(base, -1, 1 << 64), size)
+    sums = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], out=sums[1:])
+    return mix((sums[k:] - sums[:-k]) * down[:n])
 
 
 def windows_inside(word_offsets: np.ndarray, k: int, n_words: int) -> np.ndarray:
