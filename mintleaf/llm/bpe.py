@@ -220,7 +220,7 @@ def _encode_long(long: DataFrame, path: str, long_piece: int, leaf: int) -> Data
         own = encoder(path)
         return pa.array([own.encode(t) if p < 0 else " ".join(own.tokens(t, e)) for p, e, t in zip(piece.to_pylist(), last.to_pylist(), text.to_pylist(), strict=True)])
 
-    def join(key, table: pa.Table) -> pa.Table:  # one text
+    def join(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:  # one text
         own, ids, open_leaves, at = encoder(path), [], [], None
         rows = table.sort_by("seq").select(["piece", "tokens"]).to_pylist()
         for row in [*rows, {"piece": None, "tokens": ""}]:
