@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, exact_dedup, language, near_dedup, sharding, substring_dedup
+from mintleaf.llm import bpe, exact_dedup, language, near_dedup, sharding, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,24 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best candidates of every embedding whose id is divisible by 50, by exact inner product."""
+    return topk.top_k(_table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+OP9_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 50 = 0)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
 OP3_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
@@ -64,5 +82,5 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
-ORACLE_SQL = {"op3_exact_dedup": OP3_SQL}
+QUERIES = {"op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
