@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, exact_dedup, language, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm import bpe, exact_dedup, html_text, language, near_dedup, sharding, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,12 @@ def op9_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"), 5, 50)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    found = html_text.extract_text(_table(spark, sf_dir, "pages"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
 OP9_SQL = """
 WITH v AS (
   SELECT DISTINCT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS v
@@ -82,5 +88,5 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
