@@ -5,13 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, exact_dedup, html_text, language, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in every pass that the mix takes them, for a repetition of any source of 1.5 at most."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    keyed = docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "source")
+    plan = mixing.mix_plan(docs, repetition_limit=1.5)
+    return keyed.join(plan, "uid").select("doc_id", "source", "tokens", "weight", "repetition", "pass", "block", "position")
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best license match of every document, over its lines and the whole."""
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 def op2_shard_by_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents into 16 shards of near equal bytes (law ``bytes``)."""
     placed = sharding.shard_by_bytes(_table(spark, sf_dir, "documents"), 16)
@@ -88,5 +101,5 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
