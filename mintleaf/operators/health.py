@@ -38,7 +38,8 @@ def recency_weights(reviews: DataFrame, half_life_days: float, order: list[str])
     takes the rank of the row in ``order`` as age.
     """
     entity = Window.partitionBy("Restaurant")
-    age = (F.max("Review_Date").over(entity).cast("double") - F.col("Review_Date").cast("double")) / 86400.0
+    seconds = F.col("Review_Date").cast("timestamp").cast("double")
+    age = (F.max(seconds).over(entity) - seconds) / 86400.0
     aged = reviews.withColumn("age", age)
     medians = aged.filter("age IS NOT NULL").groupBy("Restaurant").agg(F.percentile("age", F.lit(0.5)).alias("median_age"))
     rank = F.row_number().over(entity.orderBy(*order)) - 1
