@@ -13,7 +13,7 @@ has one range of one block of queries and one block of candidates.
 Components count as floor(256 * x). Equal vectors are searched as one, with its least k + 1 ids. Vectors that are null,
 empty or hold null or non-finite components take no part; vectors of other lengths aren't candidates of a query.
 Rows with a null id take no part; of rows with equal id and vector one counts. Ties go to the smaller id. Products are
-exact as long as they stay below 2^53 (the blocks then use floating point) or below 2^63 (integers). An empty table
+exact as long as they stay below 2^53 (the blocks then use floating point) or below 2^61 (integers). An empty table
 gives an empty result.
 """
 
@@ -31,7 +31,7 @@ from mintleaf.llm.common import written
 PARTS = 2
 #: Rows of a block: a node holds a matrix of QUERY_BLOCK * CANDIDATE_BLOCK numbers.
 QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-_NONE = -(1 << 62)
+_NONE = -(1 << 58)
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
