@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from mintleaf.functions.numbers import cosine
 from mintleaf.functions.text import hits
-from mintleaf.operators.units import opinions  # noqa: F401  (the usual next step)
 
 #: Default lexicon; any (aspect, term) table can be given instead.
 LEXICON = {
