@@ -8,8 +8,9 @@
    any candidate: only these short lists are merged. The long lists are skipped there, and enter the collision count
    afterwards, for the candidates alone.
 3. Lists aren't expanded into all pairs. Round by round each list compares its members with one pivot; members that
-   are linked share a component and need no further comparison. When the pairs of members of one list in different
-   components are few (or rounds bring no more), exactly these are compared, all of them.
+   are linked share a component and need no further comparison. When rounds bring little more, the documents of lists
+   that still hold several components meet by the rarest shingles of their full sets, as many as the similarity asks
+   for, so that no link is missed; documents of one component don't meet there.
 4. Candidates that reach the match threshold are confirmed on the full shingle sets; the confirmed links give the
    components.
 
@@ -28,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.llm.common import ByteHash, fresh, mix, string_bytes, window_hashes, windows_inside, word_spans, written
@@ -39,7 +40,7 @@ SHINGLE_WORDS, COORDINATES, MATCHES = 5, 64, 32
 NUM, DEN = 75, 100
 #: A table of ids is broadcast up to so many rows (12 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1 << 20
-PIVOT_ROUNDS = 8
+PIVOT_ROUNDS = 4
 _BASE = 0x9E3779B97F4A7C15
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -152,63 +153,95 @@ def _active(reps: DataFrame) -> DataFrame:
         .filter(F.size("found") >= MATCHES)
     )
     return lists.join(reps.select("doc", "n", "fp"), "doc").select(
-        "doc", "n", "fp", F.col("found.pair").alias("pairs"), F.slice("found.pair", F.lit(1), F.size("found") - MATCHES + 1).alias("prefix")
+        "doc", "n", "fp", F.aggregate("found.df", F.lit(0).cast("long"), lambda a, x: a + x).alias("weight"), F.col("found.pair").alias("pairs"), F.slice("found.pair", F.lit(1), F.size("found") - MATCHES + 1).alias("prefix")
     )
 
 
 def _confirmed(candidates: DataFrame, active: DataFrame, sets: DataFrame) -> DataFrame:
-    """The candidates (a, b) that reach the match threshold and then the similarity on the full sets, as edges (u, v)."""
+    """The candidates (a, b, u, v) that reach the match threshold and then the similarity on the full sets, as edges (u, v)."""
     counted = candidates
     for c in ("a", "b"):
         counted = counted.join(active.select(F.col("doc").alias(c), F.col("pairs").alias(f"pairs_{c}"), F.col("n").alias(f"n_{c}")), c)
     counted = counted.filter((F.least("n_a", "n_b") * DEN >= F.greatest("n_a", "n_b") * NUM) & (F.size(F.array_intersect("pairs_a", "pairs_b")) >= MATCHES))
-    counted = written(counted.select("a", "b"), "matches")
+    counted = counted.select("a", "b", "u", "v")
     for c in ("a", "b"):
         counted = counted.join(sets.select(F.col("doc").alias(c), F.col("shingles").alias(f"set_{c}")), c)
-    return counted.filter(_linked()("set_a", "set_b")).select(F.col("a").alias("u"), F.col("b").alias("v"))
+    return counted.filter(_linked()("set_a", "set_b")).select("u", "v").distinct()
 
 
-def _pair(left: str, right: str):
-    return F.least(left, right).alias("a"), F.greatest(left, right).alias("b")
+def _pairs(posted: DataFrame, other: str, component: str) -> DataFrame:
+    """(a, b, u, v): a pair of documents in one order, and their components."""
+    one, two = F.struct(F.col("doc").alias("d"), F.col("component").alias("c")), F.struct(F.col(other).alias("d"), F.col(component).alias("c"))
+    pair = posted.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y"))
+    return pair.select(F.col("x.d").alias("a"), F.col("y.d").alias("b"), F.col("x.c").alias("u"), F.col("y.c").alias("v")).distinct()
+
+
+def _explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, n, shingle) of each shingle of a set."""
+    for batch in batches:
+        for part in _slices(batch):
+            sets = [np.frombuffer(v.as_buffer(), np.int64) for v in part.column(1)]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.repeat(sizes, sizes)), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int64))], names=["doc", "n", "shingle"]
+            )
+
+
+def _open_pairs(posted: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b, u, v) of documents in different components that may reach the similarity.
+
+    Only documents of lists with two components or more are looked at. Their shingles are put in the order of rising
+    frequency; two sets of the wanted similarity share a shingle within their first n - o + 1, where o is the overlap
+    that their sizes ask for. In the list of a shingle all but the largest component meet the others.
+    """
+    several = posted.groupBy("pair").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("pair")
+    open_docs = posted.join(several, "pair", "left_semi").select("doc", "component").distinct()
+    open_docs = written(open_docs, "open", narrow=True)
+    rows = sets.select("doc", "shingles").join(open_docs.select("doc"), "doc", "left_semi").mapInArrow(_explode, "doc long, n long, shingle long")
+    shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    known = rows.join(shared, "shingle")
+    order = Window.partitionBy("doc").orderBy("df", "shingle")
+    # shingles that no other has come first in the order; they can't be shared
+    placed = known.withColumn("r", F.row_number().over(order)).withColumn("own", F.col("n") - F.count(F.lit(1)).over(Window.partitionBy("doc")))
+    least = F.ceil(F.col("n") * NUM / DEN)
+    prefix = placed.withColumn("pos", F.col("own") + F.col("r")).filter(F.col("pos") <= F.col("n") - least + 1).join(open_docs, "doc").select("shingle", "doc", "component", "n", "pos")
+    prefix = written(prefix, "prefixes")
+    sizes = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
+    largest = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle", F.col("m.component").alias("most"))
+    largest = written(largest, "largest", narrow=True)
+    few = prefix.join(largest, "shingle").filter("component != most").drop("most")
+    other = prefix.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("doc", "component", "n", "pos")])
+    need = F.ceil((F.col("n") + F.col("other_n")) * NUM / (NUM + DEN))
+    near = (F.col("component") != F.col("other_component")) & (F.col("pos") <= F.col("n") - need + 1) & (F.col("other_pos") <= F.col("other_n") - need + 1)
+    return _pairs(few.join(other, (few["shingle"] == other["shingle"]) & near), "other_doc", "other_component")
 
 
 def _link(active: DataFrame, sets: DataFrame) -> DataFrame:
-    """(doc, component) of the active documents that have links."""
-    spark = active.sparkSession
-    own = active.select("doc", F.col("doc").alias("component"))
-    links: DataFrame | None = None
-    done = spark.createDataFrame([], "a long, b long")
-    rows = active.count()
-    labels = own
+    """(doc, component) of the active documents."""
+    labels = active.select("doc", F.col("doc").alias("component"))
     before = None
     for turn in range(PIVOT_ROUNDS + 1):
-        posted = written(active.join(labels, "doc").select("doc", "component", "n", F.explode("prefix").alias("pair")), "lists")
-        # pairs of members in different components of each list
+        posted = written(active.join(labels, "doc").select("doc", "component", "weight", F.explode("prefix").alias("pair")), "lists", narrow=True)
+        # pairs of members in different components, over all lists
         sizes = posted.groupBy("pair", "component").agg(F.count(F.lit(1)).alias("c"))
         each = sizes.groupBy("pair").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
         left = each.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2)).first()[0] or 0
         if not left:
             break
-        last = turn == PIVOT_ROUNDS or turn > 0 and (left <= 64 * rows or before is not None and left > 0.9 * before)
+        last = turn == PIVOT_ROUNDS or before is not None and left > 0.5 * before
         before = left
         if last:
-            other = posted.select("pair", F.col("doc").alias("other"), F.col("component").alias("other_component"), F.col("n").alias("m"))
-            met = posted.join(other, "pair").filter("component < other_component").filter((F.least("n", "m") * DEN >= F.greatest("n", "m") * NUM))
-            met = met.select(*_pair("doc", "other"))
+            met = _open_pairs(posted, sets)
         else:
-            order = F.xxhash64(F.col("doc"), F.lit(turn))
-            pivots = written(
-                posted.groupBy("pair").agg(F.min(F.struct(order.alias("o"), "doc", "component")).alias("p"), F.count(F.lit(1)).alias("c"))
-                .filter("c > 1").select("pair", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component")),
-                "pivots",
-            )
-            met = posted.join(pivots, "pair").filter("component != pivot_component").select(*_pair("doc", "pivot"))
-        candidates = written(met.distinct().join(done, ["a", "b"], "left_anti"), "candidates")
-        found = written(_confirmed(candidates, active, sets), "links")
-        links = found if links is None else links.unionByName(found)
-        done = done.unionByName(candidates)
-        grouped = component_labels(links)
-        labels = own.select("doc").join(grouped.withColumnRenamed("node", "doc"), "doc", "left").select("doc", F.coalesce("label", "doc").alias("component"))
+            # the pivot is the member that shares most with others at first, and any later
+            order = -F.col("weight") if turn == 0 else F.xxhash64(F.col("doc"), F.lit(turn))
+            pivots = posted.groupBy("pair").agg(F.min(F.struct(order.alias("o"), "doc", "component")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
+            pivots = written(pivots.select("pair", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots", narrow=True)
+            met = _pairs(posted.join(pivots, "pair").filter("component != pivot_component"), "pivot", "pivot_component")
+        candidates = written(met, "candidates", narrow=True)
+        grouped = component_labels(_confirmed(candidates, active, sets))
+        labels = labels.join(grouped.withColumnRenamed("node", "component"), "component", "left").select("doc", F.coalesce("label", "component").alias("component"))
+        labels = written(labels, "documents", narrow=True)
         if last:
             break
     return labels
@@ -229,7 +262,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     labels = _link(active, sets)
     # rows of one id are one document, whatever their texts
     named = written(reps.select("fp", "doc").join(labels, "doc", "left").select("fp", F.coalesce("component", "doc").alias("component")), "classes")
-    out = signed.join(named, "fp", "left").select("doc", "n", F.coalesce("component", "doc").alias("component"))
+    out = signed.join(named, "fp", "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
     return out.select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 
 
