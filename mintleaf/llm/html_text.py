@@ -340,6 +340,9 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     order = F.xxhash64(F.col("url"), F.col("page_id").cast("string"))
-    chosen = rows.filter("html != ''").select(order.alias("o"), "html").orderBy("o", F.length("html")).limit(sample).collect()  # the bounded training sample
+    hashed = rows.filter("html != ''").withColumn("o", order)
+    # the hashes are few and small; of the pages only the chosen ones leave their task
+    least = [r["o"] for r in hashed.select("o").distinct().orderBy("o").limit(sample).collect()]
+    chosen = hashed.filter(F.col("o") <= max(least, default=0)).groupBy("o").agg(F.min("html").alias("html")).orderBy("o").limit(sample).collect()
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in chosen]))
     return rows.mapInArrow(_label(model, 2), StructType([*rows.schema.fields[:2], StructField("text", StringType())]))
