@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from mintleaf.llm.common import written
 
 #: Probes of each open interval and round.
-FAN_OUT = 64
+FAN_OUT, MOST_PROBES = 64, 1 << 16
 #: Rows of a cell, the unit that is sorted in one task after the exchange.
 CELL_ROWS = 1 << 18
 _LOW, _HIGH = -(1 << 63), (1 << 63) - 1
@@ -101,10 +101,10 @@ class _Interval:
         return [b for b in ((self.least, _LOW), *found, (self.least, _HIGH)) if self.low < b < self.high]
 
 
-def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int], tolerance: int) -> list[tuple[Boundary, int, int]]:
+def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int], tolerances: list[int]) -> list[tuple[Boundary, int, int]]:
     """For each wanted number of bytes below: the boundary, and the bytes and rows below it.
 
-    The driver holds a few numbers for each splitter, no rows.
+    The driver holds a few numbers for each splitter, no rows; a round has about MOST_PROBES probes or two for each splitter.
     """
     if not targets or not total[1]:
         return [((_LOW, _LOW), 0, 0)] * len(targets)
@@ -113,10 +113,11 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
     closed = [False] * len(targets)
     while True:
         probes: set[Boundary] = set()
+        fan_out = max(2, min(FAN_OUT, MOST_PROBES // max(1, len(closed) - sum(closed))))
         for k, (x, target) in enumerate(zip(around, targets, strict=True)):
-            closed[k] = closed[k] or abs(x.nearest(target)[1] - target) <= tolerance or x.below_high[1] - x.below[1] <= 1
+            closed[k] = closed[k] or abs(x.nearest(target)[1] - target) <= tolerances[k] or x.below_high[1] - x.below[1] <= 1
             if not closed[k]:
-                inner = x.inner(FAN_OUT - 1, ids)
+                inner = x.inner(fan_out - 1, ids)
                 closed[k] = not inner
                 probes.update((x.low, *inner, x.high) if inner else ())
         if not probes:
@@ -137,12 +138,15 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
                 below, at = above, at + 1
 
 
-def _number(boundaries: list[Boundary]):
-    @F.arrow_udf("int")
-    def cell(h: pa.Array, i: pa.Array) -> pa.Array:
-        return pa.array(_positions(h.to_numpy(zero_copy_only=False), i.to_numpy(zero_copy_only=False), boundaries).astype(np.int32))
+def _number(boundaries: list[Boundary], offsets: list[int]):
+    """The cell of a row, and the slot of the cell's first row."""
 
-    return cell
+    @F.arrow_udf("struct<cell: int, first: long>")
+    def number(h: pa.Array, i: pa.Array) -> pa.Array:
+        cell = _positions(h.to_numpy(zero_copy_only=False), i.to_numpy(zero_copy_only=False), boundaries)
+        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.array(offsets, np.int64)[cell])], names=["cell", "first"])
+
+    return number
 
 
 def shard_by_bytes(
@@ -163,15 +167,17 @@ def shard_by_bytes(
     got = keyed.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).first()
     total = (got["size"] or 0, got["rows"])
     per_shard = max(1, -(-total[1] // (shards * cell_rows)))
-    targets = [total[0] * k // (shards * per_shard) for k in range(1, shards * per_shard)]
-    found = find_splitters(keyed, targets, total, max(1, int(total[0] / shards * tolerance)))
-    # cells may be empty where one row is larger than a cell; a shard's first cell starts its slots
-    boundaries = [b for b, _, _ in found]
-    below = [0, *(rows for _, _, rows in found)]
+    n = shards * per_shard
+    targets = [total[0] * k // n for k in range(1, n)]
+    # between shards the boundary is tight; between the cells of a shard it only has to keep them of like size
+    tight, loose = max(1, int(total[0] / shards * tolerance)), max(1, total[0] // n // 4)
+    found = find_splitters(keyed, targets, total, [tight if k % per_shard == 0 else loose for k in range(1, n)])
+    # a wide row can move a boundary beyond those of the next targets
+    bounds = sorted((b, rows) for b, _, rows in found)
+    below = [0, *(rows for _, rows in bounds)]
     offsets = [below[c] - below[c - c % per_shard] for c in range(len(below))]
-    cells = keyed.withColumn("cell", _number(boundaries)(F.col("h"), F.col("i")) if boundaries else F.lit(0))
-    in_cell = Window.partitionBy("cell").orderBy("h", "i", "size")
-    first = F.element_at(F.array(*[F.lit(x).cast("long") for x in offsets]), F.col("cell") + 1)
-    return cells.withColumn("slot", F.row_number().over(in_cell) - 1 + first).select(
-        "id", "size", "text_crc32", F.floor(F.col("cell") / per_shard).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")
+    cells = keyed.withColumn("at", _number([b for b, _ in bounds], offsets)(F.col("h"), F.col("i")) if bounds else F.struct(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("first")))
+    in_cell = Window.partitionBy("at.cell").orderBy("h", "i", "size")
+    return cells.withColumn("slot", F.row_number().over(in_cell) - 1 + F.col("at.first")).select(
+        "id", "size", "text_crc32", F.floor(F.col("at.cell") / per_shard).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")
     )
