@@ -1,20 +1,26 @@
-"""License scan: lines and whole texts against license templates, by the Dice coefficient of their word bigrams.
+"""License scan: every run of words of a text against license templates, by the Dice coefficient of their word bigrams.
 
 Texts and templates are normalised (lower case, copyright lines dropped, everything but letters and digits is a gap).
-A text is compared as a whole, and so is each of its lines, which finds a notice among other text. The coefficient
-2 |A & B| / (|A| + |B|) can reach the threshold t only if |A| is at least t / (2 - t) and at most (2 - t) / t of |B|:
-a candidate outside these bounds of all templates is dropped before its bigrams are built, and each template is only
-compared with candidates within its own. Short templates are one notice; bigrams are taken as a set.
-
-A null or empty text, or one without a candidate that reaches the threshold, has no license (nulls, 0 matches). The
-best match has the highest coefficient, then the first template by name, then the first line. Equal rows are scanned
-each. An empty table gives an empty result.
+A candidate is any window of consecutive words, over any number of lines: the whole text, a line, a block of lines, a
+notice within prose. A copyright line is left out between its neighbours, and searched by itself. The windows are all
+covered, by these bounds, which lose nothing: the coefficient 2 |A & B| / (|A| + |B|) doesn't fall if a window is
+trimmed to bigrams of the template at both ends, nor if it is widened by a bigram of the template, so a best window
+begins where a run of the template's bigrams begins; and a text with c of the template's bigrams can't exceed
+2 c / (c + |B|), so few texts are searched at all. Bigrams are taken as a set.
+
+The best window is a match, and what lies before and after it is searched likewise, so matches don't overlap. Order:
+the highest coefficient, the first template by name, the first place, the fewest words. The line of a match is the one
+of its first word. A null or empty text, or one without a window that reaches the threshold, has no license (nulls, 0
+matches). Equal rows are scanned each. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -68,6 +74,13 @@ class Scanner:
         self.bounds = [(threshold / (2 - threshold) * len(t), (2 - threshold) / threshold * len(t)) for _, t in self.templates]
         self.least = min((low for low, _ in self.bounds), default=0)
         self.most = max((high for _, high in self.bounds), default=-1)
+        self.owners: dict[tuple[str, str], list[int]] = {}
+        for k, (_, t) in enumerate(self.templates):
+            for pair in t:
+                self.owners.setdefault(pair, []).append(k)
+        self.known = frozenset(self.owners)
+        # templates of one word, by the word; of equal ones the first
+        self.single = {w: own[0] for (w, more), own in self.owners.items() if not more}
 
     def best(self, text: str) -> tuple[str, float] | None:
         """The best template for one candidate."""
@@ -86,16 +99,96 @@ class Scanner:
                 found = name, d
         return found
 
+    def window(self, pairs: list[tuple[str, str]], which: int, start: int, end: int, possible: int) -> tuple[float, int] | None:
+        """The best of the windows of pairs[start:end] that begin at start: (coefficient, its end)."""
+        template = self.templates[which][1]
+        seen: set[tuple[str, str]] = set()
+        best, hits = None, 0
+        for j in range(start, end):
+            pair = pairs[j]
+            if pair in seen:
+                continue
+            seen.add(pair)
+            if pair in template:
+                hits += 1
+                d = 2 * hits / (len(seen) + len(template))
+                if d >= self.threshold and (best is None or d > best[0]):
+                    best = d, j + 1
+                if hits == possible:
+                    break
+            elif 2 * possible / (len(seen) + len(template)) < self.threshold:
+                break
+        return best
+
+    def matches(self, words: list[str]) -> list[tuple[float, int, int, int]]:
+        """(coefficient, template, first word, end) of the matches in the words."""
+        hits = self.known.intersection(zip(words, words[1:], strict=False))
+        counts = Counter(t for h in hits for t in self.owners[h])
+        near = {t: c for t, c in counts.items() if 2 * c / (c + len(self.templates[t][1])) >= self.threshold}
+        single = self.single.keys() & set(words) if self.single else ()
+        if not near and not single:
+            return []
+        pairs = list(zip(words, words[1:], strict=False))
+        heap: list[tuple[float, int, int, int]] = [(-1.0, self.single[w], at, at + 1) for at, w in enumerate(words) if w in single]
+        heap.sort()
+
+        def push(which: int, start: int, end: int) -> None:
+            # end counts words: a window of pairs has one word more
+            if (got := self.window(pairs, which, start, end - 1, near[which])) is not None:
+                heappush(heap, (-got[0], which, start, got[1] + 1))
+
+        for t in near:
+            template, before = self.templates[t][1], False
+            for at, pair in enumerate(pairs):
+                if (now := pair in template) and not before:
+                    push(t, at, len(words))
+                before = now
+        out, starts, ends = [], [], []
+        while heap:
+            d, t, start, end = heappop(heap)
+            place = bisect_left(starts, start + 1)
+            if place and ends[place - 1] > start:
+                continue
+            limit = starts[place] if place < len(starts) else len(words)
+            if end > limit:
+                push(t, start, limit)
+                continue
+            out.append((-d, t, start, end))
+            starts.insert(place, start)
+            ends.insert(place, end)
+            if end < len(pairs):  # a run of the template's bigrams that began in the match goes on behind it
+                for other in near:
+                    if pairs[end] in self.templates[other][1] and pairs[end - 1] in self.templates[other][1]:
+                        push(other, end, limit)
+        return out
+
     def scan(self, text: str) -> tuple[str | None, float | None, int | None, int]:
-        """(template, coefficient, line from 1, or 0 for the whole text, number of matches)."""
-        best, matches = None, 0
-        lines = text.split("\n")
-        for at, part in enumerate([text, *lines] if len(lines) > 1 else lines, 0 if len(lines) > 1 else 1):
-            if (got := self.best(part)) is not None:
-                matches += 1
-                if best is None or (got[1], best[0]) > (best[1], got[0]):
-                    best = (*got, at)
-        return (*best, matches) if best else (None, None, None, 0)
+        """(template, coefficient, line of its first word from 1, or 0 for all words of several lines, number of matches)."""
+        words = normalised_words(text)
+        found = self.matches(words)
+        n, best = len(found), None
+        if found:
+            d, t, start, end = min(found, key=lambda f: (-f[0], *f[1:]))
+            whole = "\n" in text and (start, end) == (0, len(words))
+            best = -d, t, 0 if whole else self._line(text, start)
+        for m in _COPYRIGHT.finditer(text):
+            found = self.matches(_WORD.findall(m[0].lower()))
+            n += len(found)
+            if found and (own := min((-f[0], f[1]) for f in found)) < (best or (1.0,))[:2]:
+                best = *own, text.count("\n", 0, m.start()) + 1
+            elif found and own == best[:2]:
+                best = min(best, (*own, text.count("\n", 0, m.start()) + 1)) if best[2] > 1 else best
+        return (self.templates[best[1]][0], -best[0], best[2], n) if best else (None, None, None, 0)
+
+    @staticmethod
+    def _line(text: str, word: int) -> int:
+        """The line of a word of the text without copyright lines."""
+        for line, part in enumerate(text.split("\n"), 1):
+            n = len(normalised_words(part))
+            if word < n:
+                return line
+            word -= n
+        return 0
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -349,6 +350,41 @@ def test_license_bounds_lose_nothing():
         assert (got is None) == (best[0] < 0.6) and (got is None or got[1] == best[0])
 
 
+def test_licenses_inside_documents(spark):
+    wrap = lambda t, start="": "\n".join(start + line for line in textwrap.wrap(t, 76))
+    prose = text(random.Random(3), 4000)
+    rows, want = [], []
+    for name in ("MIT", "BSD-2-Clause", "ISC", "GPL-2.0/header", "GPL-3.0/header", "Apache-2.0/header", "MPL-2.0/notice"):
+        for start in ("", "# "):
+            rows.append((len(rows), wrap(prose[:20_000]) + "\n" + wrap(licenses.TEMPLATES[name], start) + "\n" + wrap(prose)))
+            want.append((name, 1 + wrap(prose[:20_000]).count("\n") + 1, 1))
+    rows.append((len(rows), "one\n" + prose + " Released under the MIT License. " + prose + "\nCopyright 2020 Me. Released under the MIT License."))
+    want.append(("MIT/notice", 2, 2))
+    rows.append((len(rows), "one\n(c) Me. Licensed under CC BY 4.0. " + prose))
+    want.append(("CC-BY-4.0/notice", 2, 1))
+    got = sorted(licenses.scan_licenses(corpus(spark, rows)).collect())
+    assert [(r["license"], r["line"], r["n_matches"]) for r in got] == want
+    # a wrapped line that begins with "copyright" is dropped
+    assert all(r["dice"] > 0.9 for r in got)
+
+
+def test_license_windows_equal_brute_force():
+    rng = random.Random(2)
+    for k in range(400):
+        letters = "abcdef"[: rng.randrange(2, 7)]
+        templates = {n: " ".join(rng.choices(letters, k=rng.randrange(1, 7))) for n in "xyz"}
+        scanner = licenses.Scanner(templates, rng.choice([0.5, 0.7, 0.8, 1.0]))
+        words = rng.choices(letters + "q", k=rng.randrange(0, 25))
+        want = max(((licenses.dice(licenses.bigrams(words[a:z]), t), -i) for a in range(len(words)) for z in range(a + 1, len(words) + 1) for i, (_, t) in enumerate(scanner.templates)), default=(0, 0))
+        name, d, line, n = scanner.scan(" ".join(words))
+        assert (name, d) == ((scanner.templates[-want[1]][0], want[0]) if want[0] >= scanner.threshold else (None, None))
+        taken = sorted(scanner.matches(words), key=lambda m: m[2])
+        assert len(taken) == n and all(x[3] <= y[2] for x, y in zip(taken, taken[1:], strict=False))
+        # nothing that reaches the threshold is left between the matches
+        for a, z in zip([0, *(m[3] for m in taken)], [*(m[2] for m in taken), len(words)], strict=True):
+            assert not any(licenses.dice(licenses.bigrams(words[i:j]), t) >= scanner.threshold for i in range(a, z) for j in range(i + 1, z + 1) for _, t in scanner.templates)
+
+
 # --- 10 ---
 
 
