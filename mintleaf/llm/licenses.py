@@ -2,7 +2,7 @@
 
 Texts and templates are normalised (lower case, copyright lines dropped, everything but letters and digits is a gap).
 A candidate is any window of consecutive words, over any number of lines: the whole text, a line, a block of lines, a
-notice within prose. A copyright line is left out between its neighbours, and searched by itself. The windows are all
+notice within prose. A copyright line (with a year or sign) is left out between its neighbours, and searched by itself. The windows are all
 covered, by these bounds, which lose nothing: the coefficient 2 |A & B| / (|A| + |B|) doesn't fall if a window is
 trimmed to bigrams of the template at both ends, nor if it is widened by a bigram of the template, so a best window
 begins where a run of the template's bigrams begins; and a text with c of the template's bigrams can't exceed
@@ -21,6 +21,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from heapq import heappop, heappush
+from importlib.resources import files
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -31,6 +32,8 @@ THRESHOLD = 0.8
 
 #: Wordings of public licenses and of the notices that refer to them.
 TEMPLATES = {
+    "0BSD": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "AGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
     "AGPL-3.0/notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "Apache-2.0/header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "Apache-2.0/notice": "Licensed under the Apache License, Version 2.0.",
@@ -40,16 +43,26 @@ TEMPLATES = {
     "CC-BY-NC-4.0/notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0/notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "GPL-2.0/header": """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+    "GPL-2.0/notice": "This work is licensed under the GNU General Public License, version 2.",
     "GPL-3.0/header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
     "GPL-3.0/notice": "This work is licensed under the GNU General Public License, version 3.",
     "ISC": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.""",
+    "LGPL-2.0/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Library General Public License for more details.",
+    "LGPL-2.1/header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details.",
+    "LGPL-2.1/notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "LGPL-3.0/header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Lesser General Public License for more details. You should have received a copy of the GNU Lesser General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    "LGPL-3.0/notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
     "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+    "MIT-0": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     "MIT/notice": "Released under the MIT License.",
     "MPL-2.0/notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "Unlicense/notice": "This is free and unencumbered software released into the public domain.",
 }
+#: The full texts are files: of a template's name, without what stands behind the terms.
+TEMPLATES |= {f.name.removesuffix(".txt"): f.read_text("utf-8") for f in sorted((files("mintleaf.llm") / "license_texts").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt")}
 
-_COPYRIGHT = re.compile(r"^[ \t]*(?:copyright|\(c\)|©).*$", re.I | re.M)
+# a statement with a year or sign: a wrapped line "copyright notice and ..." or an item "(c)" belongs to the license
+_COPYRIGHT = re.compile(r"^[ \t]*(?:copyright\b.*?(?:\d{4}|\(c\)|©|year|yyyy|all rights)|\(c\)[ \t]*(?:copyright|\d{4})|©).*$", re.I | re.M)
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -100,7 +113,10 @@ class Scanner:
         return found
 
     def window(self, pairs: list[tuple[str, str]], which: int, start: int, end: int, possible: int) -> tuple[float, int] | None:
-        """The best of the windows of pairs[start:end] that begin at start: (coefficient, its end)."""
+        """The best of the windows of pairs[start:end] that begin at start: (coefficient, its end).
+
+        No window there has more than ``possible`` of the template's bigrams.
+        """
         template = self.templates[which][1]
         seen: set[tuple[str, str]] = set()
         best, hits = None, 0
@@ -116,7 +132,7 @@ class Scanner:
                     best = d, j + 1
                 if hits == possible:
                     break
-            elif 2 * possible / (len(seen) + len(template)) < self.threshold:
+            elif 2 * possible / (possible + len(seen) - hits + len(template)) < self.threshold:
                 break
         return best
 
@@ -132,17 +148,19 @@ class Scanner:
         heap: list[tuple[float, int, int, int]] = [(-1.0, self.single[w], at, at + 1) for at, w in enumerate(words) if w in single]
         heap.sort()
 
-        def push(which: int, start: int, end: int) -> None:
+        def push(which: int, start: int, end: int, possible: int) -> None:
             # end counts words: a window of pairs has one word more
-            if (got := self.window(pairs, which, start, end - 1, near[which])) is not None:
+            if (got := self.window(pairs, which, start, end - 1, possible)) is not None:
                 heappush(heap, (-got[0], which, start, got[1] + 1))
 
         for t in near:
-            template, before = self.templates[t][1], False
-            for at, pair in enumerate(pairs):
-                if (now := pair in template) and not before:
-                    push(t, at, len(words))
-                before = now
+            template = self.templates[t][1]
+            own = [at for at, pair in enumerate(pairs) if pair in template]
+            rest: set[tuple[str, str]] = set()
+            for k in range(len(own) - 1, -1, -1):
+                rest.add(pairs[own[k]])
+                if (not k or own[k - 1] < own[k] - 1) and 2 * len(rest) / (len(rest) + len(template)) >= self.threshold:
+                    push(t, own[k], len(words), len(rest))
         out, starts, ends = [], [], []
         while heap:
             d, t, start, end = heappop(heap)
@@ -151,7 +169,7 @@ class Scanner:
                 continue
             limit = starts[place] if place < len(starts) else len(words)
             if end > limit:
-                push(t, start, limit)
+                push(t, start, limit, near[t])
                 continue
             out.append((-d, t, start, end))
             starts.insert(place, start)
@@ -159,7 +177,7 @@ class Scanner:
             if end < len(pairs):  # a run of the template's bigrams that began in the match goes on behind it
                 for other in near:
                     if pairs[end] in self.templates[other][1] and pairs[end - 1] in self.templates[other][1]:
-                        push(other, end, limit)
+                        push(other, end, limit, near[other])
         return out
 
     def scan(self, text: str) -> tuple[str | None, float | None, int | None, int]:

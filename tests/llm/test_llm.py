@@ -364,10 +364,20 @@ def test_licenses_inside_documents(spark):
     want.append(("CC-BY-4.0/notice", 2, 1))
     got = sorted(licenses.scan_licenses(corpus(spark, rows)).collect())
     assert [(r["license"], r["line"], r["n_matches"]) for r in got] == want
-    # a wrapped line that begins with "copyright" is dropped
     assert all(r["dice"] > 0.9 for r in got)
 
 
+def test_full_licenses_are_told_apart():
+    scanner = licenses.Scanner(licenses.TEMPLATES, licenses.THRESHOLD)
+    assert {"BSD-3-Clause", "LGPL-2.1", "LGPL-3.0", "GPL-2.0", "GPL-3.0", "AGPL-3.0", "Apache-2.0", "MPL-2.0", "Unlicense"} <= licenses.TEMPLATES.keys()
+    for name, t in licenses.TEMPLATES.items():
+        for start in ("", " * "):
+            wrapped = "\n".join(start + line for line in textwrap.wrap(t, 72))
+            assert scanner.scan("some words\n" + wrapped + "\nand others")[0] == name
+    three = licenses.TEMPLATES["BSD-2-Clause"].replace("THIS SOFTWARE IS", "3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS", 1)
+    assert scanner.scan(three)[0] == "BSD-3-Clause"
+
+
 def test_license_windows_equal_brute_force():
     rng = random.Random(2)
     for k in range(400):
