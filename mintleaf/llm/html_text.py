@@ -1,9 +1,11 @@
 """Main-text extraction: a bidirectional LSTM in numpy labels the text blocks of a page.
 
 A page becomes its sequence of leaf blocks in page order. A block enters as the hashed names of its tag path (elements
-with their class, id and role words), the hashed words of its text and a few counts. One LSTM reads the sequence
+with their class, id and role words; the names in KNOWN have a place each, others are hashed), whether one of them
+is a foreign word, the hashed words of its text and a few counts. One LSTM reads the sequence
 forwards and one backwards, so each block is judged in the context of the whole page; blocks labelled as main text are
-joined. Scripts, styles, titles and the like are no text and aren't read as blocks.
+joined. Scripts, styles, titles and text fields are no text and aren't read as blocks. What stands in an svg, template,
+object, noscript or iframe element gives blocks of its own behind the block around it, so it is labelled by itself.
 
 The labeller is trained on ``sample`` pages (those of the least url and id hash; the bound is a parameter) with labels
 from the pages' own markup: what stands in an article or main container is main text unless an element or a class
@@ -32,13 +34,14 @@ from pyspark.sql.types import StringType, StructField, StructType
 from mintleaf.llm.common import ByteHash, string_bytes, word_spans
 
 SAMPLE_PAGES, EPOCHS, BATCH, HIDDEN = 96, 20, 16, 16
-PATH_BINS, WORD_BINS, COUNTS = 128, 32, 6
-WIDTH = PATH_BINS + WORD_BINS + COUNTS
+OTHER_BINS, WORD_BINS, COUNTS = 128, 32, 7
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
-_RAW = frozenset("script style title textarea noscript iframe svg template object math".split())
+_RAW = frozenset("script style title textarea".split())
+_APART = frozenset("noscript iframe svg template object".split())
+_DEEPEST = 20  # of elements set apart within each other; beyond it they are read in place
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup "
@@ -51,6 +54,10 @@ FOREIGN = frozenset(
     "newsletter subscribe subscription signup login share sharing social related recommended breadcrumb breadcrumbs toolbar popup modal masthead contentinfo complementary search widget pagination pager tags button select legal copyright".split()
 )
 CONTAINER = frozenset("article main content post entry story".split())
+#: Names with a place of their own in the path, so that none is taken for another; the class body isn't the element.
+KNOWN = {w: k for k, w in enumerate(sorted(FOREIGN | CONTAINER | _BLOCK | _APART | set(".body a abbr b br cite code em i img math q s small span strong sub sup u".split())))}
+PATH_BINS = len(KNOWN) + OTHER_BINS
+WIDTH = PATH_BINS + WORD_BINS + COUNTS
 
 
 @dataclass
@@ -75,9 +82,10 @@ class _Parser:
                 self.names[key] = found
         return found
 
-    def blocks(self, page: str) -> list[Block]:
+    def blocks(self, page: str, around: tuple[tuple[str, tuple[str, ...]], ...] = (), depth: int = 0) -> list[Block]:
         out: list[Block] = []
-        stack: list[tuple[str, tuple[str, ...]]] = []
+        later: list[Block] = []
+        stack: list[tuple[str, tuple[str, ...]]] = list(around)
         parts: list[str] = []
         linked, at = 0, 0
 
@@ -89,6 +97,8 @@ class _Parser:
                 if text:
                     out.append(Block(tuple(t for _, own in stack for t in own), text, linked))
                 parts, linked = [], 0
+            out.extend(later)
+            later.clear()
 
         find = _TAG.search
         while m := find(page, at):
@@ -116,6 +126,13 @@ class _Parser:
                 end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at) if not m[3].endswith("/") else m
                 at = max(at, end.end()) if end else len(page)
                 continue
+            if tag in _APART and depth < _DEEPEST and not m[3].endswith("/"):
+                end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
+                inner = page[at : end.start() if end else len(page)]
+                if inner.strip():
+                    later += self.blocks(inner, (*stack, (tag, self.tokens(tag, m[3]))), depth + 1)
+                at = end.end() if end else len(page)
+                continue
             if tag in _BLOCK:
                 close()
                 if tag == "p" or tag in ("li", "dd", "dt", "tr", "td", "th", "option") or tag in _BARRIER:
@@ -149,17 +166,28 @@ _HASH: list[ByteHash] = []
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
+def path_bin(token: str) -> int:
+    """The place of a tag, or of a class, id or role word (with a dot before it)."""
+    own = KNOWN.get(token)
+    own = KNOWN.get(token.removeprefix(".")) if own is None else own
+    return len(KNOWN) + zlib.crc32(token.removeprefix(".").encode()) % OTHER_BINS if own is None else own
+
+
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     found = _PATHS.get(path)
     if found is None:
         found = np.zeros(PATH_BINS, np.float32)
         for t in path:
-            found[zlib.crc32(t.removeprefix(".").encode()) % PATH_BINS] = 1
+            found[path_bin(t)] = 1
         if len(_PATHS) < 1 << 14:
             _PATHS[path] = found
     return found
 
 
+def _is_foreign(path: tuple[str, ...]) -> bool:
+    return any(t.removeprefix(".") in FOREIGN for t in path)
+
+
 def vectors(blocks: list[Block]) -> np.ndarray:
     """The input row of each block."""
     if not _HASH:
@@ -178,7 +206,7 @@ def vectors(blocks: list[Block]) -> np.ndarray:
     chars = np.array([len(b.text) for b in blocks])
     ends_sentence = [b.text[-1] in ".!?…" for b in blocks]
     link = np.array([b.linked for b in blocks]) / np.maximum(chars, 1)
-    out[:, -COUNTS:] = np.stack([np.log1p(n_words) / 5, np.log1p(chars) / 7, ends_sentence, np.minimum(link, 1), [len(b.path) / 10 for b in blocks], np.ones(len(blocks))], axis=1)
+    out[:, -COUNTS:] = np.stack([np.log1p(n_words) / 5, np.log1p(chars) / 7, ends_sentence, np.minimum(link, 1), [len(b.path) / 10 for b in blocks], [_is_foreign(b.path) for b in blocks], np.ones(len(blocks))], axis=1)
     return out
 
 
@@ -296,6 +324,8 @@ def train(pages: list[str], seed: int = 7, epochs: int = EPOCHS, longest: int =
     """A labeller from the markup of some pages; sequences of the training (not of the labelling) are cut in stretches."""
     parser, rng, model = _Parser(), np.random.default_rng(seed), Labeller(seed)
     parsed = [(b, [markup_label(x.path) for x in b]) for b in map(parser.blocks, pages) if b]
+    if parsed:  # few pages are read more often, so that the steps are as many
+        epochs *= -(-SAMPLE_PAGES // len(parsed))
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in model.p.items()}
     step = 0
     for epoch in range(epochs if parsed else 0):

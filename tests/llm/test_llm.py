@@ -411,6 +411,34 @@ def test_pages(spark):
         assert got[r["page_id"]] == "\n\n".join(b for b in blocks if b)
 
 
+def test_path_names_are_told_apart():
+    names = html_text.FOREIGN | html_text.CONTAINER | {"section", "body", ".body", "ul", "span", "h2", "header"}
+    assert len({html_text.path_bin(n) for n in names}) == len(names)
+    assert html_text.path_bin(".cookie") == html_text.path_bin("cookie") and html_text.path_bin(".zzz") >= len(html_text.KNOWN)
+
+
+def test_foreign_blocks_of_every_name(spark):
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").orderBy("page_id").collect()]
+    model, parser = html_text.train(pages[:96]), html_text._Parser()
+
+    def kept(page):
+        blocks = parser.blocks(page)
+        return [b.text for b, p in zip(blocks, model.probabilities([html_text.vectors(blocks)])[0], strict=True) if p >= 0.5]
+
+    page = pages[0]
+    for word in sorted(html_text.FOREIGN):
+        note = f'<div class="{word}"><p>Some words that nobody asked for, sent to you by us.</p></div>'
+        for mark, new in (("<article>", f"{note}<article>"), ("</article>", f"{note}</article>"), ("</article>", f"</article>{note}")):
+            assert kept(page.replace(mark, new)) == kept(page), word
+
+
+def test_embedded_elements_are_read():
+    page = "<article><p>Say <math><mi>x</mi></math> or <svg><title>t</title><text>drawn</text></svg>more.</p><template><p>held</p></template><object>else</object><svg><path/></svg><textarea>f</textarea></article>"
+    got = [(b.path, b.text) for b in html_text._Parser().blocks(page)]
+    assert got == [(("article", "p"), "Say x or more."), (("article", "p", "svg"), "drawn"), (("article", "template", "p"), "held"), (("article", "object"), "else")]
+    assert [b.text for b in html_text._Parser().blocks("<svg>" * 500 + "deep")] == ["deep"]
+
+
 def test_pages_of_nothing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
