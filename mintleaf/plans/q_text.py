@@ -33,8 +33,8 @@ def _bins(spark, d):
     return r.groupBy("rating_bin", "length_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _clauses(spark, d):
-    return segment.clause_rows(_docs(spark, d), boundary=segment.SIMPLE_BOUNDARY)
+def _clauses(spark, d, boundary=segment.SIMPLE_BOUNDARY):
+    return segment.clause_rows(_docs(spark, d), boundary=boundary)
 
 
 def _turns(spark, d):
@@ -45,14 +45,20 @@ def _turns(spark, d):
     )
 
 
-def _matches(spark, d):
-    return match.lexicon_matches(_clauses(spark, d), match.lexicon_table(spark, LEXICON), latency=False)
+def _offsets(spark, d, boundary=segment.SIMPLE_BOUNDARY):
+    same = F.expr("substring(Review, clause_start_char + 1, clause_end_char - clause_start_char) <=> clause_text")
+    rows = _clauses(spark, d, boundary).join(_docs(spark, d).select("review_id", "Review"), "review_id")
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(same, 1)).alias("matches"))
 
 
-def _extract(spark, d):
-    c = _clauses(spark, d)
+def _matches(spark, d, boundary=segment.SIMPLE_BOUNDARY):
+    return match.lexicon_matches(_clauses(spark, d, boundary), match.lexicon_table(spark, LEXICON), latency=False)
+
+
+def _extract(spark, d, boundary=segment.SIMPLE_BOUNDARY):
+    c = _clauses(spark, d, boundary)
     s = match.lexical_sentiment(F.col("clause_text"), POSITIVE, NEGATIVE)
-    rows = c.withColumn("s", s).join(_matches(spark, d), "clause_id")
+    rows = c.withColumn("s", s).join(_matches(spark, d, boundary), "clause_id")
     return rows.groupBy("aspect", F.col("s.sentiment").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("review_id").alias("reviews"))
 
 
@@ -81,7 +87,13 @@ QUERIES = {
     "phrase_search": lambda s, d: clean.phrase_search(_docs(s, d), ["of the", "that was", "in the", "zzz"]),
     "review_ids": lambda s, d: clean.with_review_ids(table(s, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "original_row_id", "review_id"),
     "clause_segments": _clauses,
-    "clause_offsets_check": lambda s, d: _clauses(s, d).join(_docs(s, d).select("review_id", "Review"), "review_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.expr("substring(Review, clause_start_char + 1, clause_end_char - clause_start_char) <=> clause_text"), 1)).alias("matches")),
+    # the same with the operator's own boundary, whose look-ahead DuckDB lacks: no SQL
+    "clause_segments_full": lambda s, d: _clauses(s, d, segment.BOUNDARY),
+    "clause_offsets_check_full": lambda s, d: _offsets(s, d, segment.BOUNDARY),
+    "clause_counts_full": lambda s, d: evaluate.clause_count_deltas(_clauses(s, d, segment.BOUNDARY), segment.clause_rows(_docs(s, d), boundary=r"\n")),
+    "lexicon_match_full": lambda s, d: _matches(s, d, segment.BOUNDARY),
+    "aspect_sentiment_counts_full": lambda s, d: _extract(s, d, segment.BOUNDARY),
+    "clause_offsets_check": _offsets,
     "clause_counts": lambda s, d: evaluate.clause_count_deltas(_clauses(s, d), segment.clause_rows(_docs(s, d), boundary=r"\n")),
     "discourse_clauses": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(segment.clauses(F.col("Review"))).alias("idx", "clause")),
     "lexicon_match": _matches,

@@ -95,3 +95,27 @@ def test_validator_names_each_broken_rule(spark):
     df = spark.createDataFrame(rows, "assertion_id string, review_id string, clause_text string, aspect string, sentiment string, annotation_status string, clause_start_char int, clause_end_char int")
     got = {(r["assertion_id"], r["rule"]) for r in quality.validate(df, spark.createDataFrame([("r1", "good soup")], "review_id string, Review string")).collect()}
     assert got == {("a", "duplicate id"), ("b", "bad aspect"), ("b", "bad sentiment"), ("c", "text mismatch"), ("d", "missing review"), ("e", "bad range"), ("e", "opinion on no-opinion row"), ("f", "bad range"), ("f", "bad status")}
+
+
+def test_full_boundary_query_equals_brute_force(spark, tmp_path):
+    import re
+
+    from mintleaf.plans import q_text
+
+    texts = ["Food was good, but service slow. It cost 3.5 euros; see www.a.b/c!", "Nice However we left\r\nno", "one, and also two", ""]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit("s")).write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for k, t in enumerate(texts):
+        at = 0
+        for m in [*re.finditer(segment.BOUNDARY, t, re.I), None]:
+            piece = t[at : m.start() if m else len(t)]
+            if re.search(r"\w", piece):
+                start = at + len(piece) - len(piece.lstrip())
+                want.append((str(k), start, start + len(piece.strip()), piece.strip()))
+            at = m.end() if m else at
+    got = q_text.QUERIES["clause_segments_full"](spark, str(tmp_path)).select("review_id", "clause_start_char", "clause_end_char", "clause_text").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and ("0", 0, 13, "Food was good") in want
+    check = q_text.QUERIES["clause_offsets_check_full"](spark, str(tmp_path)).first()
+    assert check["n"] == check["matches"] == len(want)
+    for name in ("clause_counts_full", "lexicon_match_full", "aspect_sentiment_counts_full"):
+        q_text.QUERIES[name](spark, str(tmp_path)).collect()
