@@ -7,15 +7,13 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: White space between words: space and \x09-\x0D.
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-#: Bytes hashed at a time, so that the arrays of one step stay in cache and memory.
-CHUNK_BYTES = 1 << 20
-_M64 = (1 << 64) - 1
 
 _own_dir: list[str] = []
 
@@ -35,22 +33,22 @@ def shared_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def written(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: lineage ends here and survives lost executors.
-
-    ``narrow``: rows of a few numbers, which two tasks for each core write, instead of one for each shuffle partition.
-    """
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: lineage ends here and survives lost executors."""
     spark = df.sparkSession
-    if narrow:
-        df = df.coalesce(2 * spark.sparkContext.defaultParallelism)
-    path = f"{shared_dir(spark).rstrip('/')}/mintleaf/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def rows_by_column(table: DataFrame, key: str) -> dict:
-    """A small table of a documented size bound, as {key: row}."""
-    return {row[key]: row for row in table.collect()}
+def _own_tables(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/mintleaf/{spark.sparkContext.applicationId}"
+
+
+def discard_tables(spark: SparkSession) -> None:
+    """Deletes all tables that this application has ``written``; for callers that have used up the results."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -110,56 +108,78 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-class ByteHash:
-    """A polynomial hash over byte strings with odd base mod 2^64 and random byte values, then mixed."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.table = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(1 << 40, 1 << 62)) * 8 + 5
-        self.base, self.inverse = base & _M64, pow(base, -1, 1 << 64)
-        self.up = self.down = np.zeros(0, np.uint64)
-
-    @staticmethod
-    def _powers(base: int, n: int) -> np.ndarray:
-        out = np.full(n, base, np.uint64)
-        out[0] = 1
-        return np.multiply.accumulate(out)
-
-    def spans(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hashes of data[starts[i]:ends[i]]; the spans ascend and don't overlap."""
-        out = np.zeros(len(starts), np.uint64)
-        at = 0
-        while at < len(starts):
-            low = starts[at]
-            to = max(at + 1, int(np.searchsorted(ends, low + CHUNK_BYTES, "right")))
-            part = data[low : ends[to - 1]]
-            if len(self.up) <= len(part):
-                size = max(CHUNK_BYTES, len(part)) + 1
-                self.up, self.down = self._powers(self.base, size), self._powers(self.inverse, size)
-            sums = np.zeros(len(part) + 1, np.uint64)
-            np.cumsum(self.table[part] * self.up[: len(part)], out=sums[1:])
-            s, e = starts[at:to] - low, ends[at:to] - low
-            out[at:to] = mix((sums[e] - sums[s]) * self.down[s] + (e - s).astype(np.uint64))
-            at = to
-        return out
-
-
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def window_hashes(words: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of each k consecutive word hashes (over all of ``words``, text ends not regarded); base is odd."""
-    n = len(words) - k + 1
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    up, down = _POWERS.get(base, (words[:0],) * 2)
-    if len(up) < len(words):
-        size = max(1 << 16, 2 * len(words))
-        up, down = _POWERS[base] = ByteHash._powers(base, size), ByteHash._powers(pow(base, -1, 1 << 64), size)
-    sums = np.zeros(len(words) + 1, np.uint64)
-    np.cumsum(words * up[: len(words)], out=sums[1:])
-    return mix((sums[k:] - sums[:-k]) * down[:n])
+def joined_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts with one space after each word and no other white space, and their offsets."""
+    if not len(data):
+        return data, offsets
+    space = _SPACE[data]
+    keep = ~space
+    keep[1:] |= ~space[:-1]
+    starts = offsets[offsets < len(data)]
+    keep[starts] = ~space[starts]
+    before = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(keep, out=before[1:])
+    return np.where(space, np.uint8(0x20), data)[keep], before[offsets]
+
+
+#: Bytes of a number with n bytes left, for n from 0 to 8.
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: Longer words, and longer spans to compare, are taken one by one.
+_LONG = 1024
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on as one number; zeros follow its end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """A 64-bit hash of each span data[starts[i]:ends[i]]: eight bytes at a time enter a state that is mixed after each."""
+    size, eight = ends - starts, lanes(data)
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(seed))
+    step, rows = 0, np.flatnonzero((size > 0) & (size <= _LONG))
+    while len(rows):
+        out[rows] = mix(out[rows] ^ (eight[starts[rows] + step] & _MASKS[np.minimum(size[rows] - step, 8)]))
+        step += 8
+        rows = rows[size[rows] > step]
+    for k in np.flatnonzero(size > _LONG):
+        out[k] = xxhash.xxh3_64_intdigest(data[starts[k] : ends[k]].tobytes(), seed)
+    return out
+
+
+def same_bytes(data: np.ndarray, a: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether data[a[i]:a_ends[i]] equals data[b[i]:b_ends[i]]."""
+    size, eight = a_ends - a, lanes(data)
+    same = size == b_ends - b
+    for k in np.flatnonzero(same & (size > _LONG)):
+        same[k] = np.array_equal(data[a[k] : a_ends[k]], data[b[k] : b_ends[k]])
+    step, rows = 0, np.flatnonzero(same & (size <= _LONG))
+    while len(rows):
+        same[rows] = (eight[a[rows] + step] ^ eight[b[rows] + step]) & _MASKS[np.minimum(size[rows] - step, 8)] == 0
+        step += 8
+        rows = rows[same[rows] & (size[rows] > step)]
+    return same
+
+
+def window_hashes(words: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """Hash of each k consecutive word hashes (over all of ``words``, text ends not regarded).
+
+    A window is put together from parts of 1, 2, 4, ... words, each join being mixed, so it isn't a sum over its words.
+    """
+    if len(words) < k:
+        return words[:0]
+    out, covered, part, width = None, 0, mix(words ^ np.uint64(seed)), 1
+    while True:
+        if k & width:
+            out = part if out is None else mix(out[: len(words) - covered - width + 1] * _ODD + part[covered:])
+            covered += width
+            if covered == k:
+                return out
+        part = mix(part[: len(part) - width] * _ODD + part[width:])
+        width *= 2
 
 
 def windows_inside(word_offsets: np.ndarray, k: int, n_words: int) -> np.ndarray:

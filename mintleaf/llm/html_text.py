@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from mintleaf.llm.common import ByteHash, string_bytes, word_spans
+from mintleaf.llm.common import string_bytes, word_hashes, word_spans
 
 SAMPLE_PAGES, EPOCHS, BATCH, HIDDEN = 96, 20, 16, 16
 OTHER_BINS, WORD_BINS, COUNTS = 128, 32, 7
@@ -73,13 +73,12 @@ class _Parser:
 
     def tokens(self, tag: str, attributes: str) -> tuple[str, ...]:
         """The tag, and its class, id and role words."""
-        key = (tag, attributes if len(attributes) < 200 else "")
-        found = self.names.get(key)
+        found = self.names.get((tag, attributes))
         if found is None:
             words = [w for m in _NAMES.finditer(attributes) for w in _WORD.findall((m[1] or m[2] or m[3] or "").lower())]
             found = (tag, *(f".{w}" for w in words))
-            if len(self.names) < 1 << 14:
-                self.names[key] = found
+            if len(attributes) < 200 and len(self.names) < 1 << 14:  # others are read each time
+                self.names[tag, attributes] = found
         return found
 
     def blocks(self, page: str, around: tuple[tuple[str, tuple[str, ...]], ...] = (), depth: int = 0) -> list[Block]:
@@ -110,7 +109,7 @@ class _Parser:
             tag = (m[2] or "").lower()
             if not tag:
                 if m[0].startswith("<![CDATA["):
-                    parts.append(m[0][9:].removesuffix("]]>"))
+                    parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))  # no references in there
                 continue
             if m[1]:
                 if tag in _BLOCK:
@@ -162,7 +161,6 @@ def markup_label(path: tuple[str, ...]) -> bool:
     return inside or not any(w in CONTAINER for w in words) and bool(path) and path[-1] in ("p", "h1", "h2", "h3", "b", "i", "blockquote", "pre")
 
 
-_HASH: list[ByteHash] = []
 _PATHS: dict[tuple[str, ...], np.ndarray] = {}
 
 
@@ -190,14 +188,12 @@ def _is_foreign(path: tuple[str, ...]) -> bool:
 
 def vectors(blocks: list[Block]) -> np.ndarray:
     """The input row of each block."""
-    if not _HASH:
-        _HASH.append(ByteHash(10))
     out = np.zeros((len(blocks), WIDTH), np.float32)
     if not blocks:
         return out
     data, offsets = string_bytes(pa.array([b.text for b in blocks], pa.large_string()))
     starts, ends, words = word_spans(data, offsets)
-    bins = (_HASH[0].spans(data, starts, ends) % np.uint64(WORD_BINS)).astype(np.int64)
+    bins = (word_hashes(data, starts, ends, 10) % np.uint64(WORD_BINS)).astype(np.int64)
     n_words = np.diff(words)
     owner = np.repeat(np.arange(len(blocks)), n_words)
     counts = np.bincount(owner * WORD_BINS + bins, minlength=len(blocks) * WORD_BINS).reshape(-1, WORD_BINS)

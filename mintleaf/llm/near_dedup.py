@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mintleaf.llm.common import ByteHash, fresh, mix, string_bytes, window_hashes, windows_inside, word_spans, written
+from mintleaf.llm.common import fresh, mix, string_bytes, window_hashes, windows_inside, word_hashes, word_spans, written
 from mintleaf.llm.components import component_labels
 
 SHINGLE_WORDS, COORDINATES, MATCHES = 5, 64, 32
@@ -41,10 +41,9 @@ NUM, DEN = 75, 100
 #: A table of ids is broadcast up to so many rows (12 bytes each), and shuffled beyond.
 BROADCAST_IDS = 1 << 20
 PIVOT_ROUNDS = 4
-_BASE = 0x9E3779B97F4A7C15
+_SEED = 5
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_HASH: list[ByteHash] = []
 _RNG = np.random.default_rng(75)
 _A = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
@@ -52,14 +51,12 @@ _B = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
     """Sorted distinct shingle hashes of each text."""
-    if not _HASH:
-        _HASH.append(ByteHash(5))
     raw, offsets = string_bytes(texts)
     data = _LOWER[raw]
     starts, ends, words = word_spans(data, offsets)
-    hashes = _HASH[0].spans(data, starts, ends)
+    hashes = word_hashes(data, starts, ends, _SEED)
     inside = windows_inside(words, k, len(hashes))
-    full = window_hashes(hashes, k, _BASE)
+    full = window_hashes(hashes, k, _SEED)
     cuts = np.searchsorted(inside, words)
     sets = []
     for i in range(len(texts)):
@@ -67,7 +64,7 @@ def shingle_sets(texts: pa.Array, k: int) -> list[np.ndarray]:
         if n >= k:
             sets.append(np.unique(full[inside[cuts[i] : cuts[i + 1]]]))
         else:
-            sets.append(window_hashes(hashes[words[i] : words[i + 1]], n, _BASE + 2 * int(n)) if n else hashes[:0])
+            sets.append(window_hashes(hashes[words[i] : words[i + 1]], n, _SEED + n) if n else hashes[:0])
     return sets
 
 
@@ -196,7 +193,7 @@ def _open_pairs(posted: DataFrame, sets: DataFrame) -> DataFrame:
     """
     several = posted.groupBy("pair").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x < y").select("pair")
     open_docs = posted.join(several, "pair", "left_semi").select("doc", "component").distinct()
-    open_docs = written(open_docs, "open", narrow=True)
+    open_docs = written(open_docs, "open")
     rows = sets.select("doc", "shingles").join(open_docs.select("doc"), "doc", "left_semi").mapInArrow(_explode, "doc long, n long, shingle long")
     shared = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     known = rows.join(shared, "shingle")
@@ -208,7 +205,7 @@ def _open_pairs(posted: DataFrame, sets: DataFrame) -> DataFrame:
     prefix = written(prefix, "prefixes")
     sizes = prefix.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("c"))
     largest = sizes.groupBy("shingle").agg(F.max(F.struct("c", "component")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("shingle", F.col("m.component").alias("most"))
-    largest = written(largest, "largest", narrow=True)
+    largest = written(largest, "largest")
     few = prefix.join(largest, "shingle").filter("component != most").drop("most")
     other = prefix.select("shingle", *[F.col(c).alias(f"other_{c}") for c in ("doc", "component", "n", "pos")])
     need = F.ceil((F.col("n") + F.col("other_n")) * NUM / (NUM + DEN))
@@ -221,7 +218,7 @@ def _link(active: DataFrame, sets: DataFrame) -> DataFrame:
     labels = active.select("doc", F.col("doc").alias("component"))
     before = None
     for turn in range(PIVOT_ROUNDS + 1):
-        posted = written(active.join(labels, "doc").select("doc", "component", "weight", F.explode("prefix").alias("pair")), "lists", narrow=True)
+        posted = written(active.join(labels, "doc").select("doc", "component", "weight", F.explode("prefix").alias("pair")), "lists")
         # pairs of members in different components, over all lists
         sizes = posted.groupBy("pair", "component").agg(F.count(F.lit(1)).alias("c"))
         each = sizes.groupBy("pair").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
@@ -236,12 +233,12 @@ def _link(active: DataFrame, sets: DataFrame) -> DataFrame:
             # the pivot is the member that shares most with others at first, and any later
             order = -F.col("weight") if turn == 0 else F.xxhash64(F.col("doc"), F.lit(turn))
             pivots = posted.groupBy("pair").agg(F.min(F.struct(order.alias("o"), "doc", "component")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1")
-            pivots = written(pivots.select("pair", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots", narrow=True)
+            pivots = written(pivots.select("pair", F.col("p.doc").alias("pivot"), F.col("p.component").alias("pivot_component")), "pivots")
             met = _pairs(posted.join(pivots, "pair").filter("component != pivot_component"), "pivot", "pivot_component")
-        candidates = written(met, "candidates", narrow=True)
+        candidates = written(met, "candidates")
         grouped = component_labels(_confirmed(candidates, active, sets))
         labels = labels.join(grouped.withColumnRenamed("node", "component"), "component", "left").select("doc", F.coalesce("label", "component").alias("component"))
-        labels = written(labels, "documents", narrow=True)
+        labels = written(labels, "documents")
         if last:
             break
     return labels
