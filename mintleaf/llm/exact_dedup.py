@@ -7,6 +7,8 @@
    at most ``counters`` rows, are broadcast: rows of heavy digests meet their winner map-side and never shuffle.
 4. All other digests take an ordinary shuffle, where a group has at most rows / (counters + 1) rows.
 
+``drop_exact_duplicates`` takes the winners' ids in step 3 in place of the row keys of step 1.
+
 Texts are equal when identical after lower-casing A-Z. Null counts as the empty text. The row with the largest id
 stays; a null id is smaller than any id; of repeated rows with the same id one stays. An empty table gives an empty result.
 """
@@ -16,7 +18,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.llm.common import ascii_lower, fresh, written
@@ -67,15 +69,15 @@ def heavy_digests(keyed: DataFrame, counters: int = COUNTERS) -> DataFrame:
     )
 
 
+def _digest(text_col: str) -> Column:
+    return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col(text_col), F.lit(""))), 256))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """One row per document: row (a key of the row within ``docs``), id, keep_id, group_size, kept, text_sha256."""
-    source = docs.select(
-        F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    keyed = written(
-        source.select("row", F.col("id").isNotNull().alias("has_id"), "id", F.unhex(F.sha2(ascii_lower(F.col("text")), 256)).alias("digest")),
-        "digests",
-    )
+    """One row per document: id, keep_id, group_size, kept, text_sha256."""
+    keyed = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).isNotNull().alias("has_id"), F.col(id_col).alias("id"), _digest(text_col).alias("digest"))
+    # the row numbers are told apart in the written table only, never in ``docs`` again
+    keyed = written(keyed, "digests")
     winners = written(heavy_digests(keyed, counters), "heavy")
     marked = keyed.join(F.broadcast(winners), "digest", "left")
     heavy = marked.filter("group_size is not null")
@@ -86,14 +88,25 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         .withColumn("group_size", F.count(F.lit(1)).over(group))
     )
     return heavy.unionByName(light).select(
-        "row", "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
+        "id", F.col("best.id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", counters: int = COUNTERS) -> DataFrame:
-    """``docs`` without the rows that aren't kept; all its columns stay as they are."""
-    row = fresh(docs, "_row")
-    # the key is given before any other step, so that it numbers the same rows as in exact_duplicates
-    dropped = exact_duplicates(docs, id_col, text_col, counters).filter("not kept").select(F.col("row").alias(row))
-    return docs.withColumn(row, F.monotonically_increasing_id()).join(dropped, row, "left_anti").drop(row)
+    """``docs`` without the rows that aren't kept; all its columns stay as they are.
+
+    Nothing but the contents of a row decides, so it doesn't matter how ``docs`` is split when it is read again: rows of
+    heavy digests that don't have the winner's id go map-side; then each task keeps its best row of a digest, and a
+    shuffle the best of all. Of rows with the same id and text the one with the largest hash of all columns stays.
+    """
+    digest, best, other = fresh(docs, "_digest"), fresh(docs, "_best"), fresh(docs, "_keep_id")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    keyed = docs.select(_digest(text_col).alias("digest"), F.col(id_col).isNotNull().alias("has_id"), F.col(id_col).alias("id"), F.lit(0).alias("row"))
+    keyed = written(keyed, "digests")
+    winners = written(heavy_digests(keyed, counters), "heavy").select(F.col("digest").alias(digest), F.struct("best.id").alias(other))
+    rows = docs.withColumn(digest, _digest(text_col)).join(F.broadcast(winners), digest, "left")
+    rows = rows.filter(F.col(other).isNull() | F.col(f"{other}.id").eqNullSafe(F.col(id_col)))
+    order = F.struct(F.col(id_col).isNotNull().alias("a"), F.col(id_col).alias("b"), hashed.alias("c"))
+    kept = rows.groupBy(digest).agg(F.max_by(F.struct(*columns), order).alias(best))
+    return kept.select(*[F.col(f"{best}.`{c}`").alias(c) for c in docs.columns])
