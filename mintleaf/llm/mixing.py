@@ -10,10 +10,10 @@
    its order while they fit the rest of the budget, and of the next block the documents that still fit.
 
 A row of the mix has its pass, its block and a position from 0 to 1; read in the order of positions, the mix follows
-the weights throughout. No step holds a source together, only its blocks, or the table of block sizes.
+the weights throughout. No step holds a source together, nor all of its block sizes: they are added up in two levels.
 
-A null source is a source of its own. Documents without tokens (null or empty text) weigh nothing and are taken once;
-rows are told apart even if equal. An empty table gives an empty mix. All columns of the documents stay.
+A null source is a source of its own. Documents without tokens (null or empty text) weigh nothing and are taken once.
+Equal rows are each taken. An empty table gives an empty mix. All columns of the documents stay.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from mintleaf.llm.common import fresh, written
 
 BLOCK_TOKENS = 1 << 16
+#: A pass over a source is added up in 2^CELL_BITS cells.
+CELL_BITS = 12
 _PROBES = 16
 
 
@@ -62,20 +64,30 @@ def find_exponent(shares: DataFrame, target_entropy: float | None = None, repeti
     return high
 
 
-def mix_plan(
-    docs: DataFrame, source_col: str = "source", text_col: str = "text", target_entropy: float | None = None, repetition_limit: float | None = None,
-    budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0,
-) -> DataFrame:
-    """(uid, tokens, weight, repetition, pass, block, position), a row for each document and pass that takes it.
+def _two_level(passes: DataFrame) -> DataFrame:
+    """``passes`` with ``before``: the tokens of the blocks before it in its pass, whose blocks no task has all.
 
-    uid is ``monotonically_increasing_id()`` of ``docs``.
-    """
-    keyed = written(docs.select(F.monotonically_increasing_id().alias("uid"), F.col(source_col).alias("source"), count_words(F.col(text_col)).alias("tokens")), "tokens")
+    The order of a pass is cut into cells by its upper bits; the few cells are summed up, then the blocks within a cell.
+    """
+    passes = passes.withColumn("cell", F.shiftright("order", 64 - CELL_BITS))
+    same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source")) & (F.col(f"{a}.pass") == F.col(f"{b}.pass")) & (F.col(f"{a}.cell") == F.col(f"{b}.cell"))
+    earlier = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cells = passes.groupBy("source", "pass", "cell").agg(F.sum("size").alias("size"))
+    cells = cells.select("source", "pass", "cell", earlier(Window.partitionBy("source", "pass").orderBy("cell")).alias("base"))
+    inside = passes.withColumn("inside", earlier(Window.partitionBy("source", "pass", "cell").orderBy("order", "block")))
+    return inside.alias("p").join(cells.alias("c"), same("p", "c")).select("p.source", "block", "p.pass", "size", (F.col("base") + F.col("inside")).alias("before"))
+
+
+def mix_plan(keyed: DataFrame, target_entropy: float | None = None, repetition_limit: float | None = None, budget_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, seed: int = 0) -> tuple[DataFrame, DataFrame] | None:
+    """The plan for (uid, source, tokens): the sources with their weights, and the blocks with the passes that take them.
+
+    Sources: source, n, weight, repetition, blocks, full (passes), rest (tokens of the partial pass). Passes: source,
+    block, pass, before, size, upto (rows up to this hash are taken; null: the whole block). None without tokens.
+    """
     sources = written(keyed.groupBy("source").agg(F.sum("tokens").alias("n")).filter("n > 0"), "sources")
     total = sources.agg(F.sum("n")).first()[0]
-    lone = keyed.filter("tokens = 0").select("uid", "tokens", F.lit(0.0).alias("weight"), F.lit(1.0).alias("repetition"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("position"))
     if not total:
-        return lone
+        return None
     shares = sources.withColumn("p", F.col("n") / total)
     scale = None if budget_tokens is None else budget_tokens / total
     a = find_exponent(shares, target_entropy, repetition_limit, scale)
@@ -87,29 +99,54 @@ def mix_plan(
         F.greatest(F.ceil(F.col("n") / block_tokens), F.lit(1)).alias("blocks"),
     )
     plan = written(plan.withColumn("full", F.floor(F.col("repetition") + 1e-9).cast("int")).withColumn("rest", F.floor((F.col("repetition") - F.col("full")) * F.col("n") + 1e-6)), "weights")
-    placed = keyed.filter("tokens > 0").alias("k").join(plan.alias("w"), F.col("k.source").eqNullSafe(F.col("w.source"))).select(
-        "uid", "tokens", "w.*", F.pmod(F.xxhash64("uid", F.lit(seed)), F.col("blocks")).alias("block"), F.xxhash64("uid", F.lit(seed + 1)).alias("h")
-    )
-    placed = written(placed, "placed")
+    placed = keyed.filter("tokens > 0").alias("k").join(plan.alias("w"), F.col("k.source").eqNullSafe(F.col("w.source")))
+    placed = placed.select("w.source", "tokens", *_place(F.col("uid"), F.col("blocks"), seed), "full", "rest")
     sizes = placed.groupBy("source", "block").agg(F.sum("tokens").alias("size"), F.first("full").alias("full"))
     passes = sizes.withColumn("pass", F.explode(F.sequence(F.lit(0), F.col("full")))).withColumn("order", F.xxhash64("block", "pass", F.lit(seed)))
-    before = Window.partitionBy("source", "pass").orderBy("order", "block").rowsBetween(Window.unboundedPreceding, -1)
-    passes = written(passes.select("source", "block", "pass", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("before"), "size"), "passes")
-    rows = placed.alias("d").join(passes.alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
-    rows = rows.filter((F.col("b.pass") < F.col("d.full")) | (F.col("b.before") < F.col("d.rest"))).select("d.*", "b.pass", "b.before", "b.size")
-    cut = (F.col("pass") == F.col("full")) & (F.col("before") + F.col("size") > F.col("rest"))
-    # only the documents of the one block of a source that the budget cuts are ordered
-    inside = Window.partitionBy("source", "block").orderBy("h", "uid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = rows.filter(~cut)
-    part = rows.filter(cut).withColumn("sum", F.col("before") + F.sum("tokens").over(inside)).filter(F.col("sum") <= F.col("rest")).drop("sum")
-    position = (F.col("pass") + (F.col("before") + F.col("size") * (F.pmod("h", F.lit(1 << 20)) / float(1 << 20))) / F.col("n")) / F.col("repetition")
-    return whole.unionByName(part).select("uid", "tokens", "weight", "repetition", "pass", "block", F.least(position, F.lit(1.0)).alias("position")).unionByName(lone)
-
-
-def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", plan_columns: bool = False, **plan) -> DataFrame:
-    """``docs`` as mixed: rows in every pass that takes them. With ``plan_columns`` a struct column ``mix`` tells how."""
-    uid, own = fresh(docs, "_uid"), "mix" if plan_columns else fresh(docs, "_mix")
-    rows = mix_plan(docs, source_col, text_col, **plan)
-    rows = rows.select(F.col("uid").alias(uid), F.struct("tokens", "weight", "repetition", "pass", "block", "position").alias(own))
-    mixed = docs.withColumn(uid, F.monotonically_increasing_id()).drop(*([own] if plan_columns else [])).join(rows, uid).drop(uid)
+    passes = _two_level(passes).alias("b").join(plan.select("source", "full", "rest").alias("w"), F.col("b.source").eqNullSafe(F.col("w.source")))
+    partial = F.col("pass") == F.col("full")
+    passes = passes.filter(~partial | (F.col("before") < F.col("rest"))).select(
+        "b.source", "block", "pass", "before", "size", F.when(partial & (F.col("before") + F.col("size") > F.col("rest")), F.col("rest") - F.col("before")).alias("room")
+    )
+    passes = written(passes, "passes")
+    # one block of a source at most is cut by its budget: how far in the order of its rows do they fit?
+    cut = passes.filter("room is not null")
+    rows = placed.select("source", "block", "tokens", "h").alias("d").join(cut.select("source", "block", "room").alias("b"), F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.block") == F.col("b.block")))
+    fits = rows.select("d.source", "d.block", "h", "room", F.sum("tokens").over(Window.partitionBy("d.source", "d.block").orderBy("h").rangeBetween(Window.unboundedPreceding, Window.currentRow)).alias("sum"))
+    last = fits.filter("sum <= room").groupBy("source", "block").agg(F.max("h").alias("last"))
+    named = passes.alias("b").join(last.alias("l"), F.col("b.source").eqNullSafe(F.col("l.source")) & (F.col("b.block") == F.col("l.block")), "left")
+    upto = F.when(F.col("room").isNotNull(), F.coalesce("last", F.lit(-(1 << 63))))
+    return plan, written(named.select("b.source", "b.block", "pass", "before", "size", upto.alias("upto")), "plan")
+
+
+def _place(uid: Column, blocks: Column, seed: int) -> list[Column]:
+    return [F.pmod(F.xxhash64(uid, F.lit(seed)), blocks).alias("block"), F.xxhash64(uid, F.lit(seed + 1)).alias("h")]
+
+
+def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", plan_columns: bool = False, tokens: Column | None = None, seed: int = 0, **plan) -> DataFrame:
+    """``docs`` as mixed: rows in every pass that takes them. With ``plan_columns`` a struct column ``mix`` tells how.
+
+    ``tokens`` counts those of a row; words by default. Where a row goes is decided by the hash of its columns alone, so
+    it doesn't matter how ``docs`` is split when it is read again; rows that are equal in all columns stay together.
+    """
+    uid, own, count, source, at, order = (fresh(docs, c) for c in ("_mix_uid", "_mix", "_mix_tokens", "_mix_source", "_mix_block", "_mix_h"))
+    if plan_columns:
+        docs, own = docs.drop("mix"), "mix"
+    hashed = F.xxhash64(*[F.col(f"`{c}`") for c, t in docs.dtypes if "map<" not in t and t != "variant"])
+    keyed = docs.withColumns({uid: hashed, count: count_words(F.col(text_col)) if tokens is None else tokens})
+    narrow = written(keyed.select(F.col(uid).alias("uid"), F.col(source_col).alias("source"), F.col(count).alias("tokens")), "tokens")
+    found = mix_plan(narrow, seed=seed, **plan)
+    columns = [F.col(f"d.`{c}`") for c in docs.columns]
+    empty = F.struct(F.col(count).alias("tokens"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("repetition"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("position"))
+    mixed = keyed.filter(F.col(count) == 0).alias("d").select(*columns, empty.alias(own))
+    if found is not None:
+        weights, passes = found
+        placed = keyed.filter(F.col(count) > 0).withColumn(source, F.col(source_col)).alias("d").join(weights.alias("w"), F.col(f"d.{source}").eqNullSafe(F.col("w.source")))
+        placed = placed.select("d.*", F.struct("w.n", "w.weight", "w.repetition").alias(own), *[c.alias(n) for n, c in zip((at, order), _place(F.col(uid), F.col("w.blocks"), seed), strict=True)])
+        block, h = F.col(f"d.{at}"), F.col(f"d.{order}")
+        rows = placed.alias("d").join(passes.alias("b"), F.col(f"d.{source}").eqNullSafe(F.col("b.source")) & (block == F.col("b.block")) & (F.col("b.upto").isNull() | (h <= F.col("b.upto"))))
+        w = lambda c: F.col(f"d.{own}.{c}")
+        position = (F.col("b.pass") + (F.col("b.before") + F.col("b.size") * (F.pmod(h, F.lit(1 << 20)) / float(1 << 20))) / w("n")) / w("repetition")
+        how = F.struct(F.col(f"d.{count}").alias("tokens"), w("weight").alias("weight"), w("repetition").alias("repetition"), F.col("b.pass").alias("pass"), F.col("b.block").alias("block"), F.least(position, F.lit(1.0)).alias("position"))
+        mixed = rows.select(*columns, how.alias(own)).unionByName(mixed)
     return mixed if plan_columns else mixed.drop(own)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintleaf.llm import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm.common import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,10 +15,9 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in every pass that the mix takes them, for a repetition of any source of 1.5 at most."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    keyed = docs.withColumn("uid", F.monotonically_increasing_id()).select("uid", "doc_id", "source")
-    plan = mixing.mix_plan(docs, repetition_limit=1.5)
-    return keyed.join(plan, "uid").select("doc_id", "source", "tokens", "weight", "repetition", "pass", "block", "position")
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", mixing.count_words(F.col("text")).alias("n_words"))
+    mixed = mixing.mix(written(docs, "wordcounts"), tokens=F.col("n_words"), plan_columns=True, repetition_limit=1.5)
+    return mixed.select("doc_id", "source", "mix.*")
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
