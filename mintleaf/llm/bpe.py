@@ -1,11 +1,15 @@
-"""BPE encoding and decoding of whole texts with a given tokenizer file; tree concatenation for long unsplit text.
+"""BPE encoding and decoding of whole texts with a given tokenizer file; tree concatenation for long text.
 
 A tokenizer that drops white space before BPE encodes every word of a text by itself, so tasks keep a bounded cache
-from pieces of words to their tokens. An unsplit piece of ``long_piece`` characters or more isn't encoded in one go, as BPE on it
-is slow and one task would have it alone: it is cut into leaves, the leaves of all texts are encoded in parallel by
-Spark, and the results are joined as a tree. At each join the last tokens of the left side and the first of the right
-side are encoded again as one window, which grows until its first token is the left side's and its last one the right
-side's. A token list is the BPE encoding of its text exactly when each neighbouring pair is, so the joined list is exact.
+from pieces of words to their tokens. A text of ``long_text`` characters or more isn't encoded in one go, as one task
+would have it alone, and BPE on unsplit text is slow: it is cut into leaves of ``leaf`` characters, in the middle of the
+word that a leaf ends on, and longer unsplit pieces into as many leaves as they need. The leaves of all texts are
+encoded in parallel by Spark, and the results are joined as a tree. At each join the last tokens of the left side and
+the first of the right side are encoded again as one window, which grows until its first token is the left side's and
+its last one the right side's. A token list is the BPE encoding of its piece exactly when each neighbouring pair is, so
+the joined list is exact; between pieces nothing merges.
+
+For any other tokenizer than the word-splitting one long texts are encoded whole.
 
 Null texts count as empty: no tokens and an empty decoded text. All columns of the documents stay; repeated rows are
 encoded each. The ids come as decimal numbers joined by one space (``token_ids`` makes an array of them).
@@ -23,10 +27,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mintleaf.llm.common import fresh
+from mintleaf.llm.common import fresh, written
 
-#: Characters without white space from which a piece is cut into leaves, and the characters of a leaf.
-LONG_PIECE, LEAF = 8192, 2048
+#: Characters from which a text is cut into leaves, and the characters of a leaf.
+LONG_TEXT, LEAF = 1 << 15, 1 << 13
 #: Pieces that a task's cache holds, at about 250 bytes each.
 CACHE_PIECES = 1 << 19
 #: Tokens on either side of a join that are encoded again at first.
@@ -63,6 +67,8 @@ class _Cache(dict):
         self.make, self.most, self.older = make, most // 2, {}
 
     def __missing__(self, key):
+        if len(key) > 512:
+            return self.make(key)
         if len(self) >= self.most:
             self.older = dict(self)
             self.clear()
@@ -105,7 +111,7 @@ class Encoder:
         return " ".join(map(str, self.tokenizer.encode(word, add_special_tokens=False).ids))
 
     def encode(self, text: str) -> str:
-        """The ids. Words have at most LONG_PIECE characters where this is called by the operator."""
+        """The ids."""
         if not self.by_word:
             return self._word(text)
         if _plain(text) and "<|" not in text:
@@ -146,12 +152,16 @@ class Encoder:
             leaves = pairs + leaves[len(leaves) // 2 * 2 :]
         return leaves[0] if leaves else []
 
-    def leaves(self, text: str, long_piece: int, leaf: int) -> Iterator[tuple[int, bool, str]]:
-        """(piece number or -1 for ordinary text, whether it ends its piece, text or byte letters), in text order."""
-        piece, plain = 0, []
+    def leaves(self, text: str, leaf: int) -> Iterator[tuple[int, bool, str]]:
+        """(piece number or -1 for whole words, whether it ends its piece, words or byte letters), in text order.
+
+        Pieces are cut where the words before them fill a leaf, and where they are longer than a leaf.
+        """
+        piece, plain, size = 0, [], 0
         for word in _WORDS.findall(text):
-            if len(word) < long_piece:
+            if size + len(word) < leaf:
                 plain.append(word)
+                size += len(word)
                 continue
             for part in self.special.split(word) if self.special else [word]:
                 if not part:
@@ -162,9 +172,10 @@ class Encoder:
                 for letters, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(self.tokenizer.normalizer.normalize_str(part)):
                     if plain:
                         yield -1, True, " ".join(plain)
-                        plain = []
-                    for at in range(0, len(letters), leaf):
-                        yield piece, at + leaf >= len(letters), letters[at : at + leaf]
+                        plain, size = [], 0
+                    step = leaf if len(letters) > leaf else max(1, len(letters) // 2)
+                    for at in range(0, len(letters), step):
+                        yield piece, at + step >= len(letters), letters[at : at + step]
                     piece += 1
         if plain:
             yield -1, True, " ".join(plain)
@@ -188,7 +199,7 @@ def token_ids(ids: Column) -> Column:
     return F.when(ids == "", F.array().cast("array<int>")).otherwise(F.split(ids, " ").cast("array<int>"))
 
 
-def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded", long_piece: int = LONG_PIECE, leaf: int = LEAF) -> DataFrame:
+def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str = "encoded", long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
     """``docs`` with a column ``out`` of type struct<n_tokens, ids, decoded>; a column of that name gives way."""
 
     @F.arrow_udf(ENCODED)
@@ -197,21 +208,25 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str =
         ids = [own.encode(t) for t in texts.to_pylist()]
         return _struct(ids, [own.decode(x) for x in ids])
 
+    docs = docs.drop(out)
     text, uid = F.coalesce(F.col(text_col), F.lit("")), fresh(docs, "_uid")
-    is_long = (F.length(text) >= long_piece) & text.rlike(f"[^ \\n]{{{long_piece}}}")
+    if not encoder(path).by_word:
+        return docs.withColumn(out, whole(text))
+    is_long = F.length(text) >= long_text
     plain = docs.filter(~is_long).withColumn(out, whole(text))
-    long = docs.withColumn(uid, F.monotonically_increasing_id()).filter(is_long)
-    joined = _encode_long(long.select(F.col(uid).alias("uid"), text.alias("text")), path, long_piece, leaf)
-    return plain.unionByName(long.drop(out).join(joined.withColumnsRenamed({"uid": uid, "encoded": out}), uid).drop(uid).select(*plain.columns))
+    # numbered and written with all columns, so that leaves and rows have the same numbers
+    long = written(docs.filter(is_long).withColumn(uid, F.monotonically_increasing_id()), "longtexts")
+    joined = _encode_long(long.select(F.col(uid).alias("uid"), text.alias("text")), path, leaf)
+    return plain.unionByName(long.join(joined.withColumnsRenamed({"uid": uid, "encoded": out}), uid).select(*[F.col(f"`{c}`") for c in plain.columns]))
 
 
-def _encode_long(long: DataFrame, path: str, long_piece: int, leaf: int) -> DataFrame:
-    """(uid, encoded) of texts that hold long pieces: their leaves are dealt out, encoded, and joined for each text."""
+def _encode_long(long: DataFrame, path: str, leaf: int) -> DataFrame:
+    """(uid, encoded) of long texts: their leaves are dealt out, encoded, and joined for each text."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = [(uid, k, *x) for k, x in enumerate(encoder(path).leaves(text, long_piece, leaf))]
+                rows = [(uid, k, *x) for k, x in enumerate(encoder(path).leaves(text, leaf))]
                 columns = zip(*rows, strict=True) if rows else [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.string()), strict=True)], names=["uid", "seq", "piece", "last", "text"])
 
