@@ -1,20 +1,21 @@
 """Exact top-k inner products by a three-phase uniform threshold.
 
-A score is the sum of ``PARTS`` partial products over consecutive ranges of the vector's components. A task ("node")
-has one range of one block of queries and one block of candidates.
+A score is the sum of ``PARTS`` partial products over consecutive ranges of the vector's components. A node has one
+range of one batch of candidates; the nodes of a batch are in one task, beside the vectors. The queries come to the
+candidates: broadcast up to ``MOST_BROADCAST`` bytes; beyond that both are dealt into tiles of blocks.
 
-1. Each node gives its best entries of each query; the exact scores of the best over all nodes give a safe cutoff: the
-   score that k candidates reach already.
-2. The cutoff goes to all nodes with the query blocks. Whoever scores at least the cutoff has at least an equal share
-   of it in one range, so each node gives exactly its entries that reach cutoff / PARTS, however many these are.
-3. What has been seen of a candidate, and the share for each range where it wasn't, bound its score; those whose bound
-   reaches the cutoff are resolved exactly, in the blocks where their vectors are.
+1. A task gathers the best entries of each query on its nodes over all its blocks, with the scores of their candidates.
+   The best of all tasks give a safe cutoff: the score that k candidates reach already.
+2. The cutoff goes back with the queries. Whoever scores at least the cutoff has at least an equal share of it in one
+   range, so each node collects exactly its entries that reach cutoff / PARTS, however many these are.
+3. What was collected is resolved exactly where the vectors are: the other ranges are added, and what reaches the cutoff
+   leaves the task.
 
 Components count as floor(256 * x). Equal vectors are searched as one, with its least k + 1 ids. Vectors that are null,
 empty or hold null or non-finite components take no part; vectors of other lengths aren't candidates of a query.
-Rows with a null id take no part; of rows with equal id and vector one counts. Ties go to the smaller id. Products are
-exact as long as they stay below 2^53 (the blocks then use floating point) or below 2^61 (integers). An empty table
-gives an empty result.
+Rows with a null id take no part; of rows with equal id and vector one counts. Ties go to the smaller id. Ids are
+integers. Products are exact: where they could leave 2^53 they are worked out in whole numbers, and a score that a
+long can't hold counts as the nearest long. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +31,10 @@ from mintleaf.llm.common import written
 
 PARTS = 2
 #: Rows of a block: a node holds a matrix of QUERY_BLOCK * CANDIDATE_BLOCK numbers.
-QUERY_BLOCK, CANDIDATE_BLOCK = 512, 8192
-_NONE = -(1 << 58)
+QUERY_BLOCK, CANDIDATE_BLOCK = 256, 8192
+#: Bytes of queries that go to every task; a tile has as many rows of queries as fit a hundredth of it.
+MOST_BROADCAST = 32 << 20
+_NONE, _MOST = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -46,148 +49,154 @@ def _ranges(dim: int) -> list[slice]:
     return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
-def _pack(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """A block of at most some thousand rows in one row: ids, cutoffs, and the vectors by range."""
-    dim = key[0].as_py()
-    table = table.sort_by("cid")
-    matrix = table["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    data = [np.ascontiguousarray(matrix[:, r], dtype=np.int64).tobytes() for r in _ranges(dim)]
-    return pa.table({
-        "dim": pa.array([dim], pa.int32()), "block": pa.array([key[1].as_py()], pa.int32()), "ids": pa.array([table["cid"].to_numpy().tobytes()], pa.binary()),
-        "cut": pa.array([table["cut"].to_numpy().tobytes()], pa.binary()), "parts": pa.array([data], pa.list_(pa.binary())),
-    })
-
-
-def _blocks(rows: DataFrame, size: int) -> tuple[DataFrame, int]:
-    """Packed blocks of (cid, v, cut), and their number for each length of vectors at most."""
-    n = max(1, -(-rows.count() // size))
-    keyed = rows.select(F.size("v").alias("dim"), F.pmod(F.xxhash64("cid"), F.lit(n)).cast("int").alias("block"), "cid", "v", "cut")
-    packed = keyed.groupBy("dim", "block").applyInArrow(_pack, "dim int, block int, ids binary, cut binary, parts array<binary>")
-    return packed, n
-
-
-def _tiles(queries: DataFrame, n_queries: int, candidates: DataFrame, n_candidates: int) -> DataFrame:
-    """Each block of queries beside each block of candidates."""
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = queries.select("dim", F.col("block").alias("qb"), each(n_candidates).alias("cb"), F.col("ids").alias("q_ids"), "cut", F.col("parts").alias("q_parts"))
-    c = candidates.select("dim", F.col("block").alias("cb"), each(n_queries).alias("qb"), F.col("ids").alias("c_ids"), F.col("parts").alias("c_parts"))
-    return q.join(c, ["dim", "qb", "cb"])
-
-
-def _nodes(tiles: DataFrame) -> DataFrame:
-    """A row for each range of each tile."""
-    return tiles.select("q_ids", "cut", "c_ids", "dim", F.posexplode(F.arrays_zip("q_parts", "c_parts")).alias("part", "p")).select(
-        "q_ids", "cut", "c_ids", "dim", "part", F.col("p.q_parts").alias("q"), F.col("p.c_parts").alias("c")
-    ).repartition("q_ids", "c_ids", "part")
-
-
-def _numbers(value: pa.Scalar) -> np.ndarray:
-    return np.frombuffer(value.as_buffer(), np.int64)
+def _by_length(ids: pa.Array, vectors: pa.Array, *more: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """(length, [ids, matrix, ...]) of the vectors of each length, in blocks."""
+    sizes = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    for n in np.unique(sizes):
+        own = np.flatnonzero(sizes == n)
+        for at in range(0, len(own), CANDIDATE_BLOCK):
+            rows = pa.array(own[at : at + CANDIDATE_BLOCK])
+            matrix = vectors.take(rows).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), n)
+            yield int(n), [ids.take(rows).to_numpy(zero_copy_only=False), matrix, *(m.take(rows).to_numpy(zero_copy_only=False) for m in more)]
+
+
+def _query_blocks(table: pa.Table) -> dict[int, list[tuple]]:
+    """Blocks (ids, matrix, cutoffs) of (cid, v, cut) by length of the vectors."""
+    out: dict[int, list[tuple]] = {}
+    if table.num_rows:
+        for n, (ids, matrix, cut) in _by_length(*(table[c].combine_chunks() for c in ("cid", "v", "cut"))):
+            out.setdefault(n, []).extend((ids[a : a + QUERY_BLOCK], matrix[a : a + QUERY_BLOCK], cut[a : a + QUERY_BLOCK]) for a in range(0, len(ids), QUERY_BLOCK))
+    return out
+
+
+def _everywhere(queries: DataFrame, candidates: DataFrame, make) -> DataFrame:
+    """The entries (q, c, score) that ``make()``, a worker with ``tile`` and ``close``, gives for all queries (cid, v, cut) on all candidates (cid, v)."""
+    size, most = queries.agg(F.sum(8 * F.size("v") + 32), F.max(8 * F.size("v") + 32)).first()
+    if (size or 0) <= MOST_BROADCAST:
+        held = queries.sparkSession.sparkContext.broadcast(_query_blocks(queries.select("cid", "v", "cut").toArrow()))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            worker = make()
+            for batch in batches:
+                for n, (c_ids, c) in _by_length(batch.column(0), batch.column(1)):
+                    for q_ids, q, cut in held.value.get(n, ()):
+                        yield from worker.tile(q_ids, cut, c_ids, _parts(q, c))
+            yield from worker.close()
+
+        return candidates.select("cid", "v").mapInArrow(run, _ENTRY)
+    # tiles of a group of queries and a block of candidates, both bounded
+    groups, blocks = -(-size // (MOST_BROADCAST // 100)), -(-candidates.count() // CANDIDATE_BLOCK)
+    deal = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
+    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    left = queries.select(deal(groups).alias("g"), each(blocks).alias("b"), "cid", "v", "cut")
+    right = candidates.select(each(groups).alias("g"), deal(blocks).alias("b"), "cid", "v")
+
+    def tile(key: tuple[pa.Scalar, ...], asked: pa.Table, given: pa.Table) -> pa.Table:
+        worker, out = make(), []
+        if given.num_rows:
+            held = _query_blocks(asked.select(["cid", "v", "cut"]))
+            for n, (c_ids, c) in _by_length(given["cid"].combine_chunks(), given["v"].combine_chunks()):
+                for q_ids, q, cut in held.get(n, ()):
+                    out += worker.tile(q_ids, cut, c_ids, _parts(q, c))
+        return pa.Table.from_batches([*out, *worker.close()], _entries([], [], []).schema)
+
+    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(tile, _ENTRY)
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
-    """Exact inner products of the rows of two matrices."""
-    most = int(np.abs(q).max(initial=0)) * int(np.abs(c).max(initial=0)) * q.shape[1]
+    """Exact inner products of the rows of two matrices; whole numbers of any size where a long might not hold a sum."""
+    most = max(abs(int(q.max(initial=0))), abs(int(q.min(initial=0)))) * max(abs(int(c.max(initial=0))), abs(int(c.min(initial=0)))) * max(1, q.shape[1]) * PARTS
     if most < 1 << 53:
-        return (q.astype(np.float64) @ c.astype(np.float64).T).astype(np.int64)
-    return q @ c.T
+        return q.astype(np.float64) @ c.astype(np.float64).T
+    if most < 1 << 62:
+        return q @ c.T
+    return q.astype(object) @ c.astype(object).T
+
 
+def _longs(x: np.ndarray) -> np.ndarray:
+    return np.clip(x, _NONE, _MOST).astype(np.int64) if x.dtype == object else x.astype(np.int64)
 
-def _scored(batches: Iterator[pa.RecordBatch]):
-    for batch in batches:
-        for i in range(batch.num_rows):
-            row = {n: batch.column(n)[i] for n in batch.schema.names}
-            q_ids, c_ids = _numbers(row["q_ids"]), _numbers(row["c_ids"])
-            q, c = (_numbers(row[x]).reshape(len(ids), -1) for x, ids in (("q", q_ids), ("c", c_ids)))
-            yield row, q_ids, c_ids, _products(q, c)
 
+def _parts(q: np.ndarray, c: np.ndarray) -> list[np.ndarray]:
+    """The partial products of each node."""
+    return [_products(q[:, r], c[:, r]) for r in _ranges(q.shape[1])]
 
-def _entries(q_ids, c_ids, part, score) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(c_ids), pa.array(np.full(len(q_ids), part, np.int32)), pa.array(score)], names=["q", "c", "part", "s"])
 
+def _entries(q_ids, c_ids, score) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(q_ids, pa.int64()), pa.array(c_ids, pa.int64()), pa.array(score, pa.int64())], names=["q", "c", "score"])
 
-_ENTRY = "q long, c long, part int, s long"
 
+_ENTRY = "q long, c long, score long"
 
-def _local_lists(k: int):
-    """The k best entries of each query on a node."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row, q_ids, c_ids, s in _scored(batches):
-            n = min(k, len(c_ids))
-            best = np.argpartition(-s, n - 1, axis=1)[:, :n] if n < len(c_ids) else np.tile(np.arange(n), (len(q_ids), 1))
-            yield _entries(np.repeat(q_ids, n), c_ids[best].reshape(-1), row["part"].as_py(), np.take_along_axis(s, best, 1).reshape(-1))
+class LocalLists:
+    """The candidates of the k best entries of each query on the nodes of a task, with their scores."""
 
-    return run
+    def __init__(self, k: int):
+        self.k, self.held = k, {}
 
+    def tile(self, q_ids, cut, c_ids, parts) -> Iterator[pa.RecordBatch]:
+        score, n = sum(parts[1:], parts[0]), min(self.k, len(c_ids))
+        best = np.concatenate([np.argpartition(s, len(c_ids) - n, axis=1)[:, len(c_ids) - n :] for s in parts], axis=1)
+        best.sort(axis=1)
+        found, names = _longs(np.take_along_axis(score, best, 1)), c_ids[best]
+        found[:, 1:][best[:, 1:] == best[:, :-1]] = _NONE  # on several nodes
+        key = q_ids.tobytes()
+        if key in self.held:
+            names, found = np.concatenate([self.held[key][1], names], axis=1), np.concatenate([self.held[key][2], found], axis=1)
+        if found.shape[1] > self.k:
+            top = np.argpartition(found, found.shape[1] - self.k, axis=1)[:, found.shape[1] - self.k :]
+            names, found = np.take_along_axis(names, top, 1), np.take_along_axis(found, top, 1)
+        self.held[key] = q_ids, names, found
+        return iter(())
 
-def _sufficient(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All entries of a node that reach an equal share of the query's cutoff."""
-    for row, q_ids, c_ids, s in _scored(batches):
-        i, j = np.nonzero(s * PARTS >= _numbers(row["cut"])[:, None])
-        for at in range(0, len(i), 100_000):
-            x, y = i[at : at + 100_000], j[at : at + 100_000]
-            yield _entries(q_ids[x], c_ids[y], row["part"].as_py(), s[x, y])
+    def close(self) -> Iterator[pa.RecordBatch]:
+        for q_ids, names, found in self.held.values():
+            own = found > _NONE
+            yield _entries(np.repeat(q_ids, own.sum(axis=1)), names[own], found[own])
 
 
-def _resolve(pairs: DataFrame, tiles: DataFrame, n_queries: int, n_candidates: int) -> DataFrame:
-    """(q, c, score): exact scores of pairs (dim, q, c), worked out in the tiles where both vectors are."""
-    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
-    placed = pairs.select("dim", block("q", n_queries).alias("qb"), block("c", n_candidates).alias("cb"), "q", "c")
+class Resolved:
+    """Of all entries of a node that reach an equal share of the query's cutoff, those whose score reaches the cutoff."""
 
-    def run(key: tuple[pa.Scalar, ...], wanted: pa.Table, tile: pa.Table) -> pa.Table:
-        out = {"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "score": pa.array([], pa.int64())}
-        if wanted.num_rows and tile.num_rows:
-            row = {n: tile[n][0] for n in tile.schema.names}
-            vectors = []
-            for ids, parts, column in (("q_ids", "q_parts", "q"), ("c_ids", "c_parts", "c")):
-                known = _numbers(row[ids])  # sorted
-                matrix = np.concatenate([np.frombuffer(p, np.int64).reshape(len(known), -1) for p in row[parts].as_py()], axis=1)
-                vectors.append((matrix, np.searchsorted(known, wanted[column].to_numpy())))
-            (q, i), (c, j) = vectors
-            score = np.concatenate([(q[i[a : a + 65536]] * c[j[a : a + 65536]]).sum(axis=1) for a in range(0, len(i), 65536)])
-            out = {"q": wanted["q"].combine_chunks(), "c": wanted["c"].combine_chunks(), "score": pa.array(score)}
-        return pa.table(out)
+    def tile(self, q_ids, cut, c_ids, parts) -> Iterator[pa.RecordBatch]:
+        # the share is rounded down, which collects no less
+        share = (cut.astype(object) if any(s.dtype == object for s in parts) else cut) // PARTS
+        collected = np.zeros(parts[0].shape, bool)
+        for s in parts:
+            collected |= (s >= share[:, None]).astype(bool)
+        i, j = np.nonzero(collected)
+        score = _longs(sum((s[i, j] for s in parts[1:]), parts[0][i, j]))
+        reach = score >= cut[i]
+        yield _entries(q_ids[i[reach]], c_ids[j[reach]], score[reach])
 
-    keys = ["dim", "qb", "cb"]
-    return placed.groupBy(*keys).cogroup(tiles.drop("cut").groupBy(*keys)).applyInArrow(run, "q long, c long, score long")
+    def close(self) -> Iterator[pa.RecordBatch]:
+        return iter(())
 
 
 def top_k(vectors: DataFrame, k: int = 5, query_every: int = 50, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the k best candidates of each row whose id is divisible by ``query_every``."""
-    own = quantised(vectors, id_col, vector_col)
+    own = quantised(vectors, id_col, vector_col).withColumns({"a": F.xxhash64(F.lit(1), "v"), "b": F.xxhash64(F.lit(2), "v")})
     # the least k + 1 ids of each distinct vector; Spark limits the rows of a vector before it shuffles them
-    ranked = own.distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).filter(F.col("r") <= k + 1)
-    distinct = written(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).select(F.col("ids")[0].alias("cid"), "ids", "v"), "vectors")
-    asked = written(own.filter(F.col("id") % query_every == 0).distinct().join(distinct.select("v", "cid"), "v").select(F.col("id").alias("query_id"), "cid"), "queries")
-    queries = distinct.join(asked.select("cid").distinct(), "cid", "left_semi").select("cid", "v")
-    c_blocks, n_c = _blocks(distinct.select("cid", "v", F.lit(0).cast("long").alias("cut")), CANDIDATE_BLOCK)
-    c_blocks = written(c_blocks, "candidates")
-    q_blocks, n_q = _blocks(queries.withColumn("cut", F.lit(_NONE).cast("long")), QUERY_BLOCK)
-    q_blocks = written(q_blocks, "askers")
-    dims = distinct.select(F.col("cid").alias("q"), F.size("v").alias("dim"))
-    wide = k + 1  # a query's own vector may be among the best
-
-    # 1: local lists, and the exact scores of their best
-    tiles = _tiles(q_blocks, n_q, c_blocks, n_c)
-    lists = _nodes(tiles).mapInArrow(_local_lists(wide), _ENTRY)
-    best = lists.withColumn("r", F.row_number().over(Window.partitionBy("q", "part").orderBy(F.desc("s"), "c"))).filter(F.col("r") <= wide)
-    first = written(_resolve(best.select("q", "c").distinct().join(dims, "q"), tiles, n_q, n_c), "first")
-    kth = first.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("r") == wide)
-    cutoffs = written(kth.select(F.col("q").alias("cid"), F.col("score").alias("cut")), "cutoffs")
-
-    # 2: the cutoff goes with the queries; entries that reach its share come back
+    ranked = own.distinct().withColumn("r", F.row_number().over(Window.partitionBy("a", "b", "v").orderBy("id"))).filter(F.col("r") <= k + 1)
+    distinct = ranked.groupBy("a", "b", "v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    distinct = written(distinct.select(F.col("ids")[0].alias("cid"), "ids", "v", "a", "b"), "vectors")
+    # queries find their vector by two hashes of it, so the vectors needn't move
+    asked = own.filter(F.col("id") % query_every == 0).dropDuplicates(["id", "a", "b"])
+    asked = written(asked.join(distinct.select("a", "b", "cid"), ["a", "b"]).select(F.col("id").alias("query_id"), "cid", "v"), "queries")
+    queries = written(asked.groupBy("cid").agg(F.first("v").alias("v")), "asked")
+    candidates, wide = distinct.select("cid", "v"), k + 1  # a query's own vector may be among the best
+
+    # 1: local lists, and the cutoff that the best of them give
+    lists = _everywhere(queries.withColumn("cut", F.lit(_NONE).cast("long")), candidates, lambda: LocalLists(wide))
+    kth = lists.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("r") == wide)
+    cutoffs = kth.select(F.col("q").alias("cid"), F.col("score").alias("cut"))
+
+    # 2 and 3: the cutoff goes with the queries; what is collected is resolved
     with_cut = queries.join(cutoffs, "cid", "left").select("cid", "v", F.coalesce("cut", F.lit(_NONE).cast("long")).alias("cut"))
-    cut_blocks = written(_blocks(with_cut, QUERY_BLOCK)[0], "cut")
-    entries = _nodes(_tiles(cut_blocks, n_q, c_blocks, n_c)).mapInArrow(_sufficient, _ENTRY)
-    seen = entries.groupBy("q", "c").agg(F.sum("s").alias("s"), F.count(F.lit(1)).alias("n"))
-    seen = seen.join(with_cut.select(F.col("cid").alias("q"), "cut", F.size("v").alias("dim")), "q")
-
-    # 3: what may reach the cutoff is resolved
-    may = seen.filter(F.col("s") * PARTS + (PARTS - F.col("n")) * F.col("cut") >= F.col("cut") * PARTS)
-    scores = _resolve(may.select("dim", "q", "c"), tiles, n_q, n_c)
+    scores = _everywhere(written(with_cut, "cutoffs"), candidates, Resolved)
     kept = scores.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "c"))).filter(F.col("r") <= wide)
     named = kept.join(distinct.select(F.col("cid").alias("c"), "ids"), "c").select(F.col("q").alias("cid"), "score", F.explode("ids").alias("vec_id"))
-    found = asked.join(named, "cid").filter("query_id != vec_id")
+    found = asked.select("query_id", "cid").join(named, "cid").filter("query_id != vec_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
