@@ -8,8 +8,8 @@ normal equations are added up over the training texts in tasks. As the landmarks
 one weight for each n-gram and language: a batch is scored by the product of its presence matrix with the weights.
 
 Training takes ``per_language`` distinct whole texts of each language (those of the least text hash), a documented
-bound, and of these ``landmarks`` of each language as landmarks. The driver holds the landmarks, and a square matrix
-of their number. Every text of the input is scored as a whole.
+bound, and of these ``landmarks`` of each language as landmarks (fewer where there are many languages). The driver
+holds the landmarks, and a square matrix of their number. Every text of the input is scored as a whole.
 
 A text that is null or has no letter gets ``und`` and score 0; so does every text if there is nothing to learn from.
 The score is (1 + the largest regression value) / 2, held within 0 and 1; ties go to the language that sorts first.
@@ -26,12 +26,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from mintleaf.llm.common import fresh, string_bytes
+from mintleaf.llm.common import fresh, string_bytes, written
 
 ORDERS = (1, 2, 3)
 #: Training texts and landmarks of each language, and the weight of the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 256, 24, 1e-3
+#: Landmarks of all languages together, where there are many languages.
+MOST_LANDMARKS = 2048
+#: A text with a smaller share of n-grams that any learned language has is in none of them.
+LEAST_KNOWN = 0.3
 UNKNOWN = "und"
 _BLOCK = 64
 _LETTER = re.compile(r"[^\W\d_]+")
@@ -68,8 +73,11 @@ class Grams:
     def of(cls, texts: list[bytes]) -> Grams:
         return cls([np.unique(np.concatenate([_codes(np.frombuffer(t, np.uint8), n) for t in texts])) for n in ORDERS])
 
-    def presence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """A row for each text, with 1 for the n-grams that it holds; column 0 stays 0."""
+    def presence(self, data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """A row for each text, with 1 for the n-grams that it holds; column 0 stays 0.
+
+        ``known`` takes the share of the places of a text (over all orders) at which an n-gram of the landmarks begins.
+        """
         n = len(offsets) - 1
         found = np.zeros(n * self.size, np.float32)
         row = np.repeat(np.arange(n, dtype=np.int64) * self.size, np.diff(offsets))
@@ -80,6 +88,10 @@ class Grams:
                 over = offsets[1:] - back
                 at[over[(over >= 0) & (over < len(at))]] = 0
             found[at] = 1
+            if known is not None:
+                sums = np.concatenate([[0], np.cumsum(ids > 0)])
+                ends = np.minimum(offsets, len(ids))
+                known += (sums[ends[1:]] - sums[ends[:-1]]) / (np.maximum(np.diff(offsets), 1) * len(ORDERS))
         found = found.reshape(n, self.size)
         found[:, 0] = 0
         return found
@@ -91,12 +103,13 @@ class Model:
     codes: list[np.ndarray]
     weights: np.ndarray  # of each n-gram and language
 
-    def scores(self, grams: Grams, texts: list[str]) -> np.ndarray:
-        out = []
+    def scores(self, grams: Grams, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The regression values of each language, and the shares of known n-grams."""
+        out, known = [np.zeros((0, len(self.languages)), np.float32)], np.zeros(len(texts))
         for at in range(0, len(texts), _BLOCK):
             data, offsets = string_bytes(pa.array([t.lower() for t in texts[at : at + _BLOCK]], pa.large_string()))
-            out.append(_unit(grams.presence(data, offsets)) @ self.weights)
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
+            out.append(_unit(grams.presence(data, offsets, known[at : at + _BLOCK])) @ self.weights)
+        return np.concatenate(out), known
 
 
 def _unit(presence: np.ndarray) -> np.ndarray:
@@ -125,24 +138,29 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     """A model of the languages of ``labelled``; None if no row has a language and letters."""
     rows = labelled.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    ranked = rows.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language)
+    # a share of the hashes that holds about eight times the wanted texts; a row for each language reaches the driver
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
+    if not sizes:
+        return None
+    landmarks = max(1, min(landmarks, MOST_LANDMARKS // len(sizes)))
+    below = {lang: -(1 << 63) + min((1 << 64) - 1, (8 * per_language << 64) // max(n, 1)) for lang, n in sizes.items()}
+    bounds = labelled.sparkSession.createDataFrame(list(below.items()), StructType([rows.schema["lang"], StructField("below", LongType())]))
+    low = rows.join(F.broadcast(bounds), "lang").filter(F.col("h") <= F.col("below")).select("lang", "h").distinct()
+    ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language)
     # at most per_language rows of each language are broadcast, and go on
-    sample = rows.join(F.broadcast(ranked), ["lang", "h"]).dropDuplicates(["lang", "h"]).filter(F.col("text").rlike(r"\p{L}")).persist()
-    try:
-        own = [r for r in sample.filter(F.col("rank") <= landmarks).orderBy("lang", "rank").collect() if has_letter(r["text"])]
-        languages = sorted({r["lang"] for r in own})
-        if not own:
-            return None
-        texts = [r["text"].lower().encode() for r in own]
-        grams = Grams.of(texts)
-        data, offsets = string_bytes(pa.array(texts, pa.large_binary()))
-        marks = _unit(grams.presence(data, offsets))
-        sums = sample.filter(F.col("lang").isin(languages)).select("text", "lang").mapInArrow(_normal_equations(grams.codes, marks, languages), "sums binary")
-        m = len(marks)
-        # one small matrix of each partition of the bounded sample, merged in the executors
-        total = sum((np.frombuffer(r["sums"]).reshape(m, -1) for r in sums.coalesce(8).toLocalIterator()), np.zeros((m, m + len(languages))))
-    finally:
-        sample.unpersist()
+    sample = written(rows.join(F.broadcast(ranked), ["lang", "h"]).dropDuplicates(["lang", "h"]).filter(F.col("text").rlike(r"\p{L}")), "sample")
+    own = [r for r in sample.filter(F.col("rank") <= landmarks).orderBy("lang", "rank").collect() if has_letter(r["text"])]
+    languages = sorted({r["lang"] for r in own})
+    if not own:
+        return None
+    texts = [r["text"].lower().encode() for r in own]
+    grams = Grams.of(texts)
+    data, offsets = string_bytes(pa.array(texts, pa.large_binary()))
+    marks = _unit(grams.presence(data, offsets))
+    sums = sample.filter(F.col("lang").isin(languages)).select("text", "lang").mapInArrow(_normal_equations(grams.codes, marks, languages), "sums binary")
+    m = len(marks)
+    # one small matrix of each partition of the bounded sample, merged in the executors
+    total = sum((np.frombuffer(r["sums"]).reshape(m, -1) for r in sums.coalesce(8).toLocalIterator()), np.zeros((m, m + len(languages))))
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     keep = values > 1e-6 * values[-1]
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2), up to a rotation
@@ -153,23 +171,23 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
 
 
 def predict(model: Model | None, text: Column, spark) -> Column:
-    """struct<lang_pred: string, score: double> of whole texts."""
+    """struct<lang_pred: string, score: double, known: double> of whole texts; known: the share of their n-grams that the landmarks hold."""
     shared = spark.sparkContext.broadcast(model)
     made: list[Grams] = []
 
-    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    @F.arrow_udf("struct<lang_pred: string, score: double, known: double>")
     def run(column: pa.Array) -> pa.Array:
         model = shared.value
         texts = column.to_pylist()
-        lang, score = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        lang, score, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if model is not None:
             if not made:
                 made.append(Grams(model.codes))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
-            for i, values in zip(known, model.scores(made[0], [texts[i] for i in known]), strict=True):
+            for i, values, share[i] in zip(known, *model.scores(made[0], [texts[i] for i in known]), strict=True):
                 best = int(values.argmax())
                 lang[i], score[i] = model.languages[best], min(1.0, max(0.0, (1 + float(values[best])) / 2))
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["lang_pred", "score"])
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], names=["lang_pred", "score", "known"])
 
     return run(text)
 
@@ -185,8 +203,24 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     return docs.withColumn("language", predict(model, F.col(text_col), docs.sparkSession))
 
 
-def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """``docs`` without the rows whose language is ``und``; all columns stay as they are."""
+def _letters():
+    @F.arrow_udf("boolean")
+    def letters(texts: pa.Array) -> pa.Array:
+        return pa.array([has_letter(t) for t in texts.to_pylist()], pa.bool_())
+
+    return letters
+
+
+def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_known: float = LEAST_KNOWN) -> DataFrame:
+    """``docs`` without the rows that are in no learned language; all columns stay as they are.
+
+    A row goes if its language is ``und`` (no text, or no letter), or if the share of its n-grams that the landmarks of
+    any language hold is below ``least_known``. Where there is nothing to learn from, every row with a letter stays.
+    """
     model = fit(docs.filter(F.col(id_col).isNotNull() & ~is_held_out(F.col(id_col))), text_col, lang_col)
+    if model is None:
+        return docs.filter(_letters()(F.col(text_col)))
     tmp = fresh(docs, "_language")
-    return docs.withColumn(tmp, predict(model, F.col(text_col), docs.sparkSession)).filter(F.col(f"{tmp}.lang_pred") != UNKNOWN).drop(tmp)
+    claimed = (F.col(f"{tmp}.lang_pred") != UNKNOWN) & (F.col(f"{tmp}.known") >= least_known)
+    return docs.withColumn(tmp, predict(model, F.col(text_col), docs.sparkSession)).filter(claimed).drop(tmp)
+
