@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm import bpe, common, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
 from mintleaf.llm.components import component_labels
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau".split()
@@ -138,14 +138,68 @@ def brute_windows(rows, k):
 
 
 @pytest.mark.parametrize("k", [5, 20])
-def test_repeated_windows(spark, docs, k, monkeypatch):
+def test_repeated_windows(spark, docs, k):
     rows = list(docs[0])
     rng = random.Random(8)
     passage = text(rng, 30)
     rows += [(300 + n, f"{text(rng, 9)}  {passage}\n{text(rng, rng.randrange(9))} {passage if n % 2 else ''}") for n in range(20)] + [(400, "la " * 100), (401, "la " * 50)]
-    monkeypatch.setattr(substring_dedup, "BATCH_BYTES", 3000)
-    got = substring_dedup.remove_repeats(corpus(spark, rows).repartition(3), k, bucket_bytes=1 << 12)
-    assert Counter(map(tuple, got.collect())) == brute_windows(rows, k)
+    rows += [(500 + n, f"{text(rng, k)} {passage.split()[0]} {passage.split()[1]} {passage.split()[2]} {text(rng, k)}") for n in range(40)]  # many windows around one phrase
+    want = brute_windows(rows, k)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        for most in (1 << 24, 2000, 1):
+            got = substring_dedup.remove_repeats(corpus(spark, rows).repartition(3), k, bucket_bytes=1 << 12, most_bytes=most)
+            assert Counter(map(tuple, got.collect())) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_windows_of_equal_hashes_are_told_apart():
+    data = np.frombuffer(b"aa bb aa bb aa cc", np.uint8)
+    low, high = np.array([0, 3, 6, 9, 12]), np.array([5, 8, 11, 14, 17])
+    got = substring_dedup._repeats(np.zeros(5, np.uint64), np.array([1, 1, 1, 1, 1]), np.arange(5), data, low, high)
+    assert got.tolist() == [False, False, True, True, False]
+
+
+def thue_morse(n):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return out[:n]
+
+
+def test_hashes_of_words_and_windows_are_no_sums():
+    first = "".join("ab"[x] for x in thue_morse(1024))
+    other = first.translate(str.maketrans("ab", "ba"))
+    data = np.frombuffer((first + other).encode(), np.uint8)
+    for seed in (5, 11, 12):
+        a, b = common.word_hashes(data, np.array([0, 1024]), np.array([1024, 2048]), seed)
+        assert a != b
+        words = np.array(thue_morse(2048), np.uint64)
+        assert common.window_hashes(words, 2048, seed)[0] != common.window_hashes(1 - words, 2048, seed)[0]
+
+
+def test_hashes_follow_the_words():
+    rng = random.Random(7)
+    words = ["".join(rng.choices("abc", k=rng.choice([1, 2, 7, 8, 9, 16, 17, 40, 1024, 1500]))) for _ in range(300)]
+    raw = " \t".join(words).encode() + b" "
+    data, offsets = common.joined_words(np.frombuffer(raw, np.uint8), np.array([0, 0, len(raw), len(raw)]))
+    assert data.tobytes() == " ".join(words).encode() + b" " and offsets.tolist() == [0, 0, len(data), len(data)]
+    starts, ends, at = common.word_spans(data, offsets)
+    assert at.tolist() == [0, 0, 300, 300]
+    hashes = common.word_hashes(data, starts, ends, 3)
+    by_word = {}
+    for w, h in zip(words, hashes.tolist(), strict=True):
+        assert by_word.setdefault(w, h) == h
+    assert len(set(by_word.values())) == len(by_word)
+    for k in (1, 2, 3, 5, 20):
+        windows = {}
+        for i, h in enumerate(common.window_hashes(hashes, k, 1).tolist()):
+            assert windows.setdefault(tuple(words[i : i + k]), h) == h
+        assert len(set(windows.values())) == len(windows)
+    picked = np.array(rng.choices(range(300), k=200)), np.array(rng.choices(range(300), k=200))
+    same = common.same_bytes(data, starts[picked[0]], ends[picked[0]], starts[picked[1]], ends[picked[1]])
+    assert same.tolist() == [words[a] == words[b] for a, b in zip(*picked, strict=True)]
 
 
 def test_repeats_of_nothing(empty):
@@ -246,8 +300,8 @@ def test_bpe_equals_the_library(spark, docs, empty):
 
     library = Tokenizer.from_file(TOKENIZER)
     rows = [*docs[0], (500, "x" * 50), (501, "ab" * 40 + " hello " + "é" * 33), (502, "it's 12 " + "中文" * 20), (503, "<|endoftext|>" + "q" * 45 + "<|startoftext|>'s"), (504, "ΣΑΣ İ é \x1c\x85 \xa0 a­b"), (505, "ab" * 9000)]
-    for long_piece, leaf in ((20, 7), (8192, 2048)):
-        for r in bpe.encode_texts(corpus(spark, rows), TOKENIZER, long_piece=long_piece, leaf=leaf).select("text", "encoded").collect():
+    for long_text, leaf in ((20, 7), (1000, 64), (bpe.LONG_TEXT, bpe.LEAF)):
+        for r in bpe.encode_texts(corpus(spark, rows).repartition(5), TOKENIZER, long_text=long_text, leaf=leaf).select("text", "encoded").collect():
             want = library.encode(r["text"] or "", add_special_tokens=False).ids
             assert r["encoded"]["ids"] == " ".join(map(str, want)) and r["encoded"]["n_tokens"] == len(want)
             assert r["encoded"]["decoded"] == library.decode(want, skip_special_tokens=False)
@@ -257,13 +311,16 @@ def test_bpe_equals_the_library(spark, docs, empty):
 # --- 9 ---
 
 
-@pytest.mark.parametrize("k", [1, 5])
-def test_top_k(spark, k, monkeypatch):
+@pytest.mark.parametrize(("k", "tiles"), [(1, False), (5, False), (5, True)])
+def test_top_k(spark, k, tiles, monkeypatch):
     rng = np.random.default_rng(3)
     rows = [(int(i), v.tolist()) for i, v in enumerate(rng.standard_normal((160, 8)) / 3)]
     rows += [(200 + i, rows[0][1]) for i in range(20)] + [(250, rows[0][1]), (300, None), (301, []), (302, [1.0, None] * 4), (303, [float("nan")] * 8), (350, [0.5] * 3), (351, [0.25] * 3), (None, [1.0] * 8), (0, rows[0][1]), (400, [9e5] * 8)]
     monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 50)
+    if tiles:
+        monkeypatch.setattr(topk, "MOST_BROADCAST", 500)
+    else:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 50)
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"q": F.lit(1), "dim": F.lit(2)})
     fine = {(i, tuple(int(np.floor(256 * x)) for x in v)) for i, v in rows if i is not None and v and all(x is not None and np.isfinite(x) for x in v)}
     want = []
@@ -271,7 +328,17 @@ def test_top_k(spark, k, monkeypatch):
         if i % 50 == 0:
             found = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in fine if j != i and len(c) == len(q))[:k]
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(found)]
-    assert sorted(map(tuple, topk.top_k(df, k).collect())) == sorted(want)
+    try:
+        assert sorted(map(tuple, topk.top_k(df, k).collect())) == sorted(want)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_top_k_of_huge_components(spark):
+    rows = [(0, [1e16, 1.0]), (1, [1e16, 2.0]), (2, [-1e16, 0.0]), (3, [3.0, 1.0])]
+    quantised = {i: [256 * int(x) for x in v] for i, v in rows}
+    want = sorted((max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(quantised[0], quantised[i], strict=True)))), -i) for i in (1, 2, 3))[::-1]
+    assert [(r["score"], -r["vec_id"]) for r in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).orderBy("rank").collect()] == want
 
 
 def test_top_k_of_nothing(spark):
@@ -285,8 +352,7 @@ def test_mix_meets_its_limit(spark, empty):
     rng = random.Random(2)
     rows = [(k, "big" if k % 10 else ("mid" if k % 20 else None), text(rng, 20)) for k in range(600)] + [(900, "big", None), (901, "none", "")]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumn("uid", F.lit("x"))
-    plan = mixing.mix_plan(df, repetition_limit=2.0, block_tokens=200).collect()
-    assert {r["uid"] for r in plan} == {r["u"] for r in df.select(F.monotonically_increasing_id().alias("u")).collect()}
+    plan = [r["mix"] for r in mixing.mix(df, plan_columns=True, repetition_limit=2.0, block_tokens=200).collect()]
     assert max(r["repetition"] for r in plan) == pytest.approx(2.0, abs=1e-6) and min(r["repetition"] for r in plan) == 1.0
     shares = Counter()
     for _, s, t in rows:
@@ -296,6 +362,7 @@ def test_mix_meets_its_limit(spark, empty):
     a = 1 - np.log(2.0) / np.log(ratio)
     weights = {s: (n / total) ** a for s, n in shares.items() if n}
     mixed = mixing.mix(df, plan_columns=True, repetition_limit=2.0, block_tokens=200).collect()
+    assert {r["doc_id"] for r in mixed} == {r[0] for r in rows}
     got = Counter()
     for r in mixed:
         got[r["source"]] += r["mix"]["tokens"]
@@ -304,7 +371,7 @@ def test_mix_meets_its_limit(spark, empty):
     for s, w in weights.items():
         budget = w / sum(weights.values()) * max(shares.values()) / (max(weights.values()) / sum(weights.values()))
         assert budget - 21 <= got[s] <= budget + 1e-6
-    again = mixing.mix(df, plan_columns=True, repetition_limit=2.0, block_tokens=200).collect()
+    again = mixing.mix(df.repartition(7), plan_columns=True, repetition_limit=2.0, block_tokens=200).collect()
     assert sorted(map(str, mixed)) == sorted(map(str, again))
     assert mixing.mix(empty, repetition_limit=2.0).count() == 0 and mixing.mix(df, repetition_limit=1.0).columns == df.columns
 
@@ -467,9 +534,78 @@ def test_gradients_of_the_labeller():
         assert grad[name][at] == pytest.approx((values[0] - values[1]) / 2e-3, abs=2e-4)
 
 
+def test_long_attributes_keep_their_own_names():
+    long = 'data-x="' + "y" * 220 + '"'
+    for order in (("footer", "article"), ("article", "footer")):
+        page = "".join(f'<div {long} class="{c}"><p>{c} text</p></div>' for c in order) + f"<div {long}><p>none</p></div>"
+        assert [(b.path, b.text) for b in html_text._Parser().blocks(page)] == [*((("div", f".{c}", "p"), f"{c} text") for c in order), (("div", "p"), "none")]
+
+
+def test_references_in_cdata_stay():
+    assert [b.text for b in html_text._Parser().blocks("<p>a &lt; <![CDATA[b &lt; c]]></p>")] == ["a < b &lt; c"]
+
+
+# --- rows behind a shuffle ---
+
+
+@pytest.fixture
+def behind_a_shuffle(spark):
+    """Wide rows that come from a shuffle, which adaptive execution reads in other pieces for other columns."""
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    n = 40_000
+    body = F.concat_ws(" ", *[F.concat(F.lit(w), F.col("id") % (n // 2)) for w in "abcdef"])
+    df = spark.range(n).select(
+        F.col("id").alias("doc_id"), F.concat(F.lit("s"), F.floor(F.log2(F.col("id") + 1))).alias("source"), body.alias("text"), F.create_map(F.lit("k"), F.col("id")).alias("map"),
+        F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda x: F.sha2((F.col("id") * 41 + x).cast("string"), 256)), "").alias("payload"),
+    )
+    yield df.repartition(32), n
+    spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_no_row_is_lost_behind_a_shuffle(spark, behind_a_shuffle):
+    df, n = behind_a_shuffle
+    left = exact_dedup.drop_exact_duplicates(df).select("doc_id", "text", F.length("payload").alias("p"), F.col("map")["k"].alias("m")).collect()
+    assert {r["doc_id"] for r in left} == set(range(n // 2, n)) and len(left) == n // 2 and all(r["p"] == 41 * 64 and r["m"] == r["doc_id"] for r in left)
+    mixed = mixing.mix(df, repetition_limit=1.5, block_tokens=500).select("doc_id", F.length("payload").alias("p")).collect()
+    assert {r["doc_id"] for r in mixed} == set(range(n)) and all(r["p"] == 41 * 64 for r in mixed)
+    cut = substring_dedup.remove_repeats(df, 5).groupBy("n_words", "n_removed").count().collect()
+    assert {tuple(r) for r in cut} == {(6, 0, n // 2), (6, 6, n // 2)}
+    coded = bpe.encode_texts(df.withColumn("text", F.when(F.col("doc_id") % 400 == 0, F.col("payload")).otherwise("w")), TOKENIZER, long_text=100, leaf=300)
+    assert {r["doc_id"]: r["d"].replace(" ", "") for r in coded.select("doc_id", F.col("encoded.decoded").alias("d")).collect()}.keys() == set(range(n))
+    assert coded.filter("doc_id % 400 = 0 AND encoded.n_tokens < 100").count() == 0
+
+
 # --- pipeline ---
 
 
+def test_language_stage_without_labels_and_with_foreign_text(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    rows = [(k, text(rng, 20), None) for k in range(20)] + [(30, "12 34", None), (31, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, df, "").collect()} == set(range(20))
+    labelled = df.withColumn("lang", F.lit("en")).unionByName(spark.createDataFrame([(40, "一二三四五六七八九十", "en"), (41, text(rng, 20), None)], df.schema))
+    assert {r["doc_id"] for r in corpus_pipeline.identify_language(spark, labelled.filter("doc_id != 40").unionByName(spark.createDataFrame([(40, "一二三四五六七八九十", None)], df.schema)), "").collect()} == {*range(20), 41}
+
+
+def test_pipeline_of_odd_rows(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    schema = "doc_id long, text string, lang string, source string, n_chars int, encoded string, n_tokens int, _mix string, `a.b` string, component_id int"
+    rows = [(k, text(rng, 30), "en", "a" if k % 5 else None, None, "e", 1, "m", "x", 0) for k in range(40)]
+    rows += [(50, None, None, None, None, None, None, None, None, None), (51, "", "en", "a", 1, None, None, None, None, None), (1, rows[1][1], "en", "b", 1, None, None, None, None, None), (None, text(rng, 9), "en", "a", 1, None, None, None, None, None)]
+    for name, given in (("full", rows), ("none", [])):
+        (tmp_path / name).mkdir()
+        spark.createDataFrame(given, schema).write.parquet(str(tmp_path / name / "documents.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path / "full"))
+    kept = [r["doc_id"] for r in got.collect()]
+    assert set(kept) == {*range(40), None} and {"n_tokens", "ids", "decoded", "a.b", "_mix"} <= set(got.columns)
+    assert all(r["n_tokens"] == len(r["ids"].split()) > 0 and r["decoded"] for r in got.collect())
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
