@@ -8,6 +8,7 @@ their input.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mintleaf.llm import bpe, exact_dedup, language, mixing, near_dedup
 from mintleaf.llm.common import written
@@ -17,7 +18,7 @@ REPETITION_LIMIT = 1.5
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: null texts and texts without a letter."""
+    """Drops documents in no language: null texts, texts without a letter, and texts of n-grams that no learned language has."""
     return language.keep_identified(docs)
 
 
@@ -41,7 +42,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     coded = bpe.encode_texts(docs.drop("n_tokens", "ids", "decoded"), public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select(*[c for c in coded.columns if c != "encoded"], "encoded.n_tokens", "encoded.ids", "encoded.decoded")
+    return coded.select(*[F.col(f"`{c}`") for c in coded.columns if c != "encoded"], "encoded.n_tokens", "encoded.ids", "encoded.decoded")
 
 
 STAGES = [
