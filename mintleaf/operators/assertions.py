@@ -11,11 +11,20 @@ def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(k, *r) for k, r in enumerate(rules)], "priority int, pattern string, aspect string, sentiment string, theme string, status string")
 
 
-def first_rule(clauses: DataFrame, rules: DataFrame, text: str = "clause_text", key: str = "clause_id") -> DataFrame:
-    """The clauses with the first rule whose pattern occurs (without case); clauses without any keep nulls."""
-    hits = clauses.select(key, text).join(F.broadcast(rules), F.expr(f"lower({text}) RLIKE pattern"))
-    best = hits.groupBy(key).agg(F.min_by(F.struct("priority", "aspect", "sentiment", "theme", "status"), "priority").alias("r"))
-    return clauses.join(best.select(key, "r.*"), key, "left")
+def first_rule(clauses: DataFrame, rules: DataFrame, text: str = "clause_text") -> DataFrame:
+    """The clauses with the first rule whose pattern occurs (without case); clauses without any keep nulls.
+
+    The rules, a small table, reach the driver once and become one chain of conditions with fixed patterns.
+    """
+    names = ["priority", "aspect", "sentiment", "theme", "status"]
+    kinds = {f.name: f.dataType for f in rules.schema}
+    low, found = F.lower(F.col(text)), None
+    for r in rules.orderBy("priority").collect():
+        value = F.struct(*[F.lit(r[n]).cast(kinds[n]).alias(n) for n in names])
+        found = F.when(low.rlike(r["pattern"]), value) if found is None else found.when(low.rlike(r["pattern"]), value)
+    if found is None:
+        return clauses.withColumns({n: F.lit(None).cast(kinds[n]) for n in names})
+    return clauses.withColumn("_rule", found).withColumns({n: F.col(f"_rule.{n}") for n in names}).drop("_rule")
 
 
 def outer_spans(hits: DataFrame, key: str = "clause_id") -> DataFrame:
@@ -26,15 +35,25 @@ def outer_spans(hits: DataFrame, key: str = "clause_id") -> DataFrame:
 
 
 def find_spans(clauses: DataFrame, patterns: list[str], text: str = "clause_text", key: str = "clause_id") -> DataFrame:
-    """(key, start, end, span) of every occurrence of the words, in code points, nested ones included."""
-    parts = None
-    for p in patterns:
-        pieces = F.split(F.lower(F.col(text)), p)
-        one = clauses.filter(F.lower(F.col(text)).contains(p)).select(key, F.posexplode(pieces).alias("i", "before"), F.size(pieces).alias("n"))
-        at = F.sum(F.length("before")).over(Window.partitionBy(key).orderBy("i")) + F.col("i") * len(p)
-        one = one.withColumn("start", at).filter("i < n - 1").select(key, F.col("start").cast("int").alias("start"), (F.col("start") + len(p)).cast("int").alias("end"), F.lit(p).alias("span"))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
+    """(key, start, end, span) of every occurrence of the words, in code points, nested ones included.
+
+    The pieces between the occurrences of a word give their places; no row leaves its task.
+    """
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    nothing = F.array().cast("array<struct<start:int,end:int,span:string>>")
+
+    def places(p: str) -> Column:
+        pieces = F.split(low, rf"\Q{p}\E")
+        fold = F.aggregate(
+            F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), nothing.alias("out")),
+            lambda acc, x: F.struct(
+                (acc["at"] + F.length(x) + len(p)).alias("at"),
+                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x)).alias("start"), (acc["at"] + F.length(x) + len(p)).alias("end"), F.lit(p).alias("span")))).alias("out"),
+            ),
+        )
+        return F.when(low.contains(p), fold["out"]).otherwise(nothing)
+
+    return clauses.select(key, F.explode(F.concat(*[places(p.lower()) for p in patterns])).alias("s")).select(key, "s.*")
 
 
 def pair_targets(targets: Column, opinions: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.functions.text import encode_sentiment, star_sentiment, word_count
+from mintleaf.sources.tables import written
 
 
 def clean_reviews(raw: DataFrame, order: list[str]) -> DataFrame:
@@ -18,8 +19,8 @@ def clean_reviews(raw: DataFrame, order: list[str]) -> DataFrame:
         {"Rating": F.expr("try_cast(Rating AS double)"), "Review": text, "Restaurant": F.trim("Restaurant"), "Reviewer": F.coalesce(F.when(reviewer != "", reviewer), F.lit("Anonymous"))}
     )
     rows = rows.filter((F.length("Review") > 3) & F.col("Rating").isNotNull() & F.col("Restaurant").isNotNull())
-    first = F.row_number().over(Window.partitionBy("Restaurant", F.xxhash64("Review"), "Review").orderBy(*order))
-    rows = rows.withColumn("_first", first).filter("_first = 1").drop("_first")
+    # the first row of each text, found map-side before the shuffle
+    rows = rows.groupBy("Restaurant", "Review").agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("_first")).select("_first.*")
     sentiment = star_sentiment(F.col("Rating"))
     return rows.withColumns({"Sentiment": sentiment, "Label": encode_sentiment(sentiment), "Review_Length": F.length("Review"), "Word_Count": word_count(F.col("Review"))})
 
@@ -32,12 +33,17 @@ def length_bin(chars: Column) -> Column:
     return F.when(chars < 150, "short").when(chars <= 350, "medium").when(chars.isNotNull(), "long")
 
 
+def year(ts: Column) -> Column:
+    return F.year(ts)
+
+
 def with_review_ids(df: DataFrame, order: list[str]) -> DataFrame:
     """``original_row_id`` from 0 by a total order, and ``review_id`` REV_00001 and so on.
 
-    Rows are numbered without gathering them: ranges of the order get their offsets from the sizes of those before.
+    Rows are numbered without gathering them: ranges of the order get their offsets from the sizes of those before. The
+    rows are written once with their range, as two reads of a shuffle needn't be split alike.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    ranged = written(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "ranges")
     sizes = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
     offsets = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     inside = F.row_number().over(Window.partitionBy("_part").orderBy(*order))

@@ -12,20 +12,27 @@ STOP_TARGETS = ["place", "restaurant", "thing", "one", "it", "experience", "orde
 
 
 def opinion_pairs(text: Column, targets: list[str], opinions: list[str]) -> Column:
-    """Distinct phrases from word patterns: 'target is [not] opinion' as 'target [not] opinion', and 'opinion target'."""
+    """Distinct phrases from word patterns: 'target is [not] opinion' as 'target [not] opinion', and 'opinion target'.
+
+    The words of a text are made once, as the argument of a fold over the places; each looks at the next three.
+    """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z']+"), F.lit(0))
-    known_t, known_o = F.array(*[F.lit(t) for t in targets if t not in STOP_TARGETS]), F.array(*[F.lit(o) for o in opinions])
-    cop, neg = F.array(*[F.lit(c) for c in COPULAS]), F.array(*[F.lit(n) for n in NEGATORS])
-    at = lambda i: F.coalesce(F.get(words, i), F.lit(""))
-    is_in = F.array_contains
+    known = [t for t in targets if t not in STOP_TARGETS]
+
+    def phrases(a: Column, b: Column, c: Column, d: Column) -> Column:
+        plain = a.isin(*known) & b.isin(*COPULAS) & c.isin(*opinions)
+        negated = a.isin(*known) & b.isin(*COPULAS) & c.isin(*NEGATORS) & d.isin(*opinions)
+        before = a.isin(*opinions) & b.isin(*known)
+        return F.when(plain, F.concat_ws(" ", a, c)).when(negated, F.concat_ws(" ", a, F.lit("not"), d)).when(before, F.concat_ws(" ", a, b))
 
-    def phrases(w: Column, i: Column) -> Column:
-        plain = is_in(known_t, w) & is_in(cop, at(i + 1)) & is_in(known_o, at(i + 2))
-        negated = is_in(known_t, w) & is_in(cop, at(i + 1)) & is_in(neg, at(i + 2)) & is_in(known_o, at(i + 3))
-        before = is_in(known_o, w) & is_in(known_t, at(i + 1))
-        return F.when(plain, F.concat_ws(" ", w, at(i + 2))).when(negated, F.concat_ws(" ", w, F.lit("not"), at(i + 3))).when(before, F.concat_ws(" ", w, at(i + 1)))
+    # a fold whose state is the last three words, from the end: a word meets what follows it
+    start = F.struct(F.lit("").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"), F.array().cast("array<string>").alias("out"))
 
-    return F.array_distinct(F.array_compact(F.transform(words, phrases)))
+    def step(acc: Column, w: Column) -> Column:
+        p = phrases(w, acc["b"], acc["c"], acc["d"])
+        return F.struct(w.alias("b"), acc["b"].alias("c"), acc["c"].alias("d"), F.when(p.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], p)).alias("out"))
+
+    return F.aggregate(F.reverse(words), start, step, lambda acc: F.array_distinct(F.reverse(acc["out"])))
 
 
 def complaint_ranking(phrases: DataFrame, k: int = 5, negative_to: float = 2.5) -> DataFrame:
@@ -46,14 +53,17 @@ def evidence(phrases: DataFrame, ranking: DataFrame, order: list[str], most: int
     return ranking.join(quotes, ["Restaurant", "phrase"], "left").withColumn("evidence_quotes", F.col("q.quote")).drop("q")
 
 
-def merge_like(ranking: DataFrame, k: int = 5) -> DataFrame:
-    """(Restaurant, rank, root_cause, frequency): phrases of the same words, or with two in common, merge by rank.
+def merge_like(ranking: DataFrame, k: int = 5, most: int = 3) -> DataFrame:
+    """(Restaurant, rank, root_cause, frequency, evidence_quotes): phrases of the same words, or with two in common, merge by rank.
 
-    The phrases of an entity are at most 2k, so each is a small array that a fold goes through.
+    A merged phrase takes the quotes of its parts, up to ``most`` different ones, those of the first phrase first; without
+    ``evidence_quotes`` in the ranking there are none. The phrases of an entity are at most 2k, so each is a small array
+    that a fold goes through.
     """
-    rows = ranking.groupBy("Restaurant").agg(F.sort_array(F.collect_list(F.struct("rank", "phrase", "frequency"))).alias("all"))
+    quotes = F.coalesce(F.col("evidence_quotes"), F.array().cast("array<string>")) if "evidence_quotes" in ranking.columns else F.array().cast("array<string>")
+    rows = ranking.groupBy("Restaurant").agg(F.sort_array(F.collect_list(F.struct("rank", "phrase", "frequency", quotes.alias("quotes")))).alias("all"))
     words = lambda p: F.array_distinct(F.split(p, " "))
-    empty = F.array().cast("array<struct<phrase:string,frequency:bigint>>")
+    empty = F.array().cast("array<struct<phrase:string,frequency:bigint,quotes:array<string>>>")
 
     def like(a: Column, b: Column) -> Column:
         common = F.size(F.array_intersect(words(a), words(b)))
@@ -62,8 +72,16 @@ def merge_like(ranking: DataFrame, k: int = 5) -> DataFrame:
     def add(acc: Column, x: Column) -> Column:
         hit = F.exists(acc, lambda y: like(y["phrase"], x["phrase"]))
         first = F.filter(acc, lambda y: like(y["phrase"], x["phrase"]))[0]["phrase"]
-        grown = F.transform(acc, lambda y: F.struct(y["phrase"].alias("phrase"), (y["frequency"] + F.when(y["phrase"] == first, x["frequency"]).otherwise(0)).alias("frequency")))
-        return F.when(hit, grown).otherwise(F.concat(acc, F.array(F.struct(x["phrase"].alias("phrase"), x["frequency"].alias("frequency")))))
+
+        def grown(y: Column) -> Column:
+            own = y["phrase"] == first
+            return F.struct(
+                y["phrase"].alias("phrase"), (y["frequency"] + F.when(own, x["frequency"]).otherwise(0)).alias("frequency"),
+                F.when(own, F.slice(F.array_union(y["quotes"], x["quotes"]), 1, most)).otherwise(y["quotes"]).alias("quotes"),
+            )
+
+        new = F.struct(x["phrase"].alias("phrase"), x["frequency"].alias("frequency"), F.slice(x["quotes"], 1, most).alias("quotes"))
+        return F.when(hit, F.transform(acc, grown)).otherwise(F.concat(acc, F.array(new)))
 
     merged = rows.select("Restaurant", F.posexplode(F.slice(F.aggregate("all", empty, add), 1, k)).alias("i", "c"))
-    return merged.select("Restaurant", (F.col("i") + 1).alias("rank"), F.initcap("c.phrase").alias("root_cause"), F.col("c.frequency").alias("frequency"))
+    return merged.select("Restaurant", (F.col("i") + 1).alias("rank"), F.initcap("c.phrase").alias("root_cause"), F.col("c.frequency").alias("frequency"), F.col("c.quotes").alias("evidence_quotes"))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mintleaf.functions.numbers import count_if, half_even, ratio
+from mintleaf.functions.numbers import count_if, half_even, percent, ratio
 from mintleaf.schemas import ASPECTS, NO_OPINION
 
 
@@ -56,6 +56,24 @@ def set_metrics(sets: DataFrame, n_categories: int = len(ASPECTS)) -> DataFrame:
     )
 
 
+def subset_metrics(sets: DataFrame) -> DataFrame:
+    """(subset, n, exact_match, overlap): of all clauses, those with a reference label, and those without."""
+    ref, pred = F.array_sort(F.array_distinct("reference")), F.array_sort(F.array_distinct("predicted"))
+    rows = sets.select(F.explode(F.array(F.lit("all"), F.when(F.size(ref) > 0, "evaluative").otherwise("no opinion"))).alias("subset"), (ref == pred).cast("double").alias("exact"), F.arrays_overlap(ref, pred).cast("double").alias("overlap"))
+    return rows.groupBy("subset").agg(F.count(F.lit(1)).alias("n"), half_even(F.avg("exact"), 4).alias("exact_match"), half_even(F.avg("overlap"), 4).alias("overlap"))
+
+
+def contingency(sets: DataFrame, categories=ASPECTS) -> DataFrame:
+    """The two-by-two table of each category: cells, supports, N, precision, recall, F1, specificity, and whether the cells add up to N."""
+    total = sets.agg(F.count(F.lit(1)).alias("N"))
+    rows = _prf(multilabel_counts(sets, categories)).crossJoin(F.broadcast(total))
+    negative = F.col("FP") + F.col("TN")
+    return rows.select(
+        "Category", "TP", "FN", "FP", "TN", "Support", negative.alias("Negative_Support"), "N", "Precision", "Recall", "F1", half_even(ratio(F.col("TN"), negative), 4).alias("Specificity"),
+        (F.col("Support") + negative == F.col("N")).alias("adds_up"),
+    )
+
+
 def cooccurrence(sets: DataFrame) -> DataFrame:
     """(reference, predicted, n): counts of the label pairs of each row; an empty set is a label."""
     named = lambda c: F.when(F.size(c) == 0, F.array(F.lit(NO_OPINION))).otherwise(F.array_distinct(c))
@@ -76,12 +94,42 @@ def error_examples(sets: DataFrame, most: int = 5, categories=ASPECTS) -> DataFr
 
 
 def no_aspect_audit(sets: DataFrame) -> DataFrame:
-    """One row: how empty reference and predicted sets meet."""
+    """One row: how empty reference and predicted sets meet, with shares in percent.
+
+    Shares: of all clauses; of those without a reference label (both_empty, false_alarms); of those with one (missed).
+    """
     r, p = F.size("reference") == 0, F.size("predicted") == 0
-    return sets.agg(
+    out = sets.agg(
         F.count(F.lit(1)).alias("n"), count_if(r).alias("reference_empty"), count_if(p).alias("predicted_empty"), count_if(r & p).alias("both_empty"),
         count_if(r & ~p).alias("false_alarms"), count_if(~r & p).alias("missed"),
     )
+    whole = {"reference_empty": F.col("n"), "predicted_empty": F.col("n"), "both_empty": F.col("reference_empty"), "false_alarms": F.col("reference_empty"), "missed": F.col("n") - F.col("reference_empty")}
+    return out.withColumns({f"{c}_pct": percent(F.col(c), w, 2) for c, w in whole.items()})
+
+
+def no_aspect_breakdown(sets: DataFrame) -> DataFrame:
+    """(kind, aspect, n): the labels given to clauses without any (false alarm), and those of clauses that got none (missed)."""
+    r, p = F.size("reference") == 0, F.size("predicted") == 0
+    rows = sets.filter(r != p).select(F.when(r, "false alarm").otherwise("missed").alias("kind"), F.explode(F.when(r, F.col("predicted")).otherwise(F.col("reference"))).alias("aspect"))
+    return rows.groupBy("kind", "aspect").agg(F.count(F.lit(1)).alias("n"))
+
+
+def version_comparison(versions: dict[str, DataFrame], reviews: DataFrame, other: str = "Other") -> DataFrame:
+    """(metric, and a column for each version): counts and shares of their assertions on the shared reviews."""
+    own = None
+    for name, rows in versions.items():
+        one = rows.join(reviews.select("review_id").distinct(), "review_id", "left_semi").select(F.lit(name).alias("version"), "annotation_status", "aspect")
+        own = one if own is None else own.unionByName(one)
+    status = F.col("annotation_status")
+    n = own.groupBy("version").agg(
+        F.count(F.lit(1)).alias("total"), count_if(status == "Annotated").alias("annotated"), count_if(status == NO_OPINION).alias("no_opinion"), count_if(status == "Needs Review").alias("needs_review"),
+        count_if(F.col("aspect") == other).alias("other"),
+    )
+    pct = [percent(F.col(c), F.col("total")).alias(f"{c}_pct") for c in ("annotated", "no_opinion")]
+    counts = ["total", "annotated", "no_opinion", "needs_review", "other"]
+    wide = n.select("version", *[F.col(c).cast("double").alias(c) for c in counts], *pct)
+    long = wide.unpivot(["version"], [*counts, "annotated_pct", "no_opinion_pct"], "metric", "value")
+    return long.groupBy("metric").pivot("version", list(versions)).agg(F.first("value"))
 
 
 def confusion(predictions: DataFrame, truth: str = "y", predicted: str = "p") -> DataFrame:

@@ -37,14 +37,18 @@ def recency_weights(reviews: DataFrame, half_life_days: float, order: list[str])
     Age counts from the entity's latest date. A missing date takes the entity's median age; an entity without any date
     takes the rank of the row in ``order`` as age.
     """
-    entity = Window.partitionBy("Restaurant")
     seconds = F.col("Review_Date").cast("timestamp").cast("double")
-    age = (F.max(seconds).over(entity) - seconds) / 86400.0
-    aged = reviews.withColumn("age", age)
-    medians = aged.filter("age IS NOT NULL").groupBy("Restaurant").agg(F.percentile("age", F.lit(0.5)).alias("median_age"))
-    rank = F.row_number().over(entity.orderBy(*order)) - 1
-    days = F.coalesce("age", "median_age", rank.cast("double"))
-    return aged.join(medians, "Restaurant", "left").withColumn("weight", F.exp(-math.log(2.0) / half_life_days * days)).drop("age", "median_age")
+    dated = reviews.filter(F.col("Review_Date").isNotNull()).select("Restaurant", seconds.alias("s"))
+    # the median age is the age of the median date; a row for each entity
+    entities = dated.groupBy("Restaurant").agg(F.max("s").alias("_latest"), F.percentile("s", F.lit(0.5)).alias("_median"))
+    aged = reviews.join(entities, "Restaurant", "left")
+    age = (F.col("_latest") - F.coalesce(seconds, F.col("_median"))) / 86400.0
+    weight = lambda days: F.exp(-math.log(2.0) / half_life_days * days)
+    known = aged.filter(F.col("_latest").isNotNull()).withColumn("weight", weight(age))
+    # only rows of entities without any date are ranked
+    rank = F.row_number().over(Window.partitionBy("Restaurant").orderBy(*order)) - 1
+    other = aged.filter(F.col("_latest").isNull()).withColumn("weight", weight(rank.cast("double")))
+    return known.unionByName(other).drop("_latest", "_median")
 
 
 def aspect_health(findings: DataFrame, entities: DataFrame, weighted: bool = False) -> DataFrame:
@@ -80,19 +84,27 @@ def scorecards(health: DataFrame, reviews: DataFrame) -> DataFrame:
     return wide.join(stars, "Restaurant").select(*columns).orderBy(F.desc("Overall_Health"), "Restaurant")
 
 
-def leaderboard(cards: DataFrame) -> DataFrame:
-    """Rank by the overall index; equal indexes share a rank. A row for each entity is ranked."""
-    return cards.select(F.rank().over(Window.orderBy(F.desc("Overall_Health"))).alias("rank"), "Restaurant", "Overall_Health")
-
+def _value_ranks(cards: DataFrame, column: str) -> DataFrame:
+    """(column, first, ties): how many rows have a larger value, and how many this one. A row for each value; the values are rounded, so they are few."""
+    values = cards.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("ties"))
+    before = F.sum("ties").over(Window.orderBy(F.desc(column)).rowsBetween(Window.unboundedPreceding, -1))
+    return values.withColumn("first", F.coalesce(before, F.lit(0)))
 
-def spearman(cards: DataFrame, x: str = "Overall_Health", y: str = "Average_Stars") -> DataFrame:
-    """(n, rho): correlation of average ranks over the entities."""
 
-    def ranked(c: str) -> Column:
-        return F.rank().over(Window.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2
-
-    ranks = cards.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(ranked(x).alias("rx"), ranked(y).alias("ry"))
-    return ranks.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho"))
+def leaderboard(cards: DataFrame) -> DataFrame:
+    """Rank by the overall index; equal indexes share a rank. The values are ranked, and the entities look theirs up."""
+    ranks = _value_ranks(cards, "Overall_Health")
+    return cards.join(ranks, "Overall_Health").select((F.col("first") + 1).cast("int").alias("rank"), "Restaurant", "Overall_Health")
+
+
+def spearman(cards: DataFrame, x: str = "Overall_Health", y: str = "Average_Stars", level: float = 0.05) -> DataFrame:
+    """(n, rho, p_value, significant): correlation of average ranks over the entities, with its two-sided p."""
+    both = cards.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
+    for c, r in ((x, "rx"), (y, "ry")):
+        both = both.join(_value_ranks(both, c).select(c, (F.col("first") + (F.col("ties") + 1) / 2).alias(r)), c)
+    row = both.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).first()
+    p = None if row["rho"] is None else spearman_p(row["rho"], row["n"])
+    return cards.sparkSession.createDataFrame([(row["n"], row["rho"], p, None if p is None else p < level)], "n long, rho double, p_value double, significant boolean")
 
 
 def spearman_p(rho: float, n: int) -> float:

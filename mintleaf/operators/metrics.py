@@ -41,13 +41,18 @@ def aspect_metrics(units: DataFrame, reviews: DataFrame | None = None, by: list[
     )
 
 
-def aspect_metrics_rollup(units: DataFrame, by: str = "Restaurant") -> DataFrame:
-    """Mentions and sentiment counts for each (entity, aspect) and each aspect over all entities, by grouping sets."""
-    units.createOrReplaceTempView("_mintleaf_units")
-    counts = ", ".join(f"count_if(sentiment = '{s}') AS {s}_Count" for s in UNIT_SENTIMENTS)
-    return units.sparkSession.sql(
-        f"SELECT coalesce({by}, 'All') AS {by}, aspect AS Aspect, count(DISTINCT review_id) AS Mention_Count, {counts} FROM _mintleaf_units GROUP BY GROUPING SETS (({by}, aspect), (aspect))"
-    )
+def aspect_metrics_rollup(units: DataFrame, by: str = "Restaurant", total: str = "All", rsd: float | None = None) -> DataFrame:
+    """Mentions and sentiment counts for each (entity, aspect) and each aspect over all entities, by grouping sets.
+
+    Rows over all entities have ``Is_Total`` and the name ``total``; a null entity is an entity. With ``rsd`` the
+    reviews are counted approximately, to that relative standard deviation.
+    """
+    mentions = F.countDistinct("review_id") if rsd is None else F.approx_count_distinct("review_id", rsd)
+    counts = [count_if(F.col("sentiment") == s).alias(f"{s}_Count") for s in UNIT_SENTIMENTS]
+    sets = units.groupingSets([[F.col(by), F.col("aspect")], [F.col("aspect")]], F.col(by), F.col("aspect"))
+    rows = sets.agg(F.grouping(by).alias("_all"), mentions.alias("Mention_Count"), *counts)
+    named = F.when(F.col("_all") == 1, F.lit(total)).otherwise(F.col(by)).alias(by)
+    return rows.select(named, F.col("aspect").alias("Aspect"), (F.col("_all") == 1).alias("Is_Total"), "Mention_Count", *[f"{s}_Count" for s in UNIT_SENTIMENTS])
 
 
 def monthly_trends(units: DataFrame) -> DataFrame:

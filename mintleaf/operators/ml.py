@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import keyword_only
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.param.shared import HasInputCol, HasOutputCol
+from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +23,38 @@ from mintleaf.operators.evaluate import classification_report
 
 
 def tfidf_stages(text: str = "text", vocabulary: int = 10_000, min_df: int = 2) -> list:
-    """Word 1- and 2-grams, counted, weighted by inverse document frequency, of unit length."""
+    """Word 1- and 2-grams with sublinear counts 1 + ln(tf), times 1 + ln((n + 1) / (df + 1)), of unit length."""
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__")
-    counts = CountVectorizer(inputCol="_grams", outputCol="_tf", vocabSize=vocabulary, minDF=min_df)
-    return [words, pairs, both, counts, IDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
+    counts = CountVectorizer(inputCol="_grams", outputCol="_raw", vocabSize=vocabulary, minDF=min_df)
+    return [words, pairs, both, counts, Sublinear(inputCol="_raw", outputCol="_tf"), SmoothIDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
+
+
+class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """1 + ln(x) of the entries of a sparse vector; the one step here that Spark's own transformers lack."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _transform(self, dataset: DataFrame) -> DataFrame:
+        damp = F.udf(lambda v: None if v is None else SparseVector(v.size, v.indices, [1 + math.log(x) for x in v.values]), VectorUDT())
+        return dataset.withColumn(self.getOutputCol(), damp(F.col(self.getInputCol())))
+
+
+class SmoothIDF(Estimator, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
+    """Fits inverse document frequencies, and gives a product with them plus 1."""
+
+    @keyword_only
+    def __init__(self, *, inputCol=None, outputCol=None):
+        super().__init__()
+        self._set(**self._input_kwargs)
+
+    def _fit(self, dataset: DataFrame) -> ElementwiseProduct:
+        idf = IDF(inputCol=self.getInputCol(), outputCol="_").fit(dataset).idf
+        return ElementwiseProduct(scalingVec=Vectors.dense(idf.toArray() + 1), inputCol=self.getInputCol(), outputCol=self.getOutputCol())
 
 
 def class_weights(rows: DataFrame, label: str = "label", boost: dict | None = None) -> DataFrame:
@@ -102,5 +137,25 @@ def saved_and_reloaded(model: PipelineModel, rows: DataFrame, path: str, key: st
     return a.join(b, key).filter("a != b").count()
 
 
-def rank_in_group(rows: DataFrame, group: str, order: list) -> DataFrame:
-    return rows.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order)))
+def user_scorer(load: Callable[[], Callable[[list[str]], np.ndarray]], labels: list[str], batch: int = 64) -> Callable[[Column], Column]:
+    """A column function that scores texts with a model of the user's own: struct(sentiment, confidence, probs, polarity_score).
+
+    ``load`` is called once in each task and gives a function from texts to logits, a row for each text; texts reach it in
+    batches of ``batch``. A null text counts as empty.
+    """
+    kind = "struct<sentiment: string, confidence: double, probs: map<string, double>, polarity_score: double>"
+
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for part in parts:
+            texts = part.fillna("").tolist()
+            logits = np.concatenate([np.asarray(model(texts[a : a + batch]), float) for a in range(0, len(texts), batch)]) if texts else np.zeros((0, len(labels)))
+            odds = np.exp(logits - logits.max(axis=1, keepdims=True)) if len(texts) else logits
+            p = odds / odds.sum(axis=1, keepdims=True)
+            best = p.argmax(axis=1) if len(texts) else []
+            yield pd.DataFrame({
+                "sentiment": [labels[k] for k in best], "confidence": p.max(axis=1).round(3) if len(texts) else [], "probs": [dict(zip(labels, row, strict=True)) for row in p.round(3).tolist()],
+                "polarity_score": (p[:, labels.index("Positive")] - p[:, labels.index("Negative")]).round(3),
+            })
+
+    return F.pandas_udf(run, kind)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mintleaf.functions.text import hits
+
 
 def hash_order(*columns: str, seed: int = 42) -> Column:
     """A number that orders rows at random: the md5 of the columns and the seed (the same in other engines)."""
@@ -47,8 +49,28 @@ def leakage(rows: DataFrame, keys: list[str], split: str = "split") -> DataFrame
 
 
 def split_manifest(rows: DataFrame, group: str, label: str, split: str = "split") -> DataFrame:
-    """(split, label, groups, rows): the make-up of each split."""
-    return rows.groupBy(split, label).agg(F.countDistinct(group).alias("groups"), F.count(F.lit(1)).alias("rows"))
+    """(split, groups, rows, classes): the make-up of each split; classes maps each label to its rows."""
+    sizes = rows.groupBy(split, label).agg(F.count(F.lit(1)).alias("n")).groupBy(split).agg(
+        F.sum("n").alias("rows"), F.map_from_entries(F.sort_array(F.collect_list(F.struct(F.col(label).cast("string"), "n")))).alias("classes")
+    )
+    return sizes.join(rows.groupBy(split).agg(F.countDistinct(group).alias("groups")), split).select(split, "groups", "rows", "classes")
+
+
+def split_ids(rows: DataFrame, group: str, split: str = "split") -> DataFrame:
+    """(split, group) in order: the ids of each split, as rows, so that no list of all of them is held in one place."""
+    return rows.select(split, group).distinct().orderBy(split, group)
+
+
+def holdout_mix(rows: DataFrame, benchmark: DataFrame, group: str, train_share: float = 0.70, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """The rows with the benchmark's training share added (``from_benchmark``), and the benchmark's holdout.
+
+    Whole groups of the benchmark fall to either side in hash order; training rows of a group in the holdout go.
+    """
+    parts = group_split(benchmark, group, shares=(train_share, 0.0), seed=seed).withColumnRenamed("split", "_split")
+    placed = benchmark.join(parts, group)
+    holdout = placed.filter("_split != 'train'").drop("_split")
+    train = rows.withColumn("from_benchmark", F.lit(False)).unionByName(placed.filter("_split = 'train'").drop("_split").withColumn("from_benchmark", F.lit(True)), allowMissingColumns=True)
+    return train.join(holdout.select(group).distinct(), group, "left_anti"), holdout
 
 
 def n_per_group(rows: DataFrame, group: list[str], key: str, n: int, seed: int = 42) -> DataFrame:
@@ -60,7 +82,9 @@ def n_per_group(rows: DataFrame, group: list[str], key: str, n: int, seed: int =
 def quota_sample(rows: DataFrame, quotas: DataFrame, cell: list[str], key: str, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """Rows up to the quota of their cell in hash order, and a report (cell, quota, available, taken)."""
     rank = F.row_number().over(Window.partitionBy(*cell).orderBy(hash_order(key, seed=seed), key))
-    ranked = rows.withColumn("_r", rank)
+    # no cell takes more than the largest quota, which Spark applies before the rows are shuffled
+    most = quotas.agg(F.max("quota")).first()[0] or 0
+    ranked = rows.withColumn("_r", rank).filter(F.col("_r") <= most)
     taken = ranked.join(F.broadcast(quotas), cell).filter(F.col("_r") <= F.col("quota")).drop("_r", "quota")
     counts = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("available"))
     report = quotas.join(counts, cell, "left").withColumn("available", F.coalesce("available", F.lit(0))).withColumn("taken", F.least("available", "quota"))
@@ -70,6 +94,29 @@ def quota_sample(rows: DataFrame, quotas: DataFrame, cell: list[str], key: str,
 def balanced_candidates(clauses: DataFrame, per_star: int = 250, most: int = 500, words=(4, 20), seed: int = 42) -> DataFrame:
     """At most ``per_star`` clauses of each star rating and ``most`` in all, of 4 to 20 words, without repeats (any case)."""
     n = F.size(F.split(F.trim("clause_text"), r"\s+"))
-    first = F.row_number().over(Window.partitionBy(F.lower("clause_text")).orderBy("clause_id"))
-    once = clauses.filter(n.between(*words)).withColumn("_r", first).filter("_r = 1").drop("_r")
+    fit = clauses.filter(n.between(*words))
+    once = fit.groupBy(F.lower("clause_text").alias("_low")).agg(F.min_by(F.struct(*fit.columns), "clause_id").alias("_first")).select("_first.*")
     return n_per_group(once, ["star_rating"], "clause_id", per_star, seed).orderBy(hash_order("clause_id", seed=seed), "clause_id").limit(most)
+
+
+#: Words of the heuristic labels; an aspect is the first in this order with a word in the clause.
+GOLD_ASPECTS = {
+    "Service": ["waiter", "staff", "service", "manager", "slow", "delay", "wait", "rude", "behaviour"],
+    "Price": ["price", "expensive", "cost", "worth", "bill", "money", "budget", "cheap", "costly"],
+    "Ambience": ["ambience", "atmosphere", "decor", "music", "seating", "clean", "interior", "vibe", "noisy"],
+    "Food": ["food", "taste", "biryani", "chicken", "portion", "dish", "spicy", "fresh", "stale", "curry", "delicious"],
+}
+GOLD_POSITIVE = ["good", "great", "delicious", "tasty", "amazing", "excellent", "fresh", "best", "nice", "polite", "fast", "worth"]
+GOLD_NEGATIVE = ["bad", "worst", "horrible", "poor", "slow", "cold", "dirty", "rude", "overpriced", "stale", "disappointing", "not good"]
+
+
+def gold_labels(clauses: DataFrame, text: str = "clause_text", rating: str = "star_rating", aspects=None, positive=None, negative=None) -> DataFrame:
+    """``clauses`` with ``gold_aspect`` and ``gold_sentiment`` by words; a tie of the polarities is settled by the rating."""
+    low = F.lower(F.coalesce(F.col(text), F.lit("")))
+    aspect = F.lit("General")
+    for name, words in reversed(list((aspects or GOLD_ASPECTS).items())):
+        aspect = F.when(hits(low, words) > 0, name).otherwise(aspect)
+    pos, neg = hits(low, positive or GOLD_POSITIVE), hits(low, negative or GOLD_NEGATIVE)
+    stars = F.col(rating)
+    by_stars = F.when(stars == 3, "Neutral").when(stars >= 4, "Positive").otherwise("Negative")
+    return clauses.withColumns({"gold_aspect": aspect, "gold_sentiment": F.when(pos > neg, "Positive").when(neg > pos, "Negative").otherwise(by_stars)})

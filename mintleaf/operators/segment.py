@@ -33,37 +33,40 @@ def clauses(text: Column) -> Column:
     return F.when(F.coalesce(F.length(whole), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.size(kept) == 0, F.array(whole)).otherwise(kept)
 
 
+_SPACES = " \t\n\x0b\f\r"
+
+
 def spans(text: Column, boundary: str = BOUNDARY) -> Column:
     """Array of (start, end, text) clauses with text = substring from start to end; clauses without a word character go.
 
     Without any clause a text that isn't blank is one clause, trimmed.
     """
     cut = F.split(F.regexp_replace(text, f"(?i)({boundary})", f"{_MARK}$1{_MARK}"), _MARK)
-    # pieces at even places are clauses, those at odd places boundaries; their lengths add up to the offsets
-    piece = F.transform(cut, lambda p, i: F.struct((i % 2 == 0).alias("own"), p.alias("p")))
-    fold = F.aggregate(
+    # pieces at even places are clauses, those at odd places boundaries; their lengths add up to the offsets.
+    # each piece is looked at once; the fold only adds numbers up
+    piece = F.transform(cut, lambda p, i: _piece(p, (i % 2 == 0) & p.rlike(r"\w")))
+    return F.aggregate(
         piece,
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + F.length(x["p"])).alias("at"),
-            F.when(x["own"] & x["p"].rlike(r"\w"), F.concat(acc["out"], F.array(_span(acc["at"], x["p"])))).otherwise(acc["out"]).alias("out"),
-        ),
-    )["out"]
-    nothing = F.array().cast("array<struct<start:int,end:int,text:string>>")
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", nothing).when(F.size(fold) == 0, F.array(_span(F.lit(0), text))).otherwise(fold)
+        lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["own"], F.concat(acc["out"], F.array(_moved(acc["at"], x)))).otherwise(acc["out"]).alias("out")),
+        lambda acc: F.when((F.size(acc["out"]) > 0) | (F.trim(text, F.lit(_SPACES)) == ""), acc["out"]).otherwise(F.array(_moved(F.lit(0), _piece(text, F.lit(True))))),
+    )
+
+
+def _piece(text: Column, own: Column) -> Column:
+    """A piece's length, white space on its left, and bare text."""
+    bare = F.ltrim(text, F.lit(_SPACES))
+    return F.struct(own.alias("own"), F.length(text).alias("n"), (F.length(text) - F.length(bare)).alias("left"), F.rtrim(bare, F.lit(_SPACES)).alias("text"))
 
 
-def _span(at: Column, piece: Column) -> Column:
-    """A piece without outer white space, with its offsets."""
-    left = F.length(piece) - F.length(F.regexp_replace(piece, r"^\s+", ""))
-    bare = F.regexp_replace(piece, r"^\s+|\s+$", "")
-    start = at + left
-    return F.struct(start.cast("int").alias("start"), (start + F.length(bare)).cast("int").alias("end"), bare.alias("text"))
+def _moved(at: Column, piece: Column) -> Column:
+    start = at + piece["left"]
+    return F.struct(start.cast("int").alias("start"), (start + F.length(piece["text"])).cast("int").alias("end"), piece["text"].alias("text"))
 
 
 def clause_rows(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY) -> DataFrame:
     """(review_id, clause_id, clause_idx, clause_text, clause_start_char, clause_end_char), ids REV_00001_C01 and so on."""
-    rows = reviews.select("review_id", F.posexplode(spans(F.col(text_col), boundary)).alias("clause_idx", "c"))
+    rows = reviews.filter(F.col(text_col).isNotNull()).select("review_id", F.posexplode(spans(F.col(text_col), boundary)).alias("clause_idx", "c"))
     return rows.select(
         "review_id", F.format_string("%s_C%02d", F.col("review_id"), F.col("clause_idx") + 1).alias("clause_id"), "clause_idx", F.col("c.text").alias("clause_text"),
         F.col("c.start").alias("clause_start_char"), F.col("c.end").alias("clause_end_char"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mintleaf.operators import bayes, clean, health, metrics, units
+from mintleaf.operators import bayes, clean, evaluate, health, metrics, units
 from mintleaf.plans.fixtures import ASSERTIONS_SQL, COUNTS_SQL, ORDER, RESOLVE_SQL, UNITS_SQL, assertions, pct_sql, reviews, shares_sql
 
 PEERS = ["NATION_7", "NATION_3", "NATION_99", "NATION_12"]
@@ -48,7 +48,7 @@ QUERIES = {
     "beta_priors": lambda s, d: _round(bayes.beta_priors(_units(s, d)), ["prior_mean", "alpha", "beta", "M"], 4),
     "beta_priors_sparse": lambda s, d: _round(bayes.beta_priors(_units(s, d), "Negative", "Reviewer"), ["prior_mean", "alpha", "beta", "M"], 4),
     "eb_smoothed_negative": lambda s, d: bayes.smoothed(metrics.aspect_metrics(_units(s, d), reviews(s, d), ["Restaurant"]), bayes.beta_priors(_units(s, d))),
-    "descriptive_insights": lambda s, d: metrics.descriptive_insights(_units(s, d), reviews(s, d), "NATION_3", ["NATION_7", "NATION_12"]).filter("Category != 'Peers'"),
+    "descriptive_insights": lambda s, d: metrics.descriptive_insights(_units(s, d), reviews(s, d), "NATION_3", ["NATION_7", "NATION_12"]),
     "date_window_scope": lambda s, d: metrics.aspect_metrics(metrics.scoped(_units(s, d), "NATION_5", "1999-12-31", "1997-03-01")),
     "sentiment_melt": lambda s, d: metrics.melt_sentiments(metrics.aspect_metrics(_units(s, d), reviews(s, d), ["Restaurant"]), ["Restaurant", "Aspect"]),
     "net_polarity": lambda s, d: metrics.net_polarity(metrics.aspect_metrics(_units(s, d), reviews(s, d))).select("Aspect", "Net_Polarity", "Small_Sample"),
@@ -65,7 +65,9 @@ QUERIES = {
     "health_decay": lambda s, d: _health(s, d, True).drop("aspect_weight").withColumn("effective_weight", F.round("effective_weight", 1)),
     "overall_index_wide": _cards,
     "leaderboard": lambda s, d: health.leaderboard(_cards(s, d)),
-    "spearman_validation": lambda s, d: _round(health.spearman(_cards(s, d)), ["rho"]),
+    "spearman_validation": lambda s, d: _round(health.spearman(_cards(s, d)), ["rho"]).drop("p_value"),
+    "review_years": lambda s, d: reviews(s, d).groupBy(clean.year(F.col("Review_Date")).alias("year"), clean.rating_bin(F.col("star_rating")).alias("bin")).agg(F.count(F.lit(1)).alias("n")),
+    "version_comparison": lambda s, d: evaluate.version_comparison({"first": assertions(s, d).filter("ord_line <= 4"), "second": assertions(s, d).filter("ord_line >= 2")}, reviews(s, d).filter("star_rating <= 3")),
 }
 
 _RATE = pct_sql("coalesce(mentions, 0)", "Eligible_Reviews")
@@ -135,7 +137,7 @@ ORACLE_SQL = {
     "review_aspect_units": f"{_W} SELECT * FROM units",
     "aspect_metrics_all": f"{_W}, {_metrics_sql('')} SELECT * FROM metrics",
     "aspect_metrics_by_entity": f"{_W}, {_metrics_sql('Restaurant')} SELECT * FROM metrics",
-    "aspect_metrics_rollup": f"{_W} SELECT coalesce(Restaurant, 'All') AS Restaurant, aspect AS Aspect, count(DISTINCT review_id) AS Mention_Count, {_UNION_COUNTS} FROM units GROUP BY GROUPING SETS ((Restaurant, aspect), (aspect))",
+    "aspect_metrics_rollup": f"{_W} SELECT CASE WHEN grouping(Restaurant) = 1 THEN 'All' ELSE Restaurant END AS Restaurant, aspect AS Aspect, grouping(Restaurant) = 1 AS Is_Total, count(DISTINCT review_id) AS Mention_Count, {_UNION_COUNTS} FROM units GROUP BY GROUPING SETS ((Restaurant, aspect), (aspect))",
     "review_level_sentiment": f"""{_W} SELECT review_id, min(Restaurant) AS Restaurant,
   CASE WHEN bool_or(sentiment = 'Negative') THEN 'Negative' WHEN bool_or(sentiment = 'Mixed') THEN 'Mixed' WHEN bool_or(sentiment = 'Positive') THEN 'Positive' ELSE 'Neutral' END AS Overall_Sentiment,
   count(DISTINCT aspect) AS Aspects_Mentioned_Count FROM units GROUP BY review_id""",
@@ -159,7 +161,9 @@ SELECT 'Highest volume' AS Category, Aspect || ' is mentioned most' AS Observati
 UNION ALL SELECT 'Lowest volume', low.Aspect || ' is mentioned least', printf('%.1f%%', low.Mention_Rate_Pct), low.Mention_Count FROM low, top WHERE low.Aspect <> top.Aspect
 UNION ALL SELECT 'Highest negative share', Aspect || ' has the highest negative share', printf('%.1f%%', Negative_Pct), Mention_Count FROM neg
 UNION ALL SELECT 'Highest positive share', Aspect || ' has the highest positive share', printf('%.1f%%', Positive_Pct), Mention_Count FROM pos
-UNION ALL SELECT 'Trend', 'Negative share in ' || YearMonth, printf('%.1f -> %.1f', b, p), n FROM t WHERE rn = 1 AND b IS NOT NULL""",
+UNION ALL SELECT 'Trend', 'Negative share in ' || YearMonth, printf('%.1f -> %.1f', b, p), n FROM t WHERE rn = 1 AND b IS NOT NULL
+UNION ALL SELECT 'Peers', 'Negative share against the mean of peers', printf('%.1f vs %.1f', max(rate) FILTER (Restaurant = 'NATION_3'), avg(rate) FILTER (Restaurant <> 'NATION_3')), max(n) FILTER (Restaurant = 'NATION_3')
+  FROM (SELECT Restaurant, count(*) AS n, 100 * (count(*) FILTER (sentiment = 'Negative') / count(*)) AS rate FROM units WHERE Restaurant IN ('NATION_3', 'NATION_7', 'NATION_12') GROUP BY 1)""",
     "date_window_scope": f"{_W}, scope AS (SELECT * FROM units WHERE Restaurant = 'NATION_5' AND Review_Date >= DATE '1997-03-01' AND Review_Date < DATE '2000-01-01'), {_metrics_sql('', 'scope', 'scope')} SELECT * FROM metrics",
     "sentiment_melt": f"{_W}, {_metrics_sql('Restaurant')} " + " UNION ALL ".join(f"SELECT Restaurant, Aspect, '{s}' AS Sentiment, {s}_Count AS Count, {s}_Pct AS Pct, Mention_Count AS Denominator FROM metrics" for s in ("Positive", "Negative", "Neutral", "Mixed")),
     "net_polarity": f"{_W}, {_metrics_sql('')} SELECT Aspect, round_even(10 * (Positive_Pct - Negative_Pct), 0) / 10 AS Net_Polarity, Mention_Count < 10 AS Small_Sample FROM metrics",
@@ -183,5 +187,12 @@ UNION ALL SELECT 'TOTAL', 'TOTAL', count(*), count(DISTINCT clause_id), count(DI
     "leaderboard": f"{_W}{_health_sql(False)}{_CARDS_SQL} SELECT rank() OVER (ORDER BY Overall_Health DESC) AS rank, Restaurant, Overall_Health FROM wide",
     "spearman_validation": f"""{_W}{_health_sql(False)}{_CARDS_SQL},
 r AS (SELECT rank() OVER (ORDER BY Overall_Health) + (count(*) OVER (PARTITION BY Overall_Health) - 1) / 2 AS rx, rank() OVER (ORDER BY Average_Stars) + (count(*) OVER (PARTITION BY Average_Stars) - 1) / 2 AS ry FROM wide)
-SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho FROM r""",
+-- 2.068658: the t value of a two-sided p of 0.05 at 23 degrees of freedom, that of the 25 entities
+SELECT count(*) AS n, round(corr(rx, ry), 6) AS rho, abs(corr(rx, ry)) * sqrt((count(*) - 2) / (1 - corr(rx, ry) ** 2)) > 2.068658 AS significant FROM r""",
+    "review_years": f"{_A} SELECT year(Review_Date) AS year, CASE WHEN star_rating <= 2.5 THEN 'low' WHEN star_rating <= 3.5 THEN 'mid' ELSE 'high' END AS bin, count(*) AS n FROM reviews GROUP BY 1, 2",
+    "version_comparison": f"""{_A}, s AS (SELECT * FROM assertions WHERE review_id IN (SELECT review_id FROM reviews WHERE star_rating <= 3)), v AS (SELECT 'first' AS version, * FROM s WHERE ord_line <= 4 UNION ALL SELECT 'second', * FROM s WHERE ord_line >= 2),
+c AS (SELECT version, count(*) AS total, count(*) FILTER (annotation_status = 'Annotated') AS annotated, count(*) FILTER (annotation_status = 'No Aspect Opinion') AS no_opinion, count(*) FILTER (annotation_status = 'Needs Review') AS needs_review, count(*) FILTER (aspect = 'Other') AS other FROM v GROUP BY 1),
+m AS (SELECT version, unnest(['total', 'annotated', 'no_opinion', 'needs_review', 'other', 'annotated_pct', 'no_opinion_pct']) AS metric,
+  unnest([CAST(total AS DOUBLE), annotated, no_opinion, needs_review, other, {pct_sql("annotated", "total")}, {pct_sql("no_opinion", "total")}]) AS value FROM c)
+SELECT metric, max(value) FILTER (version = 'first') AS first, max(value) FILTER (version = 'second') AS second FROM m GROUP BY 1""",
 }

@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from mintleaf.operators import assertions as asr
 from mintleaf.operators import clean, evaluate, quality, sampling, units
-from mintleaf.plans.fixtures import ASSERTIONS_SQL, PREDICTIONS_SQL, SETS_SQL, UNITS_SQL, assertions, label_sets, predictions, reviews, table
+from mintleaf.plans.fixtures import ASSERTIONS_SQL, PREDICTIONS_SQL, SETS_SQL, UNITS_SQL, assertions, label_sets, pct_sql, predictions, reviews, table
 
 CATEGORIES = ("Food", "Service", "Price / Value", "Ambience", "General Experience")
-THEMES = {"taste": "Food", "staff": "Service", "cost": "Price / Value"}
-CUES = {"Positive": ("red", "small"), "Negative": ("blue", "large")}
+RULES = quality.Corrections(
+    theme_aspects={"taste": "Food", "staff": "Service", "cost": "Price / Value"},
+    overrides=(("widget", "Ambience"),),
+    default_aspect="General Experience",
+    opinions=(("red", "Food", "Positive"), ("blue", "Service", "Negative"), ("small", "Price / Value", "Neutral")),
+    factual="^hot", evaluating="ring", narrative="large|bolt", cues="green|cold",
+    contradictions=((None, "Positive", "blue", None, "Negative", "negative words"), (None, "Negative", "not bad", None, "Neutral", "mild words"), ("Food", None, "cold", "Ambience", "Negative", "another aspect")),
+)
 
 
 def _rows(spark, d):
@@ -24,13 +30,32 @@ def _rows(spark, d):
 
 
 def _corrected(spark, d):
-    return quality.correct(_rows(spark, d), THEMES, "General Experience", CUES, F.col("clause_text").startswith("hot"))
+    return quality.correct(_rows(spark, d), RULES)
 
 
 def _validator(spark, d):
     rows = _rows(spark, d).withColumn("annotation_status", F.when(F.col("ord_part") % 17 == 0, "Done").otherwise(F.col("annotation_status")))
     texts = rows.select("review_id", "clause_text").groupBy("review_id").agg(F.max("clause_text").alias("Review")).filter("review_id NOT LIKE '%7'")
-    return quality.validate(rows, texts).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return quality.validate(rows, texts).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("expected").alias("least_expected"), F.max("actual").alias("most_actual"))
+
+
+#: Words that occur in the driver's texts, in place of those of restaurants.
+GOLD = {"Service": ["en", "der"], "Price": ["ou"], "Ambience": ["ñ", "ß"], "Food": ["a"]}
+GOLD_POSITIVE, GOLD_NEGATIVE = ["e", "an", "th"], ["i", "on", "ch"]
+
+
+def _star_clauses(spark, d):
+    t = table(spark, d, "conversations")
+    return t.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("clause_id"), F.substring("text", 1, 60).alias("clause_text"), (1 + F.col("conv_id") % 5).cast("double").alias("star_rating"))
+
+
+def _holdout(spark, d):
+    """How many rows of each source a training set has, of which holdout groups are gone, and the holdout's own."""
+    r = reviews(spark, d).select("review_id", "Reviewer", "Restaurant")
+    bench = r.filter("Restaurant IN ('NATION_3', 'NATION_4')")
+    train, holdout = sampling.holdout_mix(r.filter("Restaurant != 'NATION_3'"), bench, "Reviewer")
+    counted = train.groupBy("from_benchmark").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("Reviewer").alias("reviewers"))
+    return counted.unionByName(holdout.agg(F.lit(None).cast("boolean").alias("from_benchmark"), F.count(F.lit(1)).alias("n"), F.countDistinct("Reviewer").alias("reviewers")))
 
 
 def _split(spark, d):
@@ -53,6 +78,10 @@ QUERIES = {
     "cooccurrence_matrix": lambda s, d: evaluate.cooccurrence(label_sets(s, d)),
     "error_examples": lambda s, d: evaluate.error_examples(label_sets(s, d)),
     "no_aspect_audit": lambda s, d: evaluate.no_aspect_audit(label_sets(s, d)),
+    "no_aspect_breakdown": lambda s, d: evaluate.no_aspect_breakdown(label_sets(s, d)),
+    "contingency_tables": lambda s, d: evaluate.contingency(label_sets(s, d)),
+    "subset_metrics": lambda s, d: evaluate.subset_metrics(label_sets(s, d)),
+    "change_classes": lambda s, d: quality.change_classes(label_sets(s, d)),
     "label_changes": lambda s, d: quality.label_changes(label_sets(s, d)),
     "confusion_matrix": lambda s, d: evaluate.confusion(predictions(s, d)),
     "confusion_f1": lambda s, d: evaluate.classification_report(predictions(s, d)),
@@ -60,11 +89,15 @@ QUERIES = {
     "mcnemar": lambda s, d: evaluate.mcnemar(predictions(s, d), "y", "p", "p2"),
     "ece": lambda s, d: evaluate.expected_calibration_error(predictions(s, d), "conf", F.col("y") == F.col("p")),
     "disagreement_slices": lambda s, d: evaluate.disagreements(predictions(s, d), "y", "p", "p2").groupBy("slice").agg(F.count(F.lit(1)).alias("n")),
-    "bootstrap_ci": lambda s, d: evaluate.bootstrap_macro_f1(predictions(s, d), "vec_id", "y", "p", "p2", list(range(10)), 200),
+    "bootstrap_ci": lambda s, d: evaluate.bootstrap_macro_f1(predictions(s, d), "vec_id", "y", "p", "p2", list(range(10))),
     "binary_label_report": lambda s, d: evaluate.classification_report(table(s, d, "labels"), "quality", "toxic"),
     "grouped_split": _split,
     "grouped_split_leakage": lambda s, d: sampling.leakage(_split_rows(s, d), ["review_id"]),
-    "split_manifest": lambda s, d: sampling.split_manifest(_split_rows(s, d), "review_id", "sentiment"),
+    "split_manifest": lambda s, d: sampling.split_manifest(_split_rows(s, d), "review_id", "sentiment").select("split", "groups", "rows", F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|").alias("classes")),
+    "split_ids": lambda s, d: sampling.split_ids(_split_rows(s, d), "review_id"),
+    "holdout_mix": _holdout,
+    "balanced_candidates": lambda s, d: sampling.balanced_candidates(_star_clauses(s, d), 20, 60).select("clause_id", "star_rating"),
+    "gold_labels": lambda s, d: sampling.gold_labels(_star_clauses(s, d), aspects=GOLD, positive=GOLD_POSITIVE, negative=GOLD_NEGATIVE).select("clause_id", "gold_aspect", "gold_sentiment"),
     "n_per_group": lambda s, d: sampling.n_per_group(reviews(s, d), ["Restaurant"], "review_id", 5).select("Restaurant", "review_id"),
     "quota_sample": lambda s, d: _quota(s, d)[0].select("review_id", "bin"),
     "quota_report": lambda s, d: _quota(s, d)[1],
@@ -74,6 +107,8 @@ QUERIES = {
     "correction_invariants": lambda s, d: quality.correction_invariants(_rows(s, d), _corrected(s, d)),
     "correction_delta": lambda s, d: quality.distribution_delta(_rows(s, d).select("sentiment"), _corrected(s, d).select(F.col("corrected_sentiment").alias("sentiment")), "sentiment"),
     "suspect_scan": lambda s, d: quality.suspects(_rows(s, d), ["red", "ring", "widget", "small"]),
+    "suspect_classes": lambda s, d: quality.classify_suspects(_rows(s, d), "red|blue|ring|old", {"Food": "widget", "Service": "bolt|gear"}, "plate", "old", "hot"),
+    "review_gate": lambda s, d: quality.gate(_rows(s, d).withColumn("annotation_status", F.when(F.col("ord_part") % 19 == 0, "Needs Review").otherwise(F.col("annotation_status")))),
     "key_differences": lambda s, d: quality.key_differences(reviews(s, d).select("review_id"), assertions(s, d).select("review_id").filter("review_id NOT LIKE '%3'"), "review_id"),
     "incremental_intake": lambda s, d: reviews(s, d).join(assertions(s, d).select("review_id").distinct(), "review_id", "left_anti").select("review_id", "Restaurant"),
     "semi_join_reviews": lambda s, d: reviews(s, d).join(units.opinions(assertions(s, d)).filter("aspect = 'Ambience'").select("review_id"), "review_id", "left_semi").select("review_id", "star_rating"),
@@ -103,7 +138,57 @@ _ROWS = """rows_ AS (
     CASE WHEN aspect <> 'Other' THEN aspect END AS aspect, CASE WHEN ord_part % 13 <> 0 THEN sentiment END AS sentiment, annotation_status,
     CASE ord_supp % 3 WHEN 0 THEN 'taste' WHEN 1 THEN 'staff' END AS theme FROM assertions)"""
 
+_SPLIT = f"""{_A}, counted AS (SELECT review_id, sentiment, count(*) AS n FROM assertions WHERE sentiment IS NOT NULL GROUP BY 1, 2),
+dom AS (SELECT review_id, sentiment FROM counted QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY n DESC, sentiment) = 1),
+placed AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5(review_id || '|42'), review_id) AS rn, count(*) OVER (PARTITION BY sentiment) AS n FROM dom),
+parts AS (SELECT review_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
+_CLAUSES = "c AS (SELECT conv_id || '_' || turn AS clause_id, substr(text, 1, 60) AS clause_text, CAST(1 + conv_id % 5 AS DOUBLE) AS star_rating FROM conversations)"
+_has = lambda words: "(" + " + ".join(f"CASE WHEN contains(lower(clause_text), '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
+
+
+def _correction_sql() -> str:
+    """The rules RULES as SQL over rows_."""
+    hit = lambda p: f"regexp_matches(lower(clause_text), '{p}')"
+    first = lambda k: "CASE " + " ".join(f"WHEN {hit(r[0])} THEN '{r[k]}'" for r in RULES.opinions) + " END"
+    aspect = " ".join([*(f"WHEN {hit(p)} THEN '{a}'" for p, a in RULES.overrides), *(f"WHEN theme = '{t}' THEN '{a}'" for t, a in RULES.theme_aspects.items())])
+    none, open_ = "annotation_status = 'No Aspect Opinion'", "annotation_status <> 'No Aspect Opinion' AND aspect IS NOT NULL AND sentiment IS NULL"
+    cases = [  # condition, aspect, sentiment, status, action, reason, confidence
+        (f"{none} AND sentiment IS NOT NULL", f"CASE {aspect} ELSE '{RULES.default_aspect}' END", "CASE WHEN sentiment = 'Mixed' THEN 'Neutral' ELSE sentiment END", "'Annotated'", "changed", "aspect restored", "high"),
+        (f"{none} AND oa IS NOT NULL", "oa", "os", "'Annotated'", "changed", "opinion found", "high"),
+        (f"{open_} AND {hit(RULES.factual)} AND NOT {hit(RULES.evaluating)}", "NULL", "NULL", "'No Aspect Opinion'", "changed", "factual clause", "high"),
+        (f"{open_} AND oa IS NOT NULL", "oa", "os", "'Annotated'", "changed", "sentiment filled", "high"),
+        (f"{open_} AND {hit(RULES.narrative)} AND NOT {hit(RULES.cues)}", "NULL", "NULL", "'No Aspect Opinion'", "changed", "narrative without a cue", "high"),
+    ]
+    for a, s, p, new_a, new_s, why in RULES.contradictions:
+        only = (f" AND aspect = '{a}'" if a else "") + (f" AND sentiment = '{s}'" if s else "")
+        cases.append((f"annotation_status = 'Annotated' AND sentiment IS NOT NULL AND {hit(p)}{only}", f"'{new_a}'" if new_a else "aspect", f"'{new_s}'", "'Annotated'", "changed", why, "high"))
+    cases.append((open_, "aspect", "sentiment", "annotation_status", "unresolved", "ambiguous", "low"))
+    pick = lambda k, other: "CASE " + " ".join(f"WHEN {c[0]} THEN {c[k] if k < 4 else repr(c[k])}" for c in cases) + f" ELSE {other} END"
+    return f"""{_A}, {_ROWS}, o AS (SELECT *, {first(1)} AS oa, {first(2)} AS os FROM rows_), fixed AS (
+  SELECT assertion_id, aspect AS original_aspect, sentiment AS original_sentiment, {pick(1, "aspect")} AS corrected_aspect, {pick(2, "sentiment")} AS corrected_sentiment, {pick(3, "annotation_status")} AS corrected_annotation_status,
+    {pick(4, "'unchanged'")} AS action, {pick(5, "''")} AS reason, {pick(6, "'high'")} AS confidence FROM o)"""
+
+
 ORACLE_SQL = {
+    "correction_log": f"{_correction_sql()} SELECT * FROM fixed WHERE action <> 'unchanged'",
+    "correction_delta": f"""{_correction_sql()}, a AS (SELECT original_sentiment AS value, count(*) AS n FROM fixed GROUP BY 1), b AS (SELECT corrected_sentiment AS value, count(*) AS n FROM fixed GROUP BY 1)
+SELECT coalesce(a.value, b.value) AS value, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL JOIN b ON a.value IS NOT DISTINCT FROM b.value""",
+    "validator_errors": f"""{_A}, {_ROWS}, v AS (SELECT *, CASE WHEN CAST(split_part(assertion_id, '_', 3) AS BIGINT) % 17 = 0 THEN 'Done' ELSE annotation_status END AS st, length(clause_text) AS e FROM rows_),
+t AS (SELECT review_id, max(clause_text) AS txt FROM v WHERE review_id NOT LIKE '%7' GROUP BY 1), j AS (SELECT v.*, txt FROM v LEFT JOIN t USING (review_id)),
+errors AS (
+  SELECT 'missing review' AS rule, 'a review' AS expected, review_id AS actual FROM j WHERE txt IS NULL
+  UNION ALL SELECT 'bad range', '0:' || length(txt), '0:' || e FROM j WHERE txt IS NOT NULL AND NOT (e > 0 AND e <= length(txt))
+  UNION ALL SELECT 'text mismatch', substr(txt, 1, CAST(e AS BIGINT)), clause_text FROM j WHERE e > 0 AND e <= length(txt) AND substr(txt, 1, CAST(e AS BIGINT)) <> clause_text
+  UNION ALL SELECT 'bad status', 'Annotated|Needs Review|No Aspect Opinion', st FROM j WHERE st = 'Done'
+  UNION ALL SELECT 'bad aspect', 'Food|Service|Price / Value|Ambience|General Experience', aspect FROM j WHERE st <> 'No Aspect Opinion' AND aspect IS NULL
+  UNION ALL SELECT 'bad sentiment', 'Positive|Negative|Neutral', sentiment FROM j WHERE st = 'Annotated' AND sentiment IS NULL
+  UNION ALL SELECT 'opinion on no-opinion row', '', concat_ws('/', aspect, sentiment) FROM j WHERE st = 'No Aspect Opinion' AND (aspect IS NOT NULL OR sentiment IS NOT NULL))
+SELECT rule, count(*) AS n, min(expected) AS least_expected, max(actual) AS most_actual FROM errors GROUP BY 1""",
+    "suspect_classes": f"""{_A}, {_ROWS}, x AS (SELECT assertion_id, lower(clause_text) AS c FROM rows_ WHERE annotation_status = 'No Aspect Opinion'),
+y AS (SELECT *, regexp_matches(c, 'red|blue|ring|old') AS e FROM x)
+SELECT assertion_id, CASE WHEN NOT e THEN 'C' WHEN regexp_matches(c, 'widget|bolt|gear') THEN 'A' WHEN contains(c, 'plate') THEN 'B' WHEN contains(c, 'old') THEN 'D' ELSE 'C' END AS class,
+  CASE WHEN NOT e THEN NULL WHEN contains(c, 'widget') THEN 'Food' WHEN regexp_matches(c, 'bolt|gear') THEN 'Service' WHEN contains(c, 'plate') THEN 'General Experience' END AS aspect FROM y""",
+    "review_gate": f"{_A}, {_ROWS} SELECT count(*) FILTER (CAST(split_part(assertion_id, '_', 3) AS BIGINT) % 19 = 0) AS open, count(*) FILTER (CAST(split_part(assertion_id, '_', 3) AS BIGINT) % 19 = 0) = 0 AS passed FROM rows_",
     "multilabel_report": f"""{_ML} SELECT Category, TP, FP, FN, TN, Precision, Recall, F1, Support FROM per
 UNION ALL SELECT 'Macro Avg', NULL, NULL, NULL, NULL, {_R4("avg(Precision)")}, {_R4("avg(Recall)")}, {_R4("avg(F1)")}, sum(Support) FROM per
 UNION ALL SELECT 'Weighted Avg', NULL, NULL, NULL, NULL, {_R4("sum(Precision * Support) / sum(Support)")}, {_R4("sum(Recall * Support) / sum(Support)")}, {_R4("sum(F1 * Support) / sum(Support)")}, sum(Support) FROM per
@@ -116,7 +201,16 @@ y AS (SELECT unnest(r) AS reference_label, p FROM x), z AS (SELECT reference_lab
     "error_examples": f"""{_S}, e AS (SELECT clause_id, c AS Category, CASE WHEN list_contains(predicted, c) THEN 'FP' ELSE 'FN' END AS kind FROM sets, (SELECT unnest({list(CATEGORIES)}) AS c) WHERE list_contains(reference, c) <> list_contains(predicted, c)),
 r AS (SELECT *, row_number() OVER (PARTITION BY Category, kind ORDER BY clause_id) AS rn FROM e) SELECT Category, kind, string_agg(clause_id, '; ' ORDER BY clause_id) AS examples FROM r WHERE rn <= 5 GROUP BY 1, 2""",
     "no_aspect_audit": f"""{_S}, x AS (SELECT len(reference) = 0 AS r, len(predicted) = 0 AS p FROM sets)
-SELECT count(*) AS n, count(*) FILTER (r) AS reference_empty, count(*) FILTER (p) AS predicted_empty, count(*) FILTER (r AND p) AS both_empty, count(*) FILTER (r AND NOT p) AS false_alarms, count(*) FILTER (NOT r AND p) AS missed FROM x""",
+SELECT count(*) AS n, count(*) FILTER (r) AS reference_empty, count(*) FILTER (p) AS predicted_empty, count(*) FILTER (r AND p) AS both_empty, count(*) FILTER (r AND NOT p) AS false_alarms, count(*) FILTER (NOT r AND p) AS missed,
+  {pct_sql("count(*) FILTER (r)", "count(*)", 2)} AS reference_empty_pct, {pct_sql("count(*) FILTER (p)", "count(*)", 2)} AS predicted_empty_pct, {pct_sql("count(*) FILTER (r AND p)", "count(*) FILTER (r)", 2)} AS both_empty_pct,
+  {pct_sql("count(*) FILTER (r AND NOT p)", "count(*) FILTER (r)", 2)} AS false_alarms_pct, {pct_sql("count(*) FILTER (NOT r AND p)", "count(*) FILTER (NOT r)", 2)} AS missed_pct FROM x""",
+    "no_aspect_breakdown": f"""{_S}, x AS (SELECT 'false alarm' AS kind, unnest(predicted) AS aspect FROM sets WHERE len(reference) = 0 UNION ALL SELECT 'missed', unnest(reference) FROM sets WHERE len(predicted) = 0)
+SELECT kind, aspect, count(*) AS n FROM x GROUP BY 1, 2""",
+    "contingency_tables": f"""{_ML} SELECT Category, TP, FN, FP, TN, Support, FP + TN AS Negative_Support, (SELECT count(*) FROM sets) AS N, Precision, Recall, F1, {_R4(_DIV("TN", "(FP + TN)"))} AS Specificity,
+  TP + FN + FP + TN = (SELECT count(*) FROM sets) AS adds_up FROM per""",
+    "subset_metrics": f"""{_S}, x AS (SELECT len(reference) > 0 AS e, CAST(reference = predicted AS DOUBLE) AS x, CAST(len(list_intersect(reference, predicted)) > 0 AS DOUBLE) AS o FROM sets),
+y AS (SELECT 'all' AS subset, * FROM x UNION ALL SELECT CASE WHEN e THEN 'evaluative' ELSE 'no opinion' END, * FROM x) SELECT subset, count(*) AS n, {_R4("avg(x)")} AS exact_match, {_R4("avg(o)")} AS overlap FROM y GROUP BY 1""",
+    "change_classes": f"""{_S} SELECT CASE WHEN reference = predicted THEN 'identical' WHEN len(reference) = 0 THEN 'none to some' WHEN len(predicted) = 0 THEN 'some to none' ELSE 'reassigned' END AS change, count(*) AS n FROM sets GROUP BY 1""",
     "label_changes": f"""{_S}, x AS (SELECT c AS aspect, list_contains(reference, c) AS r, list_contains(predicted, c) AS p FROM sets, (SELECT unnest({list(CATEGORIES)}) AS c))
 SELECT aspect, count(*) FILTER (r AND p) AS kept, count(*) FILTER (p AND NOT r) AS added, count(*) FILTER (r AND NOT p) AS removed FROM x WHERE r OR p GROUP BY 1""",
     "confusion_matrix": f"{_P} SELECT y, p, count(*) AS n, {_R4('count(*) / sum(count(*)) OVER (PARTITION BY y)')} AS row_share FROM predictions GROUP BY y, p",
@@ -143,6 +237,19 @@ SELECT label, {_R4("Precision")} AS Precision, {_R4("Recall")} AS Recall, {_R4("
 UNION ALL SELECT 'accuracy', {_R4("sum(TP) / sum(Support)")}, {_R4("sum(TP) / sum(Support)")}, {_R4("sum(TP) / sum(Support)")}, sum(Support) FROM per
 UNION ALL SELECT 'macro avg', {_R4("avg(Precision)")}, {_R4("avg(Recall)")}, {_R4("avg(F1)")}, sum(Support) FROM per
 UNION ALL SELECT 'weighted avg', {_R4("sum(Precision * Support) / sum(Support)")}, {_R4("sum(Recall * Support) / sum(Support)")}, {_R4("sum(F1 * Support) / sum(Support)")}, sum(Support) FROM per""",
+    "split_manifest": f"""{_SPLIT}, s AS (SELECT a.review_id, a.sentiment, split FROM assertions a JOIN parts USING (review_id) WHERE a.sentiment IS NOT NULL), c AS (SELECT split, sentiment, count(*) AS n FROM s GROUP BY 1, 2),
+m AS (SELECT split, sum(n) AS rows, string_agg(sentiment || '=' || n, '|' ORDER BY sentiment) AS classes FROM c GROUP BY 1) SELECT split, groups, rows, classes FROM m JOIN (SELECT split, count(DISTINCT review_id) AS groups FROM s GROUP BY 1) USING (split)""",
+    "split_ids": f"{_SPLIT} SELECT DISTINCT split, review_id FROM parts",
+    "holdout_mix": f"""{_A}, r AS (SELECT review_id, Reviewer, Restaurant FROM reviews), b AS (SELECT * FROM r WHERE Restaurant IN ('NATION_3', 'NATION_4')), g AS (SELECT DISTINCT Reviewer FROM b),
+p AS (SELECT Reviewer, row_number() OVER (ORDER BY md5(Reviewer || '|42'), Reviewer) <= floor((SELECT count(*) FROM g) * 0.7) AS own FROM g),
+t AS (SELECT false AS from_benchmark, Reviewer FROM r WHERE Restaurant <> 'NATION_3' UNION ALL SELECT true, Reviewer FROM b JOIN p USING (Reviewer) WHERE own)
+SELECT from_benchmark, count(*) AS n, count(DISTINCT Reviewer) AS reviewers FROM t WHERE Reviewer NOT IN (SELECT Reviewer FROM p WHERE NOT own) GROUP BY 1
+UNION ALL SELECT NULL, count(*), count(DISTINCT Reviewer) FROM b JOIN p USING (Reviewer) WHERE NOT own""",
+    "balanced_candidates": rf"""WITH {_CLAUSES}, f AS (SELECT * FROM c WHERE len(regexp_split_to_array(trim(clause_text), '\s+')) BETWEEN 4 AND 20 QUALIFY row_number() OVER (PARTITION BY lower(clause_text) ORDER BY clause_id) = 1),
+g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY star_rating ORDER BY md5(clause_id || '|42'), clause_id) <= 20) SELECT clause_id, star_rating FROM g ORDER BY md5(clause_id || '|42'), clause_id LIMIT 60""",
+    "gold_labels": f"""WITH {_CLAUSES}, h AS (SELECT *, {_has(GOLD_POSITIVE)} AS pos, {_has(GOLD_NEGATIVE)} AS neg FROM c)
+SELECT clause_id, CASE {" ".join(f"WHEN {_has(w)} > 0 THEN '{a}'" for a, w in GOLD.items())} ELSE 'General' END AS gold_aspect,
+  CASE WHEN pos > neg THEN 'Positive' WHEN neg > pos THEN 'Negative' WHEN star_rating = 3 THEN 'Neutral' WHEN star_rating >= 4 THEN 'Positive' ELSE 'Negative' END AS gold_sentiment FROM h""",
     "grouped_split": f"""{_A}, c AS (SELECT review_id, sentiment, count(*) AS n FROM assertions WHERE sentiment IS NOT NULL GROUP BY 1, 2),
 dom AS (SELECT review_id, sentiment FROM c QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY n DESC, sentiment) = 1),
 r AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5(review_id || '|42'), review_id) AS rn, count(*) OVER (PARTITION BY sentiment) AS n FROM dom)
@@ -163,6 +270,6 @@ SELECT DISTINCT review_id, 'missing' AS problem FROM reviews WHERE review_id NOT
   OVER (PARTITION BY review_id ORDER BY ord_line, ord_part, ord_supp, ord_price ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS e FROM assertions)
 SELECT annotation_status, count(e) AS linked, count(*) AS n FROM l GROUP BY 1""",
     "suspect_scan": f"""{_A}, {_ROWS}, h AS (SELECT assertion_id, list_filter(['red', 'ring', 'widget', 'small'], lambda k: contains(lower(clause_text), k)) AS f FROM rows_ WHERE annotation_status = 'No Aspect Opinion')
-SELECT assertion_id, CASE WHEN len(f) >= 2 THEN 'A' ELSE 'B' END AS class, array_to_string(f, '|') AS hits FROM h WHERE len(f) > 0""",
+SELECT assertion_id, len(f) AS n, array_to_string(f, '|') AS hits FROM h WHERE len(f) > 0""",
     "correction_invariants": "SELECT 0 AS lost, 0 AS added, 0 AS text_changed, 0 AS offsets_changed, 0 AS unlogged",
 }

@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mintleaf.functions.text import candidate_terms, clean_text, star_sentiment, word_count
+from mintleaf.functions.text import candidate_terms, canonical, clean_text, decode_sentiment, star_sentiment, word_count
 from mintleaf.operators import assertions as asr
 from mintleaf.operators import clean, complaints, evaluate, match, segment
 from mintleaf.plans.fixtures import table
 
 LEXICON = {"Food": "that than", "Service": "for from", "Price / Value": "with", "Ambience": "was", "General Experience": "this are"}
 POSITIVE, NEGATIVE = ["and", "the"], ["ing", "ble"]
+#: With phrases and short terms, and words that the latency rule and the advice of the staff settle.
+PHRASES = {"Food": "that than|of the|in-the", "Service": "for slow", "Price / Value": "with is|on the", "General Experience": "this recommend"}
+SLOWED = [(r"\bwas\b", "slow"), (r"\bby\b", "music"), (r"\bare\b", "wait to"), (r"\bat\b", "staff recommend")]
+#: Leaves most clauses to the vectors.
+FEW = {"Food": "their", "Ambience": "there|von der"}
 
 
 def _docs(spark, d):
@@ -62,6 +67,35 @@ def _extract(spark, d, boundary=segment.SIMPLE_BOUNDARY):
     return rows.groupBy("aspect", F.col("s.sentiment").alias("sentiment")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("review_id").alias("reviews"))
 
 
+def _slow_clauses(spark, d):
+    """Clauses of texts in which some words became 'slow', 'wait' and so on."""
+    docs = _docs(spark, d)
+    for word, new in SLOWED:
+        docs = docs.withColumn("Review", F.regexp_replace("Review", word, new))
+    return segment.clause_rows(docs)
+
+
+def _turn_vectors(spark, d):
+    """Turns as clauses, each with the vector of its number, and aspects with the mean vector of a label."""
+    v = table(spark, d, "embeddings")
+    turns = _turns(spark, d).withColumn("clause_text", F.when(F.col("turn") == 1, "It was good").when(F.col("turn") == 2, "We went there").otherwise(F.col("clause_text")))
+    near = turns.withColumn("vec_id", F.col("review_id").cast("long") + 100 * F.col("turn")).join(v.select("vec_id", "embedding"), "vec_id").drop("vec_id")
+    names = spark.createDataFrame([(k, a) for k, a in enumerate(LEXICON)], "label int, aspect string")
+    means = match.centroids(v).join(names, "label").select(F.col("label").alias("ord"), "aspect", "centroid")
+    return near, means
+
+
+def _extracted(spark, d):
+    near, means = _turn_vectors(spark, d)
+    rows = match.extract_aspects(near, match.lexicon_table(spark, FEW), means, sentiment=match.lexical_sentiment(F.col("clause_text"), POSITIVE, NEGATIVE))
+    return rows.select("review_id", "clause_id", "aspect", "sentiment", "confidence", "polarity_score", F.element_at("probs", "Positive").alias("p_positive"))
+
+
+def _fallback(spark, d):
+    near, means = _turn_vectors(spark, d)
+    return match.semantic_fallback(near, match.lexicon_matches(near, match.lexicon_table(spark, FEW)), means)
+
+
 def _rules(spark):
     return asr.rule_table(spark, [("that", "Food", "Positive", "taste", "Annotated"), ("of the", "Service", "Negative", "staff", "Annotated"), ("ing", "Ambience", "Neutral", "noise", "Needs Review")])
 
@@ -82,12 +116,12 @@ QUERIES = {
     "star_sentiment_cuts": lambda s, d: _docs(s, d).select("doc_id", star_sentiment(F.col("Rating")).alias("three_class"), star_sentiment(F.col("Rating"), 2.5).alias("other_cut")),
     "text_lengths": lambda s, d: _docs(s, d).select("doc_id", F.length("Review").alias("chars"), word_count(F.col("Review")).alias("words")),
     "clean_text": lambda s, d: _docs(s, d).select("doc_id", F.md5(clean_text(F.col("Review"))).alias("cleaned_md5")),
-    "candidate_terms": lambda s, d: _docs(s, d).select("doc_id", F.size(candidate_terms(F.col("Review"))).alias("n_terms")),
+    "candidate_terms": lambda s, d: _docs(s, d).select("doc_id", F.size(candidate_terms(F.col("Review"))).alias("n_terms"), F.md5(F.concat_ws(" ", candidate_terms(F.col("Review")))).alias("terms_md5")),
     "short_reviews": lambda s, d: _docs(s, d).filter(word_count(F.col("Review")) <= 10).select("doc_id", "Restaurant"),
     "phrase_search": lambda s, d: clean.phrase_search(_docs(s, d), ["of the", "that was", "in the", "zzz"]),
     "review_ids": lambda s, d: clean.with_review_ids(table(s, d, "documents").select("doc_id"), ["doc_id"]).select("doc_id", "original_row_id", "review_id"),
     "clause_segments": _clauses,
-    # the same with the operator's own boundary, whose look-ahead DuckDB lacks: no SQL
+    # the same with the operator's own boundary
     "clause_segments_full": lambda s, d: _clauses(s, d, segment.BOUNDARY),
     "clause_offsets_check_full": lambda s, d: _offsets(s, d, segment.BOUNDARY),
     "clause_counts_full": lambda s, d: evaluate.clause_count_deltas(_clauses(s, d, segment.BOUNDARY), segment.clause_rows(_docs(s, d), boundary=r"\n")),
@@ -101,6 +135,15 @@ QUERIES = {
     "lexical_sentiment": lambda s, d: _turns(s, d).withColumn("s", match.lexical_sentiment(F.col("clause_text"), POSITIVE, NEGATIVE)).select("clause_id", "s.sentiment", "s.confidence", "s.polarity_score"),
     "aspect_sentiment_counts": _extract,
     "semantic_fallback": _semantic,
+    "lexicon_phrases": lambda s, d: match.lexicon_matches(_slow_clauses(s, d), match.lexicon_table(s, PHRASES)),
+    "semantic_fallback_clauses": _fallback,
+    "extract_aspects": _extracted,
+    "aspect_conditioned_text": lambda s, d: _turns(s, d).select("clause_id", F.md5(clean.aspect_conditioned(F.when(F.col("turn") % 3 > 0, F.lit("Food")), F.col("clause_text"))).alias("text_md5")),
+    "canonical_taxonomy": lambda s, d: table(s, d, "part").select("p_partkey", canonical(F.concat(F.lit(" "), F.col("p_type")), {"Medium": "Food", "Promo": "Ambience"}, "General").alias("aspect"), decode_sentiment(F.col("p_size") % 4).alias("sentiment")),
+    "lenient_dates": lambda s, d: table(s, d, "orders").select("o_orderkey", clean.year_month(clean.parse_dates(F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "M/d/yyyy")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy-MM-dd")).otherwise("no date"))).alias("month")),
+    "typed_scores": lambda s, d: table(s, d, "part").select("p_partkey", F.explode(asr.typed_scores(F.concat(F.lit("Food - "), (F.col("p_size") % 6).cast("string"), F.lit("/5, atmosphere: "), (F.col("p_size") % 50 / 10).cast("string"), F.lit("/5")))).alias("t")).select("p_partkey", "t.*"),
+    "conflict_status": lambda s, d: _turns(s, d).select("clause_id", asr.conflict_status(F.col("clause_text").contains("an"), F.col("clause_text").contains("ie"), F.col("clause_text").contains("th")).alias("c")).select("clause_id", "c.status", "c.sentiment"),
+    "target_pairs": lambda s, d: _turns(s, d).select("clause_id", asr.nearest_target(F.array(*[F.struct(F.instr("clause_text", w).alias("pos"), F.lit(w).alias("word")) for w in ("en", "an", "on")]), F.lit(20)).alias("nearest")),
     "rule_cascade": lambda s, d: asr.first_rule(_turns(s, d), _rules(s)).select("clause_id", "priority", "aspect", "sentiment", "theme", "status"),
     "outer_spans": lambda s, d: asr.outer_spans(asr.find_spans(_turns(s, d), ["that", "hat", "the", "he"])).select("clause_id", "start", "end", "span"),
     "elaboration_link": lambda s, d: asr.link_elaborations(_turns(s, d), ["turn"], own_id="clause_id").select("clause_id", "elaboration_of"),
@@ -122,6 +165,8 @@ clauses AS (
   SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY i) - 1 AS clause_idx, clause_text, CAST(clause_start_char AS INTEGER) AS clause_start_char,
     CAST(clause_start_char + length(clause_text) AS INTEGER) AS clause_end_char FROM spans),
 named AS (SELECT *, review_id || '_C' || lpad(CAST(clause_idx + 1 AS VARCHAR), CAST(greatest(2, length(CAST(clause_idx + 1 AS VARCHAR))) AS INTEGER), '0') AS clause_id FROM clauses)"""
+# the look-ahead of the boundary as a group that goes back into the text
+_FULL = _CLAUSES.replace(r"""'(\n|[.!?]+|;)', chr(1) || '\1' || chr(1), 'g'""", r"""'(\r\n|\n|[.!?]+(?:\s+|$)|\s*;\s*|\s+(?:but|however|although|whereas)\s+)|(\s*,\s*)((?:but|however|although|while|yet|whereas|and\s+also)\b)', chr(1) || '\1\2' || chr(1) || '\3', 'gi'""")
 _TOKENS = r"tokens AS (SELECT DISTINCT clause_id, unnest(regexp_extract_all(lower(clause_text), '\b[a-z]{3,}\b')) AS term FROM named)"
 _LEX = "lex AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{t}')" for a, ts in LEXICON.items() for t in ts.split()) + ") v(aspect, term))"
 _MATCH = "matches AS (SELECT DISTINCT clause_id, aspect FROM tokens JOIN lex USING (term))"
@@ -138,6 +183,33 @@ def _lexical(c: str) -> str:
     return f"CASE WHEN {p} > {n} THEN 'Positive' WHEN {n} > {p} THEN 'Negative' ELSE 'Neutral' END"
 
 
+_LATE = r"""((regexp_matches(c, '\b(wait|waited|waiting|delay|delayed|delays)\b') AND NOT regexp_matches(c, '\b(can''?t|cannot)\s+wait\s+to\b'))
+  OR regexp_matches(c, 'took long|took too long|took forever|served late|poor service|rude waiter|ignored|slow service|waiting time|wait time|long wait')
+  OR (regexp_matches(c, '\b\d+\s*(min|mins|minute|minutes|hour|hours|hr|hrs)\b') AND regexp_matches(c, '\b(wait|waited|waiting|took|delay|delayed|order|served|table|food|bill|deliver|delivery)\b'))
+  OR regexp_matches(c, '\bslow\b') AND (NOT regexp_matches(c, '\bslow[\s-]cook(?:ed|ing)?\b|\b(?:music|song|songs|tempo|beat|tracks?|wifi|internet)\b') OR regexp_matches(c, '\b(?:waiter|waitress|staff|service|server|took|late|delay|order|bill)\b')))"""
+_SLOWED_SQL = "text"
+for _word, _new in SLOWED:
+    _SLOWED_SQL = f"regexp_replace({_SLOWED_SQL}, '{_word}', '{_new}', 'g')"
+# the turns' vectors, the aspects' means, lexicon hits and the nearest aspect with its guards
+_NEAR = f"""means AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(CAST(embedding[i] AS DOUBLE)) AS m FROM embeddings, range(1, 65) r(i) WHERE label < 5 GROUP BY label, i) GROUP BY label),
+names AS (SELECT unnest({list(range(5))}) AS label, unnest({list(LEXICON)}) AS aspect),
+u AS (SELECT review_id, clause_id, CASE turn WHEN 1 THEN 'It was good' WHEN 2 THEN 'We went there' ELSE clause_text END AS clause_text, CAST(review_id AS BIGINT) + 100 * turn AS vec_id FROM t),
+n AS (SELECT u.*, names.aspect, list_cosine_similarity(CAST(embedding AS DOUBLE[]), c) AS s, names.label FROM u JOIN embeddings USING (vec_id), means JOIN names USING (label)),
+b AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY s DESC, label) = 1),
+best AS (SELECT review_id, clause_id, clause_text,
+  list_filter(['Ambience', 'Food'], lambda a: CASE a WHEN 'Food' THEN regexp_matches(lower(clause_text), '\\btheir\\b') ELSE regexp_matches(lower(clause_text), '\\bthere\\b|\\bvon\\s+der\\b') END) AS lexical,
+  regexp_matches(lower(clause_text), '\\btheir\\b|\\bthere\\b|\\bvon\\s+der\\b') AS hit,
+  CASE WHEN s >= 0.22 AND NOT (aspect = 'General Experience' AND clause_text IN ('It was good', 'We went there')) THEN aspect END AS near FROM b)"""
+_PHRASES_SQL = r"""w AS (SELECT doc_id, Restaurant, Rating, Review, regexp_extract_all(lower(Review), '[a-z'']+') AS ws FROM d), i AS (SELECT doc_id, Restaurant, Rating, Review, ws[k] AS a, ws[k + 1] AS b, ws[k + 2] AS c, ws[k + 3] AS e FROM w, unnest(range(1, len(ws) + 1)) r(k)),
+pairs AS (SELECT *, CASE WHEN a IN ('the', 'that', 'in') AND b IN ('is', 'was', 'were', 'are', 'tasted', 'looked', 'felt') AND c IN ('of', 'and', 're') THEN a || ' ' || c
+  WHEN a IN ('the', 'that', 'in') AND b IN ('is', 'was', 'were', 'are', 'tasted', 'looked', 'felt') AND c IN ('not', 'never', 'no') AND e IN ('of', 'and', 're') THEN a || ' not ' || e WHEN a IN ('of', 'and', 're') AND b IN ('the', 'that', 'in') THEN a || ' ' || b END AS phrase FROM i),
+phrases AS (SELECT DISTINCT doc_id, Restaurant, Rating, Review, phrase FROM pairs WHERE phrase IS NOT NULL)"""
+
+
+def _ranking_sql(k: int) -> str:
+    return f"ranked AS (SELECT Restaurant, phrase, count(*) AS frequency, row_number() OVER (PARTITION BY Restaurant ORDER BY count(*) DESC, phrase) AS rank FROM phrases WHERE Rating <= 2.5 GROUP BY 1, 2 QUALIFY rank <= {2 * k})"
+
+
 ORACLE_SQL = {
     "clean_reviews": rf"""WITH raw AS (
   SELECT doc_id, trim(source) AS Restaurant, CASE WHEN doc_id % 7 = 0 THEN 'Anonymous' ELSE 'R' || (doc_id % 50) END AS Reviewer, trim(text) AS Review, CAST(1 + doc_id % 5 AS DOUBLE) AS Rating
@@ -151,7 +223,8 @@ SELECT doc_id, Restaurant, Reviewer, Rating, CASE WHEN Rating <= 2 THEN 'Negativ
   CASE WHEN Rating <= 2.5 THEN 'Negative' WHEN Rating <= 3.5 THEN 'Neutral' ELSE 'Positive' END AS other_cut FROM d""",
     "text_lengths": f"WITH {_DOCS} SELECT doc_id, length(Review) AS chars, {_WORDS.format(c='Review')} AS words FROM d",
     "clean_text": rf"""WITH {_DOCS} SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(Review), '(https?://|www\.)[^ \t\r\n]+', ' ', 'g'), '[^ \t\r\n]+@[^ \t\r\n]+', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS cleaned_md5 FROM d""",
-    "candidate_terms": rf"WITH {_DOCS} SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(Review), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')))) AS n_terms FROM d",
+    "candidate_terms": rf"""WITH {_DOCS} SELECT doc_id, len(list_distinct(list_filter(regexp_extract_all(lower(Review), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')))) AS n_terms,
+  md5(coalesce((SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT w, min(i) AS i FROM (SELECT unnest(t) AS w, generate_subscripts(t, 1) AS i FROM (SELECT list_filter(regexp_extract_all(lower(Review), '[\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[a-z]{{3,}}')) AS t)) GROUP BY w)), '')) AS terms_md5 FROM d""",
     "short_reviews": f"WITH {_DOCS} SELECT doc_id, Restaurant FROM d WHERE {_WORDS.format(c='Review')} <= 10",
     "phrase_search": f"""WITH {_DOCS}, h AS (SELECT p AS phrase, review_id, row_number() OVER (PARTITION BY p ORDER BY review_id) AS r FROM d, (SELECT unnest(['of the', 'that was', 'in the', 'zzz']) AS p) WHERE contains(lower(Review), p))
 SELECT phrase, count(*) AS n, string_agg(review_id, '|' ORDER BY review_id) FILTER (r <= 5) AS review_ids FROM h GROUP BY phrase""",
@@ -161,6 +234,47 @@ SELECT phrase, count(*) AS n, string_agg(review_id, '|' ORDER BY review_id) FILT
     "clause_counts": rf"""WITH {_DOCS}, {_CLAUSES}, a AS (SELECT review_id, count(*) AS na FROM named GROUP BY 1),
 b AS (SELECT review_id, len(list_filter(string_split(Review, chr(10)), lambda x: regexp_matches(x, '\w'))) AS nb FROM d)
 SELECT coalesce(nb, 0) - coalesce(na, 0) AS delta, count(*) AS n FROM a FULL JOIN b USING (review_id) WHERE coalesce(na, 0) + coalesce(nb, 0) > 0 GROUP BY 1""",
+    "clause_segments_full": f"WITH {_DOCS}, {_FULL} SELECT review_id, clause_id, clause_idx, clause_text, clause_start_char, clause_end_char FROM named",
+    "clause_offsets_check_full": f"WITH {_DOCS}, {_FULL} SELECT count(*) AS n, count(*) AS matches FROM named",
+    "clause_counts_full": rf"""WITH {_DOCS}, {_FULL}, a AS (SELECT review_id, count(*) AS na FROM named GROUP BY 1),
+b AS (SELECT review_id, len(list_filter(string_split(Review, chr(10)), lambda x: regexp_matches(x, '\w'))) AS nb FROM d)
+SELECT coalesce(nb, 0) - coalesce(na, 0) AS delta, count(*) AS n FROM a FULL JOIN b USING (review_id) WHERE coalesce(na, 0) + coalesce(nb, 0) > 0 GROUP BY 1""",
+    "lexicon_match_full": f"WITH {_DOCS}, {_FULL}, {_TOKENS}, {_LEX}, {_MATCH} SELECT * FROM matches",
+    "aspect_sentiment_counts_full": f"WITH {_DOCS}, {_FULL}, {_TOKENS}, {_LEX}, {_MATCH} SELECT aspect, {_lexical('clause_text')} AS sentiment, count(*) AS n, count(DISTINCT review_id) AS reviews FROM named JOIN matches USING (clause_id) GROUP BY 1, 2",
+    "lexicon_phrases": rf"""WITH {_DOCS.replace("text AS Review", _SLOWED_SQL + " AS Review")}, {_FULL}, x AS (SELECT clause_id, lower(clause_text) AS c FROM named), y AS (SELECT *, {_LATE} AS late FROM x),
+h AS (SELECT clause_id, 'Food' AS aspect FROM y WHERE regexp_matches(c, '\b(that|than)\b|\bof\s+the\b|\bin[\s-]the\b') UNION ALL SELECT clause_id, 'Service' FROM y WHERE late OR regexp_matches(c, '\bfor\b')
+  UNION ALL SELECT clause_id, 'Price / Value' FROM y WHERE regexp_matches(c, '\bwith\b|\bis\b|\bon\s+the\b')
+  UNION ALL SELECT clause_id, 'General Experience' FROM y WHERE regexp_matches(c, '\bthis\b') OR regexp_matches(c, '\brecommend\b') AND NOT regexp_matches(c, '\b(waiter|waitress|server|staff|captain)\s+(recommend|recommended|suggested)\b')) SELECT * FROM h""",
+    "semantic_fallback_clauses": f"WITH {_TURNS}, {_NEAR} SELECT clause_id, near AS aspect FROM best WHERE NOT hit AND near IS NOT NULL",
+    "extract_aspects": f"""WITH {_TURNS}, {_NEAR}, f AS (SELECT review_id, clause_id, clause_text, unnest(CASE WHEN hit THEN lexical WHEN near IS NOT NULL THEN [near] ELSE [] END) AS aspect, {_lexical("clause_text")} AS sentiment FROM best)
+SELECT review_id, clause_id, aspect, sentiment, CASE sentiment WHEN 'Neutral' THEN 0.6 ELSE 0.8 END AS confidence, CASE sentiment WHEN 'Positive' THEN 0.6 WHEN 'Negative' THEN -0.6 ELSE 0.0 END AS polarity_score,
+  CASE sentiment WHEN 'Positive' THEN 0.8 WHEN 'Negative' THEN 0.1 ELSE 0.2 END AS p_positive FROM f""",
+    "aspect_conditioned_text": f"WITH {_TURNS} SELECT clause_id, CASE WHEN turn % 3 > 0 THEN md5('Aspect: Food [SEP] ' || clause_text) END AS text_md5 FROM t",
+    "canonical_taxonomy": "SELECT p_partkey, CASE p_type WHEN 'MEDIUM' THEN 'Food' WHEN 'PROMO' THEN 'Ambience' ELSE 'General' END AS aspect, CASE p_size % 4 WHEN 0 THEN 'Negative' WHEN 2 THEN 'Positive' ELSE 'Neutral' END AS sentiment FROM part",
+    "lenient_dates": "SELECT o_orderkey, CASE WHEN o_orderkey % 3 < 2 THEN strftime(o_orderdate, '%Y-%m') END AS month FROM orders",
+    "typed_scores": """WITH s AS (SELECT p_partkey, unnest(['Food', 'Ambience']) AS aspect, unnest([CAST(p_size % 6 AS DOUBLE), p_size % 50 / 10.0]) AS score FROM part)
+SELECT p_partkey, aspect, score, CASE WHEN score >= 3.5 THEN 'Positive' WHEN score >= 3 THEN 'Neutral' ELSE 'Negative' END AS sentiment FROM s""",
+    "conflict_status": f"""WITH {_TURNS}, x AS (SELECT clause_id, contains(clause_text, 'an') AS p, contains(clause_text, 'ie') AS n, contains(clause_text, 'th') AS a FROM t)
+SELECT clause_id, CASE WHEN p AND n OR (p OR n) AND NOT a THEN 'Needs Review' WHEN p OR n THEN 'Annotated' ELSE 'No Aspect Opinion' END AS status,
+  CASE WHEN p AND n THEN 'Unclear' WHEN (p OR n) AND NOT a THEN NULL WHEN p THEN 'Positive' WHEN n THEN 'Negative' END AS sentiment FROM x""",
+    "target_pairs": f"""WITH {_TURNS}, x AS (SELECT clause_id, w AS nearest, instr(clause_text, w) AS pos FROM t, (SELECT unnest(['en', 'an', 'on']) AS w))
+SELECT clause_id, nearest FROM x QUALIFY row_number() OVER (PARTITION BY clause_id ORDER BY abs(pos - 20), pos, nearest) = 1""",
+    "discourse_clauses": rf"""WITH {_DOCS}, m AS (SELECT doc_id, trim(Review) AS w FROM d WHERE Review IS NOT NULL AND trim(Review) <> ''),
+a AS (SELECT *, regexp_replace(w, '([.!?;\n—])', '\1' || chr(1), 'g') AS x FROM m),
+b AS (SELECT *, regexp_replace(x, '(^|' || chr(1) || ')(\s*)(?:{segment.CONCESSIVE})\s+([^,' || chr(1) || ']+),\s*', '\1\2\3' || chr(1), 'gi') AS y FROM a),
+c AS (SELECT *, string_split(regexp_replace(y, '\b(?:{segment.CONCESSIVE}|{segment.CONTRASTIVE})\b', chr(1), 'gi'), chr(1)) AS parts FROM b),
+k AS (SELECT doc_id, w, list_filter(list_transform(parts, lambda p: trim(regexp_replace(regexp_replace(p, '^[ ,;:\-—\n\r\t]+|[ ,;:\-—\n\r\t]+$', '', 'g'), '^(?:{segment.LEADING})\s+', '', 'i'))), lambda p: len(regexp_split_to_array(p, '\s+')) >= 2) AS kept FROM c),
+f AS (SELECT doc_id, CASE WHEN len(kept) = 0 THEN [w] ELSE kept END AS kept FROM k)
+SELECT doc_id, CAST(unnest(range(0, len(kept))) AS INTEGER) AS idx, unnest(kept) AS clause FROM f""",
+    "outer_spans": f"""WITH {_TURNS}, p AS (SELECT unnest(['that', 'hat', 'the', 'he']) AS span), s AS (SELECT clause_id, span, string_split(lower(clause_text), span) AS parts FROM t, p),
+h AS (SELECT clause_id, span, list_sum(list_transform(parts[1:i], lambda x: length(x))) + (i - 1) * length(span) AS start FROM s, unnest(range(1, len(parts))) r(i)),
+e AS (SELECT *, start + length(span) AS fin FROM h), o AS (SELECT *, max(fin) OVER (PARTITION BY clause_id ORDER BY start, fin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS far FROM e)
+SELECT clause_id, CAST(start AS INTEGER) AS start, CAST(fin AS INTEGER) AS "end", span FROM o WHERE far IS NULL OR fin > far""",
+    "complaint_ranking": f"WITH {_DOCS}, {_PHRASES_SQL}, {_ranking_sql(5)} SELECT Restaurant, phrase, frequency, rank FROM ranked",
+    "complaint_evidence": f"""WITH {_DOCS}, {_PHRASES_SQL}, {_ranking_sql(2)},
+q AS (SELECT Restaurant, phrase, CASE WHEN length(Review) > 140 THEN substr(Review, 1, 140) || '...' ELSE Review END AS quote, min(doc_id) AS o FROM phrases JOIN ranked USING (Restaurant, phrase) WHERE Rating <= 2.5 GROUP BY 1, 2, 3
+  QUALIFY row_number() OVER (PARTITION BY Restaurant, phrase ORDER BY o) <= 3)
+SELECT Restaurant, phrase, any_value(frequency) AS frequency, any_value(rank) AS rank, md5(string_agg(quote, '|' ORDER BY o)) AS evidence_quotes FROM ranked JOIN q USING (Restaurant, phrase) GROUP BY 1, 2""",
     "lexicon_match": f"WITH {_DOCS}, {_CLAUSES}, {_TOKENS}, {_LEX}, {_MATCH} SELECT * FROM matches",
     "latency_rule": rf"""WITH {_TURNS}, x AS (SELECT clause_id, lower(regexp_replace(clause_text, '(?i)that', 'wait', 'g')) AS c FROM t)
 SELECT clause_id, (regexp_matches(c, '\b(wait|waited|waiting|delay|delayed|delays)\b') AND NOT regexp_matches(c, '\b(can''?t|cannot)\s+wait\s+to\b'))

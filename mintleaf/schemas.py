@@ -18,7 +18,7 @@ def _schema(**columns) -> StructType:
 _S, _I, _L, _D, _T = StringType(), IntegerType(), LongType(), DoubleType(), TimestampType()
 
 #: Raw reviews as they arrive; Rating is text because "Like" occurs.
-RAW_REVIEW = _schema(Restaurant=_S, Reviewer=_S, Review=_S, Rating=_S, Metadata=_S, Time=_S, Pictures=_S)
+RAW_REVIEW = _schema(Restaurant=_S, Reviewer=_S, Review=_S, Rating=_S, Metadata=_S, Time=_S, Pictures=_I)
 CLEAN_REVIEW = _schema(review_id=_S, Restaurant=_S, Reviewer=_S, Review=_S, Rating=_D, Time=_S, Sentiment=_S, Label=_I, Review_Length=_I, Word_Count=_I)
 CLAUSE = _schema(review_id=_S, clause_id=_S, clause_idx=_I, clause_text=_S, clause_start_char=_I, clause_end_char=_I)
 ASSERTION = _schema(

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mintleaf.functions.numbers import softmax
 from mintleaf.operators import evaluate, ml, quality, sampling
 from mintleaf.sources import io
 from mintleaf.streaming.monthly import windowed_counts
@@ -52,21 +53,75 @@ def test_overrides_need_their_precondition(spark):
 
 
 def test_correction_is_logged(spark):
-    rows = spark.createDataFrame([
-        ("a", "good soup", None, None, "Annotated", "taste"), ("b", "went there", "Food", None, "Annotated", None), ("c", "good but bad", "Food", None, "Annotated", None), ("d", "bad soup", "Food", "Positive", "Annotated", None), ("e", "x", "Food", "Neutral", "Annotated", None),
-    ], "assertion_id string, clause_text string, aspect string, sentiment string, annotation_status string, theme string").withColumns({"clause_start_char": F.lit(0), "clause_end_char": F.length("clause_text")})
-    done = quality.correct(rows, {"taste": "Food"}, "General Experience", {"Positive": ("good",), "Negative": ("bad",)}, F.col("clause_text").startswith("went"))
-    got = {r["assertion_id"]: (r["corrected_aspect"], r["corrected_sentiment"], r["action"]) for r in done.collect()}
-    assert got == {"a": ("Food", "Positive", "aspect and sentiment set"), "b": (None, None, "cleared"), "c": ("Food", None, "unresolved"), "d": ("Food", "Negative", "sentiment turned"), "e": ("Food", "Neutral", "kept")}
+    rules = quality.Corrections(
+        {"taste": "Food"}, (("music", "Ambience"),), opinions=((r"\bgood\b", "Food", "Positive"), (r"\brude\b", "Service", "Negative")), factual="^went", evaluating="tasty", narrative=r"\bordered\b", cues="cheap",
+        contradictions=((None, "Positive", "not good", None, "Negative", "negation"), ("Ambience", None, "waiter", "Service", "Negative", "another aspect")),
+    )
+    cases = {  # text, aspect, sentiment, status, theme, rationale -> corrected aspect, sentiment, status, action
+        "a": ("good soup", None, None, "No Aspect Opinion", None, None, "Food", "Positive", "Annotated", "changed"),
+        "b": ("went there", "Food", None, "Annotated", None, None, None, None, "No Aspect Opinion", "changed"),
+        "c": ("soup or not", "Food", None, "Annotated", None, None, "Food", None, "Annotated", "unresolved"),
+        "d": ("not good", "Food", "Positive", "Annotated", None, None, "Food", "Negative", "Annotated", "changed"),
+        "e": ("x", "Food", "Neutral", "Annotated", None, None, "Food", "Neutral", "Annotated", "unchanged"),
+        "f": ("loud music", None, "Mixed", "No Aspect Opinion", "taste", None, "Ambience", "Neutral", "Annotated", "changed"),
+        "g": ("fine", None, "Positive", "No Aspect Opinion", "taste", "on Service", "Food", "Positive", "Annotated", "changed"),
+        "h": ("fine", None, "Positive", "No Aspect Opinion", None, "on Service", "Service", "Positive", "Annotated", "changed"),
+        "i": ("fine", None, "Positive", "No Aspect Opinion", None, None, "General Experience", "Positive", "Annotated", "changed"),
+        "j": ("rude lot", "Ambience", None, "Annotated", None, None, "Service", "Negative", "Annotated", "changed"),
+        "k": ("ordered two", "Food", None, "Annotated", None, None, None, None, "No Aspect Opinion", "changed"),
+        "l": ("ordered cheap", "Food", None, "Annotated", None, None, "Food", None, "Annotated", "unresolved"),
+        "m": ("the waiter sang", "Ambience", "Positive", "Annotated", None, None, "Service", "Negative", "Annotated", "changed"),
+        "n": (None, None, None, "No Aspect Opinion", None, None, None, None, "No Aspect Opinion", "unchanged"),
+    }
+    schema = "assertion_id string, clause_text string, aspect string, sentiment string, annotation_status string, theme string, rationale string"
+    rows = spark.createDataFrame([(k, *v[:6]) for k, v in cases.items()], schema).withColumns({"clause_start_char": F.lit(0), "clause_end_char": F.length("clause_text")})
+    done = quality.correct(rows, rules)
+    got = {r["assertion_id"]: (r["corrected_aspect"], r["corrected_sentiment"], r["corrected_annotation_status"], r["action"]) for r in done.collect()}
+    assert got == {k: v[6:] for k, v in cases.items()}
     assert all(v == 0 for v in quality.correction_invariants(rows, done).first())
-    assert quality.audit_log(done).count() == 4
+    assert {r["assertion_id"] for r in quality.audit_log(done).collect()} == {k for k, v in cases.items() if v[9] != "unchanged"}
+
+
+def test_queue_gate_and_resolutions(spark):
+    rows = spark.createDataFrame([("a", "cold soup", "Needs Review", "soup", None), ("b", "x", "Needs Review", "", None), ("c", "y", "Annotated", "y", 0)], "assertion_id string, clause_text string, annotation_status string, target_text string, target_start_char int").withColumns({"opinion_text": F.lit(None).cast("string"), "opinion_start_char": F.lit(None).cast("int")})
+    assert tuple(quality.gate(rows).first()) == (2, False) and tuple(quality.gate(rows.filter("assertion_id = 'c'")).first()) == (0, True)
+    done = spark.createDataFrame([("a", "stew"), ("z", "")], "assertion_id string, target_text string")
+    assert {tuple(r) for r in quality.resolution_errors(quality.review_queue(rows), done).collect()} == {("a", "span outside"), ("b", "unresolved"), ("z", "not queued")}
+    assert [tuple(r) for r in quality.missing_offsets(rows).collect()] == [("a", "target", "soup", "cold soup")]
+    left = spark.createDataFrame([("r", "1", "x "), ("r", "2", "y")], "review_id string, clause_id string, clause_text string")
+    right = spark.createDataFrame([("r", "1", "x"), ("r", "3", "z")], "review_id string, clause_id string, clause_text string")
+    assert tuple(quality.alignment_audit(left, right, ["review_id", "clause_id"]).first()) == (1, 1, 1, 0)
+
+
+def test_annotations_meet_their_predictions(spark):
+    a = spark.createDataFrame([("1", "x", 1), ("1", "y", 0), ("2", "z", 0)], "clause_id string, clause_text string, ord int")
+    p = spark.createDataFrame([("1", ["Food", "Service"])], "clause_id string, predicted array<string>")
+    got = {(r["clause_id"], r["clause_text"], r["predicted_label"]) for r in quality.with_predictions(a, p).collect()}
+    assert got == {("1", "y", "Food"), ("1", "y", "Service"), ("2", "z", None)}
+
+
+def test_holdout_groups_leave_the_training_rows(spark):
+    rows = spark.range(300).select((F.col("id") % 30).cast("string").alias("g"), F.lit("own").alias("x"))
+    bench = spark.range(20).select(F.col("id").cast("string").alias("g"), F.lit("bench").alias("x"))
+    train, holdout = sampling.holdout_mix(rows, bench, "g")
+    assert holdout.count() == 6 and train.filter("from_benchmark").count() == 14
+    assert train.join(holdout.select("g").distinct(), "g").count() == 0 and train.filter("NOT from_benchmark").count() == 240
+
+
+def test_softmax_and_wide_errors(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0],), ([1000.0, 0.0, 0.0],)], "m array<double>").select(softmax(F.col("m")).alias("p")).collect()
+    assert df[0]["p"] == pytest.approx([0.0900306, 0.2447285, 0.6652410]) and df[1]["p"] == pytest.approx([1.0, 0.0, 0.0])
+    t = {n: spark.createDataFrame([("1", p, 0.5)], "k string, prediction double, confidence double") for n, p in (("a", 1.0), ("b", 2.0))}
+    assert ml.wide_errors(t, ["k"]).first().asDict() == {"k": "1", "pred_a": 1.0, "conf_a": 0.5, "pred_b": 2.0, "conf_b": 0.5}
 
 
 def test_projected_labels_inherit(spark):
     sets = spark.createDataFrame([("1", ["Food", "Service"])], "clause_id string, predicted array<string>")
     own = spark.createDataFrame([("1", "Food", 1, "taste", "Positive"), ("1", "Price", 0, "cost", "Negative")], "clause_id string, aspect string, ord int, theme string, sentiment string")
-    got = {r["aspect"]: (r["theme"], r["inherited"]) for r in quality.project_labels(sets, own).collect()}
-    assert got == {"Food": ("taste", False), "Service": ("cost", True)}
+    got = {r["aspect"]: (r["assertion_id"], r["theme"], r["inherited"]) for r in quality.project_labels(sets, own).collect()}
+    assert got == {"Food": ("1_A01", "taste", False), "Service": ("1_A02", "cost", True)}
+    none = quality.project_labels(spark.createDataFrame([("1", [])], sets.schema), own).first()
+    assert (none["assertion_id"], none["aspect"], none["annotation_status"], none["theme"]) == ("1_A01", None, "No Aspect Opinion", "cost")
 
 
 def test_sources_round_trip(spark, tmp_path):
@@ -78,6 +133,11 @@ def test_sources_round_trip(spark, tmp_path):
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "j")).collect()) == ['{"a":1.0,"b":null}', '{"a":null,"b":"é"}']
     io.write_parquet(rows, str(tmp_path / "p"), ["Restaurant"])
     assert spark.read.parquet(str(tmp_path / "p")).count() == 2
+    raw = spark.createDataFrame([("X", "P", 'a "b",\nc', "Like", None, None, 3)], io.RAW_REVIEW)
+    io.write_csv(raw, str(tmp_path / "r"))
+    assert [tuple(r) for r in io.read_reviews_csv(spark, str(tmp_path / "r")).collect()] == [("X", "P", 'a "b",\nc', "Like", None, None, 3)]
+    t = io.verification_template(rows, ["Restaurant"]).first()
+    assert (t["reviewer"], t["verification_status"]) == ("", "pending")
 
 
 def test_model_is_reloaded_unchanged(spark, tmp_path):
@@ -90,6 +150,39 @@ def test_model_is_reloaded_unchanged(spark, tmp_path):
     assert s["sentiment"] == "Positive" and s["polarity_score"] > 0
 
 
+def test_every_family_learns_and_is_ranked(spark):
+    words = {0.0: "bad cold stale", 1.0: "fine plain usual", 2.0: "good fresh tasty"}
+    rows = spark.createDataFrame([(k, words[float(k % 3)] + (" soup" if k % 2 else ""), float(k % 3)) for k in range(60)], "id int, text string, label double")
+    train = ml.class_weights(rows)
+    reports = {n: evaluate.classification_report(ml.fit(train, c, vocabulary=50).transform(rows), "label", "prediction") for n, c in ml.classifiers().items()}
+    board = ml.leaderboard(reports).collect()
+    assert [r["model"] for r in board] == sorted(reports) and all(r["macro_f1"] == r["accuracy"] == 1.0 for r in board)
+
+
+def test_features_are_sublinear_and_smooth(spark):
+    import math
+
+    rows = spark.createDataFrame([("aa aa aa bb",), ("aa cc",), ("bb cc",)], "text string")
+    from pyspark.ml import Pipeline
+
+    model = Pipeline(stages=ml.tfidf_stages(vocabulary=10, min_df=2)).fit(rows)
+    v, names = model.transform(rows).first()["features"], model.stages[3].vocabulary
+    idf = math.log(4 / 3) + 1
+    want = {"aa": (1 + math.log(3)) * idf, "bb": idf}
+    norm = math.sqrt(sum(x * x for x in want.values()))
+    assert {names[i]: x for i, x in zip(v.indices.tolist(), v.values.tolist(), strict=True)} == pytest.approx({k: x / norm for k, x in want.items()})
+
+
+def test_a_model_of_the_user_scores_texts(spark):
+    import numpy as np
+
+    score = ml.user_scorer(lambda: lambda texts: np.array([[t.count("bad"), 0, t.count("good")] for t in texts]), ["Negative", "Neutral", "Positive"], 2)
+    rows = spark.createDataFrame([(1, "good good"), (2, "bad"), (3, None)], "id int, text string").select("id", score("text").alias("s")).collect()
+    got = {r["id"]: r["s"] for r in rows}
+    assert [got[k]["sentiment"] for k in (1, 2, 3)] == ["Positive", "Negative", "Negative"] and got[3]["confidence"] == 0.333
+    assert got[1]["probs"]["Positive"] == got[1]["confidence"] == 0.787 and got[1]["polarity_score"] == round(0.787 - 0.106, 2) + 0.0 or got[1]["polarity_score"] == pytest.approx(0.68, abs=2e-3)
+
+
 def test_stream_equals_batch(spark, tmp_path):
     from datetime import datetime
 

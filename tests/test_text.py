@@ -32,7 +32,8 @@ def test_spans_give_their_text(spark, text):
 
 @pytest.mark.parametrize(("text", "want"), [
     ("The music was slow and peaceful", {"Ambience"}), ("We ordered slow cooked mutton", {"Food"}), ("It was so slow", {"Service"}), ("Visited yesterday at 8 PM", set()), ("It was good", set()),
-    ("We waited 40 minutes for the bill", {"Service", "Price / Value"}), ("Great value for money", {"Price / Value"}), ("the ac was loud", {"Ambience"}), (None, set()),
+    ("We waited 40 minutes for the bill", {"Service"}), ("Great value for money", {"Price / Value"}), ("the ac was loud", {"Ambience"}), (None, set()), ("live music", {"Ambience"}), ("All in  all a fine dish", {"Food", "General Experience"}),
+    ("the waiter recommended it", {"Service"}), ("I recommend it", {"General Experience"}),
 ])
 def test_aspects(spark, text, want):
     c = spark.createDataFrame([("1", text)], "clause_id string, clause_text string")
@@ -72,6 +73,42 @@ def test_first_rule_and_outer_spans(spark):
     assert [(r["start"], r["end"]) for r in assertions.outer_spans(hits).collect()] == [(0, 9)]
 
 
+def test_spans_take_words_literally(spark):
+    c = spark.createDataFrame([("1", "a.b (a.b) axb"), ("2", None)], "clause_id string, clause_text string")
+    got = {(r["start"], r["end"], r["span"]) for r in assertions.find_spans(c, ["a.b", "(", "A.B"]).collect()}
+    assert got == {(0, 3, "a.b"), (5, 8, "a.b"), (4, 5, "(")}
+
+
+def test_guards_hold_back_general_clauses(spark):
+    generic = ["It was good", "really nice.", "They were not great!", "all was perfect"]
+    told = ["Visited yesterday", "We went there", "4 of us", "do follow us", "I ordered soup"]
+    other = ["the soup was good", "a lovely evening", "", None]
+    df = spark.createDataFrame([(t,) for t in [*generic, *told, *other]], "t string").select("t", match.only_generic(F.col("t")).alias("g"), match.factual_context(F.col("t")).alias("f")).collect()
+    assert [r["t"] for r in df if r["g"]] == generic and [r["t"] for r in df if r["f"]] == told
+
+
+def test_extraction_takes_the_nearest_aspect_where_no_word_fits(spark):
+    c = spark.createDataFrame([("r", "1", "It was good", [0.0, 1.0]), ("r", "2", "we loved our evening", [0.0, 1.0]), ("r", "3", "tasty mutton", [0.0, 1.0]), ("r", "4", "nothing near", [-1.0, -1.0])], "review_id string, clause_id string, clause_text string, embedding array<double>")
+    table = spark.createDataFrame([(0, "Price / Value", [1.0, 0.0]), (1, "General Experience", [0.0, 1.0])], "ord int, aspect string, centroid array<double>")
+    lex = match.lexicon_table(spark)
+    assert {(r["clause_id"], r["aspect"], r["sentiment"]) for r in match.extract_aspects(c, lex, table).collect()} == {("2", "General Experience", "Positive"), ("3", "Food", "Positive")}
+    assert {r["clause_id"] for r in match.extract_aspects(c, lex).collect()} == {"3"}
+
+
+def test_long_texts_take_time_in_proportion(spark):
+    import time
+
+    words = ["soup was good and the waiter is rude."] * 1000
+    took = []
+    for n in (1, 1, 3):
+        df = spark.createDataFrame([(" ".join(words * n),)], "t string")
+        began = time.time()
+        r = df.select(F.size(complaints.opinion_pairs(F.col("t"), ["soup", "waiter"], ["good", "rude"])).alias("p"), F.size(segment.spans(F.col("t"))).alias("s")).first()
+        took.append(time.time() - began)
+        assert r["p"] == 3 and r["s"] == 1000 * n
+    assert took[2] < 6 * took[1] + 2
+
+
 def test_opinion_pairs_and_merging(spark):
     df = spark.createDataFrame([("The soup was not fresh, rude waiter. The place was dirty",)], "t string")
     pairs = df.select(complaints.opinion_pairs(F.col("t"), ["soup", "waiter", "place"], ["fresh", "rude", "dirty"]).alias("p")).first()["p"]
@@ -79,6 +116,8 @@ def test_opinion_pairs_and_merging(spark):
     ranks = spark.createDataFrame([("X", 1, "rude waiter", 5), ("X", 2, "waiter rude", 3), ("X", 3, "cold soup", 2)], "Restaurant string, rank int, phrase string, frequency bigint")
     got = [(r["root_cause"], r["frequency"]) for r in complaints.merge_like(ranks).orderBy("rank").collect()]
     assert got == [("Rude Waiter", 8), ("Cold Soup", 2)]
+    quoted = ranks.withColumn("evidence_quotes", F.when(F.col("rank") < 3, F.array(F.lit("same"), F.concat(F.lit("q"), F.col("rank").cast("string")))))
+    assert [r["evidence_quotes"] for r in complaints.merge_like(quoted).orderBy("rank").collect()] == [["same", "q1", "q2"], []]
 
 
 def test_number_check(spark):

@@ -78,7 +78,7 @@ def test_decay_favours_recent_reviews(spark):
 
 def test_spearman_p():
     assert health.spearman_p(0.5, 10) == pytest.approx(0.1411, abs=1e-4)
-    assert health.spearman_p(0.9, 20) == pytest.approx(7.3e-8, rel=0.05)
+    assert health.spearman_p(0.9, 20) == pytest.approx(6.5743e-8, rel=1e-4)
 
 
 def test_scope_takes_bounds_in_any_order(spark):
@@ -97,3 +97,35 @@ def test_backfill_only_if_most_dates_miss(spark):
     rows = spark.createDataFrame([("a", None, None), ("b", None, "K")], "review_id string, Review_Date timestamp, Reviewer string")
     got = {r["review_id"]: (r["YearMonth"], r["Reviewer"]) for r in clean.backfill_dates(rows, raw).collect()}
     assert got == {"a": ("2024-03", "P"), "b": ("2024-03", "K")}
+
+
+def test_ids_number_every_wide_row_behind_a_shuffle(spark):
+    spark.conf.set("spark.sql.shuffle.partitions", 32)
+    try:
+        n = 30_000
+        wide = spark.range(n).select(F.col("id").alias("k"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(40)), lambda x: F.sha2((F.col("id") * 41 + x).cast("string"), 256)), "").alias("payload")).repartition(32)
+        got = clean.with_review_ids(wide, ["k"]).select("k", "original_row_id", "review_id", F.length("payload").alias("p")).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert sorted((r["k"], r["original_row_id"]) for r in got) == [(k, k) for k in range(n)] and all(r["p"] == 41 * 64 for r in got)
+    assert {r["review_id"] for r in got if r["k"] in (0, 29_999)} == {"REV_00001", "REV_30000"}
+
+
+def test_rollup_tells_a_null_entity_from_the_total(spark):
+    df = assertions(spark, [("r1", "Food", "Positive", "Annotated", "2024-02"), ("r2", "Food", "Negative", "Annotated", "2024-02")])
+    u = units.review_aspect_units(df, ["o"]).withColumn("Restaurant", F.when(F.col("review_id") == "r1", "X"))
+    got = {(r["Restaurant"], r["Is_Total"]): r["Mention_Count"] for r in metrics.aspect_metrics_rollup(u).collect()}
+    assert got == {("X", False): 1, (None, False): 1, ("All", True): 2}
+    assert {r["Mention_Count"] for r in metrics.aspect_metrics_rollup(u, rsd=0.01).collect()} == {1, 2}
+
+
+def test_spearman_and_ranks_with_ties(spark):
+    cards = spark.createDataFrame([("a", 90.0, 4.5), ("b", 80.0, 4.0), ("c", 80.0, 4.0), ("d", 70.0, 3.0), ("e", 60.0, 3.5)], "Restaurant string, Overall_Health double, Average_Stars double")
+    assert {r["Restaurant"]: r["rank"] for r in health.leaderboard(cards).collect()} == {"a": 1, "b": 2, "c": 2, "d": 4, "e": 5}
+    r = health.spearman(cards).first()
+    assert r["n"] == 5 and r["rho"] == pytest.approx(0.894737, abs=1e-6) and r["p_value"] == pytest.approx(0.0405, abs=1e-3) and r["significant"]
+
+
+def test_lenient_dates(spark):
+    rows = spark.createDataFrame([("2024-01-05 10:00:00",), ("2024-02-05",), ("3/7/2024 9:30",), ("4/7/2024",), ("soon",), (None,)], "t string")
+    assert [r["m"] for r in rows.select(clean.year_month(clean.parse_dates(F.col("t"))).alias("m")).collect()] == ["2024-01", "2024-02", "2024-03", "2024-04", None, None]
