@@ -103,12 +103,12 @@ class Model:
     codes: list[np.ndarray]
     weights: np.ndarray  # of each n-gram and language
 
-    def scores(self, grams: Grams, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The regression values of each language, and the shares of known n-grams."""
+    def scores(self, grams: Grams, texts: list[str], shares: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """The regression values of each language, and with ``shares`` those of known n-grams."""
         out, known = [np.zeros((0, len(self.languages)), np.float32)], np.zeros(len(texts))
         for at in range(0, len(texts), _BLOCK):
             data, offsets = string_bytes(pa.array([t.lower() for t in texts[at : at + _BLOCK]], pa.large_string()))
-            out.append(_unit(grams.presence(data, offsets, known[at : at + _BLOCK])) @ self.weights)
+            out.append(_unit(grams.presence(data, offsets, known[at : at + _BLOCK] if shares else None)) @ self.weights)
         return np.concatenate(out), known
 
 
@@ -170,8 +170,8 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     return Model(languages, grams.codes, (marks.T @ dual).astype(np.float32))
 
 
-def predict(model: Model | None, text: Column, spark) -> Column:
-    """struct<lang_pred: string, score: double, known: double> of whole texts; known: the share of their n-grams that the landmarks hold."""
+def predict(model: Model | None, text: Column, spark, shares: bool = False) -> Column:
+    """struct<lang_pred: string, score: double, known: double> of whole texts; known: with ``shares``, that of their n-grams that the landmarks hold."""
     shared = spark.sparkContext.broadcast(model)
     made: list[Grams] = []
 
@@ -184,7 +184,7 @@ def predict(model: Model | None, text: Column, spark) -> Column:
             if not made:
                 made.append(Grams(model.codes))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
-            for i, values, share[i] in zip(known, *model.scores(made[0], [texts[i] for i in known]), strict=True):
+            for i, values, share[i] in zip(known, *model.scores(made[0], [texts[i] for i in known], shares), strict=True):
                 best = int(values.argmax())
                 lang[i], score[i] = model.languages[best], min(1.0, max(0.0, (1 + float(values[best])) / 2))
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(share, pa.float64())], names=["lang_pred", "score", "known"])
@@ -222,5 +222,5 @@ def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return docs.filter(_letters()(F.col(text_col)))
     tmp = fresh(docs, "_language")
     claimed = (F.col(f"{tmp}.lang_pred") != UNKNOWN) & (F.col(f"{tmp}.known") >= least_known)
-    return docs.withColumn(tmp, predict(model, F.col(text_col), docs.sparkSession)).filter(claimed).drop(tmp)
+    return docs.withColumn(tmp, predict(model, F.col(text_col), docs.sparkSession, True)).filter(claimed).drop(tmp)
 
