@@ -111,6 +111,16 @@ def test_shards_split_a_hot_text(spark):
     assert got == Counter({k: 4 for k in range(16)})
 
 
+def test_a_row_longer_than_a_shard(spark):
+    rows = [(0, "x" * 5000)] + [(k, "y" * 9) for k in range(1, 60)] + [(k, "z") for k in (70, 70, 70)]
+    got = sharding.shard_by_bytes(corpus(spark, rows), 8).collect()
+    assert Counter((r["id"], r["size"]) for r in got) == Counter((i, len(t) + 1) for i, t in rows)
+    per = defaultdict(list)
+    for r in got:
+        per[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in per.values()) and set(per) <= set(range(8))
+
+
 def test_shards_of_nothing(empty):
     assert sharding.shard_by_bytes(empty).count() == 0
 
@@ -261,6 +271,19 @@ def test_near_duplicates_of_odd_rows(spark, empty):
     assert {x: n for x, n in got.items() if x[0] is not None} == {(1, 1, True): 2, (2, 1, False): 1} and all(k and c is None for i, c, k in got if i is None)
 
 
+def test_near_duplicates_of_long_texts_and_of_equal_ids(spark):
+    rng = random.Random(12)
+    long = text(rng, 20_000).split()
+    rows = [(1, " ".join(long)), (2, edited(rng, long, 300)), (3, edited(rng, long, 1500)), (4, text(rng, 20_000))]
+    got = {r["id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(corpus(spark, rows)).collect()}
+    assert got == brute_near(rows) and got[2][1] == 1 and got[3][1] == 3
+    # rows of one id are one document: it links whatever either of its texts links with
+    a, b = text(rng, 60), text(rng, 60)
+    rows = [(5, a), (5, b), (6, edited(rng, a.split(), 1)), (7, edited(rng, b.split(), 1))]
+    got = {(r["id"], r["component_id"]) for r in near_dedup.near_duplicates(corpus(spark, rows)).collect()}
+    assert got == {(5, 5), (6, 5), (7, 5)}
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(250 - k, 300) for k in range(20)] + [(400, 400)]
     got = {r["node"]: r["label"] for r in component_labels(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -286,6 +309,31 @@ def test_language_needs_letters_and_learns_from_the_rest_only(spark, empty):
     assert {r["language"]["lang_pred"] for r in language.identify(swapped).collect()} == {"aa", "bb", "und"}
 
 
+def test_language_model_is_kernel_ridge_regression(spark):
+    rng = random.Random(16)
+    vowels = {"aa": "aeo", "bb": "iuy", "cc": "äöü"}
+    make = lambda lang: " ".join("".join(rng.choice("bcdfg") + rng.choice(vowels[lang]) for _ in range(3)) for _ in range(rng.randrange(1, 12)))
+    rows = [(make(lang), lang) for lang in ["aa", "bb", "cc"] * 10]
+    model = language.fit(spark.createDataFrame(rows + rows[:5], "text string, lang string"), landmarks=40, ridge=0.01)
+    # plainly: all texts are landmarks, the kernel by counting common n-grams, ridge regression in its dual form
+    grams = lambda t: {t.lower().encode()[i : i + n] for n in language.ORDERS for i in range(len(t.lower().encode()) - n + 1)}
+    sets = [grams(t) for t, _ in rows]
+    kernel = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    k = np.array([[kernel(a, b) for b in sets] for a in sets])
+    weight = 0.01 * np.trace(k) / np.linalg.matrix_rank(k)
+    dual = np.linalg.solve(k @ k + weight * k + 1e-9 * np.eye(len(k)), k @ np.array([[1.0 if y == x else -1.0 for x in ("aa", "bb", "cc")] for _, y in rows]))
+    got, _ = model.scores(language.Grams(model.codes), [t for t, _ in rows])
+    assert model.languages == ["aa", "bb", "cc"] and np.abs(got - k @ dual).max() < 0.02
+    assert (got.argmax(axis=1) == (k @ dual).argmax(axis=1)).all()
+
+
+def test_language_of_repeated_long_and_tied_rows(spark):
+    rows = [(k, "abab " * 3, "xx" if k % 2 else "yy") for k in range(60)] + [(100, "abab " * 200_000, "xx"), (101, "abab", None), (101, "abab", None)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()
+    # two languages with the same texts tie: the first by name
+    assert len(got) == len(rows) and {r["language"]["lang_pred"] for r in got} == {"xx"} and all(0 <= r["language"]["score"] <= 1 for r in got)
+
+
 def test_language_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     got = language.identify(docs).filter(language.is_held_out(F.col("doc_id"))).select("lang", "language.lang_pred").collect()
@@ -405,6 +453,13 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_licenses_of_repeated_rows_and_ties(spark):
+    same = {"b": "one two three four", "a": "one two three four"}
+    rows = [(1, "one two three four"), (1, "one two three four"), (2, "x\none two three four\none two three four"), (None, "ONE two, three four!")]
+    got = [tuple(r) for r in licenses.scan_licenses(corpus(spark, rows), templates=same).collect()]
+    assert sorted(got, key=str) == sorted([(1, "a", 1.0, 1, 1), (1, "a", 1.0, 1, 1), (2, "a", 1.0, 2, 2), (None, "a", 1.0, 1, 1)], key=str)
+
+
 def test_license_bounds_lose_nothing():
     rng = random.Random(9)
     scanner = licenses.Scanner(licenses.TEMPLATES, 0.6)
@@ -506,6 +561,36 @@ def test_embedded_elements_are_read():
     assert [b.text for b in html_text._Parser().blocks("<svg>" * 500 + "deep")] == ["deep"]
 
 
+def test_broken_long_and_repeated_pages(spark):
+    good = "<html><body><nav><a>Home</a></nav><article><p>Some words that we wrote here.</p></article></body></html>"
+    rows = [(1, "u", good), (1, "u", good), (2, "u", "<article><p>Never closed & <b>bold"), (3, "u", "<" * 50_000), (4, "u", "<div " + "a" * 100_000), (5, "u", "<article>" + "<p>Many words of text are here.</p>" * 20_000 + "</article>"), (6, "u", "</p></div></nav>plain")]
+    got = [(r["page_id"], r["text"]) for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert len(got) == len(rows) and Counter(i for i, _ in got)[1] == 2 and len({t for i, t in got if i == 1}) == 1
+    assert dict(got)[5].count("\n\n") == 19_999
+
+
+def test_labeller_reads_as_a_plain_lstm():
+    rng = np.random.default_rng(3)
+    model = html_text.Labeller(2)
+    rows = [(rng.random((n, html_text.WIDTH)) < 0.1).astype(np.float32) for n in (1, 4, 9)]
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    n = html_text.HIDDEN
+
+    def read(x, d):
+        h, c, out = np.zeros(n), np.zeros(n), []
+        for step in x if d == "f" else x[::-1]:
+            z = step @ model.p[f"x{d}"] + h @ model.p[f"h{d}"] + model.p[f"c{d}"]
+            i, f, o, g = sigmoid(z[:n]), sigmoid(z[n : 2 * n]), sigmoid(z[2 * n : 3 * n]), np.tanh(z[3 * n :])
+            c = f * c + i * g
+            h = o * np.tanh(c)
+            out.append(h)
+        return np.array(out if d == "f" else out[::-1])
+
+    for x, p in zip(rows, model.probabilities(rows), strict=True):
+        states = np.concatenate([read(x, "f"), read(x, "b")], axis=1)
+        assert np.abs(sigmoid(states @ model.p["out"] + model.p["bias"])[:, 0] - p).max() < 1e-5
+
+
 def test_pages_of_nothing(spark):
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -575,6 +660,45 @@ def test_no_row_is_lost_behind_a_shuffle(spark, behind_a_shuffle):
     assert coded.filter("doc_id % 400 = 0 AND encoded.n_tokens < 100").count() == 0
 
 
+# --- queries ---
+
+CONTRACTS = {
+    "op2_shard_by_bytes": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_exact_dedup": "doc_id bigint, keep_id bigint, group_size bigint, kept boolean, text_sha256 string",
+    "op4_substring_dedup": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op5_near_dedup": "doc_id bigint, n_shingles bigint, component_id bigint, kept boolean",
+    "op6_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op8_bpe_roundtrip": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op9_topk_search": "query_id bigint, rank int, vec_id bigint, score bigint",
+    "op10_html_text": "page_id bigint, url string, text string, n_chars bigint",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACTS)
+def test_queries_keep_their_contracts(spark, name):
+    from mintleaf.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = queries.QUERIES[name](spark, sf)
+    kinds = dict(got.dtypes)
+    assert {c: kinds[c] for c in (x.split()[0] for x in CONTRACTS[name].split(", "))} == dict(x.split() for x in CONTRACTS[name].split(", "))
+    rows = got.collect()
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()
+    if name not in ("op9_topk_search", "op10_html_text"):
+        assert Counter(r["doc_id"] for r in rows) == Counter(r["doc_id"] for r in docs)
+    pairs = [(r["doc_id"], r["text"]) for r in docs]
+    if name == "op4_substring_dedup":
+        want = Counter((i, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute_windows(pairs, 20).elements())
+        assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in rows) == want
+    if name == "op5_near_dedup":
+        assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in rows} == brute_near(pairs)
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in rows)
+    if name == "op2_shard_by_bytes":
+        assert {(r["doc_id"], r["size"], r["text_crc32"]) for r in rows} == {(i, len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t in pairs}
+    if name == "op10_html_text":
+        assert all(r["n_chars"] == len(r["text"]) for r in rows)
+
+
 # --- pipeline ---
 
 
@@ -617,6 +741,15 @@ def test_pipeline_stages(spark):
         after = docs.collect()
         if k < 4:
             assert docs.columns == columns
+        if k == 0:
+            assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before if language.has_letter(r["text"])}
+        if k == 4:
+            from tokenizers import Tokenizer
+
+            library = Tokenizer.from_file(TOKENIZER)
+            for r in after[:50]:
+                ids = library.encode(r["text"], add_special_tokens=False).ids
+                assert (r["ids"], r["n_tokens"], r["decoded"]) == (" ".join(map(str, ids)), len(ids), library.decode(ids, skip_special_tokens=False))
         if k == 1:
             best = {}
             for r in before:
