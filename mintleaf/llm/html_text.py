@@ -7,7 +7,7 @@ forwards and one backwards, so each block is judged in the context of the whole
 joined. Scripts, styles, titles and text fields are no text and aren't read as blocks. What stands in an svg, template,
 object, noscript or iframe element gives blocks of its own behind the block around it, so it is labelled by itself.
 
-The labeller is trained on ``sample`` pages (those of the least url and id hash; the bound is a parameter) with labels
+The labeller is trained on ``sample`` pages (those of the least url and id hash, of SAMPLE_BYTES at most; the bound is a parameter) with labels
 from the pages' own markup: what stands in an article or main container is main text unless an element or a class
 word between says menu, footer, advert and so on. In each epoch foreign blocks are set in and containers renamed, so
 the labels hold for page forms that the sample lacks. Every page of the input is labelled as a whole.
@@ -34,6 +34,8 @@ from pyspark.sql.types import StringType, StructField, StructType
 from mintleaf.llm.common import string_bytes, word_hashes, word_spans
 
 SAMPLE_PAGES, EPOCHS, BATCH, HIDDEN = 96, 20, 16, 16
+#: Longer pages are trained on only where there are too few others.
+SAMPLE_BYTES = 1 << 20
 OTHER_BINS, WORD_BINS, COUNTS = 128, 32, 7
 
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
@@ -365,10 +367,11 @@ def _label(shared, id_fields: int):
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sample: int = SAMPLE_PAGES) -> DataFrame:
     """(page_id, url, text) of every page."""
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    order = F.xxhash64(F.col("url"), F.col("page_id").cast("string"))
+    # long pages come after all others, so that the sample is small in bytes too
+    order = F.struct((F.octet_length("html") > SAMPLE_BYTES).alias("long"), F.xxhash64(F.col("url"), F.col("page_id").cast("string")).alias("hash"))
     hashed = rows.filter("html != ''").withColumn("o", order)
     # the hashes are few and small; of the pages only the chosen ones leave their task
-    least = [r["o"] for r in hashed.select("o").distinct().orderBy("o").limit(sample).collect()]
-    chosen = hashed.filter(F.col("o") <= max(least, default=0)).groupBy("o").agg(F.min("html").alias("html")).orderBy("o").limit(sample).collect()
+    last = hashed.select("o").distinct().orderBy("o").limit(sample).agg(F.max("o").alias("o")).first()["o"]
+    chosen = hashed.filter(F.col("o") <= F.struct(F.lit(last["long"]).alias("long"), F.lit(last["hash"]).alias("hash"))).groupBy("o").agg(F.min("html").alias("html")).orderBy("o").limit(sample).collect() if last else []
     model = pages.sparkSession.sparkContext.broadcast(train([r["html"] for r in chosen]))
     return rows.mapInArrow(_label(model, 2), StructType([*rows.schema.fields[:2], StructField("text", StringType())]))

@@ -33,6 +33,8 @@ from mintleaf.llm.common import fresh, string_bytes, written
 ORDERS = (1, 2, 3)
 #: Training texts and landmarks of each language, and the weight of the ridge.
 PER_LANGUAGE, LANDMARKS, RIDGE = 256, 24, 1e-3
+#: Longer texts are landmarks only where a language has too few others.
+LANDMARK_BYTES = 1 << 16
 #: Landmarks of all languages together, where there are many languages.
 MOST_LANDMARKS = 2048
 #: A text with a smaller share of n-grams that any learned language has is in none of them.
@@ -149,7 +151,10 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per
     ranked = low.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("rank") <= per_language)
     # at most per_language rows of each language are broadcast, and go on
     sample = written(rows.join(F.broadcast(ranked), ["lang", "h"]).dropDuplicates(["lang", "h"]).filter(F.col("text").rlike(r"\p{L}")), "sample")
-    own = [r for r in sample.filter(F.col("rank") <= landmarks).orderBy("lang", "rank").collect() if has_letter(r["text"])]
+    # long texts come last, so that the landmarks are small in bytes too
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.octet_length("text") > LANDMARK_BYTES, "rank"))
+    short = sample.withColumn("place", place).filter(F.col("place") <= landmarks)
+    own = [r for r in short.orderBy("lang", "place").collect() if has_letter(r["text"])]
     languages = sorted({r["lang"] for r in own})
     if not own:
         return None
