@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mintleaf.functions.numbers import count_if
+from mintleaf.operators.segment import assertion_id
 from mintleaf.schemas import ASPECTS, NO_OPINION, SENTIMENTS, STATUSES
 
 
@@ -267,7 +268,7 @@ def project_labels(sets: DataFrame, originals: DataFrame) -> DataFrame:
     first = originals.groupBy("clause_id").agg(F.min_by(data, "ord").alias("first"))
     rows = wanted.join(same, ["clause_id", "aspect"], "left").join(first, "clause_id", "left")
     status = F.when(F.col("aspect").isNull(), NO_OPINION).otherwise("Annotated")
-    named = F.format_string("%s_A%02d", F.col("clause_id"), F.coalesce("i", F.lit(0)) + 1)
+    named = assertion_id(F.col("clause_id"), F.coalesce("i", F.lit(0)) + 1)
     return rows.select(
         "clause_id", named.alias("assertion_id"), "aspect", status.alias("annotation_status"), F.coalesce("same", "first").alias("d"), F.col("same").isNull().alias("inherited")
     ).select("clause_id", "assertion_id", "aspect", "annotation_status", "d.*", "inherited")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from mintleaf.operators import bayes, clean, evaluate, health, metrics, units
-from mintleaf.plans.fixtures import ASSERTIONS_SQL, COUNTS_SQL, ORDER, RESOLVE_SQL, UNITS_SQL, assertions, pct_sql, reviews, shares_sql
+from mintleaf.plans.fixtures import ASSERTIONS_SQL, COUNTS_SQL, ORDER, UNITS_SQL, assertions, pct_sql, reviews, shares_sql
 
 PEERS = ["NATION_7", "NATION_3", "NATION_99", "NATION_12"]
 

@@ -238,7 +238,7 @@ UNION ALL SELECT 'accuracy', {_R4("sum(TP) / sum(Support)")}, {_R4("sum(TP) / su
 UNION ALL SELECT 'macro avg', {_R4("avg(Precision)")}, {_R4("avg(Recall)")}, {_R4("avg(F1)")}, sum(Support) FROM per
 UNION ALL SELECT 'weighted avg', {_R4("sum(Precision * Support) / sum(Support)")}, {_R4("sum(Recall * Support) / sum(Support)")}, {_R4("sum(F1 * Support) / sum(Support)")}, sum(Support) FROM per""",
     "split_manifest": f"""{_SPLIT}, s AS (SELECT a.review_id, a.sentiment, split FROM assertions a JOIN parts USING (review_id) WHERE a.sentiment IS NOT NULL), c AS (SELECT split, sentiment, count(*) AS n FROM s GROUP BY 1, 2),
-m AS (SELECT split, sum(n) AS rows, string_agg(sentiment || '=' || n, '|' ORDER BY sentiment) AS classes FROM c GROUP BY 1) SELECT split, groups, rows, classes FROM m JOIN (SELECT split, count(DISTINCT review_id) AS groups FROM s GROUP BY 1) USING (split)""",
+m AS (SELECT split, CAST(sum(n) AS BIGINT) AS rows, string_agg(sentiment || '=' || n, '|' ORDER BY sentiment) AS classes FROM c GROUP BY 1) SELECT split, groups, rows, classes FROM m JOIN (SELECT split, count(DISTINCT review_id) AS groups FROM s GROUP BY 1) USING (split)""",
     "split_ids": f"{_SPLIT} SELECT DISTINCT split, review_id FROM parts",
     "holdout_mix": f"""{_A}, r AS (SELECT review_id, Reviewer, Restaurant FROM reviews), b AS (SELECT * FROM r WHERE Restaurant IN ('NATION_3', 'NATION_4')), g AS (SELECT DISTINCT Reviewer FROM b),
 p AS (SELECT Reviewer, row_number() OVER (ORDER BY md5(Reviewer || '|42'), Reviewer) <= floor((SELECT count(*) FROM g) * 0.7) AS own FROM g),
