@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from mintleaf.functions.text import candidate_terms, canonical, clean_text, decode_sentiment, star_sentiment, word_count
 from mintleaf.operators import assertions as asr
 from mintleaf.operators import clean, complaints, evaluate, match, segment
-from mintleaf.plans.fixtures import table
+from mintleaf.plans.fixtures import PREDICTIONS_SQL, table
 
 LEXICON = {"Food": "that than", "Service": "for from", "Price / Value": "with", "Ambience": "was", "General Experience": "this are"}
 POSITIVE, NEGATIVE = ["and", "the"], ["ing", "ble"]
@@ -245,6 +245,7 @@ SELECT coalesce(nb, 0) - coalesce(na, 0) AS delta, count(*) AS n FROM a FULL JOI
 h AS (SELECT clause_id, 'Food' AS aspect FROM y WHERE regexp_matches(c, '\b(that|than)\b|\bof\s+the\b|\bin[\s-]the\b') UNION ALL SELECT clause_id, 'Service' FROM y WHERE late OR regexp_matches(c, '\bfor\b')
   UNION ALL SELECT clause_id, 'Price / Value' FROM y WHERE regexp_matches(c, '\bwith\b|\bis\b|\bon\s+the\b')
   UNION ALL SELECT clause_id, 'General Experience' FROM y WHERE regexp_matches(c, '\bthis\b') OR regexp_matches(c, '\brecommend\b') AND NOT regexp_matches(c, '\b(waiter|waitress|server|staff|captain)\s+(recommend|recommended|suggested)\b')) SELECT * FROM h""",
+    "semantic_fallback": f"WITH {PREDICTIONS_SQL} SELECT vec_id, arg_max(l, s) AS predicted, round(max(s), 5) AS score FROM scored GROUP BY 1 HAVING max(s) >= 0.22",
     "semantic_fallback_clauses": f"WITH {_TURNS}, {_NEAR} SELECT clause_id, near AS aspect FROM best WHERE NOT hit AND near IS NOT NULL",
     "extract_aspects": f"""WITH {_TURNS}, {_NEAR}, f AS (SELECT review_id, clause_id, clause_text, unnest(CASE WHEN hit THEN lexical WHEN near IS NOT NULL THEN [near] ELSE [] END) AS aspect, {_lexical("clause_text")} AS sentiment FROM best)
 SELECT review_id, clause_id, aspect, sentiment, CASE sentiment WHEN 'Neutral' THEN 0.6 ELSE 0.8 END AS confidence, CASE sentiment WHEN 'Positive' THEN 0.6 WHEN 'Negative' THEN -0.6 ELSE 0.0 END AS polarity_score,
