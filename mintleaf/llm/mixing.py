@@ -22,6 +22,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StructField, StructType
 
 from mintleaf.llm.common import fresh, written
 
@@ -64,6 +65,11 @@ def find_exponent(shares: DataFrame, target_entropy: float | None = None, repeti
     return high
 
 
+_fields = lambda **kinds: [StructField(n, t) for n, t in kinds.items()]
+_WEIGHTS = _fields(n=LongType(), weight=DoubleType(), repetition=DoubleType(), blocks=LongType())
+_PASSES = _fields(block=LongType(), size=LongType(), before=LongType(), upto=LongType()) + [StructField("pass", IntegerType())]
+
+
 def _two_level(passes: DataFrame) -> DataFrame:
     """``passes`` with ``before``: the tokens of the blocks before it in its pass, whose blocks no task has all.
 
@@ -136,17 +142,21 @@ def mix(docs: DataFrame, source_col: str = "source", text_col: str = "text", pla
     keyed = docs.withColumns({uid: hashed, count: count_words(F.col(text_col)) if tokens is None else tokens})
     narrow = written(keyed.select(F.col(uid).alias("uid"), F.col(source_col).alias("source"), F.col(count).alias("tokens")), "tokens")
     found = mix_plan(narrow, seed=seed, **plan)
-    columns = [F.col(f"d.`{c}`") for c in docs.columns]
-    empty = F.struct(F.col(count).alias("tokens"), F.lit(0.0).alias("weight"), F.lit(1.0).alias("repetition"), F.lit(0).alias("pass"), F.lit(0).cast("long").alias("block"), F.lit(0.0).alias("position"))
-    mixed = keyed.filter(F.col(count) == 0).alias("d").select(*columns, empty.alias(own))
-    if found is not None:
+    if found is None:
+        weights = narrow.sparkSession.createDataFrame([], StructType([narrow.schema["source"], *_WEIGHTS]))
+        passes = narrow.sparkSession.createDataFrame([], StructType([narrow.schema["source"], *_PASSES]))
+    else:
         weights, passes = found
-        placed = keyed.filter(F.col(count) > 0).withColumn(source, F.col(source_col)).alias("d").join(weights.alias("w"), F.col(f"d.{source}").eqNullSafe(F.col("w.source")))
-        placed = placed.select("d.*", F.struct("w.n", "w.weight", "w.repetition").alias(own), *[c.alias(n) for n, c in zip((at, order), _place(F.col(uid), F.col("w.blocks"), seed), strict=True)])
-        block, h = F.col(f"d.{at}"), F.col(f"d.{order}")
-        rows = placed.alias("d").join(passes.alias("b"), F.col(f"d.{source}").eqNullSafe(F.col("b.source")) & (block == F.col("b.block")) & (F.col("b.upto").isNull() | (h <= F.col("b.upto"))))
-        w = lambda c: F.col(f"d.{own}.{c}")
-        position = (F.col("b.pass") + (F.col("b.before") + F.col("b.size") * (F.pmod(h, F.lit(1 << 20)) / float(1 << 20))) / w("n")) / w("repetition")
-        how = F.struct(F.col(f"d.{count}").alias("tokens"), w("weight").alias("weight"), w("repetition").alias("repetition"), F.col("b.pass").alias("pass"), F.col("b.block").alias("block"), F.least(position, F.lit(1.0)).alias("position"))
-        mixed = rows.select(*columns, how.alias(own)).unionByName(mixed)
+    # rows without tokens meet nothing and stay, so the texts are read in one pass
+    placed = keyed.withColumn(source, F.col(source_col)).alias("d").join(weights.alias("w"), F.col(f"d.{source}").eqNullSafe(F.col("w.source")) & (F.col(f"d.{count}") > 0), "left")
+    placed = placed.select("d.*", F.struct("w.n", "w.weight", "w.repetition").alias(own), *[c.alias(n) for n, c in zip((at, order), _place(F.col(uid), F.col("w.blocks"), seed), strict=True)])
+    block, h, some = F.col(f"d.{at}"), F.col(f"d.{order}"), F.col(f"d.{count}") > 0
+    rows = placed.alias("d").join(passes.alias("b"), some & F.col(f"d.{source}").eqNullSafe(F.col("b.source")) & (block == F.col("b.block")) & (F.col("b.upto").isNull() | (h <= F.col("b.upto"))), "left")
+    w = lambda c: F.col(f"d.{own}.{c}")
+    position = (F.col("b.pass") + (F.col("b.before") + F.col("b.size") * (F.pmod(h, F.lit(1 << 20)) / float(1 << 20))) / w("n")) / w("repetition")
+    how = F.struct(
+        F.col(f"d.{count}").alias("tokens"), F.coalesce(w("weight"), F.lit(0.0)).alias("weight"), F.coalesce(w("repetition"), F.lit(1.0)).alias("repetition"), F.coalesce("b.pass", F.lit(0)).alias("pass"),
+        F.coalesce("b.block", F.lit(0)).alias("block"), F.coalesce(F.least(position, F.lit(1.0)), F.lit(0.0)).alias("position"),
+    )
+    mixed = rows.filter(~some | F.col("b.pass").isNotNull()).select(*[F.col(f"d.`{c}`") for c in docs.columns], how.alias(own))
     return mixed if plan_columns else mixed.drop(own)
