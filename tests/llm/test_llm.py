@@ -424,6 +424,43 @@ def test_mix_meets_its_limit(spark, empty):
     assert mixing.mix(empty, repetition_limit=2.0).count() == 0 and mixing.mix(df, repetition_limit=1.0).columns == df.columns
 
 
+@pytest.mark.parametrize("limit", [1.0, 1.7, 3.0])
+def test_mix_equals_a_plain_one(spark, limit):
+    rng = random.Random(11)
+    rows = [(k, rng.choice(["big"] * 8 + ["mid", "mid", None]), text(rng, rng.randrange(0, 30))) for k in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = Counter((r["doc_id"], r["mix"]["pass"]) for r in mixing.mix(df, plan_columns=True, repetition_limit=limit, block_tokens=300).collect())
+    tokens = {i: len(words_of(t)) for i, _, t in rows}
+    total = Counter()
+    for i, s, _ in rows:
+        total[s] += tokens[i]
+    p = {s: n / sum(total.values()) for s, n in total.items()}
+    a = 1 - np.log(limit) / np.log(max(p.values()) / min(p.values()))
+    want = Counter({(i, 0): 1 for i in tokens if not tokens[i]})
+    for s, n in total.items():
+        repetition = (max(p.values()) / p[s]) ** (1 - a)
+        full = int(repetition + 1e-9)
+        rest, blocks = int((repetition - full) * n + 1e-6), -(-n // 300)
+        own = [i for i, x, _ in rows if x == s and tokens[i]]
+        hashed = df.filter(F.col("doc_id").isin(own)).select("doc_id", F.xxhash64("doc_id", "source", "text").alias("u"))
+        place = {r[0]: (r[1], r[2]) for r in hashed.select("doc_id", F.pmod(F.xxhash64("u", F.lit(0)), F.lit(blocks).cast("long")), F.xxhash64("u", F.lit(1))).collect()}
+        for turn in range(full + 1):
+            order = spark.range(blocks).select("id", F.xxhash64("id", F.lit(turn), F.lit(0)).alias("o")).collect()
+            taken, room = [], rest if turn == full else n
+            for block in [r["id"] for r in sorted(order, key=lambda r: (r["o"], r["id"]))]:
+                members = sorted((i for i in own if place[i][0] == block), key=lambda i: place[i][1])
+                for i in members:
+                    if tokens[i] > room:  # the block that the budget cuts; no later one is begun
+                        room = 0
+                        break
+                    taken.append(i)
+                    room -= tokens[i]
+                if room <= 0:
+                    break
+            want.update((i, turn) for i in taken)
+    assert got == want
+
+
 def test_exponent_meets_the_entropy(spark):
     p = [0.7, 0.2, 0.06, 0.04]
     shares = spark.createDataFrame([(x,) for x in p], "p double")
