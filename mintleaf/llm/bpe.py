@@ -32,7 +32,9 @@ from mintleaf.llm.common import fresh, written
 #: Characters from which a text is cut into leaves, and the characters of a leaf.
 LONG_TEXT, LEAF = 1 << 15, 1 << 13
 #: Pieces that a task's cache holds, at about 250 bytes each.
-CACHE_PIECES = 1 << 19
+CACHE_PIECES = 1 << 17
+#: Texts of an Arrow batch that are Python strings at a time.
+SLICE = 256
 #: Tokens on either side of a join that are encoded again at first.
 WINDOW = 8
 ENCODED = "struct<n_tokens: long, ids: string, decoded: string>"
@@ -204,9 +206,11 @@ def encode_texts(docs: DataFrame, path: str, text_col: str = "text", out: str =
 
     @F.arrow_udf(ENCODED)
     def whole(texts: pa.Array) -> pa.Array:
-        own = encoder(path)
-        ids = [own.encode(t) for t in texts.to_pylist()]
-        return _struct(ids, [own.decode(x) for x in ids])
+        own, parts = encoder(path), []
+        for at in range(0, max(len(texts), 1), SLICE):  # few Python strings at a time
+            ids = [own.encode(t) for t in texts.slice(at, SLICE).to_pylist()]
+            parts.append(_struct(ids, [own.decode(x) for x in ids]))
+        return pa.concat_arrays(parts)
 
     docs = docs.drop(out)
     text, uid = F.coalesce(F.col(text_col), F.lit("")), fresh(docs, "_uid")

@@ -183,11 +183,14 @@ def predict(model: Model | None, text: Column, spark, shares: bool = False) -> C
     @F.arrow_udf("struct<lang_pred: string, score: double, known: double>")
     def run(column: pa.Array) -> pa.Array:
         model = shared.value
-        texts = column.to_pylist()
+        if model is not None and not made:
+            made.append(Grams(model.codes))
+        # few Python strings at a time
+        return pa.concat_arrays([labelled(model, column.slice(at, 4 * _BLOCK).to_pylist()) for at in range(0, max(len(column), 1), 4 * _BLOCK)])
+
+    def labelled(model: Model | None, texts: list[str | None]) -> pa.Array:
         lang, score, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
         if model is not None:
-            if not made:
-                made.append(Grams(model.codes))
             known = [i for i, t in enumerate(texts) if has_letter(t)]
             for i, values, share[i] in zip(known, *model.scores(made[0], [texts[i] for i in known], shares), strict=True):
                 best = int(values.argmax())

@@ -211,6 +211,10 @@ def _count(k: int, most_bytes: int):
 def _kept(k: int):
     @F.arrow_udf("struct<n_words: long, n_removed: long, kept: string>")
     def cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
+        # few Python strings at a time
+        return pa.concat_arrays([cut_some(texts.slice(at, 512), runs.slice(at, 512)) for at in range(0, max(len(texts), 1), 512)])
+
+    def cut_some(texts: pa.Array, runs: pa.Array) -> pa.Array:
         n_words, n_removed, kept = [], [], []
         for text, own in zip(texts.cast(pa.binary()).to_pylist(), runs.to_pylist(), strict=True):
             words = (text or b"").split()  # on exactly \x20 and \x09-\x0D
