@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm import bpe, byte_bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
 from mintleaf.llm.common import written
 
 
@@ -101,5 +101,16 @@ def op8_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with the byte-level vocabulary of 50k tokens for many languages."""
+    import public_tokenizers
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = byte_bpe.encode_texts(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return coded.select(
+        "doc_id", F.col("encoded.n_tokens").alias("n_tokens"), F.sha2("encoded.ids", 256).alias("ids_sha256"), F.sha2("encoded.decoded", 256).alias("decoded_sha256")
+    )
+
+
+QUERIES = {"op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
