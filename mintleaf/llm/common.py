@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.sources.tables import written  # noqa: F401  for the operators
@@ -156,3 +156,22 @@ def windows_inside(word_offsets: np.ndarray, k: int, n_words: int) -> np.ndarray
         ends = word_offsets[1:] - back
         inside[ends[(ends >= 0) & (ends < n)]] = False
     return np.flatnonzero(inside)
+
+
+# --- positions ----------------------------------------------------------------
+
+
+def with_row_index(df: DataFrame, order: list[str], index: str) -> DataFrame:
+    """``df`` as a written table with a column ``index``: the place of each row, from 0, in a total order.
+
+    Ranges of the order are sorted each in its task, and written once with the places inside the range; only one row
+    for each range (its size) is brought together to find where the range starts.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(index, F.monotonically_increasing_id())
+    ranged = written(ranged, "ranges")
+    part = F.shiftright(index, 33)
+    sizes = ranged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    placed = ranged.join(F.broadcast(starts), part == F.col("_part"))
+    return placed.withColumn(index, F.col("_before") + F.col(index).bitwiseAND((1 << 33) - 1)).drop("_part", "_before")

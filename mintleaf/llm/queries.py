@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, byte_bpe, exact_dedup, html_text, language, licenses, mixing, near_dedup, sharding, substring_dedup, topk
-from mintleaf.llm.common import written
+from mintleaf.llm import bpe, byte_bpe, exact_dedup, html_text, language, licenses, merkle, mixing, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm.common import ascii_lower, written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -112,5 +112,12 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's leaf and proof, folded again after texts of some documents are lower-cased."""
+    drawn = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    changed = F.when(drawn, ascii_lower(F.col("text"))).otherwise(F.col("text"))
+    return merkle.verify(_table(spark, sf_dir, "documents"), {"text": changed}).withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
