@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mintleaf.llm import bpe, byte_bpe, exact_dedup, html_text, language, licenses, merkle, mixing, near_dedup, sharding, substring_dedup, topk
+from mintleaf.llm import bpe, byte_bpe, exact_dedup, html_text, language, licenses, merkle, mixing, near_dedup, prefix_trie, sharding, substring_dedup, topk
 from mintleaf.llm.common import ascii_lower, written
 
 
@@ -119,5 +119,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"), {"text": changed}).withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op11_merkle_manifest": op11_merkle_manifest, "op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of the conversations, each begun with turns of the conversation at the start of its five."""
+    turns = prefix_trie.turns_of(_table(spark, sf_dir, "conversations"))
+    return prefix_trie.prefix_trie(prefix_trie.with_borrowed_start(turns, 5, 8))
+
+
+QUERIES = {"op13_prefix_trie": op13_prefix_trie, "op11_merkle_manifest": op11_merkle_manifest, "op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
 ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
