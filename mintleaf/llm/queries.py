@@ -125,5 +125,68 @@ def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.with_borrowed_start(turns, 5, 8))
 
 
+#: crc32 of a decimal number in SQL: eight steps of the polynomial for each digit.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: ascii(({0}::VARCHAR)[i])::BIGINT)),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)))"""
+
+OP11_SQL = f"""
+WITH RECURSIVE f AS (
+  SELECT doc_id, coalesce('+' || lang, '') AS g, text, CASE WHEN {_CRC32.format("doc_id")} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS low,
+    concat_ws('', coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-')) AS head
+  FROM documents),
+leaf AS (SELECT doc_id, g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS h, sha256(head || coalesce(strlen(low) || ':' || low, '-')) AS x FROM f),
+placed AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS p, count(*) OVER (PARTITION BY g) AS n FROM leaf),
+nodes AS (
+  SELECT g, 0 AS level, p, h, n FROM placed
+  UNION ALL
+  SELECT g, level + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (n + 7) // 8 FROM nodes WHERE n > 1 GROUP BY g, level, p // 8, n),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS p, count(*) OVER () AS n FROM nodes WHERE n = 1),
+upper AS (
+  SELECT 0 AS level, p, h, n FROM subroots
+  UNION ALL
+  SELECT level + 1, p // 8, sha256(string_agg(h, '' ORDER BY p)), (n + 7) // 8 FROM upper WHERE n > 1 GROUP BY level, p // 8, n),
+sides AS (
+  SELECT g, level, p, coalesce(string_agg(h, '' ORDER BY p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '' ORDER BY p) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM nodes WHERE n > 1 WINDOW w AS (PARTITION BY g, level, p // 8 ORDER BY p)),
+above AS (
+  SELECT level, p, coalesce(string_agg(h, '' ORDER BY p) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '' ORDER BY p) OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM upper WHERE n > 1 WINDOW w AS (PARTITION BY level, p // 8 ORDER BY p)),
+steps AS (
+  SELECT c.g, c.p, s.level, s.l, s.r FROM placed c JOIN sides s ON s.g = c.g AND s.p = c.p // (8 ** s.level)::BIGINT
+  UNION ALL
+  SELECT c.g, c.p, 1000 + a.level, a.l, a.r FROM placed c JOIN subroots s USING (g) JOIN above a ON a.p = s.p // (8 ** a.level)::BIGINT),
+paths AS (SELECT g, p, list({{'l': l, 'x': '', 'r': r}} ORDER BY level) AS path FROM steps GROUP BY g, p),
+done AS (
+  SELECT c.doc_id, c.h AS leaf, s.h AS subroot, (SELECT h FROM upper WHERE n = 1) AS root, sha256(coalesce(array_to_string(list_transform(path, lambda a: a.l || a.r), ''), '')) AS proof_sha256,
+    list_reduce(list_prepend({{'l': '', 'x': c.x, 'r': ''}}, coalesce(path, [])), lambda a, b: {{'l': '', 'x': sha256(b.l || a.x || b.r), 'r': ''}}).x AS folded_root
+  FROM placed c JOIN subroots s USING (g) LEFT JOIN paths ON paths.g = c.g AND paths.p = c.p)
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+OP13_SQL = f"""
+WITH own AS (
+  SELECT conv_id, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') AS said, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(said)) - 1 AS p
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS b, {_CRC32.format("conv_id")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM own)),
+turns AS (
+  SELECT c.conv_id, p, said, bytes FROM c JOIN own o ON o.conv_id = b WHERE p < h
+  UNION ALL SELECT conv_id, p + 9, said, bytes FROM c JOIN own USING (conv_id) WHERE p >= h),
+path AS (
+  SELECT conv_id, row_number() OVER w AS depth, sha256(string_agg(sha256(said), '' ORDER BY p) OVER w) AS node, bytes FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY p)
+  UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+steps AS (SELECT *, lag(node) OVER w AS up, lead(node) OVER w IS NULL AS last FROM path WINDOW w AS (PARTITION BY conv_id ORDER BY depth)),
+nodes AS (
+  SELECT node, depth, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes, sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (last), '')) AS ends_sha256
+  FROM steps GROUP BY node, depth),
+kids AS (SELECT n.*, (SELECT count(*) FROM nodes k WHERE k.up = n.node AND k.depth = n.depth + 1) AS n_children FROM nodes n),
+below AS (
+  SELECT p.node, CAST(count(*) FILTER (n_children = 0) AS BIGINT) AS n_leaves, CAST(sum((n_convs - 1) * k.bytes) AS BIGINT) AS saved_tokens
+  FROM kids k JOIN path p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY p.node)
+SELECT k.conv_id, k.depth, p.conv_id AS parent_conv_id, k.n_convs, k.n_children, n_leaves, saved_tokens, k.ends_sha256
+FROM kids k JOIN below USING (node) LEFT JOIN nodes p ON p.node = k.up AND p.depth = k.depth - 1
+"""
+
+
 QUERIES = {"op13_prefix_trie": op13_prefix_trie, "op11_merkle_manifest": op11_merkle_manifest, "op12_byte_bpe": op12_byte_bpe, "op1_mix_sources": op1_mix_sources, "op7_license_scan": op7_license_scan, "op10_html_text": op10_html_text, "op9_topk_search": op9_topk_search, "op6_language_id": op6_language_id, "op5_near_dedup": op5_near_dedup, "op4_substring_dedup": op4_substring_dedup, "op8_bpe_roundtrip": op8_bpe_roundtrip, "op2_shard_by_bytes": op2_shard_by_bytes, "op3_exact_dedup": op3_exact_dedup}
-ORACLE_SQL = {"op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
+ORACLE_SQL = {"op11_merkle_manifest": OP11_SQL, "op13_prefix_trie": OP13_SQL, "op9_topk_search": OP9_SQL, "op3_exact_dedup": OP3_SQL}
