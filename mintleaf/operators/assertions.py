@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import let, sums_before
+
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
     """(priority, pattern, aspect, sentiment, theme, status) in order of precedence."""
@@ -40,18 +42,15 @@ def find_spans(clauses: DataFrame, patterns: list[str], text: str = "clause_text
     The pieces between the occurrences of a word give their places; no row leaves its task.
     """
     low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    nothing = F.array().cast("array<struct<start:int,end:int,span:string>>")
 
     def places(p: str) -> Column:
-        pieces = F.split(low, rf"\Q{p}\E")
-        fold = F.aggregate(
-            F.slice(pieces, 1, F.greatest(F.size(pieces) - 1, F.lit(0))), F.struct(F.lit(0).alias("at"), nothing.alias("out")),
-            lambda acc, x: F.struct(
-                (acc["at"] + F.length(x) + len(p)).alias("at"),
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + F.length(x)).alias("start"), (acc["at"] + F.length(x) + len(p)).alias("end"), F.lit(p).alias("span")))).alias("out"),
-            ),
-        )
-        return F.when(low.contains(p), fold["out"]).otherwise(nothing)
+        before = F.transform(F.split(low, rf"\Q{p}\E"), lambda x: (F.length(x) + len(p)).cast("long"))
+
+        def spans(sizes: Column) -> Column:
+            ends = F.zip_with(sums_before(sizes), sizes, lambda at, n: (at + n).cast("int"))
+            return F.transform(F.slice(ends, 1, F.size(sizes) - 1), lambda e: F.struct((e - len(p)).alias("start"), e.alias("end"), F.lit(p).alias("span")))
+
+        return F.when(low.contains(p), let(before, spans)).otherwise(F.array().cast("array<struct<start:int,end:int,span:string>>"))
 
     return clauses.select(key, F.explode(F.concat(*[places(p.lower()) for p in patterns])).alias("s")).select(key, "s.*")
 

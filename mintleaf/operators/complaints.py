@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import let
+
 #: Words between a target and its opinion, negators, and targets that say nothing.
 COPULAS = ["is", "was", "were", "are", "tasted", "looked", "felt"]
 NEGATORS = ["not", "never", "no"]
@@ -14,7 +16,7 @@ STOP_TARGETS = ["place", "restaurant", "thing", "one", "it", "experience", "orde
 def opinion_pairs(text: Column, targets: list[str], opinions: list[str]) -> Column:
     """Distinct phrases from word patterns: 'target is [not] opinion' as 'target [not] opinion', and 'opinion target'.
 
-    The words of a text are made once, as the argument of a fold over the places; each looks at the next three.
+    The words of a text are made once; each looks at the next three.
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[a-z']+"), F.lit(0))
     known = [t for t in targets if t not in STOP_TARGETS]
@@ -25,14 +27,7 @@ def opinion_pairs(text: Column, targets: list[str], opinions: list[str]) -> Colu
         before = a.isin(*opinions) & b.isin(*known)
         return F.when(plain, F.concat_ws(" ", a, c)).when(negated, F.concat_ws(" ", a, F.lit("not"), d)).when(before, F.concat_ws(" ", a, b))
 
-    # a fold whose state is the last three words, from the end: a word meets what follows it
-    start = F.struct(F.lit("").alias("b"), F.lit("").alias("c"), F.lit("").alias("d"), F.array().cast("array<string>").alias("out"))
-
-    def step(acc: Column, w: Column) -> Column:
-        p = phrases(w, acc["b"], acc["c"], acc["d"])
-        return F.struct(w.alias("b"), acc["b"].alias("c"), acc["c"].alias("d"), F.when(p.isNull(), acc["out"]).otherwise(F.array_append(acc["out"], p)).alias("out"))
-
-    return F.aggregate(F.reverse(words), start, step, lambda acc: F.array_distinct(F.reverse(acc["out"])))
+    return let(words, lambda ws: F.array_distinct(F.array_compact(F.transform(ws, lambda a, i: phrases(a, F.get(ws, i + 1), F.get(ws, i + 2), F.get(ws, i + 3))))))
 
 
 def complaint_ranking(phrases: DataFrame, k: int = 5, negative_to: float = 2.5) -> DataFrame:

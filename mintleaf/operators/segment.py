@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import let, sums_before
+
 _MARK = "\u0001"
 #: The words at which a clause ends.
 CONCESSIVE = r"despite(?:\s+the\s+fact\s+that)?|in\s+spite\s+of|regardless\s+of|even\s+though|even\s+if|although|though|whereas|while"
@@ -34,6 +36,7 @@ def clauses(text: Column) -> Column:
 
 
 _SPACES = " \t\n\x0b\f\r"
+_CLAUSES = "array<struct<start: int, end: int, text: string>>"
 
 
 def spans(text: Column, boundary: str = BOUNDARY) -> Column:
@@ -43,14 +46,11 @@ def spans(text: Column, boundary: str = BOUNDARY) -> Column:
     """
     cut = F.split(F.regexp_replace(text, f"(?i)({boundary})", f"{_MARK}$1{_MARK}"), _MARK)
     # pieces at even places are clauses, those at odd places boundaries; their lengths add up to the offsets.
-    # each piece is looked at once; the fold only adds numbers up
-    piece = F.transform(cut, lambda p, i: _piece(p, (i % 2 == 0) & p.rlike(r"\w")))
-    return F.aggregate(
-        piece,
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out")),
-        lambda acc, x: F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["own"], F.concat(acc["out"], F.array(_moved(acc["at"], x)))).otherwise(acc["out"]).alias("out")),
-        lambda acc: F.when((F.size(acc["out"]) > 0) | (F.trim(text, F.lit(_SPACES)) == ""), acc["out"]).otherwise(F.array(_moved(F.lit(0), _piece(text, F.lit(True))))),
-    )
+    # each piece is looked at once
+    pieces = F.transform(cut, lambda p, i: _piece(p, (i % 2 == 0) & p.rlike(r"\w")))
+    found = let(pieces, lambda ps: F.filter(F.zip_with(ps, sums_before(F.transform(ps, lambda p: p["n"].cast("long"))), lambda p, at: F.when(p["own"], _moved(at, p))), lambda c: c.isNotNull()))
+    whole = F.when(F.trim(text, F.lit(_SPACES)) == "", F.array().cast(_CLAUSES)).otherwise(F.array(_moved(F.lit(0), _piece(text, F.lit(True)))))
+    return F.when(text.isNotNull(), let(found, lambda cs: F.when(F.size(cs) > 0, cs).otherwise(whole)))
 
 
 def _piece(text: Column, own: Column) -> Column:
