@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mintleaf.functions.arrays import let, sums_before
+from mintleaf.operators.terms import MOST_TERMS, first_pattern
 
 
 def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
@@ -16,17 +18,19 @@ def rule_table(spark: SparkSession, rules: list[tuple]) -> DataFrame:
 def first_rule(clauses: DataFrame, rules: DataFrame, text: str = "clause_text") -> DataFrame:
     """The clauses with the first rule whose pattern occurs (without case); clauses without any keep nulls.
 
-    The rules, a small table, reach the driver once and become one chain of conditions with fixed patterns.
+    The rules are read by this call (an action; an error if there are more than ``MOST_TERMS``). One pass over a clause
+    tells the few patterns that it can match (``terms.RuleIndex``); what the first one says is joined by broadcast. Rules of
+    equal priority are taken in the order of their patterns.
     """
     names = ["priority", "aspect", "sentiment", "theme", "status"]
-    kinds = {f.name: f.dataType for f in rules.schema}
-    low, found = F.lower(F.col(text)), None
-    for r in rules.orderBy("priority").collect():
-        value = F.struct(*[F.lit(r[n]).cast(kinds[n]).alias(n) for n in names])
-        found = F.when(low.rlike(r["pattern"]), value) if found is None else found.when(low.rlike(r["pattern"]), value)
-    if found is None:
-        return clauses.withColumns({n: F.lit(None).cast(kinds[n]) for n in names})
-    return clauses.withColumn("_rule", found).withColumns({n: F.col(f"_rule.{n}") for n in names}).drop("_rule")
+    rows = rules.select(*names, "pattern").limit(MOST_TERMS + 1).collect()
+    if len(rows) > MOST_TERMS:
+        raise ValueError(f"at most {MOST_TERMS} rules")
+    rows.sort(key=lambda r: (r["priority"], r["pattern"]))
+    schema = T.StructType([T.StructField("_rule", T.IntegerType()), *[rules.schema[n] for n in names]])
+    said = clauses.sparkSession.createDataFrame([(k, *[r[n] for n in names]) for k, r in enumerate(rows)], schema)
+    found = clauses.drop(*names).withColumn("_rule", first_pattern(F.col(text), [r["pattern"] for r in rows]))
+    return found.join(F.broadcast(said), "_rule", "left").drop("_rule")
 
 
 def outer_spans(hits: DataFrame, key: str = "clause_id") -> DataFrame:

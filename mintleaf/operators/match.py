@@ -1,7 +1,7 @@
 """Aspects and sentiments of clauses: lexicon, latency rule, guards, semantic fallback.
 
-A lexicon is a small table (aspect, term, pattern) that reaches the driver once and becomes one regular expression for
-each aspect, so a clause is matched in one projection: no join, no shuffle, and each pattern is compiled once.
+A lexicon is a small table (aspect, term) that reaches the driver once and becomes a tree of words, in which the terms of a
+clause are found in one pass over its words (``terms``): no join, no shuffle, and a cost that doesn't grow with the lexicon.
 """
 
 from __future__ import annotations
@@ -11,8 +11,10 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import let
 from mintleaf.functions.numbers import cosine
 from mintleaf.functions.text import hits
+from mintleaf.operators.terms import MOST_TERMS, term_labels
 
 #: A lexicon to start with; give your own (aspect, term) pairs for real use. Phrases stand behind a bar.
 LEXICON = {
@@ -22,8 +24,6 @@ LEXICON = {
     "Ambience": "acoustics ambience decor furniture garden lighting music noise patio terrace ac|live-music",
     "General Experience": "experience recommend recommended|come back|all in all",
 }
-#: Terms of a lexicon that are taken to the driver.
-MOST_TERMS = 10_000
 #: Substrings that decide the lexical sentiment.
 NEGATIVE = ["bad", "worst", "horrible", "poor", "slow", "cold", "dirty", "rude", "overpriced", "stale"]
 POSITIVE = ["good", "great", "excellent", "amazing", "delicious", "fresh", "tasty", "friendly", "love", "best"]
@@ -36,6 +36,8 @@ _SERVED = r"\b(?:wait|waited|waiting|took|delay|delayed|order|served|table|food|
 _SLOW = r"\bslow\b"
 _SLOW_THING = r"\bslow[\s-]cook(?:ed|ing)?\b|\b(?:music|song|songs|tempo|beat|tracks?|wifi|internet)\b"
 _SERVICE_WORD = r"\b(?:waiter|waitress|staff|service|server|took|late|delay|order|bill)\b"
+#: What every clause holds that one of these rules can find.
+_MAY_BE_LATE = r"wait|delay|took|served late|poor service|rude waiter|ignored|slow|\d\s*(?:min|hour|hr)"
 #: The latency rule: (what occurs, what else has to, what must not).
 LATENCY_RULES = [
     ("|".join(map(re.escape, LATE_PHRASES)), None, None),
@@ -54,24 +56,23 @@ NARRATIVE = "arrived booked called came dined drove ended got had met ordered pa
 
 
 def lexicon_table(spark: SparkSession, lexicon: dict[str, str] | None = None) -> DataFrame:
-    """(aspect, term, pattern): single words of three letters or more have no pattern and match whole tokens."""
+    """(aspect, term) from a text for each aspect: words, and phrases behind bars."""
     rows = []
     for aspect, text in (lexicon or LEXICON).items():
         singles, *phrases = text.split("|")
-        for term in [*singles.split(), *phrases]:
-            word = term.isalpha() and len(term) >= 3
-            rows.append((aspect, term, None if word else r"\b" + r"\s+".join(r"[\s-]".join(map(re.escape, w.split("-"))) for w in term.split()) + r"\b"))
-    return spark.createDataFrame(rows, "aspect string, term string, pattern string")
+        rows += [(aspect, term) for term in [*singles.split(), *phrases]]
+    return spark.createDataFrame(rows, "aspect string, term string")
 
 
 def has_latency(clause: Column) -> Column:
     """Whether a clause speaks of waiting: not of slow cooking or music, nor of 'can't wait to'."""
-    low, found = F.lower(clause), F.lit(False)
+    low = F.lower(clause)
+    found = F.lit(False)
     for occurs, needs, without in LATENCY_RULES:
         rule = low.rlike(occurs)
         rule = rule & low.rlike(needs) if needs else rule
         found = found | (rule & ~low.rlike(without) if without else rule)
-    return F.coalesce(found, F.lit(False))
+    return F.when(low.rlike(_MAY_BE_LATE), F.coalesce(found, F.lit(False))).otherwise(F.lit(False))
 
 
 def recommended_by_staff(clause: Column) -> Column:
@@ -98,27 +99,32 @@ def factual_context(clause: Column) -> Column:
 def aspect_array(clause: Column, lexicon: DataFrame, latency: bool = True) -> Column:
     """The aspects whose terms occur in a clause, in the order of their names.
 
-    With ``latency`` the word 'slow' counts only by the latency rule, which also gives Service by itself, and words of
-    recommending don't count where the staff recommends.
+    A term is found as whole words without case; a space in it stands for any white space, a hyphen for a hyphen or a
+    space. With ``latency`` the word 'slow' counts only by the latency rule, which also gives Service by itself, and words
+    of recommending don't count where the staff recommends. The lexicon is read by this call (an action), and an error
+    is raised if it has more than ``MOST_TERMS`` terms.
     """
-    low = F.lower(F.coalesce(clause, F.lit("")))
-    terms = lexicon.select("aspect", "term", "pattern").limit(MOST_TERMS + 1).collect()
+    terms = lexicon.select("aspect", "term").limit(MOST_TERMS + 1).collect()
     if len(terms) > MOST_TERMS:
         raise ValueError(f"a lexicon has at most {MOST_TERMS} terms")
-    parts: dict[str, tuple[list[str], list[str], list[str]]] = {"Service": ([], [], [])} if latency else {}
-    for t in terms:
-        plain, slow, advice = parts.setdefault(t["aspect"], ([], [], []))
-        group = slow if latency and t["term"] == "slow" else advice if latency and t["term"].startswith("recommend") else plain
-        group.append(t["pattern"] or rf"\b{re.escape(t['term'])}\b")
-    late, by_staff = has_latency(clause), recommended_by_staff(clause)
-    found = []
-    for aspect in sorted(parts):
-        plain, slow, advice = parts[aspect]
-        hit = low.rlike("|".join(sorted(plain))) if plain else F.lit(False)
-        hit = hit | late if slow or latency and aspect == "Service" else hit
-        hit = hit | (low.rlike("|".join(sorted(advice))) & ~by_staff) if advice else hit
-        found.append(F.when(hit, F.lit(aspect)))
-    return F.array_compact(F.array(*found)) if found else F.array().cast("array<string>")
+    aspects = sorted({t["aspect"] for t in terms} | ({"Service"} if latency else set()))
+    number = {a: k for k, a in enumerate(aspects)}
+    advised = lambda t: latency and t["term"].startswith("recommend")
+    slow = {"Service"} | {t["aspect"] for t in terms if t["term"] == "slow"} if latency else set()
+    known = [(t["term"], number[t["aspect"]] + len(aspects) * advised(t)) for t in terms if not (latency and t["term"] == "slow")]
+    if not aspects:
+        return F.array().cast("array<string>")
+    advice = {t["aspect"] for t in terms if advised(t)}
+
+    def named(found: Column) -> Column:
+        hits = {a: F.array_contains(found, k) for a, k in number.items()}
+        for a in advice:
+            hits[a] = hits[a] | (F.array_contains(found, number[a] + len(aspects)) & ~recommended_by_staff(clause))
+        for a in slow:
+            hits[a] = hits[a] | has_latency(clause)
+        return F.array_compact(F.array(*[F.when(hits[a], F.lit(a)) for a in aspects]))
+
+    return let(F.coalesce(term_labels(clause, known), F.array().cast("array<int>")), named)
 
 
 def lexicon_matches(clauses: DataFrame, lexicon: DataFrame, latency: bool = True) -> DataFrame:

@@ -60,6 +60,14 @@ def _matches(spark, d, boundary=segment.SIMPLE_BOUNDARY):
     return match.lexicon_matches(_clauses(spark, d, boundary), match.lexicon_table(spark, LEXICON), latency=False)
 
 
+def _many_terms(spark, d):
+    """The words of all benchmark texts as a lexicon, by their length."""
+    words = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))).alias("term")).distinct()
+    lexicon = words.select(F.concat(F.lit("length "), F.length("term").cast("string")).alias("aspect"), "term")
+    found = match.lexicon_matches(_clauses(spark, d), lexicon, latency=False)
+    return found.groupBy("aspect").agg(F.count(F.lit(1)).alias("clauses"))
+
+
 def _extract(spark, d, boundary=segment.SIMPLE_BOUNDARY):
     c = _clauses(spark, d, boundary)
     s = match.lexical_sentiment(F.col("clause_text"), POSITIVE, NEGATIVE)
@@ -131,6 +139,7 @@ QUERIES = {
     "clause_counts": lambda s, d: evaluate.clause_count_deltas(_clauses(s, d), segment.clause_rows(_docs(s, d), boundary=r"\n")),
     "discourse_clauses": lambda s, d: _docs(s, d).select("doc_id", F.posexplode(segment.clauses(F.col("Review"))).alias("idx", "clause")),
     "lexicon_match": _matches,
+    "lexicon_many_terms": _many_terms,
     "latency_rule": lambda s, d: _turns(s, d).select("clause_id", match.has_latency(F.regexp_replace("clause_text", "(?i)that", "wait")).alias("late")),
     "lexical_sentiment": lambda s, d: _turns(s, d).withColumn("s", match.lexical_sentiment(F.col("clause_text"), POSITIVE, NEGATIVE)).select("clause_id", "s.sentiment", "s.confidence", "s.polarity_score"),
     "aspect_sentiment_counts": _extract,
@@ -277,6 +286,9 @@ q AS (SELECT Restaurant, phrase, CASE WHEN length(Review) > 140 THEN substr(Revi
   QUALIFY row_number() OVER (PARTITION BY Restaurant, phrase ORDER BY o) <= 3)
 SELECT Restaurant, phrase, any_value(frequency) AS frequency, any_value(rank) AS rank, md5(string_agg(quote, '|' ORDER BY o)) AS evidence_quotes FROM ranked JOIN q USING (Restaurant, phrase) GROUP BY 1, 2""",
     "lexicon_match": f"WITH {_DOCS}, {_CLAUSES}, {_TOKENS}, {_LEX}, {_MATCH} SELECT * FROM matches",
+    "lexicon_many_terms": rf"""WITH {_DOCS}, {_CLAUSES}, lex AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS term FROM benchmark),
+words AS (SELECT DISTINCT clause_id, unnest(regexp_extract_all(lower(clause_text), '[\p{{L}}\p{{N}}_]+')) AS term FROM named)
+SELECT 'length ' || length(term) AS aspect, count(DISTINCT clause_id) AS clauses FROM words JOIN lex USING (term) GROUP BY 1""",
     "latency_rule": rf"""WITH {_TURNS}, x AS (SELECT clause_id, lower(regexp_replace(clause_text, '(?i)that', 'wait', 'g')) AS c FROM t)
 SELECT clause_id, (regexp_matches(c, '\b(wait|waited|waiting|delay|delayed|delays)\b') AND NOT regexp_matches(c, '\b(can''?t|cannot)\s+wait\s+to\b'))
   OR regexp_matches(c, 'took long|took too long|took forever|served late|poor service|rude waiter|ignored|slow service|waiting time|wait time|long wait')

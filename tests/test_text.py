@@ -1,10 +1,15 @@
+import random
+import re
+import time
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import sums_before
 from mintleaf.functions.text import star_sentiment
-from mintleaf.operators import assertions, complaints, match, quality, report, segment
+from mintleaf.operators import assertions, complaints, match, quality, report, segment, terms
 
 
 def clauses_of(spark, text):
@@ -158,3 +163,79 @@ def test_full_boundary_query_equals_brute_force(spark, tmp_path):
     assert check["n"] == check["matches"] == len(want)
     for name in ("clause_counts_full", "lexicon_match_full", "aspect_sentiment_counts_full"):
         q_text.QUERIES[name](spark, str(tmp_path)).collect()
+
+
+# --- many terms, many rules, long texts ---
+
+
+def test_terms_like_patterns():
+    """The tree of words finds what a pattern for each term finds."""
+    rng = random.Random(3)
+    parts = ["a", "b", "ab", "live", "music", "of", "the"]
+    names = ["live-music", "of the", "a b  ab", "ab", "can't", "live-music of", "a-b c", "the-of the", "été x", "x_1"] + [rng.choice([" ", "-"]).join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(60)]
+    index = terms.TermIndex([(t, k) for k, t in enumerate(names)])
+    gap = lambda w: r"(?:[ \t\n\x0b\f\r]|-)".join(map(re.escape, w.split("-")))
+    patterns = [re.compile(r"\b" + r"[ \t\n\x0b\f\r]+".join(map(gap, t.split())) + r"\b") for t in names]
+    for _ in range(400):
+        text = "".join(rng.choice([*parts, "é", "été", "x", "Can't", "_1"]) + rng.choice([" ", "  ", "-", "\n", ", ", "", "' "]) for _ in range(rng.randrange(12)))
+        assert index.labels(text) == {k for k, p in enumerate(patterns) if p.search(text.lower())}, text
+    with pytest.raises(ValueError, match="begins"):
+        terms.TermIndex([("*x", 0)])
+
+
+@pytest.mark.parametrize(
+    ("pattern", "literals"),
+    [("cold (soup|tea)", ["cold "]), (r"\bwaiter\b", ["waiter"]), ("ab?c+de", ["de"]), ("rude|slow[a-z]+ly", ["rude", "slow"]), ("(?:rude|kind)", ["rude", "kind"]), (r"a\.b", ["a.b"]), ("x{2}yz", ["yz"]),
+     ("a|bc", None), ("(?i)food", None), ("[abc]de.f", ["de"]), (r"\d+ min", [" min"]), ("fo+d", ["fo"]), ("abc*?de", ["ab"]), ("", None)],
+)
+def test_required_literals(pattern, literals):
+    assert terms.required_literals(pattern) == literals
+
+
+def test_rules_like_a_cascade():
+    rng = random.Random(5)
+    words = ["cold", "soup", "rude", "waiter", "slow", "tea", "noise", "ſoup"]
+    patterns = [rng.choice([r"{}\s+{}", "{}|{}", r"\b{}\b.*{}", "{}?{}", "({}|x){}+", "[{}]{{3}}{}"]).format(*rng.sample(words, 2)) for _ in range(120)]
+    index, plain = terms.RuleIndex(patterns), [re.compile(p, re.IGNORECASE) for p in patterns]
+    for _ in range(300):
+        text = " ".join(rng.choice([w, w.upper()]) for w in rng.choices(words, k=rng.randrange(5)))
+        assert index.first(text) == next((k for k, p in enumerate(plain) if p.search(text.lower())), None), text
+    assert terms.RuleIndex([]).first("x") is None
+
+
+def test_costs_grow_in_proportion(spark):
+    """Many terms and rules cost about what few do, and a long text what its parts do."""
+
+    def seconds(f, times=3):
+        best = 1e9
+        for _ in range(times):
+            began = time.perf_counter()
+            f()
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    rng = random.Random(1)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    texts = [" ".join(word() for _ in range(12)) for _ in range(3000)]
+    few, many = (terms.TermIndex([(f"{word()} {word()}", 0) for _ in range(n)]) for n in (10, 10_000))
+    assert seconds(lambda: [many.labels(t) for t in texts]) < 4 * seconds(lambda: [few.labels(t) for t in texts])
+    few, many = (terms.RuleIndex([rf"\b{word()}\s+{word()}" for _ in range(n)]) for n in (10, 2000))
+    assert seconds(lambda: [many.first(t) for t in texts]) < 4 * seconds(lambda: [few.first(t) for t in texts])
+    run = lambda n: lambda: spark.createDataFrame([("the food was fine. " * n,)], "t string").select(F.size(segment.spans(F.col("t")))).first()
+    assert run(32000)()[0] == 32000
+    assert seconds(run(32000), 2) < 8 * seconds(run(8000), 2)
+
+
+def test_rule_tables(spark):
+    c = spark.createDataFrame([("1", "Cold SOUP"), ("2", None), ("3", "tea")], "clause_id string, clause_text string").withColumn("priority", F.lit("clash"))
+    rules = assertions.rule_table(spark, [("soup", "Food", "Negative", "t", "Annotated"), ("cold", "Service", None, None, "x")])
+    assert [tuple(r) for r in assertions.first_rule(c, rules).select("clause_id", "priority", "aspect").orderBy("clause_id").collect()] == [("1", 0, "Food"), ("2", None, None), ("3", None, None)]
+    assert assertions.first_rule(c, rules.filter("false")).filter("aspect is null").count() == 3
+    same = rules.withColumn("priority", F.lit(1))
+    assert assertions.first_rule(c, same).count() == 3
+
+
+@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 700])
+def test_sums_before(spark, n):
+    df = spark.createDataFrame([(list(range(n)),), (None,)], "x array<long>")
+    assert [r[0] for r in df.select(sums_before(F.col("x"))).collect()] == [[sum(range(k)) for k in range(n)], None]
