@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,31 +194,42 @@ def expected_calibration_error(predictions: DataFrame, confidence: str, correct:
     return cells.agg(F.sum("n").alias("n"), half_even(F.sum(F.col("n") * F.abs(F.col("accuracy") - F.col("confidence"))) / F.sum("n"), 4).alias("ece"))
 
 
+def bootstrap_weights(cells: DataFrame, key: list[str], replicates: int, seed: int) -> DataFrame:
+    """``cells`` (with their number of rows ``n``) in each replicate ``rep``, with a weight ``w`` drawn from Poisson(n).
+
+    A row of a bootstrap sample weighs about Poisson(1), and the weights of n rows add up to Poisson(n), so one draw for
+    a cell stands for draws for each of its rows. All draws of a cell come from one generator, seeded by the cell's key.
+    """
+
+    @F.arrow_udf("array<long>")
+    def draws(n: pa.Array, own: pa.Array) -> pa.Array:
+        made = [np.random.default_rng([seed, k & (1 << 63) - 1, k < 0]).poisson(float(x), replicates) for x, k in zip(n.to_pylist(), own.to_pylist(), strict=True)]
+        values = np.concatenate(made) if made else np.zeros(0, np.int64)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * replicates, pa.int32()), pa.array(values, pa.int64()))
+
+    drawn = cells.withColumn("_draws", draws(F.col("n"), F.xxhash64(*[F.col(c).cast("string") for c in key])))
+    return drawn.select(*cells.columns, F.posexplode("_draws").alias("rep", "w"))
+
+
 def bootstrap_macro_f1(pairs: DataFrame, key: str, truth: str, a: str, b: str, labels: list, replicates: int = 1000, seed: int = 42) -> DataFrame:
     """One row: 95 % intervals of the macro-F1 of model a, and of its lead on model b, over the same replicates.
 
-    A row's weight in a replicate is a Poisson(1) draw by hash of (key, replicate), which needs no gathering and is close
-    to drawing rows with replacement. The weighted confusion counts of a replicate are added up map-side.
+    The rows are counted once by (truth, a, b); replicates reweigh these cells (``bootstrap_weights``), so beyond that count
+    the work doesn't depend on the number of rows. ``key`` isn't needed for that; rows with a null are cells as well.
     """
-    u = (F.pmod(F.xxhash64(key, "rep", F.lit(seed)), F.lit(1 << 53)) + F.lit(0.5)) / float(1 << 53)
-    steps, total, term = [], 0.0, math.exp(-1)
-    for k in range(12):
-        total += term
-        steps.append(total)
-        term /= k + 1
-    weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))
-    drawn = pairs.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).withColumn("w", weight).filter("w > 0")
+    cells = pairs.groupBy(F.col(truth).alias("y"), F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    drawn = bootstrap_weights(cells, ["y", "a", "b"], replicates, seed)
 
     def macro(p: str) -> Column:
         out = F.lit(0.0)
         for x in labels:
-            y, q = F.col(truth) == F.lit(x), F.col(p) == F.lit(x)
+            y, q = F.col("y").eqNullSafe(F.lit(x)), F.col(p).eqNullSafe(F.lit(x))
             add = lambda c: F.sum(F.when(c, F.col("w")).otherwise(0))
             tp, fp, fn = add(y & q), add(~y & q), add(y & ~q)
             out = out + F.when(2 * tp + fp + fn == 0, 0.0).otherwise(2 * tp / (2 * tp + fp + fn))
         return out / len(labels)
 
-    each = drawn.groupBy("rep").agg(macro(a).alias("fa"), macro(b).alias("fb")).withColumn("lead", F.col("fa") - F.col("fb"))
+    each = drawn.groupBy("rep").agg(macro("a").alias("fa"), macro("b").alias("fb")).withColumn("lead", F.col("fa") - F.col("fb"))
     pct = lambda c, q: F.percentile(c, F.lit(q))
     return each.agg(pct("fa", 0.025).alias("low"), pct("fa", 0.5).alias("median"), pct("fa", 0.975).alias("high"), pct("lead", 0.025).alias("lead_low"), pct("lead", 0.975).alias("lead_high"))
 

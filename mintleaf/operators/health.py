@@ -38,9 +38,10 @@ def recency_weights(reviews: DataFrame, half_life_days: float, order: list[str])
     takes the rank of the row in ``order`` as age.
     """
     seconds = F.col("Review_Date").cast("timestamp").cast("double")
-    dated = reviews.filter(F.col("Review_Date").isNotNull()).select("Restaurant", seconds.alias("s"))
-    # the median age is the age of the median date; a row for each entity
-    entities = dated.groupBy("Restaurant").agg(F.max("s").alias("_latest"), F.percentile("s", F.lit(0.5)).alias("_median"))
+    # the median age is the age of the median date. It comes from the counts of an entity's different dates, so that no task
+    # holds the dates of all rows of a large entity; a row for each entity
+    dated = reviews.filter(F.col("Review_Date").isNotNull()).groupBy("Restaurant", seconds.alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    entities = dated.groupBy("Restaurant").agg(F.max("s").alias("_latest"), F.percentile("s", F.lit(0.5), F.col("n")).alias("_median"))
     aged = reviews.join(entities, "Restaurant", "left")
     age = (F.col("_latest") - F.coalesce(seconds, F.col("_median"))) / 86400.0
     weight = lambda days: F.exp(-math.log(2.0) / half_life_days * days)

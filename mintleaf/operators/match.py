@@ -8,14 +8,18 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mintleaf.functions.arrays import let
-from mintleaf.functions.numbers import cosine
 from mintleaf.functions.text import hits
 from mintleaf.operators.terms import MOST_TERMS, term_labels
 
+#: Components of all centroids together that are taken to the driver (64 MB), and scores of a batch that a task holds.
+MOST_NUMBERS, _SCORES = 1 << 23, 1 << 22
 #: A lexicon to start with; give your own (aspect, term) pairs for real use. Phrases stand behind a bar.
 LEXICON = {
     "Food": "appetizer breakfast bread cheese dinner dish dishes flavour food lunch meal meat mutton noodles sandwich seafood seasoning taste vegetables|main course",
@@ -153,27 +157,73 @@ def centroids(vectors: DataFrame, label: str = "label", vector: str = "embedding
     return parts.groupBy(label).agg(F.sort_array(F.collect_list(F.struct("i", "m"))).alias("v")).select(label, F.col("v.m").alias("centroid"))
 
 
+def nearest(vector: Column, points: list[list[float]]) -> Column:
+    """struct(at, score): the point of the largest cosine, of equal ones the first; null for vectors that can't be compared.
+
+    A batch of vectors is multiplied with all points at once. Null vectors, those of another length and those with a null or
+    an infinite component can't be compared; the cosine with a vector of zeros is 0.
+    """
+    table = np.array(points, np.float64)
+    norms = np.linalg.norm(table, axis=1, keepdims=True)
+    unit = np.divide(table, norms, out=np.zeros_like(table), where=norms > 0).T
+    width = len(unit)
+
+    @F.arrow_udf("struct<at: int, score: double>")
+    def find(vectors: pa.Array) -> pa.Array:
+        n, at, score = len(vectors), [], []
+        fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False).to_numpy(zero_copy_only=False)
+        step = max(1, _SCORES // unit.shape[1])
+        for lo in range(0, n, step):
+            own = np.flatnonzero(fits[lo : lo + step])
+            rows = vectors.slice(lo, step).take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), width)
+            good = np.isfinite(rows).all(axis=1)
+            rows = np.where(good[:, None], rows, 0.0)
+            length = np.linalg.norm(rows, axis=1)
+            scores = rows @ unit / np.where(length > 0, length, 1.0)[:, None]
+            best = scores.argmax(axis=1)
+            places, values = np.full(min(step, n - lo), -1), np.zeros(min(step, n - lo))
+            places[own[good]], values[own[good]] = best[good], scores[np.arange(len(own)), best][good]
+            at.append(places)
+            score.append(values)
+        at, score = np.concatenate([*at, np.zeros(0, np.int64)]), np.concatenate([*score, np.zeros(0)])
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(score)], names=["at", "score"], mask=pa.array(at < 0))
+
+    return find(vector)
+
+
+def _read_centroids(centroids: DataFrame, columns: list[str]) -> list:
+    """The table's rows, in the order of the first column; an error if they hold too many numbers."""
+    size = centroids.agg(F.sum(F.size("centroid"))).first()[0] or 0
+    if size > MOST_NUMBERS:
+        raise ValueError(f"centroids have at most {MOST_NUMBERS} components together")
+    return sorted(centroids.select(*columns, "centroid").collect(), key=lambda r: r[0])
+
+
 def nearest_centroid(vectors: DataFrame, centroids: DataFrame, label: str = "label", vector: str = "embedding", key: str = "vec_id", threshold: float | None = None) -> DataFrame:
     """(key, predicted, score): the centroid of the largest cosine, ties to the smaller label; none below the threshold.
 
-    The centroids, one for each label, are broadcast as one array.
+    The centroids, one for each label, are read by this call (an action) and go to the tasks as one matrix of a checked size.
+    Vectors that can't be compared (``nearest``) have no row.
     """
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct(F.col(label).alias("l"), F.col("centroid").alias("c")))).alias("table"))
-    scored = vectors.crossJoin(F.broadcast(table)).select(
-        key, F.array_max(F.transform("table", lambda t: F.struct(cosine(F.col(vector), t["c"]).alias("score"), (-t["l"]).alias("neg")))).alias("best")
-    )
-    out = scored.select(key, (-F.col("best.neg")).alias("predicted"), F.col("best.score").alias("score"))
+    rows = _read_centroids(centroids, [label])
+    kind = centroids.schema[label].dataType
+    if not rows:
+        return vectors.select(key, F.lit(None).cast(kind).alias("predicted"), F.lit(None).cast("double").alias("score")).limit(0)
+    found = vectors.select(key, nearest(F.col(vector), [r["centroid"] for r in rows]).alias("best")).filter("best is not null")
+    names = F.array(*[F.lit(r[label]).cast(kind) for r in rows])
+    out = found.select(key, F.get(names, F.col("best.at")).alias("predicted"), F.col("best.score").alias("score"))
     return out if threshold is None else out.filter(F.col("score") >= threshold)
 
 
 def _nearest_aspects(clauses: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
     """``clauses`` with ``near``, an array of the nearest aspect, or empty: below the threshold, or a general one of a clause that the guards hold back."""
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct("ord", "aspect", "centroid"))).alias("_table"))
-    best = F.array_max(F.transform("_table", lambda t: F.struct(cosine(F.col("embedding"), t["centroid"]).alias("score"), (-t["ord"]).alias("neg"), t["aspect"].alias("aspect"))))
-    scored = clauses.crossJoin(F.broadcast(table)).withColumn("_best", best)
-    held_back = (F.col("_best.aspect") == "General Experience") & (only_generic(F.col("clause_text")) | factual_context(F.col("clause_text")))
-    near = F.when((F.col("_best.score") >= threshold) & ~held_back, F.array("_best.aspect")).otherwise(F.array().cast("array<string>"))
-    return scored.withColumn("near", near).drop("_table", "_best")
+    rows, none = _read_centroids(centroids, ["ord", "aspect"]), F.array().cast("array<string>")
+    if not rows:
+        return clauses.withColumn("near", none)
+    scored = clauses.withColumn("_best", nearest(F.col("embedding"), [r["centroid"] for r in rows]))
+    aspect = F.get(F.array(*[F.lit(r["aspect"]) for r in rows]), F.col("_best.at"))
+    held_back = (aspect == "General Experience") & (only_generic(F.col("clause_text")) | factual_context(F.col("clause_text")))
+    return scored.withColumn("near", F.when((F.col("_best.score") >= threshold) & ~held_back, F.array(aspect)).otherwise(none)).drop("_best")
 
 
 def semantic_fallback(clauses: DataFrame, matched: DataFrame, centroids: DataFrame, threshold: float = 0.22) -> DataFrame:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from mintleaf.schemas import ASPECTS, NO_OPINION, SENTIMENTS
 
 
+#: What a unit takes from its first row.
+META = ["Restaurant", "star_rating", "Review_Date", "YearMonth", "Reviewer"]
+
+
 def resolve(has: dict[str, Column]) -> Column:
     """Positive and Negative together are Mixed; else Positive, Negative, Neutral in that order; else no opinion."""
     pos, neg, neu = (F.coalesce(has[s], F.lit(False)) for s in SENTIMENTS)
@@ -30,11 +34,10 @@ def opinions(assertions: DataFrame) -> DataFrame:
 
 def review_aspect_units(assertions: DataFrame, order: list[str]) -> DataFrame:
     """One row for each (review_id, aspect) with an opinion; metadata from its first row by ``order``."""
-    meta = ["Restaurant", "star_rating", "Review_Date", "YearMonth", "Reviewer"]
-    first = F.min_by(F.struct(*meta, "clause_text"), F.struct(*order))
+    first = F.min_by(F.struct(*META, "clause_text"), F.struct(*order))
     grouped = opinions(assertions).groupBy("review_id", "aspect").agg(resolve_sentiment(F.col("sentiment")).alias("sentiment"), first.alias("first"), F.count(F.lit(1)).alias("clause_count"))
     return grouped.select(
-        "review_id", "aspect", F.col("first.Restaurant").alias("Restaurant"), "sentiment", *[F.col(f"first.{c}").alias(c) for c in meta[1:]], "clause_count", F.col("first.clause_text").alias("sample_clause")
+        "review_id", "aspect", F.col("first.Restaurant").alias("Restaurant"), "sentiment", *[F.col(f"first.{c}").alias(c) for c in META[1:]], "clause_count", F.col("first.clause_text").alias("sample_clause")
     )
 
 

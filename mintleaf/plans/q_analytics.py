@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from mintleaf.operators import bayes, clean, evaluate, health, metrics, units
+from mintleaf.operators import bayes, clean, evaluate, health, metrics, sketches, units
 from mintleaf.plans.fixtures import ASSERTIONS_SQL, COUNTS_SQL, ORDER, UNITS_SQL, assertions, pct_sql, reviews, shares_sql
+from mintleaf.sources.tables import written
 
 PEERS = ["NATION_7", "NATION_3", "NATION_99", "NATION_12"]
 
@@ -37,7 +38,18 @@ def training_frame(spark, d):
     return counts
 
 
+def _sketched(spark, d):
+    """Metrics of months from 1994 on from stored sketches, and whether the estimates are within 3 % of exact counts."""
+    rows, scope = _units(spark, d), F.col("YearMonth") >= "1994-01"
+    stored = written(sketches.review_sketches(rows), "sketches")
+    found = sketches.aspect_metrics_from_sketches(stored, ["Restaurant"], scope)
+    exact = metrics.aspect_metrics(rows.filter(scope), by=["Restaurant"]).select("Restaurant", "Aspect", F.col("Eligible_Reviews").alias("exact"))
+    near = F.abs(F.col("Eligible_Reviews") - F.col("exact")) <= 0.03 * F.col("exact")
+    return found.join(exact, ["Restaurant", "Aspect"]).select("Restaurant", "Aspect", "Mention_Count", "Positive_Pct", near.alias("near_exact"))
+
+
 QUERIES = {
+    "aspect_metrics_sketched": _sketched,
     "review_aspect_units": _units,
     "aspect_metrics_all": lambda s, d: metrics.aspect_metrics(_units(s, d), reviews(s, d)),
     "aspect_metrics_by_entity": lambda s, d: metrics.aspect_metrics(_units(s, d), reviews(s, d), ["Restaurant"]),
@@ -136,6 +148,7 @@ _UNION_COUNTS = ", ".join(f"count(*) FILTER (sentiment = '{s}') AS {s}_Count" fo
 ORACLE_SQL = {
     "review_aspect_units": f"{_W} SELECT * FROM units",
     "aspect_metrics_all": f"{_W}, {_metrics_sql('')} SELECT * FROM metrics",
+    "aspect_metrics_sketched": f"{_W}, scoped AS (SELECT * FROM units WHERE YearMonth >= '1994-01'), {_metrics_sql('Restaurant', 'scoped', 'scoped')} SELECT Restaurant, Aspect, Mention_Count, Positive_Pct, TRUE AS near_exact FROM metrics",
     "aspect_metrics_by_entity": f"{_W}, {_metrics_sql('Restaurant')} SELECT * FROM metrics",
     "aspect_metrics_rollup": f"{_W} SELECT CASE WHEN grouping(Restaurant) = 1 THEN 'All' ELSE Restaurant END AS Restaurant, aspect AS Aspect, grouping(Restaurant) = 1 AS Is_Total, count(DISTINCT review_id) AS Mention_Count, {_UNION_COUNTS} FROM units GROUP BY GROUPING SETS ((Restaurant, aspect), (aspect))",
     "review_level_sentiment": f"""{_W} SELECT review_id, min(Restaurant) AS Restaurant,

@@ -8,6 +8,7 @@ from mintleaf.functions.text import candidate_terms, canonical, clean_text, deco
 from mintleaf.operators import assertions as asr
 from mintleaf.operators import clean, complaints, evaluate, match, segment
 from mintleaf.plans.fixtures import PREDICTIONS_SQL, table
+from mintleaf.sources.tables import spread
 
 LEXICON = {"Food": "that than", "Service": "for from", "Price / Value": "with", "Ambience": "was", "General Experience": "this are"}
 POSITIVE, NEGATIVE = ["and", "the"], ["ing", "ble"]
@@ -19,7 +20,7 @@ FEW = {"Food": "their", "Ambience": "there|von der"}
 
 
 def _docs(spark, d):
-    docs = table(spark, d, "documents")
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "text"))
     return docs.select(F.col("doc_id").cast("string").alias("review_id"), "doc_id", F.col("source").alias("Restaurant"), F.col("text").alias("Review"), (1 + F.col("doc_id") % 5).cast("double").alias("Rating"))
 
 

@@ -29,6 +29,21 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (df.write.mode("overwrite").partitionBy(*by) if by else df.write.mode("overwrite")).parquet(path)
 
 
+def intake(new: DataFrame, path: str, key: str, batch: str, by: list[str] | None = None) -> None:
+    """Adds the rows of ``new`` whose key no other batch of the table has, as the partition ``batch`` of that name.
+
+    The batch's partition is replaced as a whole, so an intake that is run again, after a failure or by mistake, leaves the
+    table as one run does. The table's other batches aren't touched, and of them only the keys are read. Rows of one batch
+    with the same key are all taken. ``by``: columns by which the batch is partitioned below.
+    """
+    spark = new.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        known = spark.read.option("basePath", path).schema(StructType([*new.schema.fields, StructField("batch", StringType())])).parquet(path)
+        new = new.join(known.filter(F.col("batch") != batch).select(key).distinct(), key, "left_anti").select(*new.columns)
+    write_parquet(new, f"{path}/batch={batch}", by)
+
+
 def write_jsonl(df: DataFrame, path: str) -> None:
     """JSON lines with explicit nulls; NaN becomes null."""
     clean = [F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes]

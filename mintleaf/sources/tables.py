@@ -37,6 +37,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt out over all cores where its scan has fewer splits than there are; for work on texts of small tables."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard_tables(spark: SparkSession) -> None:
     """Deletes all tables that this application has ``written``; for callers that have used up the results."""
     path = spark._jvm.org.apache.hadoop.fs.Path(_own_tables(spark))
