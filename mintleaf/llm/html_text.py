@@ -12,6 +12,10 @@ from the pages' own markup: what stands in an article or main container is main
 word between says menu, footer, advert and so on. In each epoch foreign blocks are set in and containers renamed, so
 the labels hold for page forms that the sample lacks. Every page of the input is labelled as a whole.
 
+A page is read in one pass, however broken. A tag that no ``>`` outside quotes ends is text. What follows an unclosed comment,
+``script``, ``style`` or ``title`` belongs to it, up to the end of the page, and elements open within 512 others are read as
+text of the last of these; browsers do the same.
+
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined by two
 line feeds; nothing else is dropped. A null or empty page, or one without main text, gives the empty text. Rows with
 null ids or urls are handled as any other; an empty table gives an empty result.
@@ -22,6 +26,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -38,11 +43,11 @@ SAMPLE_PAGES, EPOCHS, BATCH, HIDDEN = 96, 20, 16, 16
 SAMPLE_BYTES = 1 << 20
 OTHER_BINS, WORD_BINS, COUNTS = 128, 32, 7
 
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>", re.S)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORD = re.compile(r"[a-z]+")
 _RAW = frozenset("script style title textarea".split())
 _APART = frozenset("noscript iframe svg template object".split())
+_NESTED = 512  # open elements; those further inside are read as their parent's text, as browsers do
 _DEEPEST = 20  # of elements set apart within each other; beyond it they are read in place
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -69,6 +74,83 @@ class Block:
     linked: int = 0  # characters in links
 
 
+class _Scanner:
+    """Finds the markup of a page from left to right, in one pass over the page however broken it is.
+
+    A tag ends at the first ``>`` outside quotes; one that has none is text. Where quotes open depends on where the tag
+    begins, so what a walk from an opening quote comes to is remembered for that quote, and so is the place of the next
+    sign of each kind, which later tags would look for again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.ends: dict[int, int] = {}  # an opening quote -> the end of the tag that goes on there, or -1
+        self.seen: dict[str, int] = {}  # kind of sign -> the next place found
+
+    def _next(self, kind: str, at: int) -> int:
+        """The first place from ``at`` on of a sign of a kind, or the page's length; ``at`` grows from call to call."""
+        found = self.seen.get(kind, -1)
+        if found < at:
+            m = _SIGNS[kind].search(self.page, at)
+            found = self.seen[kind] = m.start() if m else len(self.page)
+        return found
+
+    def _tag_end(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose attributes begin at ``at``, or -1."""
+        sign, walked, end = self._next("end", at), [], -1
+        while sign < len(self.page):
+            if self.page[sign] == ">":
+                end = sign
+                break
+            if sign in self.ends:
+                end = self.ends[sign]
+                break
+            walked.append(sign)
+            close = self.page.find(self.page[sign], sign + 1)
+            m = _SIGNS["end"].search(self.page, close + 1) if close >= 0 else None
+            sign = m.start() if m else len(self.page)
+        self.ends.update(dict.fromkeys(walked, end))
+        return end
+
+    def after(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, tag, attributes) of the next markup; comments and the like have no tag, CDATA its content as attributes."""
+        page = self.page
+        while (start := page.find("<", at)) >= 0:
+            sign = page[start + 1 : start + 2]
+            if sign in ("!", "?") and sign:
+                for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                    if page.startswith(opening, start):
+                        end = page.find(closing, start + len(opening))
+                        inner = page[start + len(opening) : end if end >= 0 else len(page)] if opening != "<!--" else ""
+                        return start, end + 3 if end >= 0 else len(page), "", "", inner
+                end = self._next(">", start)
+                if end < len(page):
+                    return start, end + 1, "", "", ""
+            slash = "/" if sign == "/" else ""
+            first = page[start + 1 + len(slash) : start + 2 + len(slash)]
+            if first.isascii() and first.isalpha():
+                begin = start + 1 + len(slash)
+                stop = self._next("name", begin)
+                end = self._tag_end(stop)
+                if end < 0 and (quote := self._next("quote", begin)) < stop:  # a quote in the name opens the attributes
+                    stop, end = quote, self._tag_end_from_quote(quote)
+                if end >= 0:
+                    return start, end + 1, slash, page[begin:stop].lower(), page[stop:end]
+            at = start + 1
+        return None
+
+    def _tag_end_from_quote(self, quote: int) -> int:
+        """As ``_tag_end``, from a sign before the one that was found last."""
+        held = self.seen["end"]
+        self.seen["end"] = quote
+        end = self._tag_end(quote)
+        self.seen["end"] = held
+        return end
+
+
+_SIGNS = {"end": re.compile("[\"'>]"), "name": re.compile(r"[\s/>]"), "quote": re.compile("[\"']"), ">": re.compile(">")}
+
+
 @dataclass
 class _Parser:
     names: dict[tuple[str, str], tuple[str, ...]] = field(default_factory=dict)
@@ -86,9 +168,11 @@ class _Parser:
     def blocks(self, page: str, around: tuple[tuple[str, tuple[str, ...]], ...] = (), depth: int = 0) -> list[Block]:
         out: list[Block] = []
         later: list[Block] = []
-        stack: list[tuple[str, tuple[str, ...]]] = list(around)
+        stack: list[tuple[str, tuple[str, ...]]] = list(around)  # open elements, each with the path to it
+        opened = Counter(tag for tag, _ in stack)
         parts: list[str] = []
         linked, at = 0, 0
+        scanner = _Scanner(page)
 
         def close() -> None:
             nonlocal parts, linked
@@ -96,42 +180,48 @@ class _Parser:
                 joined = "".join(parts)
                 text = " ".join((html_lib.unescape(joined) if "&" in joined else joined).split())
                 if text:
-                    out.append(Block(tuple(t for _, own in stack for t in own), text, linked))
+                    out.append(Block(stack[-1][1] if stack else (), text, linked))
                 parts, linked = [], 0
             out.extend(later)
             later.clear()
 
-        find = _TAG.search
-        while m := find(page, at):
-            if m.start() > at:
-                parts.append(page[at : m.start()])
+        def leave(k: int) -> None:
+            while len(stack) > k:
+                opened[stack.pop()[0]] -= 1
+
+        def inside(tag: str, attributes: str) -> tuple[str, tuple[str, ...]]:
+            return tag, (stack[-1][1] if stack else ()) + self.tokens(tag, attributes)
+
+        while m := scanner.after(at):
+            start, end, slash, tag, attributes = m
+            if start > at:
+                parts.append(page[at:start])
                 if stack and stack[-1][0] == "a":
-                    linked += m.start() - at
-            at = m.end()
-            tag = (m[2] or "").lower()
+                    linked += start - at
+            at = end
             if not tag:
-                if m[0].startswith("<![CDATA["):
-                    parts.append(m[0][9:].removesuffix("]]>").replace("&", "&amp;"))  # no references in there
+                if attributes:
+                    parts.append(attributes.replace("&", "&amp;"))  # no references in there
                 continue
-            if m[1]:
+            if slash:
                 if tag in _BLOCK:
                     close()
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, -1, -1) if opened[tag] else ():
                     if stack[k][0] == tag:
-                        del stack[k:]
+                        leave(k)
                         break
                     if tag not in _BLOCK and stack[k][0] in _BARRIER:
                         break
                 continue
             if tag in _RAW:
-                end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at) if not m[3].endswith("/") else m
-                at = max(at, end.end()) if end else len(page)
+                end = re.compile(f"</{re.escape(tag)}\\s*>", re.I).search(page, at) if not attributes.endswith("/") else None
+                at = at if attributes.endswith("/") else end.end() if end else len(page)
                 continue
-            if tag in _APART and depth < _DEEPEST and not m[3].endswith("/"):
+            if tag in _APART and depth < _DEEPEST and not attributes.endswith("/"):
                 end = re.compile(f"</{tag}\\s*>", re.I).search(page, at)
                 inner = page[at : end.start() if end else len(page)]
                 if inner.strip():
-                    later += self.blocks(inner, (*stack, (tag, self.tokens(tag, m[3]))), depth + 1)
+                    later += self.blocks(inner, (*stack, inside(tag, attributes)), depth + 1)
                 at = end.end() if end else len(page)
                 continue
             if tag in _BLOCK:
@@ -139,14 +229,15 @@ class _Parser:
                 if tag == "p" or tag in ("li", "dd", "dt", "tr", "td", "th", "option") or tag in _BARRIER:
                     for k in range(len(stack) - 1, -1, -1):  # an open paragraph, or sibling, ends here
                         if stack[k][0] == tag and tag in ("p", "li", "dd", "dt", "tr", "td", "th", "option") or stack[k][0] == "p":
-                            del stack[k:]
+                            leave(k)
                             break
                         if stack[k][0] in _BARRIER or stack[k][0] in ("tr", "dl", "select"):
                             break
             elif tag in ("br", "wbr", "img"):
                 parts.append(" " if tag == "br" else "")
-            if tag not in _VOID and not m[3].endswith("/"):
-                stack.append((tag, self.tokens(tag, m[3])))
+            if tag not in _VOID and not attributes.endswith("/") and len(stack) < _NESTED:
+                stack.append(inside(tag, attributes))
+                opened[tag] += 1
         parts.append(page[at:])
         close()
         return out
