@@ -244,21 +244,49 @@ def _link(active: DataFrame, sets: DataFrame) -> DataFrame:
     return labels
 
 
+def _representatives(signed: DataFrame) -> DataFrame:
+    """(fp, doc, least, n, sig): a row for each set, ``least`` the least id with it, and ``doc`` a number that no other set has.
+
+    That is the least id, unless other sets have the same one, as where rows of one id have different texts: all but one of
+    these get numbers beyond all ids.
+    """
+    found = signed.filter("fp is not null and doc is not null").groupBy("fp").agg(F.min("doc").alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig"))
+    found = written(found, "found")
+    taken = found.groupBy("least").agg(F.min("fp").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").drop("c")
+    others = found.select("fp", "least").join(taken, "least").filter("fp != first")
+    others = written(others.select("fp", (F.monotonically_increasing_id() + F.lit(1 << 62)).alias("other")), "others")
+    return written(found.join(others, "fp", "left").select("fp", F.coalesce("other", "least").alias("doc"), "least", "n", "sig"), "sets")
+
+
+def _meet_by_id(signed: DataFrame, classes: DataFrame) -> DataFrame:
+    """``classes`` (fp, component), with the components joined that have rows of one id: rows of one id are one document."""
+    ids = signed.filter("fp is not null and doc is not null").groupBy("doc").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).filter("x != y").select("doc")
+    ids = written(ids, "repeated")
+    if not ids.limit(1).count():
+        return classes
+    met = written(signed.select("doc", "fp").join(ids, "doc", "left_semi").join(classes, "fp").select("doc", "component").distinct(), "met")
+    least = met.groupBy("doc").agg(F.min("component").alias("v"))
+    joined = component_labels(met.join(least, "doc").select(F.col("component").alias("u"), "v"))
+    return classes.join(joined.withColumnRenamed("node", "component"), "component", "left").select("fp", F.coalesce("label", "component").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE_WORDS) -> DataFrame:
-    """One row per document: id, n_shingles, component_id (the least id of its component), kept."""
+    """One row per row of ``docs``: id, n_shingles, component_id (the least id of its component), kept.
+
+    Rows with the same id are one document, whatever their texts: they are in one component, and a set is a row's own.
+    """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     signed = written(texts.mapInArrow(_sign(k), "doc long, n long, fp binary, sig binary"), "signatures")
-    reps = written(
-        signed.filter("fp is not null and doc is not null").groupBy("fp").agg(F.min("doc").alias("doc"), F.first("n").alias("n"), F.first("sig").alias("sig")), "sets"
-    )
+    reps = _representatives(signed)
     active = written(_active(reps), "active")
-    wanted = active.select("doc").distinct()
+    chosen = reps.select("fp", "doc", "least").join(active.select("doc"), "doc", "left_semi")
+    wanted = chosen.select(F.col("least").alias("doc")).distinct()
     small = active.count() <= BROADCAST_IDS
     sets = texts.join(F.broadcast(wanted) if small else wanted, "doc", "left_semi").mapInArrow(_sets(k), "doc long, fp binary, shingles binary")
-    sets = written(sets.join(active.select("doc", "fp"), ["doc", "fp"], "left_semi"), "shingles")
+    sets = written(sets.withColumnRenamed("doc", "least").join(chosen, ["least", "fp"]).select("doc", "shingles"), "shingles")
     labels = _link(active, sets)
-    # rows of one id are one document, whatever their texts
-    named = written(reps.select("fp", "doc").join(labels, "doc", "left").select("fp", F.coalesce("component", "doc").alias("component")), "classes")
+    classes = written(reps.select("fp", "doc").join(labels, "doc", "left").select("fp", F.coalesce("component", "doc").alias("component")), "classes")
+    named = _meet_by_id(signed, classes)
     out = signed.join(named, "fp", "left").select("doc", "n", F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component"))
     return out.select(F.col("doc").alias("id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("doc") == F.col("component"), F.lit(True)).alias("kept"))
 

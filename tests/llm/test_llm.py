@@ -799,3 +799,25 @@ def test_pipeline_stages(spark):
             assert {r["doc_id"] for r in after} == {r["doc_id"] for r in before} and len(after) >= len(before)
         docs = spark.createDataFrame(after, docs.schema)
     assert docs.columns == [*columns, "n_tokens", "ids", "decoded"]
+
+
+def test_near_duplicates_where_ids_repeat(spark):
+    """As many rows come out as go in, and rows of one id bring their sets' components together."""
+    rng = random.Random(2)
+    one, two = text(rng, 60), text(rng, 60)
+    base = [text(rng, 60) for _ in range(6)]
+    rows = [(500, None), (500, one), (501, ""), (501, ""), (None, one), (None, None), (500, two), (1, one), (1, two), (2, one + " x"), (3, two + " y")]
+    for k in range(100):
+        words = rng.choice(base).split()
+        words[rng.randrange(60)] = f"z{k}"
+        rows.append((rng.choice([k, k, k, rng.randrange(40)]) + 10, rng.choice([" ".join(words), text(rng, 30), rng.choice(base)])))
+    sets = [frozenset(zip(*(words_of(normal(t))[j:] for j in range(5)), strict=False)) for _, t in rows]
+    group = list(range(len(rows)))
+    for i, (a, x) in enumerate(zip(rows, sets, strict=True)):
+        for j, (b, y) in enumerate(zip(rows[:i], sets, strict=False)):
+            if None not in (a[0], b[0]) and x and y and (a[0] == b[0] or 100 * len(x & y) >= 75 * len(x | y)):
+                group = [group[i] if g == group[j] else g for g in group]
+    least = {g: min(r[0] for r, h in zip(rows, group, strict=True) if h == g) for i, g in enumerate(group) if rows[i][0] is not None}
+    want = [(r[0], len(s), None if r[0] is None else least[g], r[0] is None or least[g] == r[0]) for r, s, g in zip(rows, sets, group, strict=True)]
+    got = [tuple(r) for r in near_dedup.near_duplicates(corpus(spark, rows)).select("id", "n_shingles", "component_id", "kept").collect()]
+    assert Counter(got) == Counter(want)
