@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mintleaf.functions.arrays import let
+
 
 def half_even(x: Column, digits: int) -> Column:
     """Rounds to ``digits`` decimals, ties to even (the rule of numpy)."""
@@ -25,10 +27,10 @@ def clamp(x: Column, low: float, high: float) -> Column:
 
 
 def softmax(margins: Column) -> Column:
-    """Softmax of an array of doubles."""
-    most = F.array_max(margins)
-    exps = F.transform(margins, lambda m: F.exp(m - most))
-    return F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, b: a + b))
+    """Softmax of an array of doubles; the exponentials and their sum are made once."""
+    powers = let(F.array_max(margins), lambda most: F.transform(margins, lambda m: F.exp(m - most)))
+    total = lambda es: F.aggregate(es, F.lit(0.0), lambda a, e: a + e)
+    return let(powers, lambda es: let(total(es), lambda s: F.transform(es, lambda e: e / s)))
 
 
 def dot(a: Column, b: Column) -> Column:

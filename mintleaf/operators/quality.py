@@ -203,20 +203,33 @@ def gate(assertions: DataFrame) -> DataFrame:
 
 
 def resolution_errors(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
-    """(assertion_id, rule): queued ids without a resolution, resolutions without a queued id, spans outside their clause."""
-    j = queue.select("assertion_id", "clause_text").join(resolutions.select("assertion_id", "target_text", F.lit(1).alias("r")), "assertion_id", "full_outer")
-    rule = F.when(F.col("r").isNull(), "unresolved").when(F.col("clause_text").isNull(), "not queued").when(F.coalesce(F.col("target_text"), F.lit("")) != "", F.when(~F.col("clause_text").contains(F.col("target_text")), "span outside"))
+    """(assertion_id, rule): queued ids without a resolution, resolutions without a queued id, spans outside their clause.
+
+    A queued row without a clause text has no span inside it.
+    """
+    queued = queue.select("assertion_id", "clause_text", F.lit(1).alias("q"))
+    j = queued.join(resolutions.select("assertion_id", "target_text", F.lit(1).alias("r")), "assertion_id", "full_outer")
+    span = F.coalesce(F.col("target_text"), F.lit(""))
+    outside = (span != "") & ~F.coalesce(F.col("clause_text").contains(span), F.lit(False))
+    rule = F.when(F.col("r").isNull(), "unresolved").when(F.col("q").isNull(), "not queued").when(outside, "span outside")
     return j.select("assertion_id", rule.alias("rule")).filter("rule IS NOT NULL")
 
 
 def apply_overrides(rows: DataFrame, overrides: DataFrame, key: str, column: str, note: str = "change_note") -> DataFrame:
-    """Sets ``column`` to ``new`` where the row still has ``expected`` (null: any), and adds a note."""
-    o = overrides.select(F.col(key), F.col("expected").alias("_expected"), F.col("new").alias("_new"), F.lit(True).alias("_hit"))
-    j = rows.join(o, key, "left")
-    hit = F.coalesce(F.col("_hit"), F.lit(False)) & (F.col("_expected").isNull() | F.col(column).eqNullSafe(F.col("_expected")))
-    said = F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column), F.lit("null")), F.lit(" -> "), F.col("_new"))
+    """Sets ``column`` to ``new`` where the row still has ``expected`` (null: any), and adds a note; every row stays one row.
+
+    Of several overrides of a key the one that expects the row's value is taken, before one that expects any, and of equal
+    ones the least ``new``.
+    """
+    once = overrides.groupBy(F.col(key), F.col("expected").alias("_expected")).agg(F.min(F.struct("new")).alias("_found"))
+    exact = once.filter("_expected is not null").select(key, "_expected", F.col("_found").alias("_exact"))
+    any_value = once.filter("_expected is null").select(key, F.col("_found").alias("_any"))
+    j = rows.withColumn("_expected", F.col(column)).join(exact, [key, "_expected"], "left").join(any_value, key, "left").withColumn("_new", F.coalesce("_exact", "_any"))
+    hit = F.col("_new").isNotNull()
+    said = F.concat(F.lit(f"{column}: "), F.coalesce(F.col(column), F.lit("null")), F.lit(" -> "), F.coalesce("_new.new", F.lit("null")))
     old = F.col(note) if note in rows.columns else F.lit(None).cast("string")
-    return j.withColumn(note, F.when(hit, F.concat_ws(" | ", old, said)).otherwise(old)).withColumn(column, F.when(hit, F.col("_new")).otherwise(F.col(column))).drop("_expected", "_new", "_hit")
+    out = j.withColumn(note, F.when(hit, F.concat_ws(" | ", old, said)).otherwise(old)).withColumn(column, F.when(hit, F.col("_new.new")).otherwise(F.col(column)))
+    return out.select(*rows.columns, *([] if note in rows.columns else [note]))
 
 
 def alignment_audit(left: DataFrame, right: DataFrame, keys: list[str], text: str = "clause_text") -> DataFrame:

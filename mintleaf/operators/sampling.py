@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from mintleaf.functions.text import hits
 
@@ -91,6 +92,65 @@ def quota_sample(rows: DataFrame, quotas: DataFrame, cell: list[str], key: str,
     return taken, report
 
 
+def _flow(rows: dict, columns: dict, cells: dict[tuple, int]) -> dict[tuple, int]:
+    """Whole numbers for the cells of a table, up to ``cells``, that add up to as much of both margins as they can."""
+    room, taken = {**{("row", r): n for r, n in rows.items()}, **{("col", c): n for c, n in columns.items()}}, dict.fromkeys(cells, 0)
+    while True:
+        # a shortest way from a row with room to a column with room: forwards over cells that aren't full, back over taken ones
+        came, queue, end = {("row", r): None for r in rows if room["row", r] > 0}, [("row", r) for r in rows if room["row", r] > 0], None
+        while queue and end is None:
+            side, at = queue.pop(0)
+            for r, c in cells:
+                if side == "row" and r == at and ("col", c) not in came and taken[r, c] < cells[r, c]:
+                    came["col", c] = (side, at)
+                    queue.append(("col", c))
+                    if room["col", c] > 0:
+                        end = ("col", c)
+                        break
+                if side == "col" and c == at and ("row", r) not in came and taken[r, c] > 0:
+                    came["row", r] = (side, at)
+                    queue.append(("row", r))
+        if end is None:
+            return taken
+        way = [end]
+        while came[way[-1]] is not None:
+            way.append(came[way[-1]])
+        way.reverse()
+        steps = [((a[1], b[1]), 1) if a[0] == "row" else ((b[1], a[1]), -1) for a, b in zip(way[:-1], way[1:], strict=True)]
+        most = min(room[way[0]], room[end], *(cells[k] - taken[k] if d > 0 else taken[k] for k, d in steps))
+        for k, d in steps:
+            taken[k] += d * most
+        room[way[0]] -= most
+        room[end] -= most
+
+
+def margin_sample(rows: DataFrame, margins: dict[str, dict[str, int]], key: str, once: str | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+    """Rows by quotas on two columns at once, and a report (margin, value, quota, available, taken, met).
+
+    ``margins``: for each of two columns the wanted rows of its values; rows of other values aren't taken. With ``once`` one
+    row of each of its values (an establishment) goes in, the first in hash order. The cells of both columns are counted
+    (an action; one small row for each cell), and a flow over them gives each cell its number, so that the sample is the
+    largest that keeps to both margins; rows of a cell are taken in hash order. A margin that isn't met has too few rows in
+    the cells that the other one leaves.
+    """
+    first, second = margins
+    pool = rows.filter(F.col(first).isin(*margins[first]) & F.col(second).isin(*margins[second]))
+    if once is not None:
+        order = F.struct(hash_order(key, seed=seed).alias("h"), F.col(key).alias("k"))
+        pool = pool.groupBy(once).agg(F.min_by(F.struct(*pool.columns), order).alias("_row")).select("_row.*")
+    counts = {(r[0], r[1]): r["n"] for r in pool.groupBy(first, second).agg(F.count(F.lit(1)).alias("n")).collect()}
+    cells = dict(sorted(counts.items()))
+    quotas = _flow(margins[first], margins[second], cells)
+    schema = T.StructType([T.StructField(first, T.StringType()), T.StructField(second, T.StringType()), T.StructField("quota", T.IntegerType())])
+    taken, _ = quota_sample(pool, rows.sparkSession.createDataFrame([(*k, n) for k, n in quotas.items()], schema), [first, second], key, seed)
+    report = []
+    for place, column in enumerate((first, second)):
+        for value, quota in margins[column].items():
+            have, got = (sum(n for k, n in table.items() if k[place] == value) for table in (counts, quotas))
+            report.append((column, value, quota, have, got, got == quota))
+    return taken, rows.sparkSession.createDataFrame(report, "margin string, value string, quota int, available long, taken long, met boolean")
+
+
 def balanced_candidates(clauses: DataFrame, per_star: int = 250, most: int = 500, words=(4, 20), seed: int = 42) -> DataFrame:
     """At most ``per_star`` clauses of each star rating and ``most`` in all, of 4 to 20 words, without repeats (any case)."""
     n = F.size(F.split(F.trim("clause_text"), r"\s+"))

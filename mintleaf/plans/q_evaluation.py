@@ -46,7 +46,7 @@ GOLD_POSITIVE, GOLD_NEGATIVE = ["e", "an", "th"], ["i", "on", "ch"]
 
 def _star_clauses(spark, d):
     t = table(spark, d, "conversations")
-    return t.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("clause_id"), F.substring("text", 1, 60).alias("clause_text"), (1 + F.col("conv_id") % 5).cast("double").alias("star_rating"))
+    return t.select(F.concat_ws("_", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("clause_id"), F.col("text").alias("clause_text"), (1 + F.col("conv_id") % 5).cast("double").alias("star_rating"))
 
 
 def _holdout(spark, d):
@@ -96,7 +96,7 @@ QUERIES = {
     "split_manifest": lambda s, d: sampling.split_manifest(_split_rows(s, d), "review_id", "sentiment").select("split", "groups", "rows", F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), "|").alias("classes")),
     "split_ids": lambda s, d: sampling.split_ids(_split_rows(s, d), "review_id"),
     "holdout_mix": _holdout,
-    "balanced_candidates": lambda s, d: sampling.balanced_candidates(_star_clauses(s, d), 20, 60).select("clause_id", "star_rating"),
+    "balanced_candidates": lambda s, d: sampling.balanced_candidates(_star_clauses(s, d), 20, 60, (4, 200)).select("clause_id", "star_rating"),
     "gold_labels": lambda s, d: sampling.gold_labels(_star_clauses(s, d), aspects=GOLD, positive=GOLD_POSITIVE, negative=GOLD_NEGATIVE).select("clause_id", "gold_aspect", "gold_sentiment"),
     "n_per_group": lambda s, d: sampling.n_per_group(reviews(s, d), ["Restaurant"], "review_id", 5).select("Restaurant", "review_id"),
     "quota_sample": lambda s, d: _quota(s, d)[0].select("review_id", "bin"),
@@ -142,7 +142,7 @@ _SPLIT = f"""{_A}, counted AS (SELECT review_id, sentiment, count(*) AS n FROM a
 dom AS (SELECT review_id, sentiment FROM counted QUALIFY row_number() OVER (PARTITION BY review_id ORDER BY n DESC, sentiment) = 1),
 placed AS (SELECT *, row_number() OVER (PARTITION BY sentiment ORDER BY md5(review_id || '|42'), review_id) AS rn, count(*) OVER (PARTITION BY sentiment) AS n FROM dom),
 parts AS (SELECT review_id, CASE WHEN rn <= floor(n * 0.7) THEN 'train' WHEN rn <= floor(n * 0.7) + floor(n * 0.15) THEN 'validation' ELSE 'test' END AS split FROM placed)"""
-_CLAUSES = "c AS (SELECT conv_id || '_' || turn AS clause_id, substr(text, 1, 60) AS clause_text, CAST(1 + conv_id % 5 AS DOUBLE) AS star_rating FROM conversations)"
+_CLAUSES = "c AS (SELECT conv_id || '_' || turn AS clause_id, text AS clause_text, CAST(1 + conv_id % 5 AS DOUBLE) AS star_rating FROM conversations)"
 _has = lambda words: "(" + " + ".join(f"CASE WHEN contains(lower(clause_text), '{w}') THEN 1 ELSE 0 END" for w in words) + ")"
 
 
@@ -245,7 +245,7 @@ p AS (SELECT Reviewer, row_number() OVER (ORDER BY md5(Reviewer || '|42'), Revie
 t AS (SELECT false AS from_benchmark, Reviewer FROM r WHERE Restaurant <> 'NATION_3' UNION ALL SELECT true, Reviewer FROM b JOIN p USING (Reviewer) WHERE own)
 SELECT from_benchmark, count(*) AS n, count(DISTINCT Reviewer) AS reviewers FROM t WHERE Reviewer NOT IN (SELECT Reviewer FROM p WHERE NOT own) GROUP BY 1
 UNION ALL SELECT NULL, count(*), count(DISTINCT Reviewer) FROM b JOIN p USING (Reviewer) WHERE NOT own""",
-    "balanced_candidates": rf"""WITH {_CLAUSES}, f AS (SELECT * FROM c WHERE len(regexp_split_to_array(trim(clause_text), '\s+')) BETWEEN 4 AND 20 QUALIFY row_number() OVER (PARTITION BY lower(clause_text) ORDER BY clause_id) = 1),
+    "balanced_candidates": rf"""WITH {_CLAUSES}, f AS (SELECT * FROM c WHERE len(regexp_split_to_array(trim(clause_text), '\s+')) BETWEEN 4 AND 200 QUALIFY row_number() OVER (PARTITION BY lower(clause_text) ORDER BY clause_id) = 1),
 g AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY star_rating ORDER BY md5(clause_id || '|42'), clause_id) <= 20) SELECT clause_id, star_rating FROM g ORDER BY md5(clause_id || '|42'), clause_id LIMIT 60""",
     "gold_labels": f"""WITH {_CLAUSES}, h AS (SELECT *, {_has(GOLD_POSITIVE)} AS pos, {_has(GOLD_NEGATIVE)} AS neg FROM c)
 SELECT clause_id, CASE {" ".join(f"WHEN {_has(w)} > 0 THEN '{a}'" for a, w in GOLD.items())} ELSE 'General' END AS gold_aspect,

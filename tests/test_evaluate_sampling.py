@@ -1,3 +1,8 @@
+import itertools
+import math
+import random
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +198,66 @@ def test_stream_equals_batch(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(map(tuple, spark.table("w").collect())) == sorted(map(tuple, windowed_counts(rows).collect()))
+
+
+def test_every_row_stays_one_row_under_overrides(spark):
+    rows = spark.createDataFrame([("a", "x"), ("b", "x"), ("c", None), ("d", "y")], "k string, v string")
+    o = spark.createDataFrame([("a", "x", "p"), ("a", "x", "o"), ("a", None, "any"), ("b", "z", "p"), ("b", None, "any"), ("b", None, "zz"), ("c", None, "n"), ("d", "x", "p"), ("e", None, "p")], "k string, expected string, new string")
+    assert sorted((r["k"], r["v"]) for r in quality.apply_overrides(rows, o, "k", "v").collect()) == [("a", "o"), ("b", "any"), ("c", "n"), ("d", "y")]
+
+
+def test_a_queued_row_without_text_is_queued(spark):
+    queue = spark.createDataFrame([("a", None), ("b", None), ("c", "soup")], "assertion_id string, clause_text string")
+    done = spark.createDataFrame([("a", None), ("b", "soup"), ("c", "soup")], "assertion_id string, target_text string")
+    assert [tuple(r) for r in quality.resolution_errors(queue, done).collect()] == [("b", "span outside")]
+
+
+def _best(rows, columns, cells):
+    """The most that whole numbers in the cells can take, by trying all."""
+    best = 0
+    for picks in itertools.product(*(range(n + 1) for n in cells.values())):
+        sums = Counter()
+        for (r, c), n in zip(cells, picks, strict=True):
+            sums["r", r] += n
+            sums["c", c] += n
+        if all(sums["r", r] <= n for r, n in rows.items()) and all(sums["c", c] <= n for c, n in columns.items()):
+            best = max(best, sum(picks))
+    return best
+
+
+def test_flow_over_margins():
+    rng = random.Random(4)
+    for _ in range(60):
+        rows, columns = ({f"{s}{k}": rng.randrange(5) for k in range(2)} for s in "rc")
+        cells = {(r, c): rng.randrange(4) for r in rows for c in columns if rng.random() < 0.9}
+        taken = sampling._flow(rows, columns, cells)
+        assert all(0 <= taken[k] <= n for k, n in cells.items()) and sum(taken.values()) == _best(rows, columns, cells)
+        assert all(sum(n for k, n in taken.items() if k[0] == r) <= m for r, m in rows.items()) and all(sum(n for k, n in taken.items() if k[1] == c) <= m for c, m in columns.items())
+
+
+def test_margin_sample(spark):
+    rows = [(f"k{n}", "low" if n % 4 == 0 else "high", "short" if n % 3 else "long", f"e{n % 50}") for n in range(200)] + [("x", None, "short", "e99"), ("y", "other", "long", "e98")]
+    df = spark.createDataFrame(rows, "id string, bin string, len string, place string")
+    taken, report = sampling.margin_sample(df, {"bin": {"low": 5, "high": 12}, "len": {"short": 10, "long": 7}}, "id", once="place")
+    got = taken.collect()
+    assert len(got) == 17 == len({r["place"] for r in got}) and all(r["met"] for r in report.collect())
+    assert Counter(r["bin"] for r in got) == {"low": 5, "high": 12} and Counter(r["len"] for r in got) == {"short": 10, "long": 7}
+    taken, report = sampling.margin_sample(df.filter("bin = 'high' or len = 'long'"), {"bin": {"low": 5, "high": 12}, "len": {"short": 14, "long": 3}}, "id")
+    found = {r["value"]: (r["quota"], r["taken"], r["met"]) for r in report.collect()}
+    assert found == {"low": (5, 3, False), "high": (12, 12, True), "short": (14, 12, False), "long": (3, 3, True)}
+    assert sampling.margin_sample(df.limit(0), {"bin": {"low": 1}, "len": {"short": 1}}, "id")[0].count() == 0
+
+
+def test_damped_counts_and_shared_features(spark):
+    from pyspark.ml.linalg import Vectors
+
+    df = spark.createDataFrame([(1, Vectors.sparse(6, [1, 4], [1.0, 5.0])), (2, Vectors.sparse(6, [], [])), (3, Vectors.sparse(6, [0], [2.0]))], ["id", "raw"])
+    got = {r["id"]: r["tf"] for r in ml.Sublinear(inputCol="raw", outputCol="tf").transform(df).collect()}
+    assert got[1] == Vectors.sparse(6, [1, 4], [1.0, 1 + math.log(5)]) and got[2].numNonzeros() == 0 and got[3].values[0] == pytest.approx(1 + math.log(2))
+    rows = ml.class_weights(spark.createDataFrame([(f"{'good fine' if k % 2 else 'bad poor'} food w{k % 7}", float(k % 2)) for k in range(60)], "text string, label double"))
+    models = ml.fit_all(rows, {n: c for n, c in ml.classifiers().items() if n in ("logistic regression", "boosted trees")})
+    alone = ml.fit(rows, ml.classifiers()["logistic regression"])
+    a, b = (sorted((r["text"], r["prediction"]) for r in m.transform(rows).collect()) for m in (models["logistic regression"], alone))
+    assert a == b and ml.macro_f1(models["boosted trees"].transform(rows)) == 1.0
+    best, found = ml.grid_search(rows, rows, {n: ml.classifiers()["logistic regression"].copy({}) for n in "abcd"})
+    assert best == "a" and len(found) == 4
