@@ -3,7 +3,8 @@
 Rows are ordered by (hash of the text, id), so equal texts lie together. The splitters between shards are found
 without sorting: every round counts exact bytes and rows below candidate boundaries (probes) in each partition, adds
 the counts up, and places finer probes in the interval that still holds each wanted splitter, until the bytes below
-meet the target within the tolerance. Then the rows are exchanged once, to cells of known size, and numbered there.
+meet the target within the tolerance. In the same way shards are cut into cells of about equal rows, as null and short
+texts have few bytes. Then the rows are exchanged once, to these cells, and numbered there.
 
 A boundary falls between texts if one meets the tolerance; inside a larger group of equal texts it is refined over
 the ids, so one text on a third of all rows is spread like any other. Rows equal in both text and id stay together.
@@ -13,12 +14,13 @@ Null texts count as empty with one byte; null ids come before all others. An emp
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.llm.common import written
@@ -84,9 +86,9 @@ class _Interval:
     least: int
     most: int
 
-    def nearest(self, target: int) -> tuple[Boundary, int, int]:
+    def nearest(self, target: int, measure: int) -> tuple[Boundary, int, int]:
         ends = ((self.low, *self.below), (self.high, *self.below_high))
-        return min(ends, key=lambda e: abs(e[1] - target))
+        return min(ends, key=lambda e: abs(e[1 + measure] - target))
 
     def inner(self, n: int, ids: tuple[int, int]) -> list[Boundary]:
         """Up to n boundaries inside: over the hashes, or over the ids where one hash is left."""
@@ -101,8 +103,8 @@ class _Interval:
         return [b for b in ((self.least, _LOW), *found, (self.least, _HIGH)) if self.low < b < self.high]
 
 
-def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int], tolerances: list[int]) -> list[tuple[Boundary, int, int]]:
-    """For each wanted number of bytes below: the boundary, and the bytes and rows below it.
+def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int], tolerances: list[int], measure: int = 0) -> list[tuple[Boundary, int, int]]:
+    """For each wanted number of bytes (``measure`` 0) or rows (1) below: the boundary, and the bytes and rows below it.
 
     The driver holds a few numbers for each splitter, no rows; a round has about MOST_PROBES probes or two for each splitter.
     """
@@ -115,13 +117,13 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
         probes: set[Boundary] = set()
         fan_out = max(2, min(FAN_OUT, MOST_PROBES // max(1, len(closed) - sum(closed))))
         for k, (x, target) in enumerate(zip(around, targets, strict=True)):
-            closed[k] = closed[k] or abs(x.nearest(target)[1] - target) <= tolerances[k] or x.below_high[1] - x.below[1] <= 1
+            closed[k] = closed[k] or abs(x.nearest(target, measure)[1 + measure] - target) <= tolerances[k] or x.below_high[1] - x.below[1] <= 1
             if not closed[k]:
                 inner = x.inner(fan_out - 1, ids)
                 closed[k] = not inner
                 probes.update((x.low, *inner, x.high) if inner else ())
         if not probes:
-            return [x.nearest(target) for x, target in zip(around, targets, strict=True)]
+            return [x.nearest(target, measure) for x, target in zip(around, targets, strict=True)]
         order = sorted(probes)
         counts = _counts(keyed, order)
         place = {b: k for k, b in enumerate(order)}
@@ -132,21 +134,44 @@ def find_splitters(keyed: DataFrame, targets: list[int], total: tuple[int, int],
             while order[at] < x.high:
                 size, rows, least, most = counts[at + 1]
                 above = (below[0] + size, below[1] + rows)
-                if above[0] > target or order[at + 1] == x.high:
+                if above[measure] > target or order[at + 1] == x.high:
                     around[k] = _Interval(order[at], below, order[at + 1], above, least, most)
                     break
                 below, at = above, at + 1
 
 
-def _number(boundaries: list[Boundary], offsets: list[int]):
-    """The cell of a row, and the slot of the cell's first row."""
+@dataclass(frozen=True)
+class Cells:
+    """Boundaries of the cells, and for each cell its shard and the slot of its first row."""
+
+    boundaries: list[Boundary]
+    shard: list[int]
+    first: list[int]
+
+    def column(self) -> Column:
+        """struct<cell, shard, first> of the columns h and i."""
+        boundaries, shard, first = self.boundaries, np.array(self.shard, np.int32), np.array(self.first, np.int64)
+
+        @F.arrow_udf("struct<cell: int, shard: int, first: long>")
+        def number(h: pa.Array, i: pa.Array) -> pa.Array:
+            cell = _positions(h.to_numpy(zero_copy_only=False), i.to_numpy(zero_copy_only=False), boundaries) if boundaries else np.zeros(len(h), np.int64)
+            return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(shard[cell]), pa.array(first[cell])], names=["cell", "shard", "first"])
+
+        return number(F.col("h"), F.col("i"))
 
-    @F.arrow_udf("struct<cell: int, first: long>")
-    def number(h: pa.Array, i: pa.Array) -> pa.Array:
-        cell = _positions(h.to_numpy(zero_copy_only=False), i.to_numpy(zero_copy_only=False), boundaries)
-        return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array(np.array(offsets, np.int64)[cell])], names=["cell", "first"])
 
-    return number
+def find_cells(keyed: DataFrame, shards: int, total: tuple[int, int], tolerance: float, cell_rows: int) -> Cells:
+    """Shards of equal bytes, cut into cells of about ``cell_rows`` rows each, however few bytes these have."""
+    tight = max(1, int(total[0] / shards * tolerance))
+    ends = sorted((b, rows) for b, _, rows in find_splitters(keyed, [total[0] * k // shards for k in range(1, shards)], total, [tight] * (shards - 1)))
+    edges = [0, *(rows for _, rows in ends), total[1]]
+    inside = [x for low, high in zip(edges[:-1], edges[1:], strict=True) for x in range(low + cell_rows, high - cell_rows // 2, cell_rows)]
+    cuts = find_splitters(keyed, inside, total, [max(1, cell_rows // 4)] * len(inside), measure=1)
+    below = dict(ends) | {b: rows for b, _, rows in cuts}
+    boundaries = sorted(below)
+    shard = [0, *(bisect.bisect_right(ends, b, key=lambda e: e[0]) for b in boundaries)]
+    rows = [0, *(below[b] for b in boundaries)]
+    return Cells(boundaries, shard, [n - edges[s] for n, s in zip(rows, shard, strict=True)])
 
 
 def shard_by_bytes(
@@ -166,18 +191,8 @@ def shard_by_bytes(
     )
     got = keyed.agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("rows")).first()
     total = (got["size"] or 0, got["rows"])
-    per_shard = max(1, -(-total[1] // (shards * cell_rows)))
-    n = shards * per_shard
-    targets = [total[0] * k // n for k in range(1, n)]
-    # between shards the boundary is tight; between the cells of a shard it only has to keep them of like size
-    tight, loose = max(1, int(total[0] / shards * tolerance)), max(1, total[0] // n // 4)
-    found = find_splitters(keyed, targets, total, [tight if k % per_shard == 0 else loose for k in range(1, n)])
-    # a wide row can move a boundary beyond those of the next targets
-    bounds = sorted((b, rows) for b, _, rows in found)
-    below = [0, *(rows for _, rows in bounds)]
-    offsets = [below[c] - below[c - c % per_shard] for c in range(len(below))]
-    cells = keyed.withColumn("at", _number([b for b, _ in bounds], offsets)(F.col("h"), F.col("i")) if bounds else F.struct(F.lit(0).alias("cell"), F.lit(0).cast("long").alias("first")))
+    cells = find_cells(keyed, shards, total, tolerance, cell_rows)
     in_cell = Window.partitionBy("at.cell").orderBy("h", "i", "size")
-    return cells.withColumn("slot", F.row_number().over(in_cell) - 1 + F.col("at.first")).select(
-        "id", "size", "text_crc32", F.floor(F.col("at.cell") / per_shard).cast("int").alias("shard"), F.col("slot").cast("long").alias("slot")
+    return keyed.withColumn("at", cells.column()).withColumn("slot", F.row_number().over(in_cell) - 1 + F.col("at.first")).select(
+        "id", "size", "text_crc32", F.col("at.shard").alias("shard"), F.col("slot").cast("long").alias("slot")
     )
