@@ -2,7 +2,7 @@
 
 A score is the sum of ``PARTS`` partial products over consecutive ranges of the vector's components. A node has one
 range of one batch of candidates; the nodes of a batch are in one task, beside the vectors. The queries come to the
-candidates: broadcast up to ``MOST_BROADCAST`` bytes; beyond that both are dealt into tiles of blocks.
+candidates, by broadcasts of about ``MOST_BROADCAST`` bytes one after the other.
 
 1. A task gathers the best entries of each query on its nodes over all its blocks, with the scores of their candidates.
    The best of all tasks give a safe cutoff: the score that k candidates reach already.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ from mintleaf.llm.common import written
 PARTS = 2
 #: Rows of a block: a node holds a matrix of QUERY_BLOCK * CANDIDATE_BLOCK numbers.
 QUERY_BLOCK, CANDIDATE_BLOCK = 256, 8192
-#: Bytes of queries that go to every task; a tile has as many rows of queries as fit a hundredth of it.
+#: Bytes of queries that go to every task at a time.
 MOST_BROADCAST = 32 << 20
 _NONE, _MOST = -(1 << 63), (1 << 63) - 1
 
@@ -70,10 +71,16 @@ def _query_blocks(table: pa.Table) -> dict[int, list[tuple]]:
 
 
 def _everywhere(queries: DataFrame, candidates: DataFrame, make) -> DataFrame:
-    """The entries (q, c, score) that ``make()``, a worker with ``tile`` and ``close``, gives for all queries (cid, v, cut) on all candidates (cid, v)."""
-    size, most = queries.agg(F.sum(8 * F.size("v") + 32), F.max(8 * F.size("v") + 32)).first()
-    if (size or 0) <= MOST_BROADCAST:
-        held = queries.sparkSession.sparkContext.broadcast(_query_blocks(queries.select("cid", "v", "cut").toArrow()))
+    """The entries (q, c, score) that ``make()``, a worker with ``tile`` and ``close``, gives for all queries (cid, v, cut) on all candidates (cid, v).
+
+    The candidates are read in place, once for each chunk of ``MOST_BROADCAST`` bytes of queries; the entries of a chunk are
+    written before the next one is broadcast.
+    """
+    size = queries.agg(F.sum(8 * F.size("v") + 32)).first()[0] or 0
+    chunks = max(1, -(-size // MOST_BROADCAST))
+
+    def met(own: DataFrame) -> tuple[DataFrame, Broadcast]:
+        held = own.sparkSession.sparkContext.broadcast(_query_blocks(own.select("cid", "v", "cut").toArrow()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             worker = make()
@@ -83,24 +90,17 @@ def _everywhere(queries: DataFrame, candidates: DataFrame, make) -> DataFrame:
                         yield from worker.tile(q_ids, cut, c_ids, _parts(q, c))
             yield from worker.close()
 
-        return candidates.select("cid", "v").mapInArrow(run, _ENTRY)
-    # tiles of a group of queries and a block of candidates, both bounded
-    groups, blocks = -(-size // (MOST_BROADCAST // 100)), -(-candidates.count() // CANDIDATE_BLOCK)
-    deal = lambda n: F.pmod(F.xxhash64("cid"), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = queries.select(deal(groups).alias("g"), each(blocks).alias("b"), "cid", "v", "cut")
-    right = candidates.select(each(groups).alias("g"), deal(blocks).alias("b"), "cid", "v")
-
-    def tile(key: tuple[pa.Scalar, ...], asked: pa.Table, given: pa.Table) -> pa.Table:
-        worker, out = make(), []
-        if given.num_rows:
-            held = _query_blocks(asked.select(["cid", "v", "cut"]))
-            for n, (c_ids, c) in _by_length(given["cid"].combine_chunks(), given["v"].combine_chunks()):
-                for q_ids, q, cut in held.get(n, ()):
-                    out += worker.tile(q_ids, cut, c_ids, _parts(q, c))
-        return pa.Table.from_batches([*out, *worker.close()], _entries([], [], []).schema)
-
-    return left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(tile, _ENTRY)
+        return candidates.select("cid", "v").mapInArrow(run, _ENTRY), held
+
+    if chunks == 1:
+        return met(queries)[0]
+    out: DataFrame | None = None
+    for k in range(chunks):
+        entries, held = met(queries.filter(F.pmod(F.xxhash64("cid"), F.lit(chunks)) == k))
+        entries = written(entries, "entries")
+        held.unpersist()
+        out = entries if out is None else out.unionByName(entries)
+    return out
 
 
 def _products(q: np.ndarray, c: np.ndarray) -> np.ndarray:
