@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from mintleaf.llm.common import fresh, string_bytes, written
+from mintleaf.llm.common import fresh, release_memory, string_bytes, written
 
 ORDERS = (1, 2, 3)
 #: Training texts and landmarks of each language, and the weight of the ridge.
@@ -186,7 +186,10 @@ def predict(model: Model | None, text: Column, spark, shares: bool = False) -> C
         if model is not None and not made:
             made.append(Grams(model.codes))
         # few Python strings at a time
-        return pa.concat_arrays([labelled(model, column.slice(at, 4 * _BLOCK).to_pylist()) for at in range(0, max(len(column), 1), 4 * _BLOCK)])
+        found = pa.concat_arrays([labelled(model, column.slice(at, 4 * _BLOCK).to_pylist()) for at in range(0, max(len(column), 1), 4 * _BLOCK)])
+        if shares:  # stages follow
+            release_memory()
+        return found
 
     def labelled(model: Model | None, texts: list[str | None]) -> pa.Array:
         lang, score, share = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)

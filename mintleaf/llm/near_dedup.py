@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from mintleaf.llm.common import fresh, mix, string_bytes, window_hashes, windows_inside, word_hashes, word_spans, written
+from mintleaf.llm.common import fresh, mix, release_memory, string_bytes, window_hashes, windows_inside, word_hashes, word_spans, written
 from mintleaf.llm.components import component_labels
 
 SHINGLE_WORDS, COORDINATES, MATCHES = 5, 64, 32
@@ -98,6 +98,7 @@ def _sign(k: int):
                     ],
                     names=["doc", "n", "fp", "sig"],
                 )
+            release_memory()
 
     return run
 
@@ -110,6 +111,7 @@ def _sets(k: int):
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array([_fingerprint(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["doc", "fp", "shingles"]
                 )
+            release_memory()
 
     return run
 
