@@ -12,8 +12,13 @@ _MARK = "\u0001"
 CONCESSIVE = r"despite(?:\s+the\s+fact\s+that)?|in\s+spite\s+of|regardless\s+of|even\s+though|even\s+if|although|though|whereas|while"
 CONTRASTIVE = r"but|however|yet|nevertheless|nonetheless|on\s+the\s+other\s+hand|on\s+the\s+contrary|except\s+that|except\s+for"
 LEADING = r"and|but|or|so|yet|because|although|though|despite|while|however|whereas"
-#: Fixed value: clause boundaries where offsets are kept.
-BOUNDARY = r"\r\n|\n|[.!?]+(?:\s+|$)|\s*;\s*|\s*,\s*(?=(?:but|however|although|while|yet|whereas|and\s+also)\b)|\s+(?:but|however|although|whereas)\s+"
+_SPACES = " \t\n\f\r"
+_S, _WORD = r"[ \t\n\f\r]", "[A-Za-z0-9_]"
+#: Fixed value: clause boundaries where offsets are kept. Space, end of text and end of a word are written out, as engines
+#: differ in what their short forms mean beyond ASCII.
+BOUNDARY = (
+    rf"\r\n|\n|[.!?]+(?:{_S}+|(?![\s\S]))|{_S}*;{_S}*|{_S}*,{_S}*(?=(?:but|however|although|while|yet|whereas|and{_S}+also)(?!{_WORD}))|{_S}+(?:but|however|although|whereas){_S}+"
+)
 #: The same without look-ahead, for engines that lack it.
 SIMPLE_BOUNDARY = r"\n|[.!?]+|;"
 
@@ -35,21 +40,22 @@ def clauses(text: Column) -> Column:
     return F.when(F.coalesce(F.length(whole), F.lit(0)) == 0, F.array().cast("array<string>")).when(F.size(kept) == 0, F.array(whole)).otherwise(kept)
 
 
-_SPACES = " \t\n\x0b\f\r"
 _CLAUSES = "array<struct<start: int, end: int, text: string>>"
 
 
-def spans(text: Column, boundary: str = BOUNDARY) -> Column:
-    """Array of (start, end, text) clauses with text = substring from start to end; clauses without a word character go.
+def spans(text: Column, boundary: str = BOUNDARY, fallback: bool = True) -> Column:
+    """Array of (start, end, text) clauses with text = substring from start to end; clauses without a word character (of ASCII) go.
 
-    Without any clause a text that isn't blank is one clause, trimmed.
+    Without any clause a text that isn't blank is one clause, trimmed; without ``fallback`` it has none.
     """
     cut = F.split(F.regexp_replace(text, f"(?i)({boundary})", f"{_MARK}$1{_MARK}"), _MARK)
     # pieces at even places are clauses, those at odd places boundaries; their lengths add up to the offsets.
     # each piece is looked at once
     pieces = F.transform(cut, lambda p, i: _piece(p, (i % 2 == 0) & p.rlike(r"\w")))
     found = let(pieces, lambda ps: F.filter(F.zip_with(ps, sums_before(F.transform(ps, lambda p: p["n"].cast("long"))), lambda p, at: F.when(p["own"], _moved(at, p))), lambda c: c.isNotNull()))
-    whole = F.when(F.trim(text, F.lit(_SPACES)) == "", F.array().cast(_CLAUSES)).otherwise(F.array(_moved(F.lit(0), _piece(text, F.lit(True)))))
+    if not fallback:
+        return F.when(text.isNotNull(), found)
+    whole = F.when(F.trim(text, F.lit(f"{_SPACES}\x0b")) == "", F.array().cast(_CLAUSES)).otherwise(F.array(_moved(F.lit(0), _piece(text, F.lit(True)))))
     return F.when(text.isNotNull(), let(found, lambda cs: F.when(F.size(cs) > 0, cs).otherwise(whole)))
 
 
@@ -64,9 +70,9 @@ def _moved(at: Column, piece: Column) -> Column:
     return F.struct(start.cast("int").alias("start"), (start + F.length(piece["text"])).cast("int").alias("end"), piece["text"].alias("text"))
 
 
-def clause_rows(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY) -> DataFrame:
+def clause_rows(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY, fallback: bool = True) -> DataFrame:
     """(review_id, clause_id, clause_idx, clause_text, clause_start_char, clause_end_char), ids REV_00001_C01 and so on."""
-    rows = reviews.filter(F.col(text_col).isNotNull()).select("review_id", F.posexplode(spans(F.col(text_col), boundary)).alias("clause_idx", "c"))
+    rows = reviews.filter(F.col(text_col).isNotNull()).select("review_id", F.posexplode(spans(F.col(text_col), boundary, fallback)).alias("clause_idx", "c"))
     return rows.select(
         "review_id", F.format_string("%s_C%02d", F.col("review_id"), F.col("clause_idx") + 1).alias("clause_id"), "clause_idx", F.col("c.text").alias("clause_text"),
         F.col("c.start").alias("clause_start_char"), F.col("c.end").alias("clause_end_char"),

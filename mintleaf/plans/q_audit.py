@@ -9,9 +9,9 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from mintleaf.functions.numbers import softmax
 from mintleaf.operators import assertions as asr
-from mintleaf.operators import clean, ml, quality, sampling, segment
+from mintleaf.operators import clean, ml, quality, sampling
 from mintleaf.plans.fixtures import ASSERTIONS_SQL, PREDICTIONS_SQL, predictions, reviews, table
-from mintleaf.plans.q_text import _CLAUSES, _DOCS, _docs
+from mintleaf.plans.q_text import _CLAUSES, _DOCS, _clauses, _docs
 from mintleaf.sources import io
 from mintleaf.sources.tables import shared_dir
 
@@ -50,7 +50,7 @@ def _projected(spark, d):
 
 
 def _offset_check(spark, d):
-    rows = segment.clause_rows(_docs(spark, d), boundary=segment.SIMPLE_BOUNDARY).join(_docs(spark, d).select("review_id", "Review"), "review_id")
+    rows = _clauses(spark, d).join(_docs(spark, d).select("review_id", "Review"), "review_id")
     rows = rows.withColumn("clause_end_char", F.when(F.col("clause_idx") % 5 > 0, F.col("clause_end_char") + F.when(F.col("clause_idx") % 5 == 1, 1).otherwise(0)))
     return quality.offset_check(rows, "Review", "clause_start_char", "clause_end_char", "clause_text")
 

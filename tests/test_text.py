@@ -165,6 +165,37 @@ def test_full_boundary_query_equals_brute_force(spark, tmp_path):
         q_text.QUERIES[name](spark, str(tmp_path)).collect()
 
 
+ODD_TEXTS = [
+    "è", "!!!", "你好", "éé. ñ", "\x0b", "a.\x0b b is the\x0b. c", "is.\u2028", "is on the!\x85", ".\u00a0is of\u00a0the. ", "été is, butß the", "x ,\x0bhowever y", "éat is. éis; wasé", "ßthat. thisñ", "slow\u00a0is", "5\u00a0min order", "in\x1cthe",
+    "only words, but more of the", "", " ", None,
+]
+
+
+def test_odd_texts_give_what_the_sql_does(spark, tmp_path):
+    """Words and spaces beyond ASCII, texts without an ASCII word, and ends of lines of other kinds."""
+    duckdb = pytest.importorskip("duckdb")
+    from mintleaf.plans import q_audit, q_text
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(enumerate(ODD_TEXTS)), "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1).write.parquet(path)
+    spark.createDataFrame([("è is été of",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    names = ["clause_counts", "clause_offsets_check", "clause_segments", "lexicon_match", "aspect_sentiment_counts"]
+    for name in [*names, *(f"{n}_full" for n in names), "lexicon_many_terms", "lexicon_phrases", "offset_check"]:
+        plans = q_audit if name == "offset_check" else q_text
+        got = plans.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({plans.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), name
+
+
+def test_clauses_fall_back_on_the_whole_text(spark):
+    df = spark.createDataFrame([("1", " è. "), ("2", " "), ("3", "a; è")], "review_id string, Review string")
+    kept = lambda **options: [(r["review_id"], r["clause_text"]) for r in segment.clause_rows(df, **options).collect()]
+    assert kept() == [("1", "è."), ("3", "a")] and kept(fallback=False) == [("3", "a")]
+
+
 # --- many terms, many rules, long texts ---
 
 
