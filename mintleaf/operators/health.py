@@ -99,17 +99,33 @@ def leaderboard(cards: DataFrame) -> DataFrame:
 
 
 def spearman(cards: DataFrame, x: str = "Overall_Health", y: str = "Average_Stars", level: float = 0.05) -> DataFrame:
-    """(n, rho, p_value, significant): correlation of average ranks over the entities, with its two-sided p."""
-    both = cards.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(x, y)
-    for c, r in ((x, "rx"), (y, "ry")):
-        both = both.join(_value_ranks(both, c).select(c, (F.col("first") + (F.col("ties") + 1) / 2).alias(r)), c)
-    row = both.agg(F.count(F.lit(1)).alias("n"), F.corr("rx", "ry").alias("rho")).first()
-    p = None if row["rho"] is None else spearman_p(row["rho"], row["n"])
-    return cards.sparkSession.createDataFrame([(row["n"], row["rho"], p, None if p is None else p < level)], "n long, rho double, p_value double, significant boolean")
+    """(n, rho, p_value, significant): correlation of average ranks over the entities, with its two-sided p.
+
+    Where all entities share one value of a column rho isn't defined: rho and p are NaN, and nothing is significant. The
+    cards are read once; what is ranked are the counts of the different pairs of (rounded) values.
+    """
+    pairs = cards.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count(F.lit(1)).alias("n"))
+
+    def centred(column: str) -> Column:
+        """The average rank less the mean of all ranks."""
+        upto = F.sum("n").over(Window.orderBy(F.desc(column)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
+        return upto - (F.sum("n").over(Window.partitionBy(column)) - 1) / 2 - (F.sum("n").over(Window.partitionBy()) + 1) / 2
+
+    rows = pairs.select("n", centred(x).alias("rx"), centred(y).alias("ry"))
+    total = lambda a, b: F.sum(F.col("n") * F.col(a) * F.col(b))
+    row = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), total("rx", "ry").alias("xy"), total("rx", "rx").alias("xx"), total("ry", "ry").alias("yy")).first()
+    rho = p = None
+    if row["n"]:
+        spread = math.sqrt(row["xx"]) * math.sqrt(row["yy"])
+        rho = max(-1.0, min(1.0, row["xy"] / spread)) if spread else math.nan
+        p = spearman_p(rho, row["n"])
+    return cards.sparkSession.createDataFrame([(row["n"], rho, p, None if p is None else p < level)], "n long, rho double, p_value double, significant boolean")
 
 
 def spearman_p(rho: float, n: int) -> float:
     """Two-sided p of a rank correlation, by the t distribution."""
+    if math.isnan(rho):
+        return math.nan
     if n < 3 or abs(rho) >= 1:
         return 0.0 if n >= 3 else float("nan")
     t2 = rho * rho * (n - 2) / (1 - rho * rho)

@@ -1,3 +1,4 @@
+import math
 from datetime import datetime
 
 import pytest
@@ -129,3 +130,14 @@ def test_spearman_and_ranks_with_ties(spark):
 def test_lenient_dates(spark):
     rows = spark.createDataFrame([("2024-01-05 10:00:00",), ("2024-02-05",), ("3/7/2024 9:30",), ("4/7/2024",), ("soon",), (None,)], "t string")
     assert [r["m"] for r in rows.select(clean.year_month(clean.parse_dates(F.col("t"))).alias("m")).collect()] == ["2024-01", "2024-02", "2024-03", "2024-04", None, None]
+
+
+def test_spearman_of_equal_values_is_undefined(spark, monkeypatch):
+    from mintleaf.plans import q_analytics
+
+    cards = spark.createDataFrame([(f"r{k}", 50.0 + k, 3.0) for k in range(25)], "Restaurant string, Overall_Health double, Average_Stars double")
+    r = health.spearman(cards).first()
+    assert r["n"] == 25 and math.isnan(r["rho"]) and math.isnan(r["p_value"]) and r["significant"] is False
+    assert health.spearman(cards.filter("false")).first()["n"] == 0
+    monkeypatch.setattr(q_analytics, "_cards", lambda s, d: cards)
+    assert q_analytics.QUERIES["spearman_validation"](spark, "").first()["significant"] is True  # as its SQL: NaN is the largest number
