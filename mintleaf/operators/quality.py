@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mintleaf.functions.numbers import count_if
@@ -20,9 +20,12 @@ def _bad_span(text: Column, span: Column, start: Column, end: Column) -> tuple[C
 
 
 def validate(assertions: DataFrame, reviews: DataFrame) -> DataFrame:
-    """(assertion_id, rule, expected, actual): every broken rule. ``reviews`` has review_id and Review; rows keep their place."""
-    counts = assertions.groupBy("assertion_id").agg(F.count(F.lit(1)).alias("_copies"))
-    rows = assertions.join(counts, "assertion_id", "left").join(reviews.select("review_id", F.col("Review").alias("_text")), "review_id", "left")
+    """(assertion_id, rule, expected, actual): every broken rule. ``reviews`` has review_id and Review; rows keep their place.
+
+    Copies of an id are counted where its rows lie together, so rows that are dealt out by their id needn't travel for it.
+    """
+    copies = F.when(F.col("assertion_id").isNotNull(), F.count(F.lit(1)).over(Window.partitionBy("assertion_id")))
+    rows = assertions.withColumn("_copies", copies).join(reviews.select("review_id", F.col("Review").alias("_text")), "review_id", "left")
     s, e, status = F.col("clause_start_char"), F.col("clause_end_char"), F.col("annotation_status")
     in_range = F.coalesce((s >= 0) & (s < e) & (e <= F.length("_text")), F.lit(False))
     none = status.eqNullSafe(NO_OPINION)

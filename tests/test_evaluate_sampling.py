@@ -261,3 +261,13 @@ def test_damped_counts_and_shared_features(spark):
     assert a == b and ml.macro_f1(models["boosted trees"].transform(rows)) == 1.0
     best, found = ml.grid_search(rows, rows, {n: ml.classifiers()["logistic regression"].copy({}) for n in "abcd"})
     assert best == "a" and len(found) == 4
+
+
+def test_validator_keeps_rows_dealt_out_by_id_in_place(spark):
+    """Copies are counted without another exchange of rows that lie together by their id."""
+    rows = [("a", "r1", "good", "Food", "Positive", "Annotated", 0, 4)] * 3 + [(None, "r1", "good", "Food", "Positive", "Annotated", 0, 4)] * 2
+    df = spark.createDataFrame(rows, "assertion_id string, review_id string, clause_text string, aspect string, sentiment string, annotation_status string, clause_start_char int, clause_end_char int")
+    texts = spark.createDataFrame([("r1", "good")], "review_id string, Review string")
+    assert [tuple(r) for r in quality.validate(df, texts).collect()] == [("a", "duplicate id", "1", "3")] * 3
+    plan = quality.validate(df.repartition("assertion_id"), F.broadcast(texts))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(assertion_id") == 1
