@@ -93,15 +93,22 @@ def value_shares(df: DataFrame, column: str) -> DataFrame:
 
 
 def training_summary(assertions: DataFrame) -> DataFrame:
-    """The full aspect x sentiment grid with rows, clauses and reviews, and a TOTAL row."""
-    spark = assertions.sparkSession
-    grid = aspect_table(spark).select("aspect").crossJoin(spark.createDataFrame([(s,) for s in SENTIMENTS], "sentiment string"))
-    used = assertions.filter(F.col("aspect").isin(*ASPECTS) & F.col("sentiment").isin(*SENTIMENTS))
-    parts = [F.count(F.lit(1)).alias("n"), F.countDistinct("clause_id").alias("clauses"), F.countDistinct("review_id").alias("reviews")]
-    zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n", "clauses", "reviews")]
-    cells = grid.join(used.groupBy("aspect", "sentiment").agg(*parts), ["aspect", "sentiment"], "left")
-    total = used.agg(*parts).select(F.lit("TOTAL").alias("aspect"), F.lit("TOTAL").alias("sentiment"), *zero)
-    return cells.select("aspect", "sentiment", *zero).unionByName(total)
+    """The full aspect x sentiment grid with rows, clauses and reviews, and a TOTAL row.
+
+    The ids of clauses and of reviews are dealt out once, and each gets the set of its cells, as bits. No ids are grouped
+    before they are dealt out: most differ, so that a table of them would grow with the split that a task reads.
+    """
+    cells = [*((a, s) for a in ASPECTS for s in SENTIMENTS), ("TOTAL", "TOTAL")]
+    place = lambda names, c: F.array_position(F.array(*map(F.lit, names)), F.col(c)) - 1
+    used = assertions.filter(F.col("aspect").isin(*ASPECTS) & F.col("sentiment").isin(*SENTIMENTS)).withColumn("cell", (place(ASPECTS, "aspect") * len(SENTIMENTS) + place(SENTIMENTS, "sentiment")).cast("int"))
+    kinds = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).cast("string").alias("id")) for kind, c in enumerate(("clause_id", "review_id"))])
+    ids = used.select(F.expr("shiftleft(1, cell)").alias("bit"), F.explode(kinds).alias("k")).select("bit", "k.kind", "k.id").filter("id IS NOT NULL")
+    sets = ids.repartition("kind", "id").groupBy("kind", "id").agg(F.bit_or("bit").alias("bits"))
+    distinct = lambda kind, k: count_if((F.col("kind") == kind) & (F.col("bits").bitwiseAND(1 << k if k < len(cells) - 1 else -1) != 0))
+    rows = [F.struct(F.lit(k).alias("cell"), F.lit(a).alias("aspect"), F.lit(s).alias("sentiment"), distinct(0, k).alias("clauses"), distinct(1, k).alias("reviews")) for k, (a, s) in enumerate(cells)]
+    counts = used.rollup("cell").agg(F.count(F.lit(1)).alias("n")).select(F.coalesce("cell", F.lit(len(cells) - 1)).alias("cell"), "n")
+    found = sets.agg(F.array(*rows).alias("r")).select(F.explode("r").alias("r")).select("r.*")
+    return found.join(F.broadcast(counts), "cell", "left").select("aspect", "sentiment", F.coalesce("n", F.lit(0)).alias("n"), "clauses", "reviews")
 
 
 def dataset_kpis(reviews: DataFrame, assertions: DataFrame, units: DataFrame) -> DataFrame:

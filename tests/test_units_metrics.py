@@ -141,3 +141,13 @@ def test_spearman_of_equal_values_is_undefined(spark, monkeypatch):
     assert health.spearman(cards.filter("false")).first()["n"] == 0
     monkeypatch.setattr(q_analytics, "_cards", lambda s, d: cards)
     assert q_analytics.QUERIES["spearman_validation"](spark, "").first()["significant"] is True  # as its SQL: NaN is the largest number
+
+
+def test_training_summary_deals_ids_out_before_it_counts(spark):
+    rows = [("r1", "c1", "Food", "Positive"), ("r1", "c1", "Food", "Positive"), ("r1", "c1", "Service", "Negative"), ("r2", "c2", "Food", "Positive"), ("r2", None, "Food", "Positive"), ("r3", "c3", "Other", "Positive"), (None, "c4", "Service", None)]
+    df = spark.createDataFrame(rows, "review_id string, clause_id string, aspect string, sentiment string")
+    out = metrics.training_summary(df)
+    got = {(r["aspect"], r["sentiment"]): (r["n"], r["clauses"], r["reviews"]) for r in out.collect()}
+    assert len(got) == 16 and {k: v for k, v in got.items() if v[0]} == {("Food", "Positive"): (4, 2, 2), ("Service", "Negative"): (1, 1, 1), ("TOTAL", "TOTAL"): (5, 2, 2)}
+    assert {tuple(r)[2:] for r in metrics.training_summary(df.filter("false")).collect()} == {(0, 0, 0)}
+    assert "count(distinct" not in out._jdf.queryExecution().analyzed().toString()
