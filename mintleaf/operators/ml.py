@@ -23,6 +23,10 @@ from mintleaf.functions.numbers import softmax
 from mintleaf.operators.evaluate import classification_report
 
 
+#: Rows of a partition of features: as 10,000 numbers each, 164 MB.
+_ROWS = 4096
+
+
 def tfidf_stages(text: str = "text", vocabulary: int = 10_000, min_df: int = 2) -> list:
     """Word 1- and 2-grams with sublinear counts 1 + ln(tf), times 1 + ln((n + 1) / (df + 1)), of unit length."""
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", minTokenLength=2)
@@ -95,7 +99,7 @@ def classifiers(seed: int = 42) -> dict:
 
 def fit(train: DataFrame, classifier, text: str = "text", **features) -> PipelineModel:
     """Features are fitted on the training rows alone."""
-    return Pipeline(stages=[*tfidf_stages(text, **features), classifier]).fit(train)
+    return fit_all(train, {"": classifier}, text, **features)[""]
 
 
 def macro_f1(predictions: DataFrame, label: str = "label") -> float:
@@ -104,12 +108,20 @@ def macro_f1(predictions: DataFrame, label: str = "label") -> float:
 
 def fit_all(train: DataFrame, candidates: dict, text: str = "text", **features) -> dict[str, PipelineModel]:
     """A model for each candidate. The features are fitted on the training rows once, and made once for all candidates."""
-    shared = Pipeline(stages=tfidf_stages(text, **features)).fit(train)
-    made = shared.transform(train).drop("_words", "_pairs", "_grams", "_raw", "_tf", "_tfidf").persist()
+    first, last = (stages := tfidf_stages(text, **features))[:4], stages[4:]
+    counter = Pipeline(stages=first).fit(train)
+    # trees hold a row as so many numbers as there are features: partitions have few rows, however many splits the texts have
+    parts = max(train.sparkSession.sparkContext.defaultParallelism, -(-train.count() // _ROWS))
+    counted = counter.transform(train).drop(text, "_words", "_pairs", "_grams").repartition(parts).persist()
     try:
-        return {name: PipelineModel([*shared.stages, c.fit(made)]) for name, c in candidates.items()}
+        weigher = Pipeline(stages=last).fit(counted)
+        made = weigher.transform(counted).drop("_raw", "_tf", "_tfidf").persist()
+        try:
+            return {name: PipelineModel([*counter.stages, *weigher.stages, c.fit(made)]) for name, c in candidates.items()}
+        finally:
+            made.unpersist()
     finally:
-        made.unpersist()
+        counted.unpersist()
 
 
 def grid_search(train: DataFrame, validation: DataFrame, candidates: dict, text: str = "text", label: str = "label", **features) -> tuple[str, list[tuple[str, float]]]:

@@ -271,3 +271,18 @@ def test_validator_keeps_rows_dealt_out_by_id_in_place(spark):
     assert [tuple(r) for r in quality.validate(df, texts).collect()] == [("a", "duplicate id", "1", "3")] * 3
     plan = quality.validate(df.repartition("assertion_id"), F.broadcast(texts))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(assertion_id") == 1
+
+
+def test_features_lie_in_partitions_of_few_rows(spark, monkeypatch):
+    """However few splits the texts have, what a model is fitted on is dealt out by its rows, without the texts."""
+    seen = []
+
+    class Probe:
+        def fit(self, made):
+            seen.append((made.rdd.getNumPartitions(), "text" in made.columns, made.count()))
+            return ml.LogisticRegression(maxIter=1).fit(made)
+
+    monkeypatch.setattr(ml, "_ROWS", 10)
+    train = spark.createDataFrame([(float(k % 2), f"good soup {k % 3}" if k % 2 else f"bad tea {k % 3}") for k in range(95)], "label double, text string").coalesce(1)
+    model = ml.fit_all(train, {"m": Probe()})["m"]
+    assert seen == [(10, False, 95)] and model.transform(train).filter("label = prediction").count() == 95
