@@ -15,9 +15,10 @@ LEADING = r"and|but|or|so|yet|because|although|though|despite|while|however|wher
 _SPACES = " \t\n\f\r"
 _S, _WORD = r"[ \t\n\f\r]", "[A-Za-z0-9_]"
 #: Fixed value: clause boundaries where offsets are kept. Space, end of text and end of a word are written out, as engines
-#: differ in what their short forms mean beyond ASCII.
+#: differ in what their short forms mean beyond ASCII, and ſ, which is an s to engines that fold case by Unicode.
 BOUNDARY = (
-    rf"\r\n|\n|[.!?]+(?:{_S}+|(?![\s\S]))|{_S}*;{_S}*|{_S}*,{_S}*(?=(?:but|however|although|while|yet|whereas|and{_S}+also)(?!{_WORD}))|{_S}+(?:but|however|although|whereas){_S}+"
+    rf"\r\n|\n|[.!?]+(?:{_S}+|(?![\s\S]))|{_S}*;{_S}*|{_S}*,{_S}*(?=(?:(?:but|however|although|while|yet|whereas|and{_S}+al[sſ]o)(?!{_WORD})|whereaſ(?={_WORD})))"
+    rf"|{_S}+(?:but|however|although|wherea[sſ]){_S}+"
 )
 #: The same without look-ahead, for engines that lack it.
 SIMPLE_BOUNDARY = r"\n|[.!?]+|;"
@@ -71,14 +72,36 @@ def _moved(at: Column, piece: Column) -> Column:
 
 
 def clause_rows(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY, fallback: bool = True) -> DataFrame:
-    """(review_id, clause_id, clause_idx, clause_text, clause_start_char, clause_end_char), ids REV_00001_C01 and so on."""
+    """(review_id, clause_id, clause_idx, clause_text, clause_start_char, clause_end_char), ids REV_00001_C01 and so on.
+
+    Clauses of a review without an id have none.
+    """
     rows = reviews.filter(F.col(text_col).isNotNull()).select("review_id", F.posexplode(spans(F.col(text_col), boundary, fallback)).alias("clause_idx", "c"))
     return rows.select(
-        "review_id", F.format_string("%s_C%02d", F.col("review_id"), F.col("clause_idx") + 1).alias("clause_id"), "clause_idx", F.col("c.text").alias("clause_text"),
+        "review_id", F.when(F.col("review_id").isNotNull(), F.format_string("%s_C%02d", F.col("review_id"), F.col("clause_idx") + 1)).alias("clause_id"), "clause_idx", F.col("c.text").alias("clause_text"),
         F.col("c.start").alias("clause_start_char"), F.col("c.end").alias("clause_end_char"),
     )
 
 
+def clause_checks(text: Column, boundary: str = BOUNDARY, fallback: bool = True) -> Column:
+    """struct(n, matches): a text's clauses, and those that the text holds between their offsets.
+
+    Offsets leave out U+0001, at which texts are cut besides, so the text is taken without it.
+    """
+    bare = F.translate(text, _MARK, "")
+    held = lambda s: F.substring(bare, s["start"] + 1, s["end"] - s["start"]) == s["text"]
+    return let(spans(text, boundary, fallback), lambda cs: F.struct(_size(cs).alias("n"), _size(F.filter(cs, held)).alias("matches")))
+
+
+def clause_numbers(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY, fallback: bool = True) -> DataFrame:
+    """(review_id, n) for each review: its number of clauses, 0 for null."""
+    return reviews.select("review_id", _size(spans(F.col(text_col), boundary, fallback)).alias("n"))
+
+
+def _size(values: Column) -> Column:
+    return F.coalesce(F.array_size(values), F.lit(0)).cast("long")
+
+
 def assertion_id(clause_id: Column, number: Column) -> Column:
     return F.format_string("%s_A%02d", clause_id, number)
 

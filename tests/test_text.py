@@ -190,6 +190,29 @@ def test_odd_texts_give_what_the_sql_does(spark, tmp_path):
         assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), name
 
 
+ODD_IDS = {
+    7: "a\u0001b. this is; than", 8: "\u0001x\ny! of the", 9: "THİS İS\nIN THE ΟΔΟΣ", 10: "music, whereaſx is. x whereaſ that", 11: "thİs wİth and", 12: "é\u0001\u0001is\u0001", None: "That is of the é. this; ΟΔΟΣ was", 13: None,
+}
+
+
+def test_marks_capitals_and_missing_ids_give_what_the_sql_does(spark, tmp_path):
+    """U+0001 at which both sides cut, letters whose lower case differs between engines, and a row without an id."""
+    duckdb = pytest.importorskip("duckdb")
+    from mintleaf.plans import q_text
+
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(list(ODD_IDS.items()), "doc_id long, text string").withColumn("source", F.lit("s")).coalesce(1).write.parquet(path)
+    spark.createDataFrame([("İs οδος ΟΔΟΣ this unseen thıs",)], "text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    names = ["clause_counts", "clause_offsets_check", "clause_segments", "lexicon_match", "aspect_sentiment_counts"]
+    for name in [*names, *(f"{n}_full" for n in names), "lexicon_many_terms", "lexicon_phrases"]:
+        got = q_text.QUERIES[name](spark, str(tmp_path))
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({q_text.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(want, key=repr), name
+
+
 def test_clauses_fall_back_on_the_whole_text(spark):
     df = spark.createDataFrame([("1", " è. "), ("2", " "), ("3", "a; è")], "review_id string, Review string")
     kept = lambda **options: [(r["review_id"], r["clause_text"]) for r in segment.clause_rows(df, **options).collect()]
