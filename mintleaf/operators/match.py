@@ -100,12 +100,12 @@ def factual_context(clause: Column) -> Column:
     return start.rlike(rf"^(?:(?:{'|'.join(NARRATIVE)})\b|\d+\s+(?:of\s+us|people|friends|guests)\b|(?:please\s+)?(?:do\s+)?follow\b)")
 
 
-def aspect_array(clause: Column, lexicon: DataFrame, latency: bool = True) -> Column:
+def aspect_array(clause: Column, lexicon: DataFrame, latency: bool = True, ascii: bool = False) -> Column:
     """The aspects whose terms occur in a clause, in the order of their names.
 
     A term is found as whole words without case; a space in it stands for any white space, a hyphen for a hyphen or a
     space. With ``latency`` the word 'slow' counts only by the latency rule, which also gives Service by itself, and words
-    of recommending don't count where the staff recommends. The lexicon is read by this call (an action), and an error
+    of recommending don't count where the staff recommends. With ``ascii`` any sign beyond ASCII ends a word of a term. The lexicon is read by this call (an action), and an error
     is raised if it has more than ``MOST_TERMS`` terms.
     """
     terms = lexicon.select("aspect", "term").limit(MOST_TERMS + 1).collect()
@@ -128,7 +128,7 @@ def aspect_array(clause: Column, lexicon: DataFrame, latency: bool = True) -> Co
             hits[a] = hits[a] | has_latency(clause)
         return F.array_compact(F.array(*[F.when(hits[a], F.lit(a)) for a in aspects]))
 
-    return let(F.coalesce(term_labels(clause, known), F.array().cast("array<int>")), named)
+    return let(F.coalesce(term_labels(clause, known, ascii), F.array().cast("array<int>")), named)
 
 
 def lexicon_matches(clauses: DataFrame, lexicon: DataFrame, latency: bool = True) -> DataFrame:

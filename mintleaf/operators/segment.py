@@ -49,7 +49,7 @@ def spans(text: Column, boundary: str = BOUNDARY, fallback: bool = True) -> Colu
 
     Without any clause a text that isn't blank is one clause, trimmed; without ``fallback`` it has none.
     """
-    cut = F.split(F.regexp_replace(text, f"(?i)({boundary})", f"{_MARK}$1{_MARK}"), _MARK)
+    cut = _cut(text, boundary)
     # pieces at even places are clauses, those at odd places boundaries; their lengths add up to the offsets.
     # each piece is looked at once
     pieces = F.transform(cut, lambda p, i: _piece(p, (i % 2 == 0) & p.rlike(r"\w")))
@@ -60,6 +60,15 @@ def spans(text: Column, boundary: str = BOUNDARY, fallback: bool = True) -> Colu
     return F.when(text.isNotNull(), let(found, lambda cs: F.when(F.size(cs) > 0, cs).otherwise(whole)))
 
 
+def _cut(text: Column, boundary: str) -> Column:
+    return F.split(F.regexp_replace(text, f"(?i)({boundary})", f"{_MARK}$1{_MARK}"), _MARK)
+
+
+def clause_texts(text: Column, boundary: str = BOUNDARY) -> Column:
+    """The texts of ``spans`` without fallback, for uses that need no offsets."""
+    return F.transform(F.filter(_cut(text, boundary), lambda p, i: (i % 2 == 0) & p.rlike(r"\w")), lambda p: F.trim(p, F.lit(_SPACES)))
+
+
 def _piece(text: Column, own: Column) -> Column:
     """A piece's length, white space on its left, and bare text."""
     bare = F.ltrim(text, F.lit(_SPACES))

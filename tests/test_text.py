@@ -219,9 +219,32 @@ def test_clauses_fall_back_on_the_whole_text(spark):
     assert kept() == [("1", "è."), ("3", "a")] and kept(fallback=False) == [("3", "a")]
 
 
+def test_clause_texts_are_those_of_spans(spark):
+    df = spark.createDataFrame([(x,) for x in [*ODD_TEXTS, *ODD_IDS.values()]], "t string")
+    for boundary in (segment.BOUNDARY, segment.SIMPLE_BOUNDARY):
+        rows = df.select(segment.clause_texts(F.col("t"), boundary).alias("got"), F.transform(segment.spans(F.col("t"), boundary, False), lambda s: s["text"]).alias("want")).collect()
+        assert [r["got"] for r in rows] == [r["want"] for r in rows]
+
+
+def test_aspect_counts_shuffle_no_text(spark, tmp_path):
+    """The texts are read and cut once, and no clause is joined with its aspects."""
+    from mintleaf.plans import q_text
+
+    spark.createDataFrame([(1, "s", "that was; this")], "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("aspect_sentiment_counts", "aspect_sentiment_counts_full"):
+        plan = q_text.QUERIES[name](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("parquet") == 1
+
+
 # --- many terms, many rules, long texts ---
 
 
+def test_terms_of_ascii_words():
+    pairs = [("is", 0), ("of the", 1)]
+    assert terms.TermIndex(pairs, ascii=True).labels("éis of the") == {0, 1} and terms.TermIndex(pairs).labels("éis of the") == {1}
+
+
+
 def test_terms_like_patterns():
     """The tree of words finds what a pattern for each term finds."""
     rng = random.Random(3)
