@@ -22,6 +22,8 @@ BOUNDARY = (
 )
 #: The same without look-ahead, for engines that lack it.
 SIMPLE_BOUNDARY = r"\n|[.!?]+|;"
+#: Spans are looked up in blocks of 2 ** 8 code points of a text.
+_BITS = 8
 
 
 def clauses(text: Column) -> Column:
@@ -97,9 +99,24 @@ def clause_checks(text: Column, boundary: str = BOUNDARY, fallback: bool = True)
 
     Offsets leave out U+0001, at which texts are cut besides, so the text is taken without it.
     """
-    bare = F.translate(text, _MARK, "")
-    held = lambda s: F.substring(bare, s["start"] + 1, s["end"] - s["start"]) == s["text"]
-    return let(spans(text, boundary, fallback), lambda cs: F.struct(_size(cs).alias("n"), _size(F.filter(cs, held)).alias("matches")))
+    bare = F.replace(text, F.lit(_MARK), F.lit(""))
+    return let(spans(text, boundary, fallback), lambda cs: F.struct(_size(cs).alias("n"), _size(held(bare, cs)).alias("matches")))
+
+
+def held(text: Column, found: Column) -> Column:
+    """Those of the (start, end, text) spans that the text holds between their offsets.
+
+    A place in a text is found by counting from its start, so each span is looked up in the few blocks that it lies in: the
+    work is in proportion to the text and its spans.
+    """
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{1 << _BITS}}}"), F.lit(0))
+    block = lambda at: F.shiftright(at, _BITS)
+
+    def between(of: Column, s: Column) -> Column:
+        near = F.array_join(F.slice(of, block(s["start"]) + 1, block(s["end"]) - block(s["start"]) + 1), "")
+        return F.substring(near, s["start"] % (1 << _BITS) + 1, s["end"] - s["start"])
+
+    return let(blocks, lambda of: F.filter(found, lambda s: between(of, s) == s["text"]))
 
 
 def clause_numbers(reviews: DataFrame, text_col: str = "Review", boundary: str = BOUNDARY, fallback: bool = True) -> DataFrame:

@@ -316,3 +316,26 @@ def test_rule_tables(spark):
 def test_sums_before(spark, n):
     df = spark.createDataFrame([(list(range(n)),), (None,)], "x array<long>")
     assert [r[0] for r in df.select(sums_before(F.col("x"))).collect()] == [[sum(range(k)) for k in range(n)], None]
+
+
+def test_spans_are_held_where_the_text_has_them(spark):
+    """At the edges of blocks, over several, beyond the text, and beside signs of several bytes."""
+    rng = random.Random(8)
+    text = "".join(rng.choice(["a", "é", "你", "😀", "\n", "\r\n", ". "]) for _ in range(2000))
+    at = [(0, 1), (255, 256), (255, 257), (256, 257), (256, 512), (511, 513), (1, 1900), (0, len(text)), (len(text) - 1, len(text)), *((k, k + rng.randrange(1, 600)) for k in rng.choices(range(1300), k=200))]
+    right = [(a, b, text[a:b]) for a, b in at]
+    wrong = [(a + 1, b + 1, text[a:b]) for a, b in at if text[a + 1 : b + 1] != text[a:b]] + [(len(text), len(text) + 1, "a"), (5000, 5002, "aa")]
+    df = spark.createDataFrame([(text, right, wrong)], "t string, r array<struct<start: int, end: int, text: string>>, w array<struct<start: int, end: int, text: string>>")
+    row = df.select(segment.held(F.col("t"), F.col("r")).alias("r"), segment.held(F.col("t"), F.col("w")).alias("w")).first()
+    assert list(map(tuple, row["r"])) == right and row["w"] == []
+
+
+def test_offset_checks_cost_in_proportion_to_a_text(spark, tmp_path):
+    """64,000 clauses in one text: looked up from its start they would take hours."""
+    from mintleaf.plans import q_text
+
+    spark.createDataFrame([(1, "s", "the food was fine. " * 64000)], "doc_id long, source string, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("clause_offsets_check", "clause_offsets_check_full"):
+        began = time.perf_counter()
+        assert tuple(q_text.QUERIES[name](spark, str(tmp_path)).first()) == (64000, 64000)
+        assert time.perf_counter() - began < 60
