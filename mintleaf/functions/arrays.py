@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Elements of a block of a running sum.
-_BLOCK = 256
+#: Least elements of a block of a running sum.
+_BLOCK = 16
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -25,18 +25,19 @@ def _running(sizes: Column, first: Column) -> Column:
 def sums_before(sizes: Column) -> Column:
     """For each element of an array of longs the sum of those before it.
 
-    A fold that appends to its state copies it each time. Here blocks of 256 elements are summed, the sums are run over,
-    and each block is run over from where it starts: an array of n elements costs some n * 256 + (n / 256)^2 copies of a
-    number. Null and empty arrays stay.
+    A fold that appends to its state copies it each time. Here blocks are summed, the sums are run over, and each block is
+    run over from where it starts: an array of n elements in blocks of b costs some n * b + (n / b)^2 copies of a number,
+    which are fewest where b is near the cube root of 2 * n. Null and empty arrays stay.
     """
 
-    def of_blocks(values: Column) -> Column:
-        starts = F.sequence(F.lit(1), F.size(values), F.lit(_BLOCK))
+    def of_blocks(values: Column, block: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(values), block)
         return let(
-            F.transform(starts, lambda k: F.slice(values, k, F.lit(_BLOCK))),
+            F.transform(starts, lambda k: F.slice(values, k, block)),
             lambda blocks: F.flatten(F.zip_with(
                 blocks, _running(F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("long"), lambda a, n: a + n)), F.lit(0).cast("long")), _running,
             )),
         )
 
-    return let(sizes, lambda values: F.when(F.size(values) > 0, of_blocks(values)).otherwise(values))
+    length = lambda values: F.greatest(F.lit(_BLOCK), F.cbrt(2 * F.size(values)).cast("int"))
+    return let(sizes, lambda values: F.when(F.size(values) > 0, let(length(values), lambda block: of_blocks(values, block))).otherwise(values))

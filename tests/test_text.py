@@ -339,3 +339,9 @@ def test_offset_checks_cost_in_proportion_to_a_text(spark, tmp_path):
         began = time.perf_counter()
         assert tuple(q_text.QUERIES[name](spark, str(tmp_path)).first()) == (64000, 64000)
         assert time.perf_counter() - began < 60
+
+
+def test_sums_before_in_longer_blocks(spark):
+    df = spark.createDataFrame([(list(range(n)),) for n in (2047, 2048, 2049, 20000)], "x array<long>")
+    for values, got in df.select("x", sums_before(F.col("x"))).collect():
+        assert got == [k * (k - 1) // 2 for k in values]
