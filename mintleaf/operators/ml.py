@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression, OneVsRest, RandomForestClassifier
-from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, CountVectorizer, CountVectorizerModel, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.param.shared import HasInputCol, HasOutputCol
@@ -20,7 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mintleaf.functions.numbers import softmax
-from mintleaf.operators.evaluate import classification_report
+from mintleaf.operators.evaluate import classification_report, report_of_cells
+from mintleaf.sources.tables import written
 
 
 #: Rows of a partition of features: as 10,000 numbers each, 164 MB.
@@ -32,10 +33,28 @@ def tfidf_stages(text: str = "text", vocabulary: int = 10_000, min_df: int = 2)
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\W+", minTokenLength=2)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _grams FROM __THIS__")
-    counts = CountVectorizer(inputCol="_grams", outputCol="_raw", vocabSize=vocabulary, minDF=min_df)
+    counts = Vocabulary(inputCol="_grams", outputCol="_raw", vocabSize=vocabulary, minDF=min_df)
     return [words, pairs, both, counts, Sublinear(inputCol="_raw", outputCol="_tf"), SmoothIDF(inputCol="_tf", outputCol="_tfidf"), Normalizer(inputCol="_tfidf", outputCol="features")]
 
 
+class Vocabulary(CountVectorizer):
+    """A CountVectorizer that counts words by SQL aggregates, whose tables hold no object for each word; ties go by word.
+
+    Of its parameters vocabSize and minDF are kept to.
+    """
+
+    def _fit(self, dataset: DataFrame) -> CountVectorizerModel:
+        words = F.col(self.getInputCol())
+        # the words of a row, and the different ones once more
+        both = F.array(F.struct(words.alias("_ws"), F.lit(0).alias("_once")), F.struct(F.array_distinct(words).alias("_ws"), F.lit(1).alias("_once")))
+        counts = dataset.select(F.inline(both)).select(F.explode("_ws").alias("w"), "_once").groupBy("w").agg(F.count_if(F.col("_once") == 0).alias("n"), F.sum("_once").alias("df"))
+        least = self.getMinDF() if self.getMinDF() >= 1 else self.getMinDF() * dataset.count()
+        top = counts.filter(F.col("df") >= least).orderBy(F.desc("n"), "w").limit(self.getVocabSize()).collect()
+        if not top:
+            raise ValueError("no word is in enough rows: lower minDF")
+        return CountVectorizerModel.from_vocabulary([r["w"] for r in top], self.getInputCol(), self.getOutputCol())
+
+
 class Sublinear(Transformer, HasInputCol, HasOutputCol, DefaultParamsReadable, DefaultParamsWritable):
     """1 + ln(x) of the entries of a vector of counts, batch by batch; the one step here that Spark's own transformers lack."""
 
@@ -116,12 +135,42 @@ def fit_all(train: DataFrame, candidates: dict, text: str = "text", **features)
     try:
         weigher = Pipeline(stages=last).fit(counted)
         made = weigher.transform(counted).drop("_raw", "_tf", "_tfidf").persist()
-        try:
-            return {name: PipelineModel([*counter.stages, *weigher.stages, c.fit(made)]) for name, c in candidates.items()}
-        finally:
-            made.unpersist()
+        made.count()
     finally:
+        # trees need the memory
         counted.unpersist()
+    try:
+        return {name: PipelineModel([*counter.stages, *weigher.stages, _fitted(c, made)]) for name, c in candidates.items()}
+    finally:
+        made.unpersist()
+
+
+def _fitted(classifier, made: DataFrame):
+    """The classifier fitted on rows; one-vs-rest of the labels 0 and 1 is its binary classifier alone.
+
+    There the model of label 0 is that of label 1 with all signs turned, so the higher of both is what one of them predicts.
+    """
+    if not isinstance(classifier, OneVsRest) or {r[0] for r in made.select(classifier.getLabelCol()).distinct().limit(3).collect()} != {0.0, 1.0}:
+        return classifier.fit(made)
+    binary = classifier.getClassifier()
+    names = {binary.labelCol: classifier.getLabelCol(), binary.featuresCol: classifier.getFeaturesCol(), binary.predictionCol: classifier.getPredictionCol()}
+    if classifier.isDefined(classifier.weightCol) and classifier.getWeightCol():
+        names[binary.weightCol] = classifier.getWeightCol()
+    return binary.fit(made, names)
+
+
+def reports(models: dict[str, PipelineModel], rows: DataFrame, label: str = "label") -> dict[str, DataFrame]:
+    """The classification report of each model of one ``fit_all``, from counts in a written table.
+
+    The rows' features are made once, and all models predict side by side, in one pass.
+    """
+    shared = next(iter(models.values())).stages[:-1]
+    seen = PipelineModel(shared).transform(rows).select(F.col(label).alias("y"), "features")
+    for k, m in enumerate(models.values()):
+        seen = m.stages[-1].transform(seen).select(*seen.columns, F.col("prediction").alias(f"p{k}"))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), F.col(f"p{k}").alias("p")) for k, name in enumerate(models)]))
+    cells = written(seen.select("y", each.alias("e")).groupBy("e.model", "y", "e.p").agg(F.count(F.lit(1)).alias("n")), "predictions")
+    return {name: report_of_cells(cells.filter(F.col("model") == name)) for name in models}
 
 
 def grid_search(train: DataFrame, validation: DataFrame, candidates: dict, text: str = "text", label: str = "label", **features) -> tuple[str, list[tuple[str, float]]]:

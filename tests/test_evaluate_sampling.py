@@ -286,3 +286,49 @@ def test_features_lie_in_partitions_of_few_rows(spark, monkeypatch):
     train = spark.createDataFrame([(float(k % 2), f"good soup {k % 3}" if k % 2 else f"bad tea {k % 3}") for k in range(95)], "label double, text string").coalesce(1)
     model = ml.fit_all(train, {"m": Probe()})["m"]
     assert seen == [(10, False, 95)] and model.transform(train).filter("label = prediction").count() == 95
+
+
+def test_vocabulary_is_that_of_a_count_vectorizer(spark):
+    """By counts of words in rows enough; ties, which a CountVectorizer leaves open, go by word."""
+    from pyspark.ml.feature import CountVectorizer
+
+    df = spark.createDataFrame([(["a"] * 9 + ["b", "c", "c"],), (["b", "b", "b", "d", "c"],), (["e", "d", "b", "f"],), ([],)], "ws array<string>").repartition(3)
+    for least in (1, 2, 0.5, 0.75):
+        options = {"inputCol": "ws", "outputCol": "v", "minDF": least}
+        mine, spark_own = ml.Vocabulary(**options).fit(df), CountVectorizer(**options).fit(df)
+        assert sorted(mine.vocabulary) == sorted(spark_own.vocabulary), least
+    assert ml.Vocabulary(inputCol="ws", outputCol="v").fit(df).vocabulary == ["a", "b", "c", "d", "e", "f"]
+    top = ml.Vocabulary(inputCol="ws", outputCol="v", vocabSize=2, minDF=2).fit(df)
+    assert top.vocabulary == ["b", "c"] and sorted(r["v"].toArray().tolist() for r in top.transform(df).collect()) == [[0, 0], [1, 0], [1, 2], [3, 1]]
+    with pytest.raises(ValueError, match="minDF"):
+        ml.Vocabulary(inputCol="ws", outputCol="v", minDF=5).fit(df)
+
+
+def test_two_labels_need_one_binary_model(spark):
+    """Of the labels 0 and 1 no mirrored model is trained, and predictions are those of one-vs-rest."""
+    from pyspark.ml.classification import LinearSVC, OneVsRest
+
+    words = ["good", "fine", "bad", "poor", "soup", "tea"]
+    rows = [(" ".join(words[(k * s + s) % 6] for s in (1, 2, 3, 5)), float(k % 3 == 0)) for k in range(60)]
+    train = ml.class_weights(spark.createDataFrame(rows, "text string, label double")).withColumn("k", F.monotonically_increasing_id())
+    family = OneVsRest(classifier=LinearSVC(maxIter=5, regParam=0.01), weightCol="weight")
+    model = ml.fit_all(train, {"svm": family}, vocabulary=20)["svm"]
+    assert type(model.stages[-1]).__name__ == "LinearSVCModel"
+    made = type(model)(model.stages[:-1]).transform(train).persist()
+    plain = family.fit(made)
+    a, b = (sorted((r["k"], r["prediction"]) for r in m.transform(made).collect()) for m in (plain, model.stages[-1]))
+    assert a == b and {p for _, p in a} == {0.0, 1.0}
+    three = spark.createDataFrame([(w, float(k % 3)) for k, w in enumerate(words * 4)], "text string, label double")
+    assert len(ml.fit_all(ml.class_weights(three), {"svm": family}, vocabulary=20)["svm"].stages[-1].models) == 3
+
+
+def test_reports_of_models_from_one_pass(spark):
+    """The reports are those of each model's predictions, and read counts only."""
+    rows = spark.createDataFrame([(f"{'good fine' if k % 3 else 'bad poor'} food w{k % 7}", float(k % 2)) for k in range(60)], "text string, label double")
+    lr = lambda n: ml.LogisticRegression(maxIter=n, regParam=0.01)
+    models = ml.fit_all(rows, {"one": lr(1), "two": lr(5)}, vocabulary=20)
+    got = ml.reports(models, rows)
+    for name, m in models.items():
+        want = evaluate.classification_report(m.transform(rows), "label", "prediction")
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, want.collect())) and got[name].dtypes == want.dtypes
+        assert "UDF" not in got[name]._jdf.queryExecution().optimizedPlan().toString()
